@@ -75,12 +75,12 @@ def segment_bounds(segments: int) -> list[tuple[int, int]]:
 
 
 def variants(prints: DataFrame, segments: int) -> DataFrame:
-    """fp -> (seg, wild, key): each segment without one bit."""
-    rows = []
+    """fp -> (key, fp): each segment without one bit; the key's high bits say which segment and which bit."""
+    keys = []
     for s, (low, width) in enumerate(segment_bounds(segments)):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        rows += [F.struct(F.lit(s * 64 + j).alias("slot"), part.bitwiseAND(F.lit(~(1 << j))).alias("key")) for j in range(width)]
-    return prints.select("fp", F.explode(F.array(*rows)).alias("v")).select("v.slot", "v.key", "fp")
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+        keys += [part.bitwiseAND(F.lit(~(1 << j))).bitwiseOR(F.lit((s * 64 + j) << 40)) for j in range(width)]
+    return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def _differ(a, b):
@@ -91,19 +91,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     """Edges (a, b) between the distinct fingerprints in prints(fp), whose components are those of all links."""
     if 2 * segments - 1 < max_bits:
         raise ValueError(f"{segments} segments find no more than {2 * segments - 1} bits")
-    index = variants(prints, segments)
-    keys = index.groupBy("slot", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = materialize(keys, "simhash-keys")
-    two = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(_differ("a", "b") <= max_bits).distinct()
-    crowded = keys.where("n > 2").select("slot", "key", "n")
-    if crowded.isEmpty():
-        return two
-    met = materialize(index.join(crowded, ["slot", "key"]), "simhash-met")
-    few = met.where(F.col("n") <= bucket_rows)
-    pairs = few.select("slot", "key", F.col("fp").alias("a")).join(few.select("slot", "key", F.col("fp").alias("b")), ["slot", "key"]).where("a < b").where(_differ("a", "b") <= max_bits)
-    out = two.union(pairs.select("a", "b").distinct())
-    many = met.where(F.col("n") > bucket_rows).select("fp").distinct()
-    return out.union(_ball_links(many, max_bits))
+    if segments < 2:
+        raise ValueError("a key holds a segment of 32 bits at most")
+    index = variants(prints.repartition("fp"), segments)  # the few rows of a fingerprint table fan out here
+    keys = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key")
+    # The same join at every size: which side would be small enough to broadcast isn't known beforehand.
+    met = index.join(materialize(keys, "simhash-keys").hint("merge"), "key")
+    met = materialize(met, "simhash-met")
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    few = met.join(sizes.where(F.col("n") <= bucket_rows), "key")
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_differ("a", "b") <= max_bits)
+    many = met.join(sizes.where(F.col("n") > bucket_rows), "key").select("fp").distinct()
+    return pairs.select("a", "b").distinct().union(_ball_links(many, max_bits))
 
 
 def _ball_links(prints: DataFrame, max_bits: int) -> DataFrame:
