@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from textloom.llm.common import table
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.licence import scan_licences, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = scan_licences(docs, train(docs))
+    return out.select("doc_id", F.array_join("families", ",").alias("families"), F.size("paragraphs").cast("long").alias("n_paragraphs"), "probability", "suspected")
+
+
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.toxicity import fold, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.quality import quality_verdicts
 
@@ -42,5 +58,19 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination)}
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.pii import KINDS, find_pii, spans_text
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.preference import next_reply_pairs, preference_format
+
+    return preference_format(*next_reply_pairs(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting)}
 ORACLE_SQL: dict[str, str] = {}
