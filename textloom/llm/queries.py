@@ -72,5 +72,11 @@ def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format(*next_reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.suffixdedup import remove_duplicate_spans
+
+    return remove_duplicate_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
