@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +24,25 @@ CHUNK = 4 << 20
 
 def bucket_count(df: DataFrame) -> int:
     """Follows spark.sql.shuffle.partitions, which is set by the size of the data."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def pack(bucket: int, arrays: dict) -> tuple[int, bytes]:
-    return bucket, pickle.dumps(arrays, protocol=5)
+    return bucket, zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+
+
+def unpack(payload: bytes) -> dict:
+    return pickle.loads(zstandard.decompress(payload))
+
+
+def owners(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (id, row) pairs in order, and the place of each record's pair among them."""
+    order = np.lexsort((rows, ids))
+    i, r = ids[order], rows[order]
+    new = np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]))[: len(i)]
+    at = np.empty(len(i), np.uint32)
+    at[order] = np.cumsum(new) - 1
+    return i[new], r[new], at
 
 
 def deal(key: np.ndarray, buckets: int, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict]]:
@@ -94,7 +109,7 @@ def reduce_packed(packed: DataFrame, fn: Callable[[int, list[dict]], Iterator[tu
                     yield from out()
                     held = []
                 now = bucket
-                held.append(pickle.loads(payload.as_py()))
+                held.append(unpack(payload.as_py()))
         if held:
             yield from out()
 
@@ -135,7 +150,7 @@ def meet_texts(docs: DataFrame, packed: DataFrame, bucket, fn: Callable[[list[di
                     yield from out()
                 now, held, rows, size = bucket_, [], [], 0
             if side == 0:
-                held.append(pickle.loads(payload))
+                held.append(unpack(payload))
             else:
                 rows.append((i, t or b""))
                 size += len(rows[-1][1])

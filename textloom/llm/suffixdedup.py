@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import materialize
-from textloom.llm.exchange import PACKED, bucket_count, deal, map_packed, meet_texts, pack, reduce_packed
+from textloom.llm.exchange import PACKED, bucket_count, deal, map_packed, meet_texts, owners, pack, reduce_packed
 from textloom.llm.induced import suffix_order
 
 LENGTH, GRAM = 50, 24
@@ -95,6 +95,11 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     return d[a], at[a] - starts[d[a]], at[b] - starts[d[a]], _mix(v[a])
 
 
+def code(v: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits of an anchor besides those that name its bucket. Anchors that collide are treated as one: windows are compared by bytes."""
+    return (v // np.uint64(buckets)).astype(np.uint32)
+
+
 def text_hash(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text)
 
@@ -120,6 +125,23 @@ def merge_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[s].tolist(), b[e].tolist()))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
+
+
+def _merge_by(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of each owner's spans."""
+    order = np.lexsort((a, owner))
+    owner, a, b = owner[order].astype(np.int64), a[order], b[order]
+    if not len(a):
+        return owner, a, b
+    far = int(b.max()) + 1
+    end = np.maximum.accumulate(b + owner * far)
+    new = np.append(True, (owner[1:] != owner[:-1]) | (a[1:] + owner[1:] * far > end[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(a)) - 1
+    return owner[new], a[new], end[last] - owner[new] * far
+
+
 def window_classes(contexts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(context number, window start) of the windows that also occur in a context of a smaller owner."""
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -163,7 +185,7 @@ def _resolve(keys: np.ndarray, ctx: list[bytes], ids: np.ndarray, rows: np.ndarr
     b.append(first[later] + sizes[later])
     # Different contexts of one anchor may still share windows.
     names = list(known)
-    anchor = np.array([k for k, _ in names], np.uint64)
+    anchor = np.array([k for k, _ in names], np.int64)
     _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[inverse] > 1)
     if len(several):
@@ -202,7 +224,7 @@ def duplicate_spans(docs: DataFrame, id_col: str, text: str, length: int = LENGT
         for bucket, x in deal(key[0], buckets, {"v": key[0], "d": key[1].astype(np.uint32)}):
             used, local = np.unique(x["d"], return_inverse=True)
             owners = [ids[order[cut[k] : cut[k + 1]]] for k in used]
-            yield pack(bucket, {"v": x["v"], "d": local.astype(np.uint32), "ids": np.concatenate(owners), "n": np.array([len(o) for o in owners]), "rows": hashes[used]})
+            yield pack(bucket, {"v": code(x["v"], buckets), "d": local.astype(np.uint32), "ids": np.concatenate(owners), "n": np.array([len(o) for o in owners]), "rows": hashes[used]})
 
     def shared(bucket: int, held: list[dict]) -> Iterator:
         v = np.concatenate([x["v"] for x in held])
@@ -222,18 +244,21 @@ def duplicate_spans(docs: DataFrame, id_col: str, text: str, length: int = LENGT
         owner = ids[np.repeat(at[d], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
         v, row = np.repeat(v, k), np.repeat(rows[d], k)
         for b, x in deal(_row_bucket(owner, buckets).astype(np.uint64), buckets, {"v": v, "id": owner, "row": row}):
-            yield pack(b, x)
+            i, r, at = owners(x["id"], x["row"])
+            order = np.argsort(at, kind="stable")
+            yield pack(b, {"id": i, "row": r, "n": np.bincount(at, minlength=len(i)), "v": x["v"][order], "from": bucket})
 
     def contexts(held: list[dict], rows: Iterator[tuple]) -> Iterator:
         if not held:
             return
-        want: dict[tuple[int, int], np.ndarray] = {}
         if "by" not in held[0]:
-            i, r, v = (np.concatenate([x[k] for x in held]) for k in ("id", "row", "v"))
-            order = np.lexsort((v, r, i))
-            i, r, v = i[order], r[order], v[order]
-            s = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1])))
-            held[0]["by"] = {(int(i[a]), int(r[a])): v[a:b] for a, b in zip(s, np.append(s[1:], len(i)))}
+            by: dict[tuple[int, int], list] = {}
+            for x in held:
+                ends = np.cumsum(x["n"])
+                full = x["v"].astype(np.uint64) * np.uint64(buckets) + np.uint64(x["from"])
+                for i, r, e, n in zip(x["id"].tolist(), x["row"].tolist(), ends.tolist(), x["n"].tolist()):
+                    by.setdefault((i, r), []).append(full[e - n : e])
+            held[0]["by"] = by
         want = held[0]["by"]
         rows = [(_id(i), text_hash(t), t) for i, t in rows]
         rows = [x for x in dict.fromkeys(rows) if x[:2] in want]
@@ -241,20 +266,25 @@ def duplicate_spans(docs: DataFrame, id_col: str, text: str, length: int = LENGT
             return
         d, a, b, v = anchor_runs([t for _, _, t in rows], length, gram)
         cut = np.searchsorted(d, np.arange(len(rows) + 1))
-        keep = np.concatenate([np.isin(v[cut[k] : cut[k + 1]], want[rows[k][:2]]) for k in range(len(rows))])
+        known = code(v, buckets).astype(np.uint64) * np.uint64(buckets) + v % np.uint64(buckets)
+        keep = np.concatenate([np.isin(known[cut[k] : cut[k + 1]], np.concatenate(want[rows[k][:2]])) for k in range(len(rows))])
         d, a, b, v = d[keep], a[keep], b[keep], v[keep]
         ids, row = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.uint64)
         for bucket, x in deal(v, buckets, {"v": v, "d": d, "a": a, "b": b}):
             pieces = [rows[k][2][s : e + length] for k, s, e in zip(x["d"].tolist(), x["a"].tolist(), x["b"].tolist())]
-            yield pack(bucket, {"v": x["v"], "id": ids[x["d"]], "row": row[x["d"]], "a": x["a"], "size": np.array([len(p) for p in pieces]), "text": b"".join(pieces)})
+            i, r, at = owners(ids[x["d"]], row[x["d"]])
+            yield pack(bucket, {"v": code(x["v"], buckets), "id": i, "row": r, "d": at, "a": _narrow(x["a"]), "size": _narrow(np.array([len(p) for p in pieces])), "text": b"".join(pieces)})
 
     def sort_shard(bucket: int, held: list[dict]) -> Iterator:
-        v, i, r, a, size = (np.concatenate([x[k] for x in held]) for k in ("v", "id", "row", "a", "size"))
+        v, a, size = (np.concatenate([x[k] for x in held]) for k in ("v", "a", "size"))
+        a, size = a.astype(np.int64), size.astype(np.int64)
+        i, r = (np.concatenate([x[k][x["d"]] for x in held]) for k in ("id", "row"))
         data = b"".join(x["text"] for x in held)
         ends = np.cumsum(size)
         order = np.argsort(v, kind="stable")
-        new = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
+        new = np.flatnonzero(np.append(True, v[order][1:] != v[order][:-1]))
         so_far = np.cumsum(size[order])
+        spans = []
         # Groups of whole anchors of about SHARD bytes.
         group = so_far[new] // SHARD
         for part in np.split(new, np.flatnonzero(np.diff(group)) + 1):
@@ -264,8 +294,12 @@ def duplicate_spans(docs: DataFrame, id_col: str, text: str, length: int = LENGT
             ctx = [data[ends[k] - size[k] : ends[k]] for k in own]
             occ, s, e = _resolve(v[own], ctx, i[own], r[own], a[own], length)
             occ = own[occ]
-            for b, x in deal(_row_bucket(i[occ], buckets).astype(np.uint64), buckets, {"id": i[occ], "row": r[occ], "a": s, "b": e}):
-                yield pack(b, x)
+            spans.append((i[occ], r[occ], s, e))
+        ids, rows, a, b = (np.concatenate(x) for x in zip(*spans))
+        i, r, at = owners(ids, rows)
+        at, a, b = _merge_by(at, a, b)
+        for bucket, x in deal(_row_bucket(i[at], buckets).astype(np.uint64), buckets, {"id": i[at], "row": r[at], "a": _narrow(a), "b": _narrow(b)}):
+            yield pack(bucket, x)
 
     row_bucket = F.pmod(F.coalesce(F.col("id"), F.lit(NO_ID)), F.lit(buckets))
     found = reduce_packed(map_packed(texts, anchors, 1), shared, PACKED)
@@ -288,7 +322,7 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str =
         if held and "by" not in held[0]:
             i, r, a, b = (np.concatenate([x[k] for x in held]) for k in ("id", "row", "a", "b"))
             order = np.lexsort((r, i))
-            i, r, a, b = i[order], r[order], a[order], b[order]
+            i, r, a, b = i[order], r[order], a[order].astype(np.int64), b[order].astype(np.int64)
             s = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]))) if len(i) else []
             held[0]["by"] = {(int(i[x]), int(r[x])): (a[x:y], b[x:y]) for x, y in zip(s, np.append(s[1:], len(i)).astype(np.int64))}
         by = held[0]["by"] if held else {}
