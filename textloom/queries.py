@@ -1,4 +1,259 @@
-"""Queries of the text engine, one for each operator, and the SQL that DuckDB answers alike."""
+"""Queries of the text engine, one for each operator, and the SQL that DuckDB answers alike.
 
-QUERIES: dict = {}
+Inputs are SQL that both engines read; `$name` stands for a table. The oracles are written for DuckDB by themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from string import Template
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import native as N
+from textloom.functions import udfs as U
+from textloom.functions.formatting import AUTO, FILES, Format
+from textloom.functions.patterns import PROSE, SENTENCE_END
+from textloom.operators import corpus as C
+from textloom.plans.options import merge_options
+from textloom.sources import rules as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+# Inputs
+
+DOCS = "SELECT doc_id AS id, text FROM $documents"
+TALK = "SELECT conv_id * 100 + turn AS id, text FROM $conversations"
+HTML = "SELECT page_id AS id, html AS text FROM $pages"
+MARKDOWN = """SELECT p_partkey AS id, '# **' || p_name || '**' || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_type || chr(10) || '  1. ' || p_name || chr(10) || chr(10)
+ || '| a | b |' || chr(10) || '|:--|--:|' || chr(10) || '| ' || cast(p_size AS string) || ' | ' || cast(p_partkey AS string) || ' |' AS text FROM $part"""
+TAGS = """SELECT event_id AS id, '{% ' || event_type || ' id="' || cast(event_id AS string) || '" %}{% /' || event_type || ' %}' || chr(10) || '- ' || event_type || chr(10)
+ || '{{ x }}' || chr(10) || 'value <!-- c -->' || chr(10) || '  {% /' || event_type || ' %}' AS text FROM $events"""
+LONG_TAGS = """SELECT event_id AS id, '{% ' || event_type || chr(10) || 'id="' || cast(event_id AS string) || '" %} {% /' || event_type || ' %}' || chr(10) || 'end' AS text FROM $events"""
+COMMENTS = """SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN '<!-- ' || c_name || chr(10) || c_mktsegment || ' -->' WHEN c_nationkey % 3 = 1 THEN '<!-- a -->' || chr(10) || '<!-- ' || c_name || ' -->' ELSE c_name || chr(10) || '-->' END AS text FROM $customer"""
+FRONT = """SELECT c_custkey AS id, CASE WHEN c_nationkey % 4 = 0 THEN '---' || chr(10) || 'title: ' || c_name || chr(10) || '---' || chr(10) || chr(10) || c_mktsegment
+ WHEN c_nationkey % 4 = 1 THEN chr(10) || ' ---' || chr(10) || 'open: ' || c_name WHEN c_nationkey % 4 = 2 THEN chr(10) || chr(10) || '---' || chr(10) || '--- ' || chr(10) || c_name || chr(10) ELSE c_name END AS text FROM $customer"""
+PARAS = """SELECT c_custkey AS id, c_name || ' says  something about ' || c_mktsegment || chr(10) || 'and so on for quite a long while, until the line is full and wraps around' || chr(10) || chr(10) || chr(10)
+ || c_mktsegment || ' is the second paragraph of this text, ' || c_name || ' wrote it in one go without looking back at what was there before' AS text FROM $customer"""
+MARKS = """SELECT o_orderkey AS id, o_orderpriority || ' and then some more words that fill the line up to here, ' || cast(o_custkey AS string) || '. # ' || o_orderstatus || ' - ' || cast(o_orderkey % 100 AS string) || ') + > last words of this' AS text FROM $orders"""
+QUOTES = """SELECT p_partkey AS id, '"' || p_name || '" is what ' || p_brand || ' calls it, "' || p_type || '", and x="' || p_brand || '" too' AS text FROM $part"""
+APOS = """SELECT p_partkey AS id, p_name || chr(39) || 's and James' || chr(39) || ' don' || chr(39) || 't, rock ' || chr(39) || 'n' || chr(39) || ' roll $$James' || chr(39) AS text FROM $part"""
+DOTS = """SELECT p_partkey AS id, p_name || '...' || p_type || ' and ' || p_brand || ' ...' AS text FROM $part"""
+LINKS = """SELECT page_id AS id, 'See [page ' || cast(page_id AS string) || '](' || url || ') and [two](/x "T"), <' || url || '> or `[no](/code)`.' AS text FROM $pages"""
+PATHS = """SELECT doc_id AS id, 'root/' || source || CASE WHEN doc_id % 7 = 0 THEN '/node_modules/' WHEN doc_id % 7 = 1 THEN '/.git/' ELSE '/docs/' END || cast(doc_id % 500 AS string) || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.md' END AS path, n_chars * 40 AS size FROM $documents"""
+
+
+def source(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(Template(sql).substitute({t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+
+
+def _duck(sql: str) -> str:
+    return Template(sql).substitute({t: t for t in TABLES})
+
+
+def query(name: str, sql: str, make: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
+    """oracle reads the input as `input`, and its lines as `lines(id, line)`."""
+    QUERIES[name] = lambda spark, sf_dir: make(source(spark, sf_dir, sql))
+    if oracle:
+        ORACLE_SQL[name] = f"WITH input AS ({_duck(sql)}), lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input) {oracle}"
+
+
+def scalar(name: str, sql: str, fn, oracle: str | None = None, column: str = "out") -> None:
+    """fn(text) beside the id; oracle is an expression over text."""
+    query(name, sql, lambda d: d.select("id", fn(F.col("text")).alias(column)), oracle and f"SELECT id, {oracle} AS {column} FROM input")
+
+
+def per_line(name: str, sql: str, fn, oracle: str) -> None:
+    query(name, sql, lambda d: d.select("id", F.explode(N.lines(F.col("text"))).alias("line")).select("id", "line", fn(F.col("line")).alias("out")), f"SELECT id, line, {oracle} AS out FROM lines")
+
+
+# DuckDB expressions
+
+_NL = "chr(10)"
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+_END = SENTENCE_END.replace("'", "''")
+_OPEN, _CLOSE = r"(\{%|\{#|\{\{|<!--)", r"(%\}|#\}|\}\}|-->)"
+_TRIM = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+
+
+def _fold(words: str, joins: str, escape: str = "b.now") -> str:
+    """Words joined while `joins` holds between a.now and b.now."""
+    return f"""list_reduce(list_transform({words}, lambda w: {{'done': CAST([] AS VARCHAR[]), 'now': w}}),
+ lambda a, b: CASE WHEN {joins} THEN {{'done': a.done, 'now': a.now || ' ' || b.now}} ELSE {{'done': list_append(a.done, a.now), 'now': {escape}}} END)"""
+
+
+def _joined(fold: str, sep: str = _NL) -> str:
+    return f"(SELECT coalesce(array_to_string(list_append(r.done, r.now), {sep}), '') FROM (SELECT {fold} AS r))"
+
+
+def _sentences(least: int) -> str:
+    return _fold(_WORDS, f"NOT (length(a.now) >= {least} AND regexp_matches(a.now, '{_END}'))")
+
+
+def _wrapped(words: str, width: int, escape: str = "b.now") -> str:
+    return _fold(words, f"length(a.now) + 1 + length(b.now) <= {width}", escape)
+
+
+_ESCAPED = r"CASE WHEN regexp_matches(b.now, '^[0-9]+[.)]$') THEN left(b.now, -1) || chr(92) || right(b.now, 1) WHEN regexp_matches(b.now, '^([-*+>]|#+)$') THEN chr(92) || b.now ELSE b.now END"
+_PARA_WORDS = _WORDS.replace("text", "p")
+
+# Sources, discovery, checks
+
+query("s6_resolve", PATHS, lambda d: R.resolve(d.unionByName(d)).select("path"), "SELECT DISTINCT path FROM input")
+query("s7_include", PATHS, lambda d: d.where(R.included(F.col("path"), ["*.md"])).select("id", "path"), r"SELECT id, path FROM input WHERE regexp_matches(path, '(^|/)[^/]*\.md$')")
+query("s8_size_limit", PATHS, lambda d: d.where(R.small_enough(F.col("size"), 100_000)).select("id", "size"), "SELECT id, size FROM input WHERE size <= 100000")
+query("s11_pruned", PATHS, lambda d: d.where(~R.pruned(F.col("path"))).select("id", "path"), "SELECT id, path FROM input WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
+query("s12_force_exclude", PATHS, lambda d: d.where(~R.matches_any(F.col("path"), ["src1*", "*.txt"])).select("id", "path"), "SELECT id, path FROM input WHERE NOT list_bool_or(list_transform(string_split(path, '/'), lambda x: x LIKE 'src1%' OR x LIKE '%.txt'))")
+query("s18_check", DOCS, lambda d: C.changed(d, Format(plaintext=True), "id"), f"SELECT id FROM input WHERE {_joined(_wrapped(_WORDS, 88))} <> text")
+query("s19_list_files", PATHS, lambda d: R.resolve(d.where(R.included(F.col("path"), ["*.md"]) & R.small_enough(F.col("size"), 1 << 20) & ~R.pruned(F.col("path")))).select("path"), "SELECT DISTINCT path FROM input WHERE path LIKE '%.md' AND size <= 1048576 AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
+query("s20_reformat_corpus", TALK, lambda d: C.format_corpus(d, FILES).select("id", "formatted"))
+_FM = rf"""SELECT id, CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN '' WHEN e = 0 THEN text ELSE array_to_string(l[s:e], {_NL}) || {_NL} END AS frontmatter,
+ CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN text WHEN e = 0 THEN '' ELSE array_to_string(CASE WHEN l[-1] = '' THEN l[e + 1:-2] ELSE l[e + 1:] END, {_NL}) END AS content
+ FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x, i: trim(x) = '---' AND i > s), true), 0) AS e FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x: trim(x) <> ''), true), 0) AS s FROM (SELECT id, text, string_split(text, {_NL}) AS l FROM input)))"""
+query("s21_frontmatter", FRONT, lambda d: d.select("id", N.split_frontmatter(F.col("text")).alias("f")).select("id", "f.frontmatter", "f.content"), _FM)
+query("s22_has_frontmatter", FRONT, lambda d: d.select("id", (N.split_frontmatter(F.col("text"))["frontmatter"] != "").alias("out")), f"SELECT id, frontmatter <> '' AS out FROM ({_FM})")
+query(
+    "s25_merge_options",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS cli, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 END AS config, 88 AS preset, c_custkey % 5 = 0 AS locked FROM $customer",
+    lambda d: d.select("id", merge_options(F.col("cli"), F.col("config"), F.col("preset"), F.col("locked")).cast("int").alias("out")),
+    "SELECT id, CAST(CASE WHEN cli IS NOT NULL THEN cli WHEN NOT locked AND config IS NOT NULL THEN config ELSE preset END AS INT) AS out FROM input",
+)
+
+# Blocks
+
+query("b1_blocks", MARKDOWN, lambda d: C.blocks(d, "id").select("id", "node_id", "parent_id", "type", "start", "end"))
+query("b2_document_span", MARKDOWN, lambda d: C.blocks(d, "id").where("type = 'document'").select("id", "start", "end"), "SELECT id, CAST(0 AS INT) AS start, CAST(length(text) AS INT) AS \"end\" FROM input")
+query("b4_walk_kinds", MARKDOWN, lambda d: C.blocks(d, "id").groupBy("type").agg(F.count("*").alias("n")))
+query(
+    "b5_headings",
+    MARKDOWN,
+    lambda d: C.blocks(d.withColumn("t", F.col("text")), "id").where("type = 'heading'").select("id", "start", "end"),
+    r"SELECT id, CAST(0 AS INT) AS start, CAST(length(regexp_extract(text, '^#[^\n]*\n')) AS INT) AS ""end"" FROM input".replace('""', '"'),
+)
+query("b16_list_items", MARKDOWN, lambda d: C.blocks(d, "id").where("type = 'item'").groupBy("id").agg(F.count("*").alias("n")), r"SELECT id, count(*) AS n FROM lines WHERE regexp_matches(line, '^\s*([-*+]|[0-9]+[.])\s') GROUP BY id")
+query("b24_tables", MARKDOWN, lambda d: C.blocks(d, "id").where("type = 'table'").select("id", (F.col("end") - F.col("start")).alias("n")), "SELECT id, CAST(sum(length(line) + 1) - 1 AS INT) AS n FROM lines WHERE line LIKE '|%' GROUP BY id")
+scalar("b9_fence_length", "SELECT id, CASE WHEN id % 3 = 0 THEN '````' || chr(10) || text ELSE 'a' || chr(10) || '  ```` x' || chr(10) || '```' END AS text FROM (" + DOCS + ")", N.least_fence, "CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '(?m)^ {0,3}(`{3,})', 1), lambda x: length(x))), 0)) AS INT)")
+scalar("b22_title_quotes", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '\"' || p_name || '\"' ELSE p_name || ' \"x\" ' || p_type END AS text FROM $part", N.quoted_title, """'"' || replace(trim(text, '"'), '"', chr(92) || '"') || '"'""")
+scalar("i9_code_span", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '`' || p_name WHEN p_partkey % 3 = 1 THEN p_name || '`' ELSE p_name END AS text FROM $part", N.code_span, "CASE WHEN text LIKE '`%' OR text LIKE '%`' THEN '`` ' || text || ' ``' ELSE '`' || text || '`' END")
+query(
+    "i3_link_labels",
+    "SELECT l_orderkey AS doc_id, cast(l_partkey % 5 AS string) AS url, CASE WHEN l_partkey % 2 = 0 THEN 't' END AS title FROM $lineitem",
+    lambda d: C.link_labels(d, d.select("doc_id", F.col("url").alias("dest"), "title").where("url in ('1', '2')").distinct().select("*", F.concat(F.lit("r"), "dest").alias("label"), F.col("dest").cast("int").alias("ord"))).select("doc_id", "url", "title", "label"),
+    "SELECT doc_id, url, title, CASE WHEN url IN ('1', '2') THEN 'r' || url END AS label FROM (SELECT * FROM input)",
+)
+query("i13_links", LINKS, lambda d: C.links(d, "id").select("id", "text", "url", "title"), """SELECT id, unnest(['page ' || id, 'two', u]) AS text, unnest([u, '/x', u]) AS url, unnest([NULL, 'T', NULL]) AS title FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM input)""")
+ORACLE_SQL["i3_link_labels"] = ORACLE_SQL["i3_link_labels"].split(", lines AS", 1)[0] + " SELECT doc_id, url, title, CASE WHEN url IN ('1', '2') THEN 'r' || url END AS label FROM input"
+
+# Tokens
+
+_SPANS = r"(?s)`[^`]+`|\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])?|<[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*>"
+query("t5_atomic_spans", LINKS, lambda d: d.select("id", F.inline(U.atomic_spans(PROSE)(F.col("text")))).where("is_atomic").select("id", "text", "name"), f"SELECT id, x AS text, CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' ELSE 'autolink' END AS name FROM (SELECT id, unnest(regexp_extract_all(text, '{_SPANS}')) AS x FROM input)")
+query("t6_atomic_words", LINKS, lambda d: C.words(d, "id").select("id", "text"), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
+query("t7_plain_words", DOCS, lambda d: d.select("id", F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
+query("t8_markup_words", TAGS, lambda d: d.select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")))
+per_line("t9_starts_with_tag", TAGS, N.starts_with_tag, rf"regexp_matches(line, '^\s*{_OPEN}')")
+per_line("t9_ends_with_tag", TAGS, N.ends_with_tag, rf"regexp_matches(line, '{_CLOSE}\s*$')")
+per_line("t9_tag_only", TAGS, N.is_tag_only, rf"regexp_matches(line, '^{_OPEN}') AND regexp_matches(line, '{_CLOSE}\s*$')")
+per_line("t9_tag_at_margin", TAGS, N.is_tag_at_margin, rf"regexp_matches(line, '^{_OPEN}')")
+per_line("t9_closing_tag", TAGS, N.is_closing_tag, rf"regexp_matches(line, '^\s*{_OPEN} /')")
+scalar("t10_part_tags", TAGS, N.part_tags, "replace(replace(replace(replace(text, '%}{%', '%} {%'), '#}{#', '#} {#'), '}}{{', '}} {{'), '--><!--', '--> <!--')")
+scalar("t11_join_tags", LONG_TAGS, N.join_tags, "replace(replace(replace(replace(text, '%} {%', '%}{%'), '#} {#', '#}{#'), '}} {{', '}}{{'), '--> <!--', '--><!--')")
+scalar("t12_long_comment", COMMENTS, N.is_long_comment, f"text LIKE '<!--%' AND strpos(text, '-->') = length(text) - 2 AND text LIKE '%' || {_NL} || '%'")
+query("t13_template_tags", TAGS, lambda d: d.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->"), F.lit(0))).alias("tag")), r"SELECT id, unnest(regexp_extract_all(text, '(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->')) AS tag FROM input")
+
+# Sentences
+
+query("n1_sentence_end", DOCS, lambda d: d.select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", N.ends_sentence(F.col("word")).alias("out")), f"SELECT word, count(*) AS n, regexp_matches(word, '{_END}') AS out FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
+query("n2_sentences", DOCS, lambda d: d.select("id", F.explode(N.split_sentences(F.col("text"))).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(15)} AS r FROM input)")
+query("n2_sentences_any_length", DOCS, lambda d: d.select("id", F.explode(N.split_sentences(F.col("text"), 0)).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(0)} AS r FROM input)")
+scalar("n3_first_sentences", DOCS, lambda t: F.array_join(N.first_sentences(t, 3), "\n"), f"(SELECT coalesce(array_to_string(list_append(r.done, r.now)[1:3], {_NL}), '') FROM (SELECT {_sentences(15)} AS r))")
+scalar("n4_first_sentence", DOCS, N.first_sentence, f"(SELECT coalesce(list_append(r.done, r.now)[1], text) FROM (SELECT {_sentences(15)} AS r))")
+_FLAT = "SELECT doc_id AS id, trim(regexp_replace(text, '[ ' || chr(10) || ']+', ' '{g})) AS text FROM $documents"
+query("n5_sentence_spans", _FLAT.format(g=""), lambda d: C.sentences(d, "id").select("id", "sid", F.length("text").alias("n"), "start", "end"))
+ORACLE_SQL["n5_sentence_spans"] = f"""WITH input AS ({_duck(_FLAT.format(g=", 'g'"))}), s AS (SELECT id, list_transform(list_append(r.done, r.now), lambda x: length(x)) AS n FROM (SELECT id, {_sentences(15)} AS r FROM input WHERE text <> '')),
+ t AS (SELECT id, n, unnest(range(len(n))) AS k FROM s) SELECT id, CAST(k AS INT) AS sid, CAST(n[k + 1] AS INT) AS n, CAST(coalesce(list_sum(n[1:k]), 0) + k AS INT) AS start, CAST(list_sum(n[1:k + 1]) + k AS INT) AS "end" FROM t"""
+query("n6_atomic_sentences", LINKS, lambda d: C.sentences(d, "id", min_length=0).select("id", "text"), "SELECT id, text FROM input")
+query("n7_sentences_for_wrapping", TALK, lambda d: C.sentences(d, "id", min_length=0).groupBy("id").agg(F.count("*").alias("n")), f"SELECT id, CAST(len(list_append(r.done, r.now)) AS BIGINT) AS n FROM (SELECT id, {_sentences(0)} AS r FROM input)")
+
+# Filling
+
+scalar("w1_wrap_lines", DOCS, lambda t: F.array_join(N.wrap_lines(t, 60), "\n"), _joined(_wrapped(_WORDS, 60)))
+scalar("w2_wrap_paragraph", DOCS, lambda t: N.wrap_text(t, 60, "* ", "  "), "(SELECT coalesce('* ' || array_to_string(list_append(r.done, r.now), chr(10) || '  '), '') FROM (SELECT " + _wrapped(_WORDS, 58) + " AS r))")
+scalar("w3_no_wrap", DOCS, lambda t: F.array_join(N.wrap_lines(t, 0), "\n"), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
+scalar("w4_escape_word", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN cast(o_custkey AS string) || '.' WHEN o_orderkey % 4 = 1 THEN '##' WHEN o_orderkey % 4 = 2 THEN '-' ELSE o_orderpriority END AS text FROM $orders", N.escape_word, _ESCAPED.replace("b.now", "text"))
+query("w4_wrap_markdown", MARKS, lambda d: d.select("id", F.array_join(N.wrap_lines(F.col("text"), 40, markdown=True), "\n").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 40, _ESCAPED))} AS out FROM input")
+query("w5_paragraphs", PARAS, lambda d: d.select("id", F.explode(N.split_paragraphs(F.col("text"))).alias("p")), "SELECT id, " + _TRIM.format("p") + r" AS p FROM (SELECT id, unnest(regexp_split_to_array(text, '\n{2,}')) AS p FROM input)")
+
+
+def _filled(width: int, first: str, rest: str, hangs: bool = False) -> str:
+    """Paragraphs in order, each wrapped; lines begin with first or rest, both of which the width loses."""
+    para = f"(SELECT array_to_string(list_append(r.done, r.now), {_NL} || '{rest}') FROM (SELECT {_wrapped(_PARA_WORDS, width)} AS r))"
+    lead = f"CASE WHEN k = 1 THEN '{first}' ELSE '{rest}' END" if hangs else f"'{first}'"
+    return f"SELECT id, string_agg({lead} || {para}, {_NL} || {_NL} ORDER BY k) AS out FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(text, '\\n{{2,}}') AS ps FROM input)) GROUP BY id"
+
+
+query("w6_fill_wrap", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap").alias("out")), _filled(88, "", ""))
+query("w6_fill_wrap_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_indent").alias("out")), _filled(80, "    ", "    "))
+query("w6_fill_hanging_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "hanging_indent").alias("out")))
+query("w6_fill_markdown_item", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "markdown_item").alias("out")))
+query("w6_fill_wrap_full", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_full").alias("out")), _filled(88, "", ""))
+scalar("w6_indent_only", PARAS, lambda t: N.fill_text(t, "indent_only"), f"'    ' || replace(text, {_NL}, {_NL} || '    ')")
+scalar("w6_no_wrapping", PARAS, lambda t: N.fill_text(t, "none"), "text")
+scalar("w7_wrap_to_width", DOCS, U.wrap_by_width(72, markdown=False), _joined(_wrapped(_WORDS, 72)))
+query("w8_hard_breaks", "SELECT c_custkey AS id, c_name || chr(92) || chr(10) || c_mktsegment || '  ' || chr(10) || 'end' AS text FROM $customer", lambda d: d.select("id", F.explode(N.hard_break_parts(F.col("text"))).alias("part")), r"SELECT id, unnest(regexp_split_to_array(text, '\\\n|  \n')) AS part FROM input")
+query("w9_wrap_by_sentence", DOCS, lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")))
+query("w9_sentence_lines", "SELECT c_custkey AS id, 'This is what ' || c_mktsegment || ' said about it then. And here is another sentence of some length. The end of it all is near now.' AS text FROM $customer", lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), r"SELECT id, regexp_replace(text, '\. ', '.' || chr(10), 'g') AS out FROM input")
+query("w10_tag_segments", TAGS, lambda d: d.select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), "SELECT id, unnest(string_split(text, chr(10))) AS segment FROM input")
+scalar("w11_comment_verbatim", COMMENTS, lambda t: F.array_join(F.transform(N.lines(t), lambda x, i: F.concat(F.when(i == 0, "> ").otherwise("  "), x)), "\n"), f"'> ' || replace(text, {_NL}, {_NL} || '  ')")
+scalar("w12_space_tag_blocks", "SELECT event_id AS id, '{% f %}' || chr(10) || '- ' || event_type || chr(10) || '{% /f %}' || chr(10) || event_type || chr(10) || '| a |' AS text FROM $events", N.space_tag_blocks, "replace(replace(text, '{% f %}' || chr(10) || '- ', '{% f %}' || chr(10) || chr(10) || '- '), chr(10) || '{% /f %}', chr(10) || chr(10) || '{% /f %}')")
+scalar("w13_closing_tags", TAGS, N.settle_closing_tags, "replace(text, chr(10) || '  {% /', chr(10) || '{% /')")
+scalar("w14_long_tags", LONG_TAGS, N.split_long_tags, "replace(text, '%} {% /', '%}' || chr(10) || '{% /')")
+
+# Lines
+
+for _name, _sql in (("markdown", MARKDOWN), ("tags", TAGS)):
+    per_line(f"h1_table_row_{_name}", _sql, N.is_table_row, r"regexp_matches(line, '^\s*\|')")
+    per_line(f"h2_list_item_{_name}", _sql, N.is_list_item, r"regexp_matches(line, '^\s*([-*+][ \t]|[0-9]{1,9}[.)][ \t])')")
+    per_line(f"h4_block_content_{_name}", _sql, N.is_block, r"regexp_matches(line, '^\s*(\||[-*+][ \t]|[0-9]{1,9}[.)][ \t])')")
+per_line("h3_table_separator", MARKDOWN, N.is_table_separator, r"regexp_matches(trim(line), '^\|(\s*:?-+:?\s*\|)+\s*$')")
+per_line("h5_normal_separator", MARKDOWN, N.normal_separator, "CASE WHEN line = '|:--|--:|' THEN '| :--- | ---: |' ELSE line END")
+
+# Typography and rewrites
+
+scalar("r1_smart_quotes", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
+scalar("r2_quote_pairs", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
+scalar("r3_has_paragraphs", PARAS, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
+scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
+scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
+query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
+query("r11_unbold_headings", "SELECT p_partkey AS id, '## **' || p_name || '**' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(cleanups=True)(F.col("text")).alias("out")), "SELECT id, replace(text, '**', '') || chr(10) || chr(10) AS out FROM input")
+scalar("r12_dedent", "SELECT c_custkey AS id, '    ' || c_name || chr(10) || chr(10) || '      ' || c_mktsegment AS text FROM $customer", N.dedent, "replace(substr(text, 5), chr(10) || '    ', chr(10))")
+
+# Whole documents
+
+query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F.col("text")).alias("out")))
+query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")))
+query("e2_reformat_plaintext", DOCS, lambda d: d.select("id", N.fill_text(F.col("text")).alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
+query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"))
+query("e4_changed", MARKDOWN, lambda d: C.changed(d, FILES, "id"), "SELECT id FROM input")
+query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "formatted"))
+
+# Agent artifacts, options and statistics
+
+query("k1_placeholders", "SELECT c_custkey AS id, 'v {{VERSION}} of ' || c_name || ' {{VERSION}}' AS text FROM $customer", lambda d: d.select("id", R.fill_placeholders(F.col("text"), {"{{VERSION}}": "1.2"}).alias("out")), "SELECT id, 'v 1.2 of ' || substr(text, 18, length(text) - 29) || ' 1.2' AS out FROM input")
+scalar("k2_release_version", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '1.' || cast(o_orderkey AS string) WHEN o_orderkey % 3 = 1 THEN '2.0.post1' ELSE '1.0.dev' || cast(o_orderkey AS string) END AS text FROM $orders", R.is_release, r"regexp_matches(text, '^[0-9]+(\.[0-9]+)*(\.post[0-9]+)?$')")
+scalar("k4_format_stamp", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'x <!-- format=f' || cast(o_orderkey AS string) || ' -->' ELSE 'plain' END AS text FROM $orders", R.format_stamp, "CAST(CASE WHEN text IS NULL THEN NULL WHEN text LIKE '%format=f%' THEN CAST(regexp_extract(text, 'format=f([0-9]+)', 1) AS INT) ELSE 0 END AS INT)")
+query("k7_write_decision", "SELECT o_orderkey AS id, cast(o_orderkey % 4 AS int) AS own, CASE WHEN o_orderkey % 5 > 0 THEN cast(o_orderkey % 6 AS int) END AS found, o_orderkey % 2 = 0 AS same FROM $orders", lambda d: d.select("id", R.write_decision(F.col("found"), F.col("own"), F.col("same")).alias("out")), "SELECT id, CASE WHEN found IS NULL THEN 'installed' WHEN found > own THEN 'blocked-newer' WHEN same THEN 'unchanged' ELSE 'updated' END AS out FROM input")
+query("k8_surfaces", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a,b,a' ELSE 'c,z' END AS text FROM $customer", lambda d: d.select("id", F.array_join(R.chosen(F.split("text", ","), ["a", "b", "c"]), ",").alias("chosen"), F.array_join(R.unknown(F.split("text", ","), ["a", "b", "c"]), ",").alias("unknown")), "SELECT id, CASE WHEN text = 'c,z' THEN 'c' ELSE 'a,b' END AS chosen, CASE WHEN text = 'c,z' THEN 'z' ELSE '' END AS unknown FROM input")
+query(
+    "a1_timing_stats",
+    "SELECT event_type AS run, value AS seconds FROM $events",
+    lambda d: C.timing_stats(d).select("run", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "least", "most", "stdev")]),
+    "SELECT run, count(seconds) AS n, round(avg(seconds), 4) AS mean, round(median(seconds), 4) AS median, round(min(seconds), 4) AS least, round(max(seconds), 4) AS most, round(stddev_samp(seconds), 4) AS stdev FROM input GROUP BY run",
+)
+ORACLE_SQL["a1_timing_stats"] = ORACLE_SQL["a1_timing_stats"].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")
+for _k in ("s6_resolve", "s7_include", "s8_size_limit", "s11_pruned", "s12_force_exclude", "s19_list_files", "s25_merge_options", "k7_write_decision"):
+    ORACLE_SQL[_k] = ORACLE_SQL[_k].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")
