@@ -83,12 +83,12 @@ def mix(
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of every document."""
     base = materialize(sized(docs, id_col, text, source, weight_col), "mix-sizes")
-    by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), (F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("mean_w"))
-    plan = materialize(targets(by_source, weights, max_repeats).withColumn("repeats", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-plan")
+    by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean_w"))
+    plan = materialize(targets(by_source, weights, max_repeats).withColumn("repeats", F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0))), "mix-plan")
     null_safe = base["source"].eqNullSafe(plan["source"])
     at = base.join(plan, null_safe).drop(plan["source"])
 
-    expected = F.least(F.lit(float(max_repeats)), F.col("repeats") * F.when(F.col("mean_w") > 0, F.col("w") / F.col("mean_w")).otherwise(1.0))
+    expected = F.least(F.lit(float(max_repeats)), F.col("repeats") * F.coalesce(F.try_divide("w", "mean_w"), F.lit(1.0)))
     odds = lambda p: F.greatest(p, F.lit(1e-12)) / (1 - F.least(p, F.lit(1 - 1e-12)))
     u = uniform(id_col, seed)
     at = at.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
