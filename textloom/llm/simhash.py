@@ -94,14 +94,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     if segments < 2:
         raise ValueError("a key holds a segment of 32 bits at most")
     index = variants(prints.repartition("fp"), segments)  # the few rows of a fingerprint table fan out here
-    keys = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key")
+    keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # The same join at every size: which side would be small enough to broadcast isn't known beforehand.
-    met = index.join(materialize(keys, "simhash-keys").hint("merge"), "key")
-    met = materialize(met, "simhash-met")
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    few = met.join(sizes.where(F.col("n") <= bucket_rows), "key")
+    met = materialize(index.join(materialize(keys, "simhash-keys").hint("merge"), "key"), "simhash-met")
+    few = met.where(F.col("n") <= bucket_rows)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_differ("a", "b") <= max_bits)
-    many = met.join(sizes.where(F.col("n") > bucket_rows), "key").select("fp").distinct()
+    many = met.where(F.col("n") > bucket_rows).select("fp").distinct()
     return pairs.select("a", "b").distinct().union(_ball_links(many, max_bits))
 
 
