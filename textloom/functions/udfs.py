@@ -18,14 +18,23 @@ BLOCK = "array<struct<node_id:int,parent_id:int,ord:int,depth:int,type:string,st
 LINK = "array<struct<text:string,url:string,title:string>>"
 
 
-def per_text(fn: Callable, kind: str):
-    """A column function of one text; null stays null."""
+class per_text:  # noqa: N801
+    """A column function of one text; null stays null. It becomes a UDF when it is first used, as that takes a session."""
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
+    def __init__(self, fn: Callable, kind: str):
+        self.fn, self.kind = fn, kind
 
-    return run
+    def udf(self):
+        fn = self.fn
+
+        @F.pandas_udf(self.kind)
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
+
+        return run
+
+    def __call__(self, text):
+        return self.udf()(text)
 
 
 def _dicts(rows) -> list[dict]:
@@ -105,4 +114,4 @@ def register(spark: SparkSession) -> None:
         "loom_reformat": reformat(), "loom_reformat_plain": reformat(formatting.Format(plaintext=True)), "loom_fill_markdown": fill_markdown(), "loom_fill_text": fill_text(),
         "loom_smart_quotes": smart_quotes(), "loom_ellipses": ellipses(), "loom_blocks": blocks(), "loom_links": links(), "loom_sentences": sentence_spans(), "loom_words": atomic_words(), "loom_spans": atomic_spans(),
     }.items():
-        spark.udf.register(name, fn)
+        spark.udf.register(name, fn.udf())
