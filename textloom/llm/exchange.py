@@ -27,8 +27,8 @@ def bucket_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(bucket: int, arrays: dict) -> tuple[int, bytes]:
-    return bucket, zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+def pack(bucket: int, arrays: dict, level: int = 1) -> tuple[int, bytes]:
+    return bucket, zstandard.compress(pickle.dumps(arrays, protocol=5), level)
 
 
 def unpack(payload: bytes) -> dict:
