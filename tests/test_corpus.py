@@ -10,6 +10,7 @@ from textloom.operators import corpus as C
 from textloom.plans.options import find_config, load_config, resolve_format
 from textloom.sources.files import Discovery, Resolver, TextFiles, read_texts
 from textloom.sources.ignore import Rules
+from textloom.sources.rules import insert_marker, upsert_block
 from textloom.streaming.corpus import format_stream
 
 
@@ -85,3 +86,24 @@ def test_command_line(tree, monkeypatch, capsys):
     assert cli.main(["--inplace", "a.md"]) == 0 and (tree / "a.md").read_text() == "x y\n" and (tree / "a.md.orig").exists()
     assert cli.main(["none.md"]) == 1
     assert cli.main(["-o", "out.md", "a.md"]) == 1
+
+
+def test_marker_blocks(spark):
+    begin, end, block = "<!-- BEGIN T", "<!-- END T -->", "<!-- BEGIN T format=f03 -->N<!-- END T -->"
+    cases = [
+        (None, "installed", block + "\n"),
+        ("", "updated", block + "\n"),
+        ("a", "updated", f"a\n\n{block}\n"),
+        ("a\n", "updated", f"a\n\n{block}\n"),
+        (f"a{block}b", "unchanged", f"a{block}b"),
+        (f"{begin} -->x{end}a{block}b", "updated", f"{block}ab"),
+        (f"a {begin} open", "unchanged", f"a {begin} open"),
+        (f"{begin} format=f0004 -->{end}", "blocked-newer", f"{begin} format=f0004 -->{end}"),
+        (f"{begin} format=f{'9' * 40} -->{end}", "blocked-newer", f"{begin} format=f{'9' * 40} -->{end}"),
+        (f"format=f99 {begin} -->{end}", "updated", f"format=f99 {block}"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "id int, text string")
+    got = docs.select("id", upsert_block(F.col("text"), begin, end, block, 3).alias("r")).orderBy("id").collect()
+    assert [tuple(r["r"]) for r in got] == [(a, t) for _, a, t in cases]
+    fronts = spark.createDataFrame([("---\na: 1\n---\nb",), ("---\n---\nb",), ("b",), ("",)], "text string")
+    assert [r[0] for r in fronts.select(insert_marker(F.col("text"), "M")).collect()] == ["---\na: 1\n---\nM\n\nb", "M\n\n---\n---\nb", "M\n\nb", "M\n\n"]

@@ -1 +1,15 @@
 """textloom: formatting and analysing corpora of Markdown and plain text with Spark."""
+
+from textloom.functions.formatting import AUTO, FILES, Format, fill_markdown, reformat
+from textloom.functions.frontmatter import has_frontmatter, split_frontmatter
+from textloom.functions.markdown.parse import parse
+from textloom.functions.markdown.tree import block_table, extract_links, inline_text, rewrite_across, rewrite_texts, walk
+from textloom.functions.typography import ellipses, smart_quotes
+from textloom.functions.words import atomic_spans, atomic_words, first_sentence, first_sentences, markup_words, sentence_spans, split_sentences
+from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text, wrap_lines, wrap_text
+
+__all__ = [
+    "AUTO", "FILES", "Format", "Wrapper", "atomic_spans", "atomic_words", "block_table", "by_sentence", "by_width", "ellipses", "extract_links",
+    "fill_markdown", "fill_text", "first_sentence", "first_sentences", "has_frontmatter", "inline_text", "markup_words", "parse", "reformat",
+    "rewrite_across", "rewrite_texts", "sentence_spans", "smart_quotes", "split_frontmatter", "split_sentences", "walk", "wrap_lines", "wrap_text",
+]

@@ -246,6 +246,15 @@ query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "format
 query("k1_placeholders", "SELECT c_custkey AS id, 'v {{VERSION}} of ' || c_name || ' {{VERSION}}' AS text FROM $customer", lambda d: d.select("id", R.fill_placeholders(F.col("text"), {"{{VERSION}}": "1.2"}).alias("out")), "SELECT id, 'v 1.2 of ' || substr(text, 18, length(text) - 29) || ' 1.2' AS out FROM input")
 scalar("k2_release_version", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '1.' || cast(o_orderkey AS string) WHEN o_orderkey % 3 = 1 THEN '2.0.post1' ELSE '1.0.dev' || cast(o_orderkey AS string) END AS text FROM $orders", R.is_release, r"regexp_matches(text, '^[0-9]+(\.[0-9]+)*(\.post[0-9]+)?$')")
 scalar("k4_format_stamp", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'x <!-- format=f' || cast(o_orderkey AS string) || ' -->' ELSE 'plain' END AS text FROM $orders", R.format_stamp, "CAST(CASE WHEN text IS NULL THEN NULL WHEN text LIKE '%format=f%' THEN CAST(regexp_extract(text, 'format=f([0-9]+)', 1) AS INT) ELSE 0 END AS INT)")
+scalar("k3_insert_marker", FRONT, lambda t: R.insert_marker(t, "<!-- made -->"), "CASE WHEN starts_with(text, '---' || chr(10)) AND strpos(substr(text, 5), chr(10) || '---' || chr(10)) > 0 THEN regexp_replace(text, '(?s)^(---\\n.*?\\n---\\n)', '\\1<!-- made -->' || chr(10) || chr(10)) ELSE '<!-- made -->' || chr(10) || chr(10) || text END")
+MARKED = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN '' WHEN o_orderkey % 7 = 2 THEN 'a' || chr(10) WHEN o_orderkey % 7 = 3 THEN 'x ' || o_orderpriority WHEN o_orderkey % 7 = 4 THEN 'a <!-- BEGIN T' || chr(10) || 'never closed'
+ ELSE 'a' || chr(10) || '<!-- BEGIN T format=f0' || cast(o_custkey % 5 AS string) || ' -->' || chr(10) || o_orderstatus || '<!-- END T -->' || chr(10) || 'b' || CASE WHEN o_orderkey % 7 = 6 THEN '<!-- BEGIN T --><!-- END T -->c' ELSE '' END END AS text FROM $orders"""
+BLOCK = ("<!-- BEGIN T", "<!-- END T -->", "<!-- BEGIN T format=f03 -->\nF<!-- END T -->")
+BLOCK_SQL = "'<!-- BEGIN T format=f03 -->' || chr(10) || 'F<!-- END T -->'"
+REPLACED_SQL = f"CASE WHEN regexp_matches(text, '(?s)<!-- BEGIN T.*?<!-- END T -->') THEN string_split_regex(text, '(?s)<!-- BEGIN T.*?<!-- END T -->')[1] || {BLOCK_SQL} || array_to_string(string_split_regex(text, '(?s)<!-- BEGIN T.*?<!-- END T -->')[2:], '') ELSE text END"
+scalar("k5_replace_blocks", MARKED, lambda t: R.replace_blocks(t, *BLOCK), REPLACED_SQL)
+query("k6_upsert_block", MARKED, lambda d: d.select("id", R.upsert_block(F.col("text"), *BLOCK, 3).alias("r")).select("id", "r.action", "r.text"), f"""SELECT id, CASE WHEN newer THEN 'blocked-newer' WHEN text IS NULL THEN 'installed' WHEN text = made THEN 'unchanged' ELSE 'updated' END AS action, CASE WHEN newer THEN text ELSE made END AS text
+ FROM (SELECT *, coalesce(text LIKE '%BEGIN T format=f04%', false) AS newer, CASE WHEN text LIKE '%<!-- BEGIN T%' THEN {REPLACED_SQL} WHEN coalesce(text, '') = '' THEN {BLOCK_SQL} || chr(10) WHEN text LIKE '%' || chr(10) THEN text || chr(10) || {BLOCK_SQL} || chr(10) ELSE text || chr(10) || chr(10) || {BLOCK_SQL} || chr(10) END AS made FROM input)""")
 query("k7_write_decision", "SELECT o_orderkey AS id, cast(o_orderkey % 4 AS int) AS own, CASE WHEN o_orderkey % 5 > 0 THEN cast(o_orderkey % 6 AS int) END AS found, o_orderkey % 2 = 0 AS same FROM $orders", lambda d: d.select("id", R.write_decision(F.col("found"), F.col("own"), F.col("same")).alias("out")), "SELECT id, CASE WHEN found IS NULL THEN 'installed' WHEN found > own THEN 'blocked-newer' WHEN same THEN 'unchanged' ELSE 'updated' END AS out FROM input")
 query("k8_surfaces", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a,b,a' ELSE 'c,z' END AS text FROM $customer", lambda d: d.select("id", F.array_join(R.chosen(F.split("text", ","), ["a", "b", "c"]), ",").alias("chosen"), F.array_join(R.unknown(F.split("text", ","), ["a", "b", "c"]), ",").alias("unknown")), "SELECT id, CASE WHEN text = 'c,z' THEN 'c' ELSE 'a,b' END AS chosen, CASE WHEN text = 'c,z' THEN 'z' ELSE '' END AS unknown FROM input")
 query(

@@ -80,6 +80,35 @@ def format_stamp(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("int")).when(n == "", 0).otherwise(F.when(n != "", n).cast("int"))
 
 
+def insert_marker(text: Column, marker: str) -> Column:
+    """text with a marker paragraph after its frontmatter, or in front where there is none."""
+    close = F.locate("\n---\n", text, 5)
+    head = F.when(text.startswith("---\n") & (close > 0), close + 4).otherwise(0)
+    return F.concat(F.substring(text, F.lit(1), head), F.lit(marker + "\n\n"), F.substring(text, head + 1, F.length(text)))
+
+
+def replace_blocks(text: Column, begin: str, end: str, block: str) -> Column:
+    """text with one block where its first from begin to end was; further ones go. Without any, text stays."""
+    around = F.split(text, rf"(?s)\Q{begin}\E.*?\Q{end}\E", -1)
+    rest = F.array_join(F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0))), "")
+    return F.when(F.size(around) > 1, F.concat(around[0], F.lit(block), rest)).otherwise(text)
+
+
+def upsert_block(text: Column, begin: str, end: str, block: str, own: int) -> Column:
+    """struct<action, text>: block put in place of those that text has, or after it.
+
+    A null text is a file that isn't there. A begin marker that is never closed stays as it is; one stamped newer
+    than own blocks the change.
+    """
+    stamp = F.ltrim(F.regexp_extract(text, rf"\Q{begin}\E\s+format=f([0-9]+)", 1), F.lit("0"))
+    newer = F.when(F.length(stamp) > 18, True).otherwise(stamp.try_cast("long") > own)
+    gap = F.when(text.endswith("\n"), "\n").otherwise("\n\n")
+    appended = F.when(F.coalesce(text, F.lit("")) == "", F.lit(block + "\n")).otherwise(F.concat(text, gap, F.lit(block + "\n")))
+    new = F.when(F.coalesce(F.contains(text, F.lit(begin)), F.lit(False)), replace_blocks(text, begin, end, block)).otherwise(appended)
+    action = F.when(newer, "blocked-newer").when(text.isNull(), "installed").when(text == new, "unchanged").otherwise("updated")
+    return F.struct(action.alias("action"), F.when(newer, text).otherwise(new).alias("text"))
+
+
 def write_decision(found: Column, own: Column, same: Column) -> Column:
     """What happens to an installed file: found is its stamp, own the one to write."""
     return F.when(found.isNull(), "installed").when(found > own, "blocked-newer").when(same, "unchanged").otherwise("updated")
