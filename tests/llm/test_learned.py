@@ -71,6 +71,55 @@ def test_boosting_learns_a_rule():
     assert ((z > 0) == (y > 0)).all() and x.shape[1] == len(FEATURES)
 
 
+def _edited(rng, base, changes):
+    out = list(base)
+    for k in rng.sample(range(len(out)), changes):
+        out[k] = f"edit{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    """Recall of the pipeline's stage at similarity 0.8, by listed pairs and by crowded keys."""
+    import random
+
+    from textloom.llm.nearcopies import near_copy_groups, shingle_set
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(_edited(rng, base, rng.randint(0, 6))) for _ in range(6)]
+    hot = [f"h{k}" for k in range(200)]
+    texts += [" ".join(_edited(rng, hot, rng.randint(0, 6))) for _ in range(90)]
+    sets = [set(shingle_set(t.encode()).tolist()) for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in near:
+        root[find(i)] = find(j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    for limit in (64, 2):
+        got = {r.row: r.component for r in near_copy_groups(docs, ["row"], "row", bucket_rows=limit).collect()}
+        found = sum(got[i] == got[j] for i, j in near)
+        assert len(near) > 1000 and found >= 0.999 * len(near)
+        assert all(find(i) == find(j) for i in got for j in got if got[i] == got[j])
+
+
+def test_pipeline_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{k}" for k in range(200)) for c in "ab")
+    rows = [(1, one), (1, two), (None, one.replace("a", "c")), (None, two.replace("b", "d")), (2, one.replace("a100 ", "changed ")), (1, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text[0]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == [("1", "a"), ("1", "b"), ("None", "c"), ("None", "d")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from textloom.llm.decontaminate import SuffixAutomaton, tokens
