@@ -3,9 +3,11 @@
 High-recall generators propose spans, which may overlap: an e-mail address (also written with "at" and "dot"), a
 dotted quad, a run of digits as on a card, a telephone number with or without a plus sign. The base rules decide the plain cases; those spans
 always stay. Boosted trees of depth two score the other candidates by format (digits, separators, first and neighbouring
-characters) and context (a telling word before the span). They are trained at run time on the counts of all candidates by feature cell, of
-which there are `cells()` at most, with the base rules' verdict as the label. Each kind's threshold is the lowest at which the held-out
-half of the counts reaches `precision`; a kind that never does adds nothing. Trees run as CASE expressions on the executors.
+characters, form) and context (a telling word before the span). They are trained at run time on the counts of all candidates by feature cell, of
+which there are `cells()` at most. The label doesn't ask what the base rules found: it is a strict form (a whole address in whatever notation, a telephone
+number's grouping, a valid quad or card), or a loose one after a telling word. No feature tells "@" from "(at)" or a plus sign from none, so
+what the base rules find counts for its like. Each kind's threshold is the lowest at which the held-out half of the counts reaches `precision`, both among all
+candidates and among those that touch no base span; a kind that never does adds nothing. Trees run as CASE expressions on the executors.
 
 Positions: a regular expression's matches and the pieces between them alternate, so their lengths add up to positions in code points.
 
@@ -33,12 +35,30 @@ BASE = {
 }
 #: Wider patterns of the generators.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:@|\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)++",
     "ip": BASE["ip"],
     "card": BASE["card"],
-    "phone": r"(?<![0-9])[+(]?[0-9][\x20().0-9-]{5,30}[0-9](?![0-9])",
+    "phone": r"(?<![0-9])(?:\([0-9]{3}\) ?[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])|[+(]?[0-9][\x20().0-9-]{5,30}[0-9](?![0-9]))",
 }
-TELLING = r"(?i)(?:mail|contact|phone|tel|call|mobile|fax|card|visa|account|konto|carte|tarjeta|ip|host|server|address)\W*$"
+TELLING = {
+    "email": r"(?i)(?:mail|contact|write to|address|correo|courriel)\W*$",
+    "ip": r"(?i)(?:ip|host|server|address)\W*$",
+    "card": r"(?i)(?:card|visa|account|konto|carte|tarjeta)\W*$",
+    "phone": r"(?i)(?:phone|tel|telefon|call|mobile|fax|contact|number)\W*$",
+}
+#: Top-level domains that make words an address; those that are common words themselves ("in", "to") aren't among them.
+_TOP = "com|org|net|edu|gov|mil|int|info|biz|example|io|dev|app|de|fr|es|uk|eu|ch|nl|pl|ru|cn|jp|br|ca|au|se|dk|fi|pt|cz|gr|mx"
+#: Strict forms pass by themselves, loose ones after a telling word.
+STRICT = {
+    "email": rf"(?i)^[a-z0-9][a-z0-9._%+-]*+(?: ?(?:@|\(at\)|\[at\]) ?[a-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[a-z0-9-]+?)*(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[a-z]{{2,24}}| at [a-z0-9-]++(?: dot [a-z0-9-]+?)* dot (?:{_TOP}))$",
+    "phone": r"^(?:1[\x20.-])?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[\x20.-][0-9]{4}$|^\(0[0-9]{1,4}\)[\x20-]?[0-9]{2,5}(?:[\x20-]?[0-9]{2,5}){1,3}$|^\+[0-9]",
+}
+LOOSE = {
+    "email": rf"(?i) at (?:[a-z0-9-]++(?:\.| dot | ?(?:\(dot\)|\[dot\]) ?))++(?:{_TOP})$",
+    "phone": r"^\(?[0-9]{1,5}\)?(?:[\x20.-]\(?[0-9]{2,6}\)?){1,5}$|^[0-9]{9,15}$",
+}
+#: Dates, book numbers and dotted quads are grouped like telephone numbers.
+NO_PHONE = r"^\(?(?:19|20)[0-9]{2}[\x20.-][01]?[0-9][\x20.-][0-3]?[0-9](?![0-9])|^97[89][\x20-]|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^[0-3]?[0-9][.-][01]?[0-9][.-](?:19|20)[0-9]{2}(?![0-9])"
 PRECISION, ROUNDS, RATE = 0.98, 30, 0.4
 BLOCK = 256
 
@@ -85,7 +105,7 @@ def valid(kind: str, v: Column) -> Column:
 
 
 #: Feature name -> number of values.
-FEATURES = {"kind": len(KINDS), "digits": 20, "gaps": 4, "left": 5, "right": 5, "first": 4, "told": 2, "at": 2}
+FEATURES = {"kind": len(KINDS), "digits": 20, "gaps": 4, "left": 5, "right": 5, "first": 4, "told": 2, "form": 3}
 
 
 def cells() -> int:
@@ -96,6 +116,19 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike("^[0-9]$"), 2).when(c.rlike(r"^\p{L}$"), 3).otherwise(4)
 
 
+def form(kind: str, r: Column) -> Column:
+    """2 for a strict form, 1 for a loose one, 0 for neither."""
+    v, last = r["v"], F.right(r["before"], F.lit(1))
+    if kind in ("ip", "card"):
+        return F.when(valid(kind, v), 2).otherwise(0)
+    strict, loose = v.rlike(STRICT[kind]), v.rlike(LOOSE[kind])
+    fits = F.lit(True)
+    if kind == "phone":
+        # The digits of something longer, an amount or a part number aren't a telephone number.
+        fits = valid(kind, v) & ~v.rlike(NO_PHONE) & ~last.rlike(r"[\p{L}0-9_$€£#./@=-]") & ~r["after"].rlike(r"[\p{L}0-9_%€@=/-]")
+    return F.when(fits & strict, 2).when(fits & loose, 1).otherwise(0)
+
+
 def features(kind: str, r: Column) -> list[Column]:
     v = r["v"]
     last = F.right(r["before"], F.lit(1))
@@ -107,15 +140,15 @@ def features(kind: str, r: Column) -> list[Column]:
         _side(F.when(last == "+", "").otherwise(last)).alias("left"),
         _side(r["after"]).alias("right"),
         F.when(first == "4", 0).when(first.isin("3", "5", "6"), 1).when(first.rlike("[0-9]"), 2).otherwise(3).alias("first"),
-        r["before"].rlike(TELLING).cast("int").alias("told"),
-        F.contains(v, F.lit("@")).cast("int").alias("at"),
+        r["before"].rlike(TELLING[kind]).cast("int").alias("told"),
+        form(kind, r).alias("form"),
     ]
 
 
 def candidates(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """carry's columns, `base` (the spans of the base rules) and `more` (other candidates with features and `ok`)."""
+    """carry's columns, `base` (the spans of the base rules) and `more` (all candidates with features, `ok` and `free`, whether no base span is touched)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    some = t.rlike("[0-9@]") | F.lower(t).rlike(r"\(at\)|\[at\]| at [a-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot )")
+    some = t.rlike("[0-9@]") | F.lower(t).rlike(r"\(at\)|\[at\]| at [a-z0-9-]++(?:\.| ?(?:\(dot\)|\[dot\])| dot )")
     at = docs.select(*(carry or ["doc_id"]), F.when(some, t).otherwise("").alias("__t"))
     # Matches and positions are columns of their own, one step after the other, so that each is computed once.
     tried = {"email": BASE["email"], "ip": BASE["ip"], "card": BASE["card"], "phone": BASE["phone"], "wide_email": WIDE["email"], "wide_phone": WIDE["phone"]}
@@ -124,8 +157,9 @@ def candidates(docs: DataFrame, text: str = "text", carry: list[str] | None = No
     base = F.concat(*[_base_spans(k, kind) for k, kind in enumerate(KINDS)])
     wide = F.concat(*[_wide_spans(kind, f"m_wide_{kind}" if f"wide_{kind}" in tried else f"m_{kind}") for kind in KINDS])
     at = at.select(*(carry or ["doc_id"]), base.alias("base"), wide.alias("wide"))
-    own = lambda c: F.exists("base", lambda b: (b["k"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return at.withColumn("more", F.transform("wide", lambda c: c.withField("ok", own(c)))).drop("wide")
+    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    ok = lambda c: (c["form"] == 2) | ((c["form"] == 1) & (c["told"] == 1))
+    return at.withColumn("more", F.transform("wide", lambda c: c.withField("ok", ok(c)).withField("free", free(c)))).drop("wide")
 
 
 def _base_spans(k: int, kind: str) -> Column:
@@ -134,7 +168,7 @@ def _base_spans(k: int, kind: str) -> Column:
 
 
 def _wide_spans(kind: str, column: str) -> Column:
-    return F.transform(column, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), *features(kind, r)))
+    return F.transform(column, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), *features(kind, r), F.pmod(F.xxhash64(r["v"]), F.lit(2)).cast("int").alias("half")))
 
 
 # The trees, fitted on the driver over a table of at most cells() rows.
@@ -184,10 +218,12 @@ def fit_trees(x: np.ndarray, positive: np.ndarray, total: np.ndarray, rounds: in
 def train(found: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS) -> tuple[list, list[float]]:
     """Trees and each kind's calibrated threshold on the summed tree values."""
     names = list(FEATURES)
-    half = F.pmod(F.xxhash64("c.start", "c.end", "c.digits", "c.kind"), F.lit(2)).alias("half")
-    counts = found.select(F.explode("more").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names], half).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.ok").cast("int")).alias("y"))
+    half = F.col("c.half").alias("half")
+    many = lambda c, name: F.sum(c.cast("int")).alias(name)
+    ok, free = F.col("c.ok"), F.col("c.free")
+    counts = found.select(F.explode("more").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names], half).agg(F.count(F.lit(1)).alias("n"), many(ok, "y"), many(free, "free_n"), many(ok & free, "free_y"))
     rows = counts.orderBy(*names, "half").collect()  # 2 * cells() rows at most
-    table = np.array([[*(r[n] for n in names), r["half"], r["y"], r["n"]] for r in rows], float).reshape(-1, len(names) + 3)
+    table = np.array([[*(r[n] for n in names), r["free_y"], r["free_n"], r["half"], r["y"], r["n"]] for r in rows], float).reshape(-1, len(names) + 5)
     fit, held = table[table[:, -3] == 0], table[table[:, -3] == 1]
     trees = fit_trees(fit[:, : len(names)], fit[:, -2], fit[:, -1], rounds)
     limits = []
@@ -198,7 +234,8 @@ def train(found: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS)
         share = np.cumsum(own[order, -2]) / np.maximum(np.cumsum(own[order, -1]), 1)
         # A threshold never falls inside cells of one score, and takes fifty held-out candidates to be trusted.
         ends = np.append(z[order][1:] < z[order][:-1], True) if len(z) else np.zeros(0, bool)
-        good = np.flatnonzero(ends & (share >= precision) & (np.cumsum(own[order, -1]) >= 50))
+        new = np.cumsum(own[order, -5]) >= precision * np.cumsum(own[order, -4])
+        good = np.flatnonzero(ends & new & (share >= precision) & (np.cumsum(own[order, -1]) >= 50))
         limits.append(float(z[order][good[-1]]) if len(good) else math.inf)
     return trees, limits
 
@@ -220,7 +257,7 @@ def find_pii(docs: DataFrame, text: str = "text", carry: list[str] | None = None
         # The score is a plain column of each candidate; a candidate that touches a base span says nothing new.
         score = lambda c: sum((tree_value(t, c) for t in trees), F.lit(0.0))
         limit = lambda c: F.element_at(F.array(*[F.lit(x) for x in limits]), c["kind"] + 1)
-        free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        free = F.filter("more", lambda c: c["free"])
         added = F.transform(F.filter(free, lambda c: score(c) >= limit(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("k"), c["end"].alias("end")))
     else:
         added = F.expr(shape)
