@@ -204,6 +204,28 @@ def test_passages(docs, none):
     assert passage_classes(none).count() == 0
 
 
+def test_passages_of_edited_copies_against_brute_force(spark):
+    """A passage in many documents, in two interleaved variants, each copy with edits of its own."""
+    from textloom.llm.passages import align, passage_classes, word_shingles
+
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for k in range(160):
+        own = [w if k % 2 or j % 17 else f"v{j}" for j, w in enumerate(passage)]
+        for j in rng.sample(range(120), rng.randint(0, 4)):
+            own[j] = f"e{rng.randrange(10**6)}"
+        fill = [f"r{rng.randrange(10**6)}" for _ in range(30)]
+        texts.append(" ".join(fill + own + fill[::-1]))
+    h = [word_shingles(t.encode(), 5) for t in texts]
+    near = [(i, j) for j in range(len(h)) for i in range(j) if align(h[j], h[i], 46, 0.8)]
+    got = {r.doc_id: r.class_id for r in passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(i in got and got[i] == got.get(j) for i, j in near)
+    print(f"op4 recall: {found} of {len(near)} pairs, {len(got)} of {len({i for x in near for i in x})} documents")
+    assert len(near) > 1000 and found >= 0.997 * len(near)
+    assert len(got) >= 0.975 * len({i for x in near for i in x})
+
+
 def test_compact_windows_hold_every_min():
     from textloom.llm.passages import compact_windows
 
