@@ -50,6 +50,23 @@ def test_licences(spark):
     assert scan_licences(docs.limit(0), train(docs.limit(0))).count() == 0
 
 
+def test_wrapped_licences(spark):
+    from textloom.llm.licence import scan_licences, train
+
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+        " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+        "MIT License\n\nother text",
+        "BSD 3-Clause License",
+        "Permission is hereby granted, free of charge,\n\nto go home. In the Software trade",
+        "a poem about the MIT License of old",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in scan_licences(docs, train(spark.read.parquet(f"{SF}/documents.parquet"))).collect()}
+    assert [got[k] for k in range(7)] == [["MIT"], ["BSD"], ["GPL"], ["MIT"], ["BSD"], [], []]
+
+
 def test_quality_keeps_clean_documents(spark):
     from textloom.llm.quality import quality_verdicts
 

@@ -5,7 +5,8 @@ anything else. It is trained on variants of the templates (words dropped and add
 sample of documents (`sample_docs`). Its probabilities are calibrated by a temperature fitted on variants it hasn't seen. A prediction
 counts if its probability reaches `min_probability` and the paragraph holds at least `min_overlap` of the 2-grams of one of the family's templates.
 
-Paragraphs are lines. One that shares no 2-gram with any template can't be confirmed, so it isn't scored.
+Paragraphs are lines, and joins of neighbouring lines up to a blank one or `JOIN_WORDS` words, for notices that are wrapped; a join has the number of its first line
+and counts if it is confirmed. A line that is nothing but a licence's title names it. A line that shares no 2-gram with any template isn't scored.
 
 Defined results: null and empty texts have no paragraphs and no families; repeated rows are scanned each; an empty table gives no rows;
 extra columns are ignored; ties between families go to the first by name.
@@ -52,7 +53,19 @@ TEMPLATES = {
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "Proprietary": ["All rights reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited"],
 }
+#: Lines that are a title as a whole, with "the" before it or not.
+TITLES = {
+    "Apache-2.0": ["Apache License", "Apache License, Version 2.0", "Apache License 2.0"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "New BSD License", "Simplified BSD License"],
+    "CC0": ["CC0 1.0 Universal"],
+    "GPL": ["GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3"],
+    "MIT": ["MIT License"],
+    "MPL": ["Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+}
 FAMILIES = sorted(TEMPLATES)
+#: About twice the longest template.
+JOIN_WORDS = 64
 SAMPLE_DOCS, VARIANTS = 400, 60
 MIN_PROBABILITY, MIN_OVERLAP = 0.5, 0.6
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -70,6 +83,7 @@ class Classifier:
     def __init__(self, others: list[list[bytes]], seed: int = 11):
         rng = random.Random(seed)
         self.templates = {f: [frozenset(zip(w, w[1:])) for w in map(words_of, (t.encode() for t in TEMPLATES[f]))] for f in FAMILIES}
+        self.titles = {(*the, *words_of(t.encode())): f for f, ts in TITLES.items() for t in ts for the in ((), (b"the",))}
         self.pairs = frozenset(x for ts in self.templates.values() for t in ts for x in t)
         rows = [(k, self._variant(words_of(t.encode()), others, rng)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(VARIANTS)]
         rows += [(len(FAMILIES), w) for w in others]
@@ -128,19 +142,44 @@ class Classifier:
         mine = set(zip(words, words[1:]))
         return FAMILIES[k], float(p[k]), max(len(t & mine) / len(t) for t in self.templates[FAMILIES[k]])
 
-    def scan(self, text: bytes) -> list[tuple[int, str, float, float]]:
+    def _joined(self, lines: list[list[bytes]], sure: set[int], min_probability: float, min_overlap: float) -> list[tuple[int, str, float, float]]:
+        """The confirmed joins of neighbouring lines: of those from one line, the shortest."""
+        out, done = [], -1
+        for n, first in enumerate(lines):
+            if n <= done or n in sure or self.pairs.isdisjoint(zip(first, first[1:] + (lines[n + 1][:1] if n + 1 < len(lines) else []))):
+                continue
+            words = list(first)
+            for m in range(n + 1, len(lines)):
+                if not lines[m] or m in sure or len(words) >= JOIN_WORDS:
+                    break
+                words += lines[m]
+                mine = set(zip(words, words[1:]))
+                if not any(len(t & mine) >= min_overlap * len(t) for ts in self.templates.values() for t in ts):
+                    continue
+                family, p, overlap = self.predict(words)
+                if family and p >= min_probability and overlap >= min_overlap:
+                    out.append((n, family, p, overlap))
+                    done = m
+                    break
+        return out
+
+    def scan(self, text: bytes, min_probability: float = MIN_PROBABILITY, min_overlap: float = MIN_OVERLAP) -> list[tuple[int, str, float, float]]:
         """(paragraph number, family, probability, overlap) of the paragraphs that share a 2-gram with a template and aren't unknown."""
         words = words_of(text)
         if self.pairs.isdisjoint(zip(words, words[1:])):
             return []
         out = []
-        for n, line in enumerate(text.split(b"\n")):
-            ws = words_of(line)
-            if not self.pairs.isdisjoint(zip(ws, ws[1:])):
+        lines = [words_of(line) for line in text.split(b"\n")]
+        for n, ws in enumerate(lines):
+            if title := self.titles.get(tuple(ws)):
+                out.append((n, title, 1.0, 1.0))
+            elif not self.pairs.isdisjoint(zip(ws, ws[1:])):
                 family, p, overlap = self.predict(ws)
                 if family:
                     out.append((n, family, p, overlap))
-        return out
+        sure = {n for n, _, p, overlap in out if p >= min_probability and overlap >= min_overlap}
+        joined = self._joined(lines, sure, min_probability, min_overlap)
+        return sorted(out + joined) if joined else out
 
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Classifier:
@@ -158,7 +197,7 @@ def scan_licences(docs: DataFrame, model: Classifier, text: str = "text", carry:
     def run(texts: list[bytes]) -> dict:
         out: dict[str, list] = {"families": [], "paragraphs": [], "probability": [], "suspected": []}
         for t in texts:
-            found = held.value.scan(t)
+            found = held.value.scan(t, min_probability, min_overlap)
             sure = [x for x in found if x[2] >= min_probability and x[3] >= min_overlap]
             rest = sorted((x for x in found if x not in sure), key=lambda x: (-x[2], x[1]))
             out["families"].append(sorted({x[1] for x in sure}))
