@@ -76,6 +76,21 @@ def test_quality_keeps_clean_documents(spark):
     assert out.where("quality = 0 AND NOT kept").count() > 0.5 * out.where("quality = 0").count()
 
 
+def test_quality_keeps_a_fifth_language(spark):
+    """Clean Russian documents among the four languages stay, whatever `lang` says of them; junk among them doesn't."""
+    import random
+
+    from textloom.llm.quality import quality_verdicts
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("оеаинтсрвлкмдпуя") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    say = lambda: " ".join(f"{' '.join(rng.choice(words) for _ in range(9)).capitalize()}." for _ in range(30))
+    rows = [(10**6 + k, say(), "ru" if k % 5 else None) for k in range(40)] + [(2 * 10**6, " ".join(f"#{rng.randrange(10**9)}$" for _ in range(300)), "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang"))
+    got = {r.doc_id: r.kept for r in quality_verdicts(docs).where("doc_id >= 1000000").collect()}
+    assert all(got[10**6 + k] for k in range(40)) and not got[2 * 10**6]
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
 

@@ -2,7 +2,8 @@
 
 A document's histograms of character classes and of common words are held against references of the
 languages by the Jensen-Shannon distance (base 2, so 0 to 1). The references are sums over all documents of
-a language; languages without a word list share the reference of all documents together. A document is judged
+a language (each value of `lang`, at most MAX_LANGUAGES); a language without a word list is compared by the common words of all lists together, and those
+of fewer than MIN_DOCS documents share the reference of all documents together. A document is judged
 against the language it is nearest to, so a wrong or missing `lang` doesn't reject it.
 
 Defined results: null and empty texts have no words and fail the base rules; documents of fewer than `min_words`
@@ -33,6 +34,8 @@ LANGUAGES = sorted(COMMON_WORDS)
 #: lower, upper, digit, space, sentence punctuation, other ASCII symbols, beyond ASCII, controls
 N_CLASSES = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Documents by which a language without a word list gets a reference of its own; and how many such languages do, the most frequent first.
+MIN_DOCS, MAX_LANGUAGES = 10, 64
 #: Limits of the two distances; a document beyond either is rejected. Each gets its slack / sqrt(words) on top, as short documents scatter.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.16, 1.0
 MAX_WORD_DISTANCE, WORD_SLACK = 0.12, 2.0
@@ -110,28 +113,33 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Summed histograms of all documents, by language: one small row for each word list, and "" for everything."""
+    """Summed histograms of all documents, by language, and "" for everything: a small row each."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("hist", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("hist", T.ArrayType(T.LongType())), T.StructField("docs", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
+        count: Counter[str] = Counter()
         for b in batches:
             texts, langs = b.column(1).cast(pa.binary()), b.column(0).to_pylist()
             for i, g in enumerate(langs):
                 h = histograms(texts[i].as_py() or b"")
-                for key in {"", g if g in COMMON_WORDS else ""}:
+                for key in {"", g or ""}:
+                    count[key] += 1
                     if key in total:
                         total[key] += h
                     else:
                         total[key] = h.copy()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([h.tolist() for h in total.values()], arrow.field(1).type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([h.tolist() for h in total.values()], arrow.field(1).type), pa.array([count[key] for key in total], pa.int64())], schema=arrow)
 
     parts = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(sums, schema)
-    rows = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("hist")[k]) for k in range(N_BINS)]).alias("hist")).collect()  # five rows at most
+    summed = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("hist")[k]) for k in range(N_BINS)]).alias("hist"), F.sum("docs").alias("docs"))
+    listed = F.col("lang").isin("", *LANGUAGES)
+    # "", the word lists' languages, then the most frequent: a few dozen rows.
+    rows = summed.where(listed | (F.col("docs") >= MIN_DOCS)).orderBy(listed.desc(), F.col("docs").desc(), "lang").limit(1 + len(LANGUAGES) + MAX_LANGUAGES).collect()
     return {r["lang"]: np.array(r["hist"], float) for r in rows}
 
 
@@ -149,7 +157,7 @@ def quality_verdicts(
 ) -> DataFrame:
     """The base counts, the two distances, the nearest language and the verdict of every document."""
     refs = language_references(docs, text, lang)
-    names = [g for g in LANGUAGES if g in refs] or [""]
+    names = [g for g in LANGUAGES if g in refs] + sorted(g for g in refs if g and g not in COMMON_WORDS) + [""]
     held = {g: refs.get(g, np.zeros(N_BINS)) for g in names}
 
     def judge(texts: list[bytes]) -> dict:
@@ -158,8 +166,8 @@ def quality_verdicts(
         chars, words = [], []
         for g in names:
             chars.append(js_distance(hist[:, :N_CLASSES], held[g][:N_CLASSES]))
-            k = LANGUAGES.index(g) if g else 0
-            cut = slice(N_CLASSES + _OFFSETS[k], N_CLASSES + _OFFSETS[k + 1]) if g else slice(N_CLASSES, N_BINS)
+            k = LANGUAGES.index(g) if g in COMMON_WORDS else 0
+            cut = slice(N_CLASSES + _OFFSETS[k], N_CLASSES + _OFFSETS[k + 1]) if g in COMMON_WORDS else slice(N_CLASSES, N_BINS)
             words.append(js_distance(hist[:, cut], held[g][cut]))
         c, w = np.array(chars), np.array(words)
         near = np.argmin(c + w, axis=0)
