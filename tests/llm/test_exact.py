@@ -181,19 +181,37 @@ def test_suffix_dedup(docs, none):
     assert remove_duplicate_spans(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_induced_sorting(limit):
-    from textloom.llm.induced import suffix_order
-
-    rng = random.Random(8)
-    for _ in range(60):
-        s = []
-        for _ in range(rng.randint(1, 5)):
-            s += [rng.randint(1, rng.choice([1, 2, 5])) for _ in range(rng.randint(1, 80))] + [0]
-        order = suffix_order(np.array(s), 50, limit)
-        b = bytes(s)
-        cut = [b[p : p + 50] for p in order]
-        assert sorted(order) == list(range(len(s))) and cut == sorted(cut)
+@pytest.mark.parametrize("rows_held", [16, 100, 1 << 20])
+def test_induced_sorting(rows_held, monkeypatch):
+    """Against plain sorting, with far fewer rows in memory than the string has, too."""
+    from textloom.llm import induced
+
+    rng = random.Random(5)
+    monkeypatch.setattr(induced, "PIECE", 64)
+    for alphabet in (b"ab", b"a", b"abcdefgh", bytes(range(256))):
+        for depth in (5, 50):
+            parts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(25)]
+            parts += [rng.choice(parts) + b"x" for _ in range(6)]
+            t = np.array([c for p in parts for c in [*(b + 1 for b in p), 0]], np.uint16)
+            with induced.Scratch(rows_held) as scratch:
+                got = [(p.copy(), c.copy()) for p, c in induced.suffixes_down(t, depth, scratch)]
+                assert (scratch.spilled > 0) == (rows_held < len(t))
+            at, common = (np.concatenate(x) for x in zip(*got))
+            assert sorted(at.tolist()) == list(range(len(t)))
+            keys = [t[i : i + depth].tolist() for i in at]
+            for x, y, c in zip(keys, keys[1:], common[1:]):
+                assert x >= y
+                m = next((k for k, (i, j) in enumerate(zip(x, y)) if i != j), None)
+                if m is not None or len(x) == len(y) == depth:
+                    assert c == (depth if m is None else m)
+
+
+def test_substring_dedup_with_little_memory(docs):
+    """Shards far larger than what a queue may hold give the same spans."""
+    from textloom.llm.suffixdedup import remove_duplicate_spans
+
+    names = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert as_bag(remove_duplicate_spans(docs, rows=50, cell_bytes=2000), *names) == as_bag(remove_duplicate_spans(docs), *names)
 
 
 def test_passages(docs, none):

@@ -2,19 +2,23 @@
 
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id. Such a string is a
 window. Every window has an anchor: the least hash of its substrings of `gram` bytes. Equal windows have equal anchors, so shards are cut by
-anchor and need nothing of each other.
+anchor and need nothing of each other. A run of windows with one anchor, with the bytes they cover, is a context.
 
-1. Anchors of all windows are counted: those of one document only are done with, as their windows occur nowhere else.
-2. For the others, the runs of windows that share an anchor are cut out of the texts as contexts. A context that another document
-   with a smaller id has as well goes whole. The different contexts of an anchor are put into their shard's string, whose suffixes are sorted by
-   external induced sorting (textloom.llm.induced). Common prefixes of neighbours in that order are found by comparing bytes; a
-   run of neighbours that share `length` bytes is a window's class, and its least document id decides.
-3. The spans found are merged by document and cut out of its text.
+Texts are dealt to cells once, by a hash of id and text; that one exchange is read in each of four rounds, in which cells and shards tell each other:
 
-A row is known by its id and its text's hash, so repeated rows share their result.
+1. The anchors and the hashes of the texts of a cell, each once however often it occurs there. Shards answer which anchors another text has as well, and the
+   least id of each text: all other copies of a text go whole, and only the text with the least id is looked at further.
+2. The different contexts of shared anchors, as hashes with the least id that has them in the cell. Shards answer whether a smaller id has the
+   context elsewhere, so that it goes whole, and whether the anchor has several contexts.
+3. The bytes of the contexts of such anchors. A shard's are sorted by external induced sorting (textloom.llm.induced), which also tells the common prefix of
+   neighbours; those that share `length` bytes are one window, and its least id decides.
+4. The cell cuts the spans out of its texts.
+
+So a text, line or passage that very many documents share costs each cell one entry. What a cell or shard holds is in memory as arrays, but for the
+contexts that are sorted, which lie in files where they are many. Cells have about CELL bytes of text, shards follow spark.sql.shuffle.partitions.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose nothing; rows with equal ids don't take from
-each other; a null id counts as larger than all others; an empty table gives no rows; extra columns are ignored.
+each other; a null id counts as larger than all others; an empty table gives no rows; extra columns are ignored; ids are integers.
 """
 
 from __future__ import annotations
@@ -23,29 +27,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import materialize
-from textloom.llm.exchange import PACKED, bucket_count, deal, map_packed, meet_texts, owners, pack, reduce_packed
-from textloom.llm.induced import suffix_order
+from textloom.llm.exchange import PACKED, bucket_count, emit, pack, planes, reduce_streamed, unpack, unplanes
+from textloom.llm.hashing import mix64
+from textloom.llm.induced import ROWS, Scratch, suffixes_down
 
-LENGTH, GRAM = 50, 24
-#: Bytes of a shard's string that are sorted at once; a larger shard is cut between anchors. One anchor is never cut.
-SHARD = 8 << 20
+LENGTH, GRAM = 50, 20
+#: Bytes of text in a cell, and of those whose anchors are found together.
+CELL, PART = 8 << 20, 1 << 20
 NO_ID = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes at every position, by doubling."""
     have = {1: _TABLE[data]}
@@ -61,7 +60,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
                 n = len(have[p]) - width
                 out = out[: max(n, 0)] * r[p] + have[p][width:] if n > 0 else np.zeros(0, np.uint64)
                 width += p
-        return _mix(out)
+        return mix64(out)
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -92,25 +91,7 @@ def anchor_runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     first = np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1]))
     a = np.flatnonzero(first)
     b = np.append(a[1:], len(at)) - 1
-    return d[a], at[a] - starts[d[a]], at[b] - starts[d[a]], _mix(v[a])
-
-
-def code(v: np.ndarray, buckets: int) -> np.ndarray:
-    """32 bits of an anchor besides those that name its bucket. Anchors that collide are treated as one: windows are compared by bytes."""
-    return (v // np.uint64(buckets)).astype(np.uint32)
-
-
-def text_hash(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text)
-
-
-def _id(i) -> int:
-    return NO_ID if i is None else int(i)
-
-
-def _row_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """As the SQL expression of row_bucket()."""
-    return np.mod(ids, buckets)
+    return d[a], at[a] - starts[d[a]], at[b] - starts[d[a]], mix64(v[a])
 
 
 def merge_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -125,10 +106,6 @@ def merge_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[s].tolist(), b[e].tolist()))
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
-
-
 def _merge_by(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of each owner's spans."""
     order = np.lexsort((a, owner))
@@ -142,198 +119,371 @@ def _merge_by(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return owner[new], a[new], end[last] - owner[new] * far
 
 
-def window_classes(contexts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, window start) of the windows that also occur in a context of a smaller owner."""
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    t = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint16) + 1
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    t[starts + sizes] = 0
-    order = suffix_order(t, length)
-    number = np.repeat(np.arange(len(contexts)), sizes + 1)
-    off = order - starts[number[order]]
-    order = order[off + length <= sizes[number[order]]]  # only windows
-    if len(order) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    same = np.empty(len(order) - 1, bool)
-    reach = np.arange(length)
-    for k in range(0, len(same), 1 << 16):
-        x, y = order[k : k + (1 << 16)], order[k + 1 : k + 1 + (1 << 16)]
-        x = x[: len(y)]
-        head = t[x + length - 1] == t[y + length - 1]
-        hit = np.flatnonzero(head)
-        head[hit] = (t[x[hit, None] + reach] == t[y[hit, None] + reach]).all(axis=1)
-        same[k : k + len(y)] = head
-    cls = np.cumsum(np.append(True, ~same)) - 1
-    own = owners[number[order]]
-    least = np.minimum.reduceat(own, np.flatnonzero(np.append(True, ~same)))
-    gone = least[cls] < own
-    at = order[gone]
-    return number[at], at - starts[number[at]]
-
-
-def _resolve(keys: np.ndarray, ctx: list[bytes], ids: np.ndarray, rows: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences (anchor, context, id, row, first window) of whole anchors -> (occurrence, start, end) of spans to remove."""
-    occ, a, b = [], [], []
-    known: dict[tuple[int, bytes], int] = {}
-    of = np.fromiter((known.setdefault(x, len(known)) for x in zip(keys.tolist(), ctx)), np.int64, len(ctx))
-    least = np.full(len(known), NO_ID, np.int64)
-    np.minimum.at(least, of, ids)
-    later = np.flatnonzero(ids > least[of])
-    sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
-    occ.append(later)
-    a.append(first[later])
-    b.append(first[later] + sizes[later])
-    # Different contexts of one anchor may still share windows.
-    names = list(known)
-    anchor = np.array([k for k, _ in names], np.int64)
-    _, inverse, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[inverse] > 1)
-    if len(several):
-        number, start = window_classes([names[k][1] for k in several], least[several], length)
-        by = several[number]
-        # Only the least id's occurrences of a context are still open; there may be more than one.
-        open_ = np.flatnonzero(ids == least[of])
-        open_ = open_[np.argsort(of[open_], kind="stable")]
-        lo, hi = np.searchsorted(of[open_], by), np.searchsorted(of[open_], by, side="right")
-        n = hi - lo
-        pick = open_[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        s = np.repeat(start, n)
-        occ.append(pick)
-        a.append(first[pick] + s)
-        b.append(first[pick] + s + length)
-    return np.concatenate(occ), np.concatenate(a), np.concatenate(b)
-
-
-def duplicate_spans(docs: DataFrame, id_col: str, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Packed rows by row bucket: ids, row hashes, starts and ends of bytes to remove."""
-    buckets = bucket_count(docs)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-
-    def anchors(rows) -> Iterator:
-        rows = [(_id(i), t) for i, t in rows if len(t) >= length]
-        at: dict[bytes, int] = {}
-        number = np.fromiter((at.setdefault(t, len(at)) for _, t in rows), np.int64, len(rows))
-        if not at:
-            return
-        d, _, _, v = anchor_runs(list(at), length, gram)
-        key = np.unique(np.stack([v, d.astype(np.uint64)]), axis=1) if len(v) else np.zeros((2, 0), np.uint64)
-        hashes = np.array([text_hash(t) for t in at], np.uint64)
-        ids = np.array([i for i, _ in rows], np.int64)
-        order = np.argsort(number, kind="stable")
-        cut = np.searchsorted(number[order], np.arange(len(at) + 1))
-        for bucket, x in deal(key[0], buckets, {"v": key[0], "d": key[1].astype(np.uint32)}):
-            used, local = np.unique(x["d"], return_inverse=True)
-            owners = [ids[order[cut[k] : cut[k + 1]]] for k in used]
-            yield pack(bucket, {"v": code(x["v"], buckets), "d": local.astype(np.uint32), "ids": np.concatenate(owners), "n": np.array([len(o) for o in owners]), "rows": hashes[used]})
-
-    def shared(bucket: int, held: list[dict]) -> Iterator:
-        v = np.concatenate([x["v"] for x in held])
-        base = np.cumsum([0] + [len(x["n"]) for x in held])
-        d = np.concatenate([x["d"] + b for x, b in zip(held, base)]).astype(np.int64)
-        n = np.concatenate([x["n"] for x in held])
-        ids = np.concatenate([x["ids"] for x in held])
-        rows = np.concatenate([x["rows"] for x in held])
-        at = np.cumsum(n) - n
-        low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-        order = np.argsort(v, kind="stable")
-        v, d = v[order], d[order]
-        s = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        keep = np.repeat(np.minimum.reduceat(low[d], s) < np.maximum.reduceat(high[d], s), np.diff(np.append(s, len(v))))
-        v, d = v[keep], d[keep]
-        k = n[d]
-        owner = ids[np.repeat(at[d], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-        v, row = np.repeat(v, k), np.repeat(rows[d], k)
-        for b, x in deal(_row_bucket(owner, buckets).astype(np.uint64), buckets, {"v": v, "id": owner, "row": row}):
-            i, r, at = owners(x["id"], x["row"])
-            order = np.argsort(at, kind="stable")
-            yield pack(b, {"id": i, "row": r, "n": np.bincount(at, minlength=len(i)), "v": x["v"][order], "from": bucket})
-
-    def contexts(held: list[dict], rows: Iterator[tuple]) -> Iterator:
-        if not held:
-            return
-        if "by" not in held[0]:
-            by: dict[tuple[int, int], list] = {}
-            for x in held:
-                ends = np.cumsum(x["n"])
-                full = x["v"].astype(np.uint64) * np.uint64(buckets) + np.uint64(x["from"])
-                for i, r, e, n in zip(x["id"].tolist(), x["row"].tolist(), ends.tolist(), x["n"].tolist()):
-                    by.setdefault((i, r), []).append(full[e - n : e])
-            held[0]["by"] = by
-        want = held[0]["by"]
-        rows = [(_id(i), text_hash(t), t) for i, t in rows]
-        rows = [x for x in dict.fromkeys(rows) if x[:2] in want]
-        if not rows:
-            return
-        d, a, b, v = anchor_runs([t for _, _, t in rows], length, gram)
-        cut = np.searchsorted(d, np.arange(len(rows) + 1))
-        known = code(v, buckets).astype(np.uint64) * np.uint64(buckets) + v % np.uint64(buckets)
-        keep = np.concatenate([np.isin(known[cut[k] : cut[k + 1]], np.concatenate(want[rows[k][:2]])) for k in range(len(rows))])
-        d, a, b, v = d[keep], a[keep], b[keep], v[keep]
-        ids, row = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.uint64)
-        for bucket, x in deal(v, buckets, {"v": v, "d": d, "a": a, "b": b}):
-            pieces = [rows[k][2][s : e + length] for k, s, e in zip(x["d"].tolist(), x["a"].tolist(), x["b"].tolist())]
-            i, r, at = owners(ids[x["d"]], row[x["d"]])
-            yield pack(bucket, {"v": code(x["v"], buckets), "id": i, "row": r, "d": at, "a": _narrow(x["a"]), "size": _narrow(np.array([len(p) for p in pieces])), "text": b"".join(pieces)})
-
-    def sort_shard(bucket: int, held: list[dict]) -> Iterator:
-        v, a, size = (np.concatenate([x[k] for x in held]) for k in ("v", "a", "size"))
-        a, size = a.astype(np.int64), size.astype(np.int64)
-        i, r = (np.concatenate([x[k][x["d"]] for x in held]) for k in ("id", "row"))
-        data = b"".join(x["text"] for x in held)
-        ends = np.cumsum(size)
-        order = np.argsort(v, kind="stable")
-        new = np.flatnonzero(np.append(True, v[order][1:] != v[order][:-1]))
-        so_far = np.cumsum(size[order])
-        spans = []
-        # Groups of whole anchors of about SHARD bytes.
-        group = so_far[new] // SHARD
-        for part in np.split(new, np.flatnonzero(np.diff(group)) + 1):
-            lo = part[0]
-            hi = new[np.searchsorted(new, part[-1]) + 1] if part[-1] != new[-1] else len(order)
-            own = order[lo:hi]
-            ctx = [data[ends[k] - size[k] : ends[k]] for k in own]
-            occ, s, e = _resolve(v[own], ctx, i[own], r[own], a[own], length)
-            occ = own[occ]
-            spans.append((i[occ], r[occ], s, e))
-        ids, rows, a, b = (np.concatenate(x) for x in zip(*spans))
-        i, r, at = owners(ids, rows)
-        at, a, b = _merge_by(at, a, b)
-        for bucket, x in deal(_row_bucket(i[at], buckets).astype(np.uint64), buckets, {"id": i[at], "row": r[at], "a": _narrow(a), "b": _narrow(b)}):
-            yield pack(bucket, x)
-
-    row_bucket = F.pmod(F.coalesce(F.col("id"), F.lit(NO_ID)), F.lit(buckets))
-    found = reduce_packed(map_packed(texts, anchors, 1), shared, PACKED)
-    cut = meet_texts(texts, found, row_bucket, contexts, PACKED)
-    return materialize(reduce_packed(cut, sort_shard, PACKED), "suffix-spans")
-
-
-def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, starts, ends, kept_sha256, kept): kept is the text that is left, as bytes."""
-    spans = duplicate_spans(docs, id_col, text, length, gram)
-    buckets = bucket_count(docs)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first places) of equal keys, which are given the most important one first."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
+class Cell:
+    """The different texts of a cell, in an order of their own, with the least id of each. `full` anchors are a shard's number, then 32 bits: anchors
+    that collide are treated as one, as windows are compared by bytes."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], shards: int, length: int, gram: int):
+        held: dict[bytes, int] = {}
+        for i, t in rows:
+            if len(t) >= length and held.get(t, NO_ID + 1) > i:
+                held[t] = i
+        self.texts = sorted(held)
+        self.least = np.array([held[t] for t in self.texts], np.int64)
+        self.shards, self.length, self.gram = np.uint64(shards), length, gram
+
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard of each text, two halves of its hash)."""
+        wide = b"".join(map(xxhash.xxh3_128_digest, self.texts))
+        a, b = np.frombuffer(wide, np.uint64).reshape(-1, 2).T
+        return (a % self.shards).astype(np.int64), a, b
+
+    def runs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first window, last window, full anchor) of the runs of the texts."""
+        out, part, size = [], [], 0
+        for k in [*which.tolist(), -1]:
+            if k >= 0:
+                part.append(k)
+                size += len(self.texts[k])
+            if part and (k < 0 or size >= PART):
+                d, a, b, v = anchor_runs([self.texts[j] for j in part], self.length, self.gram)
+                out.append((np.array(part)[d], a.astype(np.uint32), b.astype(np.uint32), v % self.shards << np.uint64(32) | (v // self.shards & np.uint64(0xFFFFFFFF))))
+                part, size = [], 0
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def entries(self, d: np.ndarray, a: np.ndarray, b: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of runs: each one's entry; the entries' full anchors, context hashes, least ids, and a run of each."""
+        texts, length = self.texts, self.length
+        h = np.fromiter((xxhash.xxh64_intdigest(texts[k][x : y + length]) for k, x, y in zip(d.tolist(), a.tolist(), b.tolist())), np.uint64, len(d))
+        order, first = _groups(full, h)
+        entry = np.empty(len(d), np.int64)
+        entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(d))))
+        ids = np.minimum.reduceat(self.least[d[order]], first) if len(first) else np.zeros(0, np.int64)
+        return entry, full[order[first]], h[order[first]], ids, order[first]
+
+
+def _by_shard(full: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """full is in order."""
+    cuts = np.searchsorted(full, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
+    return ((k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if a < b)
+
+
+def _code(full: np.ndarray) -> np.ndarray:
+    return (full & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _bits(x: np.ndarray) -> tuple[np.ndarray, int]:
+    return np.packbits(x), len(x)
+
+
+def _unbits(x: tuple[np.ndarray, int]) -> np.ndarray:
+    return np.unpackbits(x[0], count=x[1]).astype(bool)
+
+
+def _join(parts: list[np.ndarray], kind=bool) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+# What cells send, and what shards answer. An answer goes back to the cell, in the order of what it sent.
+
+
+def _send_anchors(cell: Cell, number: int) -> Iterator[tuple[int, bytes]]:
+    shards = int(cell.shards)
+    d, _, _, full = cell.runs(np.arange(len(cell.texts)))
+    order, first = _groups(full)
+    last = np.append(first[1:], len(order)) - 1
+    twice = d[order[first]] != d[order[last]] if len(first) else np.zeros(0, bool)
+    full = full[order[first]]
+    to, x, y = cell.names()
+    at = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[at], np.arange(shards + 1))
+    mine = dict(_by_shard(full, shards))
+    for s in range(shards):
+        own, texts = mine.get(s, slice(0, 0)), at[cuts[s] : cuts[s + 1]]
+        if own.start < own.stop or len(texts):
+            yield pack(s, {"cell": number, "anchors": planes(np.diff(_code(full[own]), prepend=np.uint32(0))), "twice": _bits(twice[own]), "text": (x[texts], y[texts]), "least": cell.least[texts]})
+
+
+def _answer_anchors(shard: int, payloads: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
+    held = list(payloads)
+    code = [np.cumsum(unplanes(p["anchors"], np.uint32), dtype=np.uint32) for p in held]
+    twice = _join([_unbits(p["twice"]) for p in held])
+    order, first = _groups(np.concatenate(code))
+    size = np.diff(np.append(first, len(order)))
+    shared = np.empty(len(order), bool)
+    shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(twice[order], first) if len(first) else size > 1, size)
+    ids = np.concatenate([p["least"] for p in held])
+    order, first = _groups(*(np.concatenate([p["text"][k] for p in held]) for k in (0, 1)))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], first) if len(first) else ids, np.diff(np.append(first, len(order))))
+    a = b = 0
+    for p, c in zip(held, code):
+        yield pack(p["cell"], {"from": shard, "shared": _bits(shared[a : a + len(c)]), "open": _bits(least[b : b + len(p["least"])] == p["least"])})
+        a, b = a + len(c), b + len(p["least"])
+
+
+def _state_after_anchors(cell: Cell, answers: list[dict]) -> tuple[dict, tuple]:
+    """Which texts are open, which of them have shared anchors, which of those texts' runs are shared; and these runs."""
+    answers = sorted(answers, key=lambda p: p["from"])
+    shared = _join([_unbits(p["shared"]) for p in answers])
+    to, _, _ = cell.names()
+    is_open = np.zeros(len(cell.texts), bool)
+    is_open[np.argsort(to, kind="stable")] = _join([_unbits(p["open"]) for p in answers])
+    d, a, b, full = cell.runs(np.arange(len(cell.texts)))
+    order, first = _groups(full)
+    mask = np.empty(len(d), bool)
+    mask[order] = np.repeat(shared, np.diff(np.append(first, len(order))))
+    mask &= is_open[d]
+    which = np.unique(d[mask])
+    some = np.zeros(len(cell.texts), bool)
+    some[which] = True
+    state = {"open": _bits(is_open), "some": _bits(some), "runs": _bits(mask[some[d]])}
+    return state, (d[mask], a[mask], b[mask], full[mask])
+
+
+def _runs_of(cell: Cell, state: dict) -> tuple:
+    """The shared runs of the open texts again."""
+    runs = cell.runs(np.flatnonzero(_unbits(state["some"])))
+    mask = _unbits(state["runs"])
+    return tuple(x[mask] for x in runs)
+
+
+def _send_contexts(cell: Cell, number: int, answers: list[dict]) -> Iterator[tuple[int, bytes]]:
+    shards = int(cell.shards)
+    state, runs = _state_after_anchors(cell, answers)
+    _, full, h, ids, _ = cell.entries(*runs)
+    yield pack(number % shards, {"cell": number, "state": state})
+    for s, own in _by_shard(full, shards):
+        yield pack(s, {"cell": number, "anchors": planes(np.diff(_code(full[own]), prepend=np.uint32(0))), "hash": h[own], "ids": planes(ids[own])})
+
+
+def _answer_contexts(shard: int, payloads: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
+    held = []
+    for p in payloads:
+        if "state" in p:
+            yield pack(p["cell"], p)
+        else:
+            held.append(p)
+    if not held:
+        return
+    code = [np.cumsum(unplanes(p["anchors"], np.uint32), dtype=np.uint32) for p in held]
+    sizes = [len(c) for c in code]
+    code, h, ids = np.concatenate(code), np.concatenate([p["hash"] for p in held]), np.concatenate([unplanes(p["ids"], np.int64) for p in held])
+    order, first = _groups(code, h)
+    closed, several = np.empty(len(code), bool), np.empty(len(code), bool)
+    closed[order] = ids[order] > np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(order))))
+    anchor = code[order[first]]
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    contexts = np.diff(np.append(np.flatnonzero(new), len(anchor)))[np.cumsum(new) - 1]
+    several[order] = np.repeat(contexts > 1, np.diff(np.append(first, len(order))))
+    at = 0
+    for p, n in zip(held, sizes):
+        yield pack(p["cell"], {"from": shard, "closed": _bits(closed[at : at + n]), "wanted": _bits((several & ~closed)[at : at + n])})
+        at += n
+
+
+def _state_after_contexts(answers: list[dict]) -> dict:
+    state = next(p["state"] for p in answers if "state" in p)
+    answers = sorted((p for p in answers if "from" in p), key=lambda p: p["from"])
+    return state | {k: _bits(_join([_unbits(p[k]) for p in answers])) for k in ("closed", "wanted")}
+
+
+def _send_bytes(cell: Cell, number: int, answers: list[dict]) -> Iterator[tuple[int, bytes]]:
+    shards = int(cell.shards)
+    state = _state_after_contexts(answers)
+    yield pack(number % shards, {"cell": number, "state": state})
+    d, a, b, full = _runs_of(cell, state)
+    _, full, h, ids, run = cell.entries(d, a, b, full)
+    wanted = np.flatnonzero(_unbits(state["wanted"]))
+    full, h, ids, run = full[wanted], h[wanted], ids[wanted], run[wanted]
+    for s, own in _by_shard(full, shards):
+        cut = [cell.texts[k][x : y + cell.length] for k, x, y in zip(d[run[own]].tolist(), a[run[own]].tolist(), b[run[own]].tolist())]
+        yield pack(s, {"cell": number, "anchors": _code(full[own]), "hash": h[own], "ids": planes(ids[own]), "size": np.array([len(x) for x in cut], np.uint32), "bytes": b"".join(cut)}, 3)
+
+
+def repeated_windows(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, length: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end), merged, of the windows that a context of a smaller id has as well. t: contexts as bytes plus one, each with a 0 at its end."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rest = np.zeros(0, np.int64)  # the windows of the class that may go on in the next piece
+
+    def settle(windows: np.ndarray, new: np.ndarray) -> None:
+        if len(windows):
+            of = np.searchsorted(starts, windows, side="right") - 1
+            own, first = ids[of], np.flatnonzero(new)
+            gone = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own)))) < own
+            found.append((of[gone], windows[gone] - starts[of[gone]], windows[gone] - starts[of[gone]] + length))
+
+    for p, common in suffixes_down(t, length, scratch):
+        # A suffix that is no window shares fewer than `length` bytes with any that is.
+        window = p + length <= ends[np.searchsorted(starts, p, side="right") - 1]
+        p, new = p[window], common[window] < length
+        if not len(p):
+            continue
+        if new[0]:
+            settle(rest, np.arange(len(rest)) == 0)
+            rest = rest[:0]
+        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if last or new[0]:
+            done, flags = np.append(rest, p[:last]), np.append(np.zeros(len(rest), bool), new[:last])
+            flags[:1] = True
+            settle(done, flags)
+            rest = p[last:]
+        else:
+            rest = np.append(rest, p)
+    settle(rest, np.arange(len(rest)) == 0)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return _merge_by(*map(np.concatenate, zip(*found)))
+
+
+def _answer_bytes(rows: int, length: int):
+    def answer(shard: int, payloads: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
+        with Scratch(rows) as scratch:
+            senders, entry, sizes, ids = [], [], [], []
+            known: dict[tuple[int, int], int] = {}
+            parts, size, n = [], 0, 0
+
+            def spill() -> None:
+                nonlocal parts, size
+                if size:
+                    t = scratch.array(size, np.uint16)
+                    t[:] = np.frombuffer(b"".join(parts), np.uint8)
+                    t += np.uint16(1)
+                    texts.append(t)
+                    parts, size = [], 0
+
+            texts: list[np.ndarray] = []
+            for p in payloads:
+                if "state" in p:
+                    yield pack(p["cell"], p)
+                    continue
+                at = np.cumsum(p["size"].astype(np.int64))
+                own = []
+                for k, (key, i, a, b) in enumerate(zip(zip(p["anchors"].tolist(), p["hash"].tolist()), unplanes(p["ids"], np.int64).tolist(), (at - p["size"]).tolist(), at.tolist())):
+                    j = known.setdefault(key, n)
+                    own.append(j)
+                    if j == n:
+                        n += 1
+                        parts.append(p["bytes"][a:b] + b"\0")
+                        sizes.append(b - a)
+                        ids.append(i)
+                        size += b - a + 1
+                entry.append(np.array(own))
+                senders.append(p["cell"])
+                if size > scratch.rows:
+                    spill()
+            if not n:
+                return
+            spill()
+            t = scratch.array(sum(map(len, texts)), np.uint16) if len(texts) > 1 else texts[0]
+            if len(texts) > 1:
+                np.concatenate(texts, out=t)
+            del known
+            sizes, ids = np.array(sizes), np.array(ids)
+            ends = np.cumsum(sizes + 1) - 1
+            starts = ends - sizes
+            t[ends] = 0
+            of, a, b = repeated_windows(t, starts, ends, ids, length, scratch)
+            for cell, own in zip(senders, entry):
+                lo, hi = np.searchsorted(of, own), np.searchsorted(of, own, side="right")
+                m = hi - lo
+                pick = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield pack(cell, {"from": shard, "n": len(own), "at": np.repeat(np.arange(len(own)), m), "a": a[pick], "b": b[pick]})
+
+    return answer
+
+
+def _spans(cell: Cell, answers: list[dict]) -> dict[int, list[tuple[int, int]]]:
+    """Of each text, what its least id loses."""
+    state = next(p["state"] for p in answers if "state" in p)
+    d, a, b, full = _runs_of(cell, state)
+    entry, _, _, ids, _ = cell.entries(d, a, b, full)
+    closed, wanted = _unbits(state["closed"]), np.flatnonzero(_unbits(state["wanted"]))
+    whole = np.flatnonzero(closed[entry] | (cell.least[d] > ids[entry])) if len(d) else np.zeros(0, np.int64)
+    of, x, y = [d[whole]], [a[whole].astype(np.int64)], [b[whole].astype(np.int64) + cell.length]
+    base = 0
+    by_entry = np.argsort(entry, kind="stable")
+    for p in sorted((p for p in answers if "from" in p), key=lambda p: p["from"]):
+        e = wanted[base + p["at"]]
+        base += p["n"]
+        lo, hi = np.searchsorted(entry[by_entry], e), np.searchsorted(entry[by_entry], e, side="right")
+        m = hi - lo
+        run = by_entry[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        of.append(d[run])
+        x.append(a[run] + np.repeat(p["a"], m))
+        y.append(a[run] + np.repeat(p["b"], m))
+    of, x, y = _merge_by(np.concatenate(of), np.concatenate(x), np.concatenate(y))
+    out: dict[int, list[tuple[int, int]]] = {k: [(0, len(cell.texts[k]))] for k in np.flatnonzero(~_unbits(state["open"])).tolist()}
+    for k, i, j in zip(of.tolist(), x.tolist(), y.tolist()):
+        out.setdefault(k, []).append((i, j))
+    return out
+
+
+def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cell_bytes: int = CELL, rows: int = ROWS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, starts, ends, kept_sha256, kept): kept is the text that is left, as bytes. rows: tuples a queue holds in memory."""
+    shards = bucket_count(docs)
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    cells = max(shards, -(-total // cell_bytes))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
+    texts = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(cells)).cast("int").alias("bucket"), "id", "text").groupBy("bucket")
     longs = T.ArrayType(T.LongType())
     schema = T.StructType(
         [T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
         + [T.StructField("starts", longs), T.StructField("ends", longs), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
     )
 
-    def cut(held: list[dict], rows: Iterator[tuple]) -> Iterator:
-        if held and "by" not in held[0]:
-            i, r, a, b = (np.concatenate([x[k] for x in held]) for k in ("id", "row", "a", "b"))
-            order = np.lexsort((r, i))
-            i, r, a, b = i[order], r[order], a[order].astype(np.int64), b[order].astype(np.int64)
-            s = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]))) if len(i) else []
-            held[0]["by"] = {(int(i[x]), int(r[x])): (a[x:y], b[x:y]) for x, y in zip(s, np.append(s[1:], len(i)).astype(np.int64))}
-        by = held[0]["by"] if held else {}
-        for i, t in rows:
-            got = by.get((_id(i), text_hash(t))) if by else None
-            runs = merge_spans(*got) if got else []
-            parts, end = [], 0
-            for x, y in runs:
-                parts.append(t[end:x])
+    def rows_of(table: pa.Table) -> tuple[int, list[tuple[int, bytes]]]:
+        ids, values = table.column("id").to_pylist(), table.column("text").to_pylist()
+        return table.column("bucket")[0].as_py(), [(NO_ID if i is None else i, t or b"") for i, t in zip(ids, values)]
+
+    def first(table: pa.Table) -> pa.Table:
+        number, here = rows_of(table)
+        return emit(list(_send_anchors(Cell(here, shards, length, gram), number)))
+
+    def answered(send):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return emit([])
+            number, here = rows_of(table)
+            return emit(list(send(Cell(here, shards, length, gram), number, [unpack(x.as_py()) for x in answers.column("payload")])))
+
+        return run
+
+    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        _, here = rows_of(table) if table.num_rows else (0, [])
+        cell = Cell(here, shards, length, gram)
+        place = {t: k for k, t in enumerate(cell.texts)}
+        spans = _spans(cell, [unpack(x.as_py()) for x in answers.column("payload")]) if here else {}
+        made = []
+        for (i, t), own in zip(here, table.column("id").to_pylist()):
+            k = place.get(t)
+            gone = [] if k is None else [(0, len(t))] if i > cell.least[k] else spans.get(k, [])
+            kept, end = [], 0
+            for x, y in gone:
+                kept.append(t[end:x])
                 end = y
-            kept = b"".join([*parts, t[end:]])
-            yield i, len(t), len(t) - len(kept), len(runs), [x for x, _ in runs], [y for _, y in runs], hashlib.sha256(kept).hexdigest(), kept
+            kept = b"".join([*kept, t[end:]])
+            made.append((own, len(t), len(t) - len(kept), len(gone), [x for x, _ in gone], [y for _, y in gone], hashlib.sha256(kept).hexdigest(), kept))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(arrow), arrow)], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return meet_texts(texts, spans, F.pmod(F.coalesce(F.col("id"), F.lit(NO_ID)), F.lit(buckets)), cut, schema)
+    arrow = to_arrow_schema(schema)
+    met = reduce_streamed(texts.applyInArrow(first, PACKED), _answer_anchors)
+    met = reduce_streamed(texts.cogroup(met.groupBy("bucket")).applyInArrow(answered(_send_contexts), PACKED), _answer_contexts)
+    met = reduce_streamed(texts.cogroup(met.groupBy("bucket")).applyInArrow(answered(_send_bytes), PACKED), _answer_bytes(rows, length))
+    return texts.cogroup(met.groupBy("bucket")).applyInArrow(cut, schema)
