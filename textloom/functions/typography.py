@@ -1,38 +1,82 @@
-"""Typographic quotes and ellipses."""
+"""Typographic quotes and ellipses, by scanning characters."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from textloom.functions.patterns import SINGLE_TAGS
 
 _BLANK = re.compile(r"\n\s*\n")
-_QUOTED = re.compile(r"(?m)(?P<before>^|\s|—)(?:\"(?P<double>[^\"“”]*)\"|'(?P<single>[^'‘’]*)')(?P<after>\s|$|[.,;:?!—)])")
 _TAG = re.compile("|".join(c.pattern for c in SINGLE_TAGS), re.DOTALL)
-_DOTS = re.compile(r"(?m)(?P<before>^|[\w\"'“‘])(?P<gap>\s*)\.\.\.(?P<mark>[.,:;?!)\-—\"'”’]?)(?P<space>\s*)")
+
+# The curly forms of a straight quote, what may stand around a quoted passage besides white space, what a word before an
+# ellipsis may end in besides letters, and the marks that may follow one.
+CURLY = {'"': "“”", "'": "‘’"}
+BEFORE_QUOTE, AFTER_QUOTE = "—", ".,;:?!—)"
+BEFORE_DOTS, AFTER_DOTS = "\"'“‘", ".,:;?!)-—\"'”’"
 
 
 def has_paragraphs(text: str) -> bool:
     return _BLANK.search(text) is not None
 
 
-def _pair(m: re.Match[str]) -> str:
-    inner = m["single"] if m["double"] is None else m["double"]
-    if has_paragraphs(inner):
-        return m[0]
-    left, right = "‘’" if m["double"] is None else "“”"
-    return m["before"] + left + inner + right + m["after"]
+def _wordlike(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _starts_line(text: str, i: int) -> bool:
+    return i == 0 or text[i - 1] == "\n"
+
+
+def _first_of(text: str, chars: str, start: int) -> int:
+    """Where one of chars comes first from start on; the end if none does."""
+    return min((k for k in (text.find(c, start) for c in chars) if k >= 0), default=len(text))
 
 
-def _apostrophe(m: re.Match[str]) -> str:
-    word = m[0]
-    if word.count("'") == 1 and (re.search(r"\w'\w", word) or re.fullmatch(r"\w*[sS]'", word)):
-        return word.replace("'", "’")
-    return word
+def _quoted(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the opening and the closing straight quote of passages that stand free. A passage's surroundings belong to it alone."""
+    free, i = 0, _first_of(text, "\"'", 0)
+    while i < len(text):
+        opens = _starts_line(text, i) or (i > free and (text[i - 1].isspace() or text[i - 1] in BEFORE_QUOTE))
+        if opens:
+            j = _first_of(text, text[i] + CURLY[text[i]], i + 1)
+            after = text[j + 1 : j + 2]
+            if j < len(text) and text[j] == text[i] and (not after or after.isspace() or after in AFTER_QUOTE):
+                yield i, j
+                free = i = j + 1 + len(after)
+                i = _first_of(text, "\"'", i)
+                continue
+        i = _first_of(text, "\"'", i + 1)
+
+
+def _apostrophe(word: str) -> int:
+    """Where word has an apostrophe between letters, or at its end after an s; -1 if not, or if it has several."""
+    k = word.find("'")
+    if k < 0 or word.find("'", k + 1) >= 0:
+        return -1
+    inside = 0 < k < len(word) - 1 and _wordlike(word[k - 1]) and _wordlike(word[k + 1])
+    possessive = k == len(word) - 1 and word[k - 1 : k] in ("s", "S") and all(map(_wordlike, word[:k]))
+    return k if inside or possessive else -1
 
 
 def _quote(text: str) -> str:
-    return re.sub(r"\S+", _apostrophe, _QUOTED.sub(_pair, text))
+    if "'" not in text and '"' not in text:
+        return text
+    out = list(text)
+    for i, j in _quoted(text):
+        if not has_paragraphs(text[i + 1 : j]):
+            out[i], out[j] = CURLY[text[i]]
+    if "'" in text:
+        now = "".join(out)
+        at = 0
+        for word in now.split():
+            at = now.index(word, at)
+            k = _apostrophe(word)
+            if k >= 0:
+                out[at + k] = "’"
+            at += len(word)
+    return "".join(out)
 
 
 def smart_quotes(text: str) -> str:
@@ -44,19 +88,36 @@ def smart_quotes(text: str) -> str:
     return "".join([*out, _quote(text[at:])])
 
 
-def _word(c: str) -> bool:
-    return re.match(r"\w", c) is not None
+def _blank_run(text: str, i: int, step: int, stop: int) -> int:
+    """How far white space goes from i on (step 1), or before i (step -1)."""
+    while i != stop and text[i if step > 0 else i - 1].isspace():
+        i += step
+    return i
 
 
 def ellipses(text: str) -> str:
     """Three dots next to a word or at an edge made one character, with spaces between it and words."""
-
-    def dots(m: re.Match[str]) -> str:
-        then = text[m.end() : m.end() + 1]
-        if then and not (_word(then) or then == "\n"):
-            return m[0]
-        gap = m["gap"] or (" " if _word(m["before"]) else "")
-        space = m["space"] or (" " if _word(then) and not m["mark"] else "")
-        return m["before"] + gap + "…" + m["mark"] + space
-
-    return _DOTS.sub(dots, text)
+    out: list[str] = []
+    done = 0  # what lies before is settled
+    k = text.find("...")
+    while k >= 0:
+        gap = _blank_run(text, k, -1, done)
+        before = text[gap - 1] if gap > done else ""
+        if not (before and (_wordlike(before) or before in BEFORE_DOTS)):
+            before = ""
+            gap = next((p for p in range(gap, k + 1) if _starts_line(text, p)), -1)
+        if gap >= 0:
+            mark = text[k + 3 : k + 4]
+            mark = mark if mark and mark in AFTER_DOTS else ""
+            here = k + 3 + len(mark)
+            end = _blank_run(text, here, 1, len(text))
+            then = text[end : end + 1]
+            if not then or _wordlike(then):
+                left = text[gap:k] or (" " if before and _wordlike(before) else "")
+                right = text[here:end] or (" " if then and not mark else "")
+                out += [text[done:gap], left, "…", mark, right]
+            else:
+                out.append(text[done:end])
+            done = end
+        k = text.find("...", max(k + 1, done))
+    return "".join([*out, text[done:]])
