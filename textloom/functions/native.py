@@ -11,6 +11,11 @@ _TOUCHING = [(c + o, c + " " + o) for o, c, _ in TAG_MARKS.values()]
 _OPENS = r"(?:\{%|\{#|\{\{|<!--)"
 _CLOSES = r"(?:%\}|#\}|\}\}|-->)"
 _STRINGS = "cast(array() as array<string>)"
+#: White space as Python has it, inside a character class; Java's \s is the ASCII part alone.
+_S = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def lines(text: Column) -> Column:
@@ -19,15 +24,15 @@ def lines(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end, line ends included."""
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"^[{_S}]+|[{_S}]+\z", "")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{_S}]+"), lambda w: w != "")
 
 
 def squeezed(text: Column) -> Column:
-    return trimmed(F.regexp_replace(text, r"\s+", " "))
+    return trimmed(F.regexp_replace(text, f"[{_S}]+", " "))
 
 
 def part_tags(text: Column) -> Column:
@@ -143,16 +148,33 @@ def ends_sentence(word: Column) -> Column:
     return word.rlike(SENTENCE_END)
 
 
+def _with(value: Column, fn) -> Column:
+    """fn(value), with value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _runs(ws: Column, starts: Column, head=lambda w: w) -> Column:
+    """Words joined by spaces, a run from each start to the next; head: of a run's first word, from the second run on."""
+
+    def run(start, i):
+        end = F.coalesce(F.get(starts, i + 1), F.size(ws))
+        more = F.slice(ws, start + 2, end - start - 1)
+        first = F.get(ws, start)
+        return F.array_join(F.concat(F.array(F.when(i > 0, head(first)).otherwise(first)), more), " ")
+
+    return F.transform(starts, run)
+
+
 def split_sentences(text: Column, min_length: int = MIN_SENTENCE) -> Column:
-    """A fold over words: a sentence ends at a word that looks like an end, once it is long enough."""
-    start = F.struct(F.expr(_STRINGS).alias("done"), F.lit("").alias("now"))
+    """A fold over words: a sentence ends at a word that looks like an end, once it is long enough. Only places are folded; words are joined at the end."""
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"), F.lit(-1).alias("size"))
 
     def step(acc, w):
-        now = F.when(acc["now"] == "", w).otherwise(F.concat(acc["now"], F.lit(" "), w))
-        ends = ends_sentence(w) & (F.length(now) >= min_length)
-        return F.struct(F.when(ends, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"), F.when(ends, "").otherwise(now).alias("now"))
+        size = acc["size"] + F.length(w) + 1
+        starts = F.when(acc["size"] < 0, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when((size >= min_length) & ends_sentence(w), -1).otherwise(size).alias("size"))
 
-    return F.aggregate(words(text), start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    return _with(words(text), lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts)))
 
 
 def first_sentences(text: Column, n: int, min_length: int = MIN_SENTENCE) -> Column:
@@ -176,18 +198,18 @@ def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int =
     if width <= 0:
         whole = squeezed(text)
         return F.when(whole == "", F.expr(_STRINGS)).otherwise(F.array(whole))
-    # An empty `now` means that the line has no word yet; only then it may start at `column`.
-    start = F.struct(F.expr(_STRINGS).alias("done"), F.lit("").alias("now"), F.lit(column).alias("used"))
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"), F.lit(column).alias("used"))
 
     def step(acc, w):
-        need = F.length(w) + F.when(acc["now"] == "", 0).otherwise(1)
+        # The first word may start at `column`; one that is too wide counts as at `offset`.
+        need = F.length(w) + F.when(acc["at"] == 0, 0).otherwise(1)
         fits = acc["used"] + need <= width
-        done = F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        new = F.when(F.size(done) > 0, escape_word(w)).otherwise(w) if markdown else w
-        joined = F.when(acc["now"] == "", w).otherwise(F.concat(acc["now"], F.lit(" "), w))
-        return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("now"), (acc["used"] + need).alias("used"))).otherwise(F.struct(done.alias("done"), new.alias("now"), (F.lit(offset) + F.length(new)).alias("used")))
+        new = F.when(acc["at"] == 0, w).otherwise(escape_word(w)) if markdown else w
+        starts = F.when(fits & (acc["at"] > 0), acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"])))
+        return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when(fits, acc["used"] + need).otherwise(F.lit(offset) + F.length(new)).alias("used"))
 
-    return F.aggregate(words(text), start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+    head = escape_word if markdown else lambda w: w
+    return _with(words(text), lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts, head)))
 
 
 def wrap_text(text: Column, width: int = WIDTH, first: str = "", rest: str = "", markdown: bool = False) -> Column:
@@ -204,7 +226,8 @@ def fill_text(text: Column, style: str = "wrap", width: int = WIDTH) -> Column:
 
     s = STYLES[style]
     if not s.wraps:
-        return F.array_join(F.transform(lines(text), lambda x: F.concat(F.lit(s.first), x)), "\n")
+        rows = F.split(F.regexp_replace(text, rf"(?:{_LINE_END})\z", ""), _LINE_END, -1)
+        return F.when(text == "", "").otherwise(F.array_join(F.transform(rows, lambda x: F.concat(F.lit(s.first), x)), "\n"))
     fill = lambda first: lambda p: wrap_text(p, width - len(s.rest), first, s.rest)
     paragraphs = split_paragraphs(text)
     if not s.hangs:

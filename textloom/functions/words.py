@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import regex
 
-from textloom.functions.patterns import MIN_SENTENCE, PROSE, SENTENCE_END, TAG_MARKS, WRAPPING, Construct
+from textloom.functions.patterns import CODE_SPAN, MIN_SENTENCE, PROSE, SENTENCE_END, TAG_MARKS, WRAPPING, Construct
 
 
 class Span(NamedTuple):
@@ -27,20 +27,80 @@ class Word(NamedTuple):
 
 
 @lru_cache(maxsize=32)
-def _alternation(constructs: tuple[Construct, ...]) -> re.Pattern[str]:
-    return re.compile("|".join(f"(?P<{c.name}>{c.pattern})" for c in constructs), re.DOTALL)
+def _alternation(constructs: tuple[Construct, ...]) -> re.Pattern[str] | None:
+    """Of all but code spans, which are found without backtracking."""
+    rest = [c for c in constructs if c is not CODE_SPAN]
+    return re.compile("|".join(f"(?P<{c.name}>{c.pattern})" for c in rest), re.DOTALL) if rest else None
+
+
+_TICKS = re.compile("`+")
+
+
+def code_spans(text: str) -> Iterator[tuple[int, int]]:
+    """What CODE_SPAN matches, one after the other from any place on: the generator is sent the place to go on from.
+
+    A span starts with as many ticks of a run as close again later, and holds something else. A number of ticks that is missing from one place on is
+    missing from all later ones, so text without an end isn't scanned again.
+    """
+    missing = len(text) + 1
+    i, run = text.find("`"), 0
+    while i >= 0:
+        if run <= i:  # the end of the ticks from i on
+            run = _TICKS.match(text, i).end()
+        span = None
+        for k in range(min(run - i, missing - 1), 0, -1):
+            j = text.find("`" * k, i + k)
+            if j == i + k:
+                break  # fewer ticks are closed at once as well
+            if j >= 0:
+                span = i, j + k
+                break
+            missing = k
+        if span is None:
+            i = text.find("`", i + 1)
+            continue
+        while (now := (yield span)) is not None and now <= i:
+            pass
+        i = text.find("`", span[1] if now is None else now)
+
+
+def _found(text: str, constructs: tuple[Construct, ...]) -> Iterator[tuple[int, int, str]]:
+    """The constructs' matches from left to right; of those that start at one place, the first listed one's."""
+    names = {c.name for c in constructs}
+    # Without its closing mark, a tag is sought in vain from each opening one.
+    constructs = tuple(c for c in constructs if (mark := TAG_MARKS.get(c.name.partition("_")[2])) is None or mark[1] in text)
+    pattern = _alternation(constructs)
+    if "`" not in text or CODE_SPAN not in constructs:
+        if pattern:
+            yield from ((*m.span(), next(k for k, v in m.groupdict().items() if v is not None and k in names)) for m in pattern.finditer(text))
+        return
+    spans = code_spans(text)
+    code = next(spans, None)
+    other = pattern.search(text) if pattern else None
+    while code or other:
+        if code and (not other or code[0] <= other.start()):
+            yield *code, CODE_SPAN.name
+            at = code[1]
+        else:
+            yield *other.span(), next(k for k, v in other.groupdict().items() if v is not None and k in names)
+            at = max(other.end(), other.start() + 1)
+        if code and code[0] < at:
+            try:
+                code = spans.send(at)
+            except StopIteration:
+                code = None
+        if other and other.start() < at:
+            other = pattern.search(text, at)
 
 
 def atomic_spans(text: str, constructs: tuple[Construct, ...] = WRAPPING) -> list[Span]:
     """text cut into constructs and the gaps between them; the spans' texts add up to text."""
     out, at = [], 0
     if constructs:
-        names = {c.name for c in constructs}
-        for m in _alternation(constructs).finditer(text):
-            a, b = m.span()
+        for a, b, name in _found(text, constructs):
             if at < a:
                 out.append(Span(text[at:a], at, a, False, None))
-            out.append(Span(m[0], a, b, True, next(k for k, v in m.groupdict().items() if v is not None and k in names)))
+            out.append(Span(text[a:b], a, b, True, name))
             at = b
     if at < len(text):
         out.append(Span(text[at:], at, len(text), False, None))
@@ -48,10 +108,14 @@ def atomic_spans(text: str, constructs: tuple[Construct, ...] = WRAPPING) -> lis
 
 
 _RUN = re.compile(r"\S+")
+#: Every construct that holds white space has one of these characters; a bare URL holds none.
+_CONSTRUCT_MARK = re.compile(r"[`\[<{]")
 
 
 def atomic_words(text: str, constructs: tuple[Construct, ...] = WRAPPING) -> list[Word]:
     """Words between white space; white space inside a construct doesn't count, and a construct sticks to what it touches."""
+    if _CONSTRUCT_MARK.search(text) is None:
+        return [Word(m[0], *m.span()) for m in _RUN.finditer(text)]
     pieces: list[tuple[int, int]] = []
     for s in atomic_spans(text, constructs):
         pieces += [(s.start, s.end)] if s.is_atomic else [(s.start + m.start(), s.start + m.end()) for m in _RUN.finditer(s.text)]

@@ -11,9 +11,18 @@ from textloom.functions import native, udfs
 from textloom.functions.formatting import AUTO, FILES, Format
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores at least. A file of one row group is one task however large it is; a wide scan, and anything
+    behind a shuffle, stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() or docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def format_corpus(docs: DataFrame, options: Format = Format(), text: str = "text", out: str = "formatted") -> DataFrame:
     """docs with the formatted text. All passes are one call: a document is parsed once."""
-    return docs.withColumn(out, udfs.reformat(options)(F.col(text)))
+    return spread(docs).withColumn(out, udfs.reformat(options)(F.col(text)))
 
 
 def changed(docs: DataFrame, options: Format = FILES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,21 +38,21 @@ def auto(options: Format = FILES) -> Format:
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 15) -> DataFrame:
     """(key, sid, text, start, end), a row for each sentence."""
-    at = docs.select(key, F.posexplode(udfs.sentence_spans(min_length)(F.col(text))).alias("sid", "s"))
+    at = spread(docs).select(key, F.posexplode(udfs.sentence_spans(min_length)(F.col(text))).alias("sid", "s"))
     return at.select(key, "sid", "s.text", "s.start", "s.end")
 
 
 def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    at = docs.select(key, F.posexplode(udfs.atomic_words()(F.col(text))).alias("pos", "w"))
+    at = spread(docs).select(key, F.posexplode(udfs.atomic_words()(F.col(text))).alias("pos", "w"))
     return at.select(key, "pos", "w.text", "w.start", "w.end")
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.inline(udfs.blocks()(F.col(text))))
+    return spread(docs).select(key, F.inline(udfs.blocks()(F.col(text))))
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", include_autolinks: bool = True, include_images: bool = False) -> DataFrame:
-    at = docs.select(key, F.posexplode(udfs.links(include_autolinks, include_images)(F.col(text))).alias("ord", "l"))
+    at = spread(docs).select(key, F.posexplode(udfs.links(include_autolinks, include_images)(F.col(text))).alias("ord", "l"))
     return at.select(key, "ord", "l.text", "l.url", "l.title")
 
 

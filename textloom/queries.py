@@ -167,8 +167,8 @@ query("t13_template_tags", TAGS, lambda d: d.select("id", F.explode(F.regexp_ext
 # Sentences
 
 query("n1_sentence_end", DOCS, lambda d: d.select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", N.ends_sentence(F.col("word")).alias("out")), f"SELECT word, count(*) AS n, regexp_matches(word, '{_END}') AS out FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
-query("n2_sentences", DOCS, lambda d: d.select("id", F.explode(N.split_sentences(F.col("text"))).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(15)} AS r FROM input)")
-query("n2_sentences_any_length", DOCS, lambda d: d.select("id", F.explode(N.split_sentences(F.col("text"), 0)).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(0)} AS r FROM input)")
+query("n2_sentences", DOCS, lambda d: C.spread(d).select("id", F.explode(N.split_sentences(F.col("text"))).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(15)} AS r FROM input)")
+query("n2_sentences_any_length", DOCS, lambda d: C.spread(d).select("id", F.explode(N.split_sentences(F.col("text"), 0)).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(0)} AS r FROM input)")
 scalar("n3_first_sentences", DOCS, lambda t: F.array_join(N.first_sentences(t, 3), "\n"), f"(SELECT coalesce(array_to_string(list_append(r.done, r.now)[1:3], {_NL}), '') FROM (SELECT {_sentences(15)} AS r))")
 scalar("n4_first_sentence", DOCS, N.first_sentence, f"(SELECT coalesce(list_append(r.done, r.now)[1], text) FROM (SELECT {_sentences(15)} AS r))")
 _FLAT = "SELECT doc_id AS id, trim(regexp_replace(text, '[ ' || chr(10) || ']+', ' '{g})) AS text FROM $documents"
@@ -180,7 +180,7 @@ query("n7_sentences_for_wrapping", TALK, lambda d: C.sentences(d, "id", min_leng
 
 # Filling
 
-scalar("w1_wrap_lines", DOCS, lambda t: F.array_join(N.wrap_lines(t, 60), "\n"), _joined(_wrapped(_WORDS, 60)))
+query("w1_wrap_lines", DOCS, lambda d: C.spread(d).select("id", F.array_join(N.wrap_lines(F.col("text"), 60), "\n").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 60))} AS out FROM input")
 scalar("w2_wrap_paragraph", DOCS, lambda t: N.wrap_text(t, 60, "* ", "  "), "(SELECT coalesce('* ' || array_to_string(list_append(r.done, r.now), chr(10) || '  '), '') FROM (SELECT " + _wrapped(_WORDS, 58) + " AS r))")
 scalar("w3_no_wrap", DOCS, lambda t: F.array_join(N.wrap_lines(t, 0), "\n"), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
 scalar("w4_escape_word", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN cast(o_custkey AS string) || '.' WHEN o_orderkey % 4 = 1 THEN '##' WHEN o_orderkey % 4 = 2 THEN '-' ELSE o_orderpriority END AS text FROM $orders", N.escape_word, _ESCAPED.replace("b.now", "text"))
@@ -236,7 +236,7 @@ scalar("r12_dedent", "SELECT c_custkey AS id, '    ' || c_name || chr(10) || chr
 
 query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F.col("text")).alias("out")))
 query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")))
-query("e2_reformat_plaintext", DOCS, lambda d: d.select("id", N.fill_text(F.col("text")).alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
+query("e2_reformat_plaintext", DOCS, lambda d: C.format_corpus(d, Format(plaintext=True)).select("id", F.col("formatted").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
 query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"))
 query("e4_changed", MARKDOWN, lambda d: C.changed(d, FILES, "id"), "SELECT id FROM input")
 query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "formatted"))

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 #: What is included, and the folders that a walk doesn't enter.
 INCLUDE = ("*.md",)
-EXCLUDE = tuple(
-    ".git .hg .svn .bzr .cvs node_modules bower_components vendor .venv venv env .env __pycache__ .tox .nox .mypy_cache .pytest_cache .ruff_cache .eggs *.egg-info dist build target out _build site .next .nuxt .cache .parcel-cache .turbo .terraform .gradle .idea .vscode .DS_Store coverage".split()
-)
+EXCLUDE = (
+    ".git", ".hg", ".svn", ".bzr", "_darcs",
+    ".venv", "venv", "__pycache__", ".tox", ".nox", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".eggs", "*.egg-info",
+    "build", "dist",
+    "node_modules", ".next", ".nuxt", ".output", ".cache", ".parcel-cache", ".turbo",
+    ".idea", ".vscode", ".vs", ".fleet",
+    "coverage", "htmlcov", ".coverage",
+    "vendor", "third_party", "Pods", "target", ".terraform",
+)
 MAX_SIZE = 1 << 20
 
 
