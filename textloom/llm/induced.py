@@ -4,7 +4,7 @@ Types of suffixes (smaller or larger than their successor) and the left-most sma
 sorted by one induction and named; the string of names is sorted by recursion; a second induction from the sorted LMS suffixes
 gives all. Induction scans suffixes in order and puts their predecessors into a priority queue of tuples (symbol, order of arrival,
 position, common prefix with the tuple before). Symbols are taken range by range: a byte is a range of its own and streams through; names are many, so
-a range holds about `rows` of them, and what a range induces within itself is ordered in rounds.
+a range holds about RANGE of them, and what a range induces within itself is ordered in rounds.
 
 The common prefix of two neighbours is one more than the least common prefix between their successors; it is found while they are put
 and travels with them. Only LMS suffixes are compared on the text.
@@ -21,9 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples of a queue in memory.
-ROWS = 1 << 20
-#: Tuples that are looked at together.
-PIECE = 1 << 15
+ROWS = 4 << 20
+#: Tuples that are looked at together, and those of a range of several symbols.
+PIECE, RANGE = 1 << 15, 1 << 14
 _FAR = np.uint16(np.iinfo(np.uint16).max)
 Piece = tuple[np.ndarray, np.ndarray]
 
@@ -149,15 +149,16 @@ class Level:
     """A string of symbols and what induction needs of it. The last symbol is the smallest."""
 
     def __init__(self, t: np.ndarray, symbols: int, scratch: Scratch, each: bool):
-        """each: every symbol is a range; otherwise symbols share ranges of about scratch.rows."""
+        """each: every symbol is a range; otherwise symbols share ranges."""
         self.t, self.scratch, n = t, scratch, len(t)
         self.small = scratch.array(n, bool)
         self.small[n - 1] = True
         for a in reversed(range(0, n - 1, PIECE)):
             b = min(n - 1, a + PIECE)
             u = np.asarray(t[a : b + 1])
-            differs = np.flatnonzero(u[1:] != u[:-1])
-            nth = np.searchsorted(differs, np.arange(b - a))
+            d = u[1:] != u[:-1]
+            differs = np.flatnonzero(d)
+            nth = np.cumsum(d) - d
             up = np.append(u[differs + 1] > u[differs], self.small[b])
             self.small[a:b] = up[nth]
         if each:
@@ -167,11 +168,14 @@ class Level:
             for s in pieces(n):
                 u, k = np.unique(np.asarray(t[s]), return_counts=True)
                 count[u] += k
-            place = (np.cumsum(count) - count) // scratch.rows
-            heavy = count > scratch.rows
+            most = min(scratch.rows, RANGE)
+            place = (np.cumsum(count) - count) // most
+            heavy = count > most
             new = np.append(False, (place[1:] != place[:-1]) | heavy[1:] | heavy[:-1])
             self.of = np.cumsum(new)
         self.alone = np.bincount(self.of) == 1
+        if len(self.alone) < 1 << 16:
+            self.of = self.of.astype(np.uint16)
 
     def lms(self) -> np.ndarray:
         found = []
@@ -300,20 +304,21 @@ class Level:
         link = np.concatenate([none, *link])
         link = np.where(link < 0, n - 1 - link, link)
         members = np.concatenate([*members, given])
+        # One number a suffix: its symbol, whether it is given, and its key.
         symbol = self.t[members].astype(np.int64)
-        symbol = -symbol if small else symbol
-        is_given = np.arange(len(members)) >= n
+        symbol = symbol.max(initial=0) - symbol if small else symbol
+        lead = symbol * 2 + (np.arange(len(members)) >= n) << 40
         key = np.concatenate((np.arange(len(taken)), np.zeros(n - len(taken), np.int64), np.arange(len(given))))
         rank = np.zeros(len(members), np.int64)
         for _ in range(rounds):
             key[len(taken) : n] = len(taken) + rank[link]
-            order = np.lexsort((key, is_given, symbol))
+            order = np.argsort(lead | key)
             now = np.empty_like(rank)
             now[order] = np.arange(len(order))
             if (now == rank).all():
                 break
             rank = now
-        return np.argsort(rank, kind="stable"), members, n
+        return order, members, n
 
 
 def _seeds(level: Level, positions: np.ndarray, common: np.ndarray | None = None) -> TupleQueue:
@@ -343,12 +348,14 @@ def _names(level: Level, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarr
         mixed ^= mixed >> np.uint64(32)
         total[s.start + 1 : s.stop + 1] = total[s.start] + np.cumsum(mixed * power[s.start : s.stop])
     power[n] = pow(r, n, 1 << 64)
-    end, names = scratch.array(len(lms), np.int64), scratch.array(len(lms), np.int64)
+    end, names, place = scratch.array(len(lms), np.int64), scratch.array(len(lms), np.int64), scratch.array(n, np.int64)
     end[:-1], end[-1] = lms[1:], n - 1
+    for s in pieces(len(lms)):
+        place[lms[s]] = np.arange(s.start, s.stop)
     count, was = 0, None
     for s in pieces(len(ordered)):
         p = np.asarray(ordered[s])
-        at = np.searchsorted(lms, p)
+        at = place[p]
         size = end[at] - p + 1
         value = (total[p + size] - total[p]) * power[n - p]
         new = np.append(was is None or was != (size[0], value[0]), (size[1:] != size[:-1]) | (value[1:] != value[:-1]))
@@ -381,7 +388,7 @@ def _sorted_lms(level: Level, depth: int) -> np.ndarray:
     inner = Level(names, count, level.scratch, each=False)
     order = level.scratch.array(len(names), np.int64)
     at = len(names)
-    for p, _ in inner.induce(_seeds(inner, _sorted_lms(inner, (depth + 1) // 2)), depth + 2):
+    for p, _ in inner.induce(_seeds(inner, _sorted_lms(inner, (depth + 1) // 2)), (depth + 1) // 2 + 2):
         order[at - len(p) : at] = np.asarray(p)[::-1]
         at -= len(p)
     for s in pieces(len(order)):
@@ -402,13 +409,19 @@ def suffixes_down(t: np.ndarray, depth: int, scratch: Scratch) -> Iterator[Piece
 
     order = _sorted_lms(level, depth)
     common = scratch.array(len(order), np.uint16)
-    reach = np.arange(depth)
-    for s in pieces(len(order), PIECE // 8):
+    room = len(t) - 1
+    for s in pieces(len(order)):
         j = np.asarray(order[s])
         i = np.append(order[s.start - 1] if s.start else j[0], j[:-1])
-        room = len(t) - 1
-        same = t[np.minimum(i[:, None] + reach, room)] == t[np.minimum(j[:, None] + reach, room)]
-        common[s] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
+        here = np.zeros(len(j), np.uint16)
+        open_ = np.arange(len(j))
+        for at in range(0, depth, 10):
+            reach = np.arange(at, min(depth, at + 10))
+            same = t[np.minimum(i[open_, None] + reach, room)] == t[np.minimum(j[open_, None] + reach, room)]
+            whole = same.all(axis=1)
+            here[open_] += np.where(whole, len(reach), same.argmin(axis=1)).astype(np.uint16)
+            open_ = open_[whole]
+        common[s] = here
     if len(order):
         common[0] = 0
     for p, c in level.induce(_seeds(level, order, common), depth + 2, common_at):
