@@ -1,6 +1,8 @@
 """Learned operators: held-out accuracy, and what they do without data."""
 
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,15 +23,58 @@ def test_toxicity_held_out(spark):
     assert sum(caught) / len(caught) > 0.85
 
 
-def test_toxicity_composition():
+def test_toxicity_clauses():
     from textloom.llm.toxicity import Grammar
 
     g = Grammar({"idiot": 3.0}, {"moron": 2.0})
-    kind = lambda s: (g.clause(s.split()) or ("none",))[0]
-    assert [kind(s) for s in ("an idiot here", "you are an idiot", "not an idiot", "he said idiot", "we will kill you", "a nice day", "moronic stuff")] == ["plain", "targeted", "negated", "reported", "threat", "none", "plain"]
+    kinds = lambda s: sorted(g.clause(s.split()))
+    clauses = {
+        "an idiot here": ["plain"], "you are an idiot": ["targeted"], "not an idiot": ["negated"], "he said idiot": ["reported"], "moronic stuff": ["plain"], "a nice day": [],
+        "we will kill you": ["threat"], "i will not kill you": ["negated"], "he said i will kill you": ["reported"], "we will kill time": [], "kill you": [], "you idiot i will kill you": ["targeted", "threat"],
+    }
+    assert {s: kinds(s) for s in clauses} == clauses
+    weight = lambda s: sum(w for arcs in g.clause(s.split()).values() for w, _ in arcs)
+    assert weight("idiot") == 3.0 and weight("said idiot") == 1.5 and weight("not idiot") == 0.75 and weight("not said idiot") == 0.75
     assert g.features("") == [0.0] * len(g.features(""))
 
 
+def test_toxicity_composition_against_all_paths():
+    """The composed transducer's best path is the best of all paths through its parts one after the other."""
+    from textloom.llm.toxicity import COMPOSED, DAMPED, PARTS, WORD_CLASSES, best_path
+
+    rng = random.Random(4)
+    for _ in range(300):
+        clause = []
+        for k in range(rng.randint(1, 7)):
+            classes = rng.sample(WORD_CLASSES, rng.choice([1, 1, 2]))
+            clause.append((f"w{k}", [(c, float(rng.randint(1, 5)) if c in ("insult", "violence") else 0.0) for c in classes]))
+        found = []
+        for path in itertools.product(*(classes for _, classes in clause)):
+            symbols, end = [s for s, _ in path], ""
+            for part in PARTS:
+                state, out = part.start, []
+                for s in symbols:
+                    state, said = part.arcs[state, s]
+                    out.append(said)
+                symbols, end = out, part.final[state] or end
+            found.append((sum(w * DAMPED.get(s, 0.0) for s, (_, w) in zip(symbols, path)), end))
+        end, (weight, said) = best_path(clause, COMPOSED)
+        assert (weight, end) == max(found) and weight == sum(w for _, w, _ in said)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names."""
+    from textloom.llm.toxicity import Grammar, score_documents
+
+    g = Grammar({"idiot": 3.0}, {}, [-3.0] + [1.0] * 10, 0.1)
+    rows = [(1, None, "a"), (2, "", "b"), (3, "you idiot", "c"), (3, "you idiot", "c"), (None, "idiot " * 200_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("predicted", F.lit("x")).withColumn("__text", F.lit(1))
+    got = {(r.doc_id, round(r.score, 6)) for r in score_documents(docs, g).collect()}
+    base = round(g.score(""), 6)
+    assert {(1, base), (2, base), (3, round(g.score("you idiot"), 6))} < got and len(got) == 4
+    assert score_documents(docs.limit(0), g).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     from textloom.llm.toxicity import score_documents, train
 

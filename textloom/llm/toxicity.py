@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read a clause word by word and are composed: an insult acceptor (a learned lexicon of words and
-word stems with weights), a threat acceptor, a target acceptor (who is addressed), and two that damp what follows,
-negation and reported speech. A clause's match is what the composition makes of it (plain, targeted, negated, reported,
-threat), with the weights of its insults; words outside a match never count. A logistic layer over the sums of a document's matched clauses
-gives the score.
+Transducers over word classes, each a table of arcs, are composed into one: negation and reported speech mark the insults and threats they reach, the threat
+transducer turns a verb of violence after an intention into a threat, the target acceptor tells whether somebody is addressed. An insult's arc weighs what a learned lexicon of
+words and word stems says, marked ones a part of it (DAMPED). A word of several classes has an arc for each; a clause's match is the best path through the composition, and its
+outputs with their weights are sums by kind (plain, targeted, negated, reported, threat). Words outside a matched clause never count; threats only count
+where somebody is addressed. A logistic layer over the sums of a document's matched clauses gives the score.
 
 The lexicon and the layer are learned from a bounded sample of labelled rows (`max_positive`, `max_negative`), half for each; rows of
 the held-out fold are never used. Labels, language, source and id are no inputs of a score.
 
-Defined results: null or empty texts have no clauses and get the score of a document without matches; labels of one document that
+Defined results: null or empty texts have no clauses and get the score of a document without matches; very long texts are read whole, clause by clause; labels of one document that
 contradict each other count as toxic; without labels of both kinds, or with an empty label table, the lexicon is empty and every
-score is the rate of toxic labels (0 without labels); repeated rows are scored each; extra columns are ignored.
+score is the rate of toxic labels (0 without labels); paths of equal weight give way to the first; repeated rows are scored each; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ INTENT = set("will gonna shall must should vais allez werde wirst voy vas".split
 #: A damping word reaches this many words ahead in its clause.
 REACH = 4
 STEM_LENGTHS = (5, 6, 7, 8)
+CACHE = 1 << 16
 
 _FOLD = str.maketrans("013457", "oieast")
 _SPLIT = re.compile(r"[.!?;:\n,\"“”«»|]+")
@@ -51,6 +53,89 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower().translate(_FOLD))
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """From a state, a symbol leads to a state and puts out a symbol. Every state has an arc for every symbol that may come; `final` names what ends in a state."""
+
+    start: tuple
+    arcs: dict[tuple[tuple, str], tuple[tuple, str]]
+    final: dict[tuple, str]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one puts out goes into the other."""
+        start = self.start + other.start
+        arcs, final, todo = {}, {}, [(self.start, other.start)]
+        by_state: dict[tuple, list] = {}
+        for (state, symbol), (to, out) in self.arcs.items():
+            by_state.setdefault(state, []).append((symbol, to, out))
+        while todo:
+            a, b = todo.pop()
+            if a + b in final:
+                continue
+            final[a + b] = other.final[b] or self.final[a]
+            for symbol, to, out in by_state[a]:
+                to_b, out_b = other.arcs[b, out]
+                arcs[a + b, symbol] = to + to_b, out_b
+                todo.append((to, to_b))
+        return Transducer(start, arcs, final)
+
+
+#: What words are, and what the transducers make of it.
+WORD_CLASSES = ("other", "insult", "violence", "target", "negation", "report", "intent")
+_MARKED = {"insult": ("insult negated", "insult reported"), "violence": ("violence negated", "violence reported")}
+_SYMBOLS = (*WORD_CLASSES, *(m for ms in _MARKED.values() for m in ms))
+
+
+def damper(trigger: str, mark: int, reach: int) -> Transducer:
+    """Marks the insults and the violence that come up to `reach` words after the trigger and aren't marked yet."""
+    arcs = {}
+    for k in range(reach + 1):
+        for symbol in _SYMBOLS:
+            out = _MARKED[symbol][mark] if k and symbol in _MARKED else symbol
+            arcs[(k,), symbol] = (reach if symbol == trigger else max(0, k - 1),), out
+    return Transducer((0,), arcs, {(k,): "" for k in range(reach + 1)})
+
+
+def threatening(reach: int) -> Transducer:
+    """Violence up to `reach` words after an intention is a threat; other violence is nothing."""
+    arcs = {}
+    for k in range(reach + 1):
+        for symbol in _SYMBOLS:
+            out = symbol.replace("violence", "threat") if k else "other"
+            arcs[(k,), symbol] = (reach if symbol == "intent" else max(0, k - 1),), out if symbol.startswith("violence") else symbol
+    return Transducer((0,), arcs, {(k,): "" for k in range(reach + 1)})
+
+
+def addressed() -> Transducer:
+    """Ends in "targeted" after a target, wherever it stands."""
+    symbols = (*_SYMBOLS, *(s.replace("violence", "threat") for s in _SYMBOLS if s.startswith("violence")))
+    arcs = {((k,), s): ((int(k or s == "target"),), s) for k in (0, 1) for s in symbols}
+    return Transducer((0,), arcs, {(0,): "", (1,): "targeted"})
+
+
+PARTS = (damper("negation", 0, REACH), damper("report", 1, 2 * REACH), threatening(REACH), addressed())
+COMPOSED = PARTS[0].then(PARTS[1]).then(PARTS[2]).then(PARTS[3])
+#: The part of its weight that a marked arc keeps; symbols that aren't named weigh nothing.
+DAMPED = {"insult": 1.0, "threat": 1.0, "insult negated": 0.25, "threat negated": 0.25, "insult reported": 0.5, "threat reported": 0.5}
+Path = tuple[float, tuple[tuple[str, float, str], ...]]  # weight, and (symbol, weight, word) of the arcs that weigh something
+
+
+def best_path(options: list[tuple[str, list[tuple[str, float]]]], grammar: Transducer = COMPOSED) -> tuple[str, Path]:
+    """The final name and the best path of a clause: (word, its classes with their weights) for each word."""
+    now: dict[tuple, Path] = {grammar.start: (0.0, ())}
+    for word, classes in options:
+        then: dict[tuple, Path] = {}
+        for state, (total, said) in now.items():
+            for symbol, weight in classes:
+                to, out = grammar.arcs[state, symbol]
+                w = weight * DAMPED.get(out, 0.0)
+                if to not in then or then[to][0] < total + w:
+                    then[to] = (total + w, (*said, (out, w, word)) if w else said)
+        now = then
+    state = max(now, key=lambda x: (now[x][0], grammar.final[x]))
+    return grammar.final[state], now[state]
+
+
 @dataclass
 class Grammar:
     words: dict[str, float] = field(default_factory=dict)
@@ -60,9 +145,10 @@ class Grammar:
 
     def __post_init__(self):
         self.heads = {s[:5] for s in self.stems}
+        self.known: dict[str, list[tuple[str, float]]] = {}  # words' arcs, so that each is looked up once; emptied at CACHE words
 
     def weight(self, word: str) -> float:
-        """Of the insult acceptor's path for the word; 0 if it has none."""
+        """Of the insult arc for the word; 0 if it has none."""
         w = self.words.get(word, 0.0)
         if word[:5] in self.heads:
             for n in STEM_LENGTHS:
@@ -70,32 +156,34 @@ class Grammar:
                     w = max(w, self.stems.get(word[:n], 0.0))
         return w
 
-    def clause(self, words: list[str]) -> tuple[str, float, int] | None:
-        """The composed transducer's output for a clause: kind, weight, insults; None without a match."""
-        negated = reported = intent = 0  # words that a damping or intending word still reaches
-        target = threat = False
-        total, n, damped_n, damped_r = 0.0, 0, 0, 0
-        for w in words:
-            if w in NEGATION:
-                negated = REACH + 1
-            if w in REPORT:
-                reported = 2 * REACH + 1
-            if w in INTENT:
-                intent = REACH + 1
-            target = target or w in TARGET
-            threat = threat or (intent > 0 and w in THREAT)
-            x = self.weight(w)
-            if x > 0:
-                total, n = total + x, n + 1
-                damped_n += negated > 0
-                damped_r += reported > 0
-            negated, reported, intent = max(0, negated - 1), max(0, reported - 1), max(0, intent - 1)
-        if threat and target:
-            return "threat", max(total, 1.0), n
-        if not n:
-            return None
-        kind = "negated" if damped_n == n else "reported" if damped_r == n else "targeted" if target else "plain"
-        return kind, total, n
+    def classes(self, word: str) -> list[tuple[str, float]]:
+        """The word's arcs."""
+        if (out := self.known.get(word)) is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            out = self.known[word] = self._classes(word)
+        return out
+
+    def _classes(self, word: str) -> list[tuple[str, float]]:
+        w = self.weight(word)
+        out = [("insult", w)] if w > 0 else []
+        out += [("violence", max(w, 1.0))] if word in THREAT else []
+        out += [(name, 0.0) for name, known in (("target", TARGET), ("negation", NEGATION), ("report", REPORT), ("intent", INTENT)) if word in known]
+        return out or [("other", 0.0)]
+
+    def clause(self, words: list[str]) -> dict[str, list[tuple[float, str]]]:
+        """(weight, word) of the matched arcs by kind; nothing without a match."""
+        options = [(w, self.classes(w)) for w in words]
+        if not any(c[0][1] for _, c in options):  # insults and violence come first, and weigh something
+            return {}
+        end, (_, said) = best_path(options)
+        out: dict[str, list[tuple[float, str]]] = {}
+        for symbol, w, word in said:
+            what, _, mark = symbol.partition(" ")
+            if what == "threat" and not end:
+                continue
+            out.setdefault(mark or ("threat" if what == "threat" else end or "plain"), []).append((w, word))
+        return out
 
     def features(self, text: str) -> list[float]:
         """Of the matched clauses; all 0 without one."""
@@ -106,18 +194,19 @@ class Grammar:
         if not any(w in known or w[:5] in heads or w in THREAT for w in words):
             return [0.0] * N_FEATURES
         sums = dict.fromkeys(KINDS, 0.0)
-        hits, most = 0, 0.0
-        distinct = set()
+        hits = clauses = 0
+        words_hit: dict[str, float] = {}
         for part in _SPLIT.split(text):
-            ws = words_of(part)
-            if m := self.clause(ws):
-                kind, w, n = m
-                sums[kind] += w
-                hits += n
-                most = max(most, w)
-                distinct.update(x for x in ws if self.weight(x) > 0)
-        strong = sum(min(self.weight(x), 6.0) for x in distinct)
-        return [math.log1p(sums[k]) for k in KINDS] + [math.log1p(hits), min(1.0, 20.0 * hits / max(len(words), 1)), math.log1p(strong), float(len(distinct) > 1), min(1.0, 10.0 * strong / max(len(words), 1))]
+            found = self.clause(words_of(part))
+            clauses += bool(found)
+            for kind, arcs in found.items():
+                for w, word in arcs:
+                    sums[kind] += w
+                    hits += 1
+                    words_hit[word] = max(words_hit.get(word, 0.0), w)
+        strong = sum(min(w, 6.0) for w in words_hit.values())
+        n = max(len(words), 1)
+        return [math.log1p(sums[k]) for k in KINDS] + [math.log1p(clauses), min(1.0, 20.0 * hits / n), math.log1p(strong), float(len(words_hit) > 1), min(1.0, 10.0 * strong / n)]
 
     def score(self, text: str) -> float:
         if not self.layer:
