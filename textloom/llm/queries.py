@@ -65,11 +65,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.pii import KINDS, find_pii, spans_text
+    from textloom.llm.pii import BASE, KINDS, find_pii, spans_text
 
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *[count(k) for k, kind in enumerate(KINDS) if kind in BASE], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
