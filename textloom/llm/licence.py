@@ -8,8 +8,8 @@ counts if its probability reaches `min_probability` and the paragraph holds at l
 Paragraphs are lines, and joins of neighbouring lines up to a blank one or `JOIN_WORDS` words, for notices that are wrapped; a join has the number of its first line
 and counts if it is confirmed. A line that is nothing but a licence's title names it. A line that shares no 2-gram with any template isn't scored.
 
-Defined results: null and empty texts have no paragraphs and no families; repeated rows are scanned each; an empty table gives no rows;
-extra columns are ignored; ties between families go to the first by name.
+Defined results: null and empty texts have no paragraphs and no families; very long texts are scanned whole; repeated rows are scanned each; an empty table gives no rows;
+extra columns are ignored, whatever their names; ties between families go to the first by name.
 """
 
 from __future__ import annotations
@@ -93,9 +93,9 @@ class Classifier:
         rng.shuffle(rows)
         self.index = {g: j for j, g in enumerate(sorted({g for f in FAMILIES for t in TEMPLATES[f] for g in grams(words_of(t.encode()))}, key=repr))}
         cut = len(rows) * 4 // 5
-        self.weights = self._fit(*self._matrix(rows[:cut]))
-        x, y = self._matrix(rows[cut:])
-        z = x @ self.weights
+        self.weights = self._fit(*self._rows(rows[:cut]))
+        columns, starts, y = self._rows(rows[cut:])
+        z = np.add.reduceat(self.weights[columns], starts) if len(y) else np.zeros((0, len(FAMILIES) + 1))
         heat = np.geomspace(0.25, 8, 41)
         self.temperature = float(min(heat, key=lambda t: -np.log(self._soft(z / t)[np.arange(len(y)), y] + 1e-12).mean())) if len(y) else 1.0
 
@@ -108,26 +108,29 @@ class Classifier:
             out = extra[:n] + out if rng.random() < 0.5 else out + extra[:n]
         return out
 
-    def _matrix(self, rows):
-        x = np.zeros((len(rows), len(self.index) + 1))
-        for i, (_, words) in enumerate(rows):
-            for g in grams(words):
-                if (j := self.index.get(g)) is not None:
-                    x[i, j] = 1
-        x[:, -1] = 1
-        return x, np.array([k for k, _ in rows], int)
+    def _rows(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse rows: the columns of each, one after another, where each begins, and the classes. The last column is 1 in all of them."""
+        columns = [sorted({self.index[g] for g in grams(words) if g in self.index}) + [len(self.index)] for _, words in rows]
+        sizes = np.array([len(c) for c in columns], np.int64)
+        return np.array([j for c in columns for j in c], np.int64), np.cumsum(sizes) - sizes, np.array([k for k, _ in rows], int)
 
     @staticmethod
     def _soft(z):
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def _fit(self, x, y, steps=150, rate=0.5, decay=1e-4):
-        w = np.zeros((x.shape[1], len(FAMILIES) + 1))
+    def _fit(self, columns, starts, y, steps=150, rate=0.5, decay=1e-4):
+        w = np.zeros((len(self.index) + 1, len(FAMILIES) + 1))
         target = np.eye(len(FAMILIES) + 1)[y]
+        row = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(columns))))
+        by_column = np.argsort(columns, kind="stable")
+        used, first = np.unique(columns[by_column], return_index=True)
         speed = np.zeros_like(w)
-        for _ in range(steps):
-            speed = 0.9 * speed + x.T @ (target - self._soft(x @ w)) / max(len(y), 1) - decay * w
+        for _ in range(steps if len(y) else 0):
+            off = target - self._soft(np.add.reduceat(w[columns], starts))
+            step = np.zeros_like(w)
+            step[used] = np.add.reduceat(off[row[by_column]], first) / len(y)
+            speed = 0.9 * speed + step - decay * w
             w += rate * speed
         return w
 
@@ -183,11 +186,14 @@ class Classifier:
 
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """With paragraphs of the sample_docs documents with the smallest hashes as what isn't a licence, unless they look like one."""
-    rows = docs.where(F.col(text).isNotNull()).select(id_col, text).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text))).limit(sample_docs).select(text).collect()
-    lines = [words_of(x) for (t,) in rows for x in t.encode().split(b"\n")[:20]]
+    """With all paragraphs of the `sample_docs` documents with the smallest hashes as what isn't a licence, unless they look like one."""
+    # The hashes are chosen first, so that only the sample's texts come to the driver; repeated rows are one.
+    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.col(text).alias("t"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect() if cut is not None else []
+    lines = [words_of(x) for _, t in rows for x in t.encode().split(b"\n")]
     telling = {b"license", b"licensed", b"licence", b"licenced", b"rights", b"copyright", b"gnu", b"mozilla", b"permission"}
-    return Classifier([w[:60] for w in lines if w and telling.isdisjoint(w)][: 10 * sample_docs])
+    return Classifier([w for w in lines if w and telling.isdisjoint(w)])
 
 
 def scan_licences(docs: DataFrame, model: Classifier, text: str = "text", carry: list[str] | None = None, min_probability: float = MIN_PROBABILITY, min_overlap: float = MIN_OVERLAP) -> DataFrame:
