@@ -93,7 +93,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
         raise ValueError(f"{segments} segments find no more than {2 * segments - 1} bits")
     if segments < 2:
         raise ValueError("a key holds a segment of 32 bits at most")
-    index = variants(prints.repartition("fp"), segments)  # the few rows of a fingerprint table fan out here
+    # The few rows of a fingerprint table fan out here: a stated number of partitions isn't coalesced by their size.
+    index = variants(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), segments)
     keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # The same join at every size: which side would be small enough to broadcast isn't known beforehand.
     met = materialize(index.join(materialize(keys, "simhash-keys").hint("merge"), "key"), "simhash-met")
