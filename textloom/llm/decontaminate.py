@@ -5,17 +5,18 @@ ends there. A match of at least `window` tokens is an occurrence of an item's wi
 counts where it occurs whole. Spans beyond that length are removed, and documents of which more than
 `max_coverage` is hit can be dropped.
 
-Test items are taken in blocks of `block_tokens`, each with an automaton of its own, so memory has a bound however
-many items there are; every block is held against all documents.
+Test items are taken in blocks of `block_tokens`, each with an automaton of its own, and PASS_BLOCKS of them are held against all documents in one pass, so an executor's memory has a bound
+however many items there are; the driver holds one block at a time beside the broadcast files.
 
-Defined results: null or empty texts have no words; items without words never match; equal items are each named;
-a null item_id matches as the empty string; with an empty benchmark nothing is hit; extra columns are ignored.
+Defined results: null or empty texts have no words; very long texts are streamed whole; repeated rows are scanned each; ties don't matter, as all items count; items without words never match; equal items are each named;
+a null item_id matches as the empty string; with an empty benchmark nothing is hit; extra columns are carried only where asked for,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import map_texts
+from textloom.llm.common import map_texts, materialize
 
 WINDOW = 10
 #: Tokens of one automaton, some hundred bytes each on an executor.
 BLOCK_TOKENS = 200_000
+#: Automata that a worker holds at once.
+PASS_BLOCKS = 4
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII, with A-Z lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
@@ -156,18 +159,17 @@ def automata(items: DataFrame, id_col: str = "item_id", text: str = "text", wind
     yield SuffixAutomaton(block, window)
 
 
-def find_contamination(
-    docs: DataFrame,
-    items: DataFrame,
-    text: str = "text",
-    carry: list[str] | None = None,
-    window: int = WINDOW,
-    block_tokens: int = BLOCK_TOKENS,
-) -> DataFrame:
-    """carry's columns, n_words, `starts` and `ends` of the merged hit word spans, and `items`, the matching item ids in string order."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(a) for a in automata(items, text=text, window=window, block_tokens=block_tokens)]
+def passes(items: DataFrame, text: str, window: int, block_tokens: int) -> list[list]:
+    """Broadcast automata, PASS_BLOCKS together: a worker holds those of one pass, and drops them when it turns to the next."""
+    held = [items.sparkSession.sparkContext.broadcast(a) for a in automata(items, text=text, window=window, block_tokens=block_tokens)]
+    return [held[k : k + PASS_BLOCKS] for k in range(0, len(held), PASS_BLOCKS)]
+
+
+_LONGS = T.ArrayType(T.LongType())
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", _LONGS), T.StructField("ends", _LONGS), T.StructField("items", T.ArrayType(T.StringType()))])
+
 
+def _scan(held: list):
     def scan(texts: list[bytes]) -> dict:
         out: dict[str, list] = {"n_words": [], "starts": [], "ends": [], "items": []}
         for t in texts:
@@ -184,9 +186,48 @@ def find_contamination(
             out["items"].append(sorted(names))
         return out
 
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", longs), T.StructField("ends", longs), T.StructField("items", T.ArrayType(T.StringType()))])
-    return map_texts(docs, carry or ["doc_id"], text, scan, schema)
+    return scan
+
+
+def find_contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    carry: list[str] | None = None,
+    window: int = WINDOW,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """`row` (a struct of carry's columns), n_words, `starts` and `ends` of the hit word spans, and `items`, the matching item ids in string order.
+
+    Spans of one pass are merged; those of several passes may overlap (`merged_spans`).
+    """
+    docs = docs.select(F.struct(*(carry or ["doc_id"])).alias("row"), F.col(text).alias("text"))
+    first, *more = passes(items, text, window, block_tokens)
+    found = map_texts(docs, ["row"], "text", _scan(first), _FOUND)
+    if not more:
+        return found
+    # Each further pass reads the documents once and gives the few that it hits; rows that are alike are hit alike.
+    key = F.xxhash64("row", "text").alias("key")
+    keyed = docs.select(F.struct("row", key).alias("row"), "text")
+    hits = [map_texts(keyed, ["row"], "text", _scan(held), _FOUND).where(F.size("starts") > 0) for held in more]
+    hit = reduce(DataFrame.union, hits).select("row.key", "starts", "ends", "items").distinct()
+    hit = hit.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("starts", "ends", "items")])
+    found = map_texts(keyed, ["row"], "text", _scan(first), _FOUND)
+    both = found.join(hit, found["row.key"] == hit["key"], "left")
+    joined = lambda c: F.concat(c, F.coalesce(f"more_{c}", F.array().cast(_FOUND[c].dataType))).alias(c)
+    return both.select("row.row", "n_words", joined("starts"), joined("ends"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>"))))).alias("items"))
+
+
+def merged_spans(starts: str = "starts", ends: str = "ends"):
+    """The spans as array<struct<a, b>>, overlapping and touching ones as one."""
+    spans = F.array_sort(F.arrays_zip(F.col(starts).alias("a"), F.col(ends).alias("b")))
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when((F.size(acc) > 0) & (last["b"] >= x["a"]), grown).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), step)
 
 
 def strip_spans(text: bytes, automaton_list: list[SuffixAutomaton]) -> tuple[bytes, int, int]:
@@ -213,26 +254,28 @@ def strip_spans(text: bytes, automaton_list: list[SuffixAutomaton]) -> tuple[byt
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs with the hit spans cut out of their texts, without the documents of which more than max_coverage is hit.
+    """docs with the hit spans cut out of their texts, without the documents of which more than max_coverage is hit by one pass.
 
-    A document that isn't hit keeps its text, null included. Other columns are carried along.
+    A document that isn't hit keeps its text, null included. Other columns are carried along, whatever their names.
     """
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(a) for a in automata(items, text=text, window=window, block_tokens=block_tokens)]
-    carry = docs.columns
+    all_passes = passes(items, text, window, block_tokens)
+    out = docs
+    for k, held in enumerate(all_passes):
+        out = _cut(materialize(out, "decontaminated") if k else out, held, text, max_coverage)
+    return out
 
+
+def _cut(docs: DataFrame, held: list, text: str, max_coverage: float) -> DataFrame:
     def cut(texts: list[bytes]) -> dict:
         clean, share = [], []
         for t in texts:
             new, n, gone = strip_spans(t, [a.value for a in held])
             clean.append(new.decode() if gone else None)
             share.append(gone / n if n else 0.0)
-        return {"__clean": clean, "__share": share}
-
-    schema = T.StructType([T.StructField("__clean", T.StringType()), T.StructField("__share", T.DoubleType())])
-    out = map_texts(docs, carry, text, cut, schema).where(F.col("__share") <= max_coverage)
-    return out.withColumn(text, F.coalesce("__clean", text)).select(*carry)
-
+        return {"clean": clean, "share": share}
 
-def sha256_of(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+    schema = T.StructType([T.StructField("clean", T.StringType()), T.StructField("share", T.DoubleType())])
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    out = map_texts(packed, ["row"], "text", cut, schema).where(F.col("share") <= max_coverage)
+    row = F.col("row")
+    return out.select(*[F.coalesce("clean", row[text]).alias(c) if c == text else row[c].alias(c) for c in docs.columns])
