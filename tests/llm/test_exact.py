@@ -127,7 +127,8 @@ def test_links_find_all(spark, bucket_rows):
     assert {r.node: r.component for r in got.collect()} == {f: find(f) for f in signed if sizes[find(f)] > 1}
 
 
-def test_decontamination(docs, none, spark):
+def test_decontamination(docs, none, spark, monkeypatch):
+    from textloom.llm import decontaminate as decontaminate_
     from textloom.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, tokens
 
     long = rows()[8][1].split()
@@ -149,8 +150,14 @@ def test_decontamination(docs, none, spark):
                     names |= x
         want[(i, len(w), len(hit), ",".join(sorted(names)))] += 1
     hits = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b).alias("h")
-    for block in (5, 10_000):
-        assert as_bag(find_contamination(docs, table, block_tokens=block), "doc_id", "n_words", hits, F.array_join("items", ",")) == want
+    monkeypatch.setattr(decontaminate_, "PASS_BLOCKS", 2)
+    for block in (5, 10_000):  # in several passes, and in one
+        assert as_bag(find_contamination(docs, table, block_tokens=block).select("row.doc_id", "*"), "doc_id", "n_words", hits, F.array_join("items", ",")) == want
+        clean = decontaminate(docs, table, max_coverage=0.9, block_tokens=block)
+        automaton = SuffixAutomaton([(n or "", tokens((t or "").encode())) for n, t in items])
+        assert all(not automaton.hits(tokens((r.text or "").encode()))[0] for r in clean.collect())
+    clashing = docs.withColumns({x: F.lit(1) for x in ("row", "clean", "share", "key", "n_words", "__text")})
+    assert decontaminate(clashing, table, max_coverage=0.9).columns == clashing.columns
     automaton = SuffixAutomaton([(n or "", tokens((t or "").encode())) for n, t in items])
     clean = decontaminate(docs, table, max_coverage=0.9)
     assert all(not automaton.hits(tokens((r.text or "").encode()))[0] for r in clean.collect())
@@ -288,7 +295,7 @@ def test_mixing(docs, none):
 def test_pii(docs, none):
     from textloom.llm.pii import find_pii, redact, spans_text
 
-    got = {r[0]: r[1] for r in find_pii(docs).select("doc_id", spans_text(F.col("base"))).where("doc_id IS NOT NULL").collect()}
+    got = {r[0]: r[1] for r in find_pii(docs).select("row.doc_id", spans_text(F.col("base"))).where("doc_id IS NOT NULL").collect()}
     text = rows()[17][1]
     want = []
     for kind, s in (("email", "a.b@c.de"), ("phone", "+1 (017) 555-7713"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8")):

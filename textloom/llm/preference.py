@@ -9,7 +9,8 @@ A row of the result is a pair of conversations, so each conversation is gathered
 Defined results: null roles and texts are the empty string; turns are ordered by turn, then role and text, nulls first, so repeated
 turns are turns each; a pair with only one side has an empty prompt and an empty other completion; the prefix never takes a side's last
 assistant turn away when the sides are equal (then the completions hold that turn on); null pair ids are dropped (they pair nothing);
-marks inside texts are escaped, so a text can't end its turn; extra columns are ignored; empty tables give no rows.
+"<|" inside texts is escaped by a backslash, which can be undone, so a text can't end its turn; very long texts are rendered whole; a conversation whose next one has no reply is paired with an
+empty answer; extra columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ def _turns(side: DataFrame) -> DataFrame:
 
 
 def _safe(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\|", "<​|")
+    """A backslash more between "<" and "|"; taking one away from each such place gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
 def head(t: Column) -> Column:

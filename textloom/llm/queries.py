@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
+from textloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +51,12 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.decontaminate import find_contamination
+    from textloom.llm.decontaminate import find_contamination, merged_spans
 
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    hit = F.aggregate(merged_spans(), F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -84,5 +85,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op4_compact_windows, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+# Parts of op3's and op8's results, which SQL can say.
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pii_boosting(spark, sf_dir).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op4_compact_windows, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting, op10_suffix_array_dedup, quality_base_counts, pii_base_spans)}
