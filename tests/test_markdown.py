@@ -55,3 +55,27 @@ def test_spans_and_links():
     assert rows[0]["end"] == len(text) and text[rows[1]["start"] : rows[1]["end"]] == "# H\n"
     assert extract_links(parse(text)) == [("t", "u", "q"), ("http://x.y", "http://x.y", None), ("http://z.w", "http://z.w", None)]
     assert ("i", "j", None) in extract_links(parse(text), include_images=True)
+
+
+WORST = {
+    "quotes": ">" * 10_000 + " a", "lists": "".join("  " * k + "- a\n" for k in range(150)), "lazy": "> a\n" + "lazy line here\n" * 1300, "lazy in quotes": "> > a\nlazy\n" * 1800, "closing": "a* " * 6500, "opening": "*a " * 6500,
+    "ticks": "`" * 20_000, "single ticks": "` " * 10_000, "growing ticks": "".join("`" * k + "a" for k in range(190)), "stars": "*" * 8000 + "a" + "*" * 8000, "images": "![" * 3000 + "](a)" * 3000, "brackets": "[" * 20_000, "tags": "{%" * 10_000, "comments": "<!--" * 5000,
+}
+
+
+@pytest.mark.parametrize("name", WORST)
+def test_worst_cases_take_no_time(name):
+    """About 20 KB each; nesting beyond the limit is text."""
+    import sys
+    import time
+
+    from textloom.functions.formatting import RECURSION
+
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(RECURSION)
+    try:
+        began = time.process_time()
+        assert reformat(WORST[name], AUTO)
+        assert time.process_time() - began < 3
+    finally:
+        sys.setrecursionlimit(before)

@@ -14,6 +14,10 @@ from textloom.functions.typography import ellipses, smart_quotes
 from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text
 
 
+#: Frames that the deepest emphasis may take; a worker's limit is set to it.
+RECURSION = 20_000
+
+
 @dataclass(frozen=True)
 class Format:
     """Options of formatting. The defaults are those of the function on texts: sentences and cleanups."""

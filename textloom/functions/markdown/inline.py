@@ -59,6 +59,7 @@ class _Inline:
         self.text, self.refs, self.notes = text, refs, notes
         self.out: list[Node] = []
         self.brackets: list[dict] = []
+        self.unclosed: set[str] = set()
 
     def raw(self, s: str) -> None:
         if self.out and self.out[-1].kind == "raw":
@@ -78,7 +79,7 @@ class _Inline:
                 at = to
                 continue
             at = self.special(at, text[at])
-        self.emphasis(0)
+        self.emphasis()
         for n in self.out:
             if n.kind in ("run", "bracket"):
                 n.kind = "raw"
@@ -97,13 +98,14 @@ class _Inline:
             return self.line_break(at, hard=False)
         elif c == "`":
             ticks = re.compile(r"`+").match(text, at)[0]
-            m = re.compile(r"(?<!`)" + ticks + r"(?!`)").search(text, at + len(ticks))
+            m = None if ticks in self.unclosed else re.compile(r"(?<!`)" + ticks + r"(?!`)").search(text, at + len(ticks))
             if m:
                 code = text[at + len(ticks) : m.start()].replace("\n", " ")
                 if code.strip() and code[0] == code[-1] == " ":
                     code = code[1:-1]
                 self.out.append(Node("code", text=code))
                 return m.end()
+            self.unclosed.add(ticks)  # nor do as many close further on
             self.raw(ticks)
             return at + len(ticks)
         elif c == "<":
@@ -165,7 +167,7 @@ class _Inline:
         right = not before.isspace() and (not is_punctuation(before) or after.isspace() or is_punctuation(after))
         opens = left and (c == "*" or not right or is_punctuation(before))
         closes = right and (c == "*" or not left or is_punctuation(after))
-        self.out.append(Node("run", text=text[at:end], attrs={"opens": opens, "closes": closes, "size": end - at}))
+        self.out.append(Node("run", text=text[at:end], attrs={"opens": opens, "closes": closes, "size": end - at, "at": at}))
         return end
 
     def close(self, at: int) -> int:
@@ -191,7 +193,7 @@ class _Inline:
         rest = self.out[b["at"] + 1 :]
         del self.out[b["at"] :]
         keep, self.out = self.out, rest
-        self.emphasis(0)
+        self.emphasis()
         for n in self.out:
             if n.kind in ("run", "bracket"):
                 n.kind = "raw"
@@ -202,23 +204,30 @@ class _Inline:
                 x["on"] = x["on"] and x["image"]
         return end
 
-    def emphasis(self, _low: int) -> None:
+    def emphasis(self) -> None:
         out = self.out
+        bottom: dict[tuple, int] = {}  # by kind of closing run: up to which place in the text there is no opening one for it
         k = 0
         while k < len(out):
             closer = out[k]
             if closer.kind != "run" or not closer.closes or not closer.text:
                 k += 1
                 continue
+            alike = closer.text[0], closer.opens, closer.size % 3
             j = k - 1
             while j >= 0:
                 o = out[j]
-                if o.kind == "run" and o.text and o.opens and o.text[0] == closer.text[0]:
-                    both = (o.closes or closer.opens) and (o.size + closer.size) % 3 == 0 and (o.size % 3 or closer.size % 3)
-                    if not both:
+                if o.kind == "run":
+                    if o.at <= bottom.get(alike, -1):
+                        j = -1
                         break
+                    if o.text and o.opens and o.text[0] == closer.text[0]:
+                        both = (o.closes or closer.opens) and (o.size + closer.size) % 3 == 0 and (o.size % 3 or closer.size % 3)
+                        if not both:
+                            break
                 j -= 1
             if j < 0:
+                bottom[alike] = closer.at - 1
                 k += 1
                 continue
             n = 2 if len(out[j].text) > 1 and len(closer.text) > 1 else 1

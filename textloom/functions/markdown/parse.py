@@ -20,6 +20,7 @@ _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 _QUOTE = re.compile(r" {0,3}> ?")
+_QUOTES = re.compile(r"(?: {0,3}> ?)*")
 _ITEM = re.compile(r"( {0,3})([-+*]|[0-9]{1,9}[.)])(?:( +)(?=\S)|( *)$)")
 _NOTE = re.compile(r" {0,3}\[\^([^\s\]]+)\]:[ \t]*")
 _DELIMITERS = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -27,6 +28,16 @@ _REF = re.compile(r" {0,3}\[((?:\\.|[^\[\]\\])*[^\s\[\]\\](?:\\.|[^\[\]\\])*)\]:
 _ALERT = re.compile(r"\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]\s*$", re.IGNORECASE)
 
 
+#: Containers inside one another; marks further in are text.
+MAX_DEPTH = 100
+
+
+class Taken(list):
+    """A container's lines so far, and how many of them are known to end inside a paragraph or not."""
+
+    known, is_open = 0, False
+
+
 def _indent(s: str) -> int:
     return len(s) - len(s.lstrip(" "))
 
@@ -36,7 +47,8 @@ def _cut(line: Line, n: int) -> Line:
 
 
 class Parser:
-    def __init__(self):
+    def __init__(self, depth: int = 0):
+        self.depth = depth
         self.refs: dict[str, tuple[str, str | None, str]] = {}
         self.notes: set[str] = set()
         self.inline: list[Node] = []  # blocks whose text is parsed at the end, when all references are known
@@ -51,16 +63,35 @@ class Parser:
         m = _ITEM.match(line)
         return bool(m and m[3] and (m[2] in "-+*" or m[2][:-1] == "1"))
 
-    def ends_open(self, lines: list[Line]) -> bool:
+    def ends_open(self, lines: Taken) -> bool:
         """Whether lines end inside a paragraph, which a following plain line then continues."""
         if not lines or not lines[-1].text.strip():
             return False
-        probe = Parser()
+        if not (lines.is_open and all(self.goes_on(x.text) for x in lines[lines.known :])):
+            lines.is_open = self.probed_open(lines)
+        lines.known = len(lines)
+        return lines.is_open
+
+    def goes_on(self, line: str) -> bool:
+        """Whether, after an open paragraph, the line leaves one open for sure: it goes on with it, or quotes deeper and begins one there."""
+        bare = line[_QUOTES.match(line).end() :]
+        if len(bare) < len(line) and (_indent(bare) >= 4 or bare.lstrip()[:1] == "[" or "|" in bare):
+            return False
+        return bool(bare.strip()) and not _SETEXT.match(bare) and not self.starts_block(bare)
+
+    def probed_open(self, lines: list[Line]) -> bool:
+        probe = Parser(self.depth + 1)
         nodes = probe.blocks(lines)
         while nodes and nodes[-1].kind in ("quote", "alert", "list", "item", "footnote"):
             nodes = nodes[-1].children
         return bool(nodes) and nodes[-1].kind == "paragraph"
 
+    def inside(self, lines: list[Line]) -> list[Node]:
+        self.depth += 1
+        out = self.blocks(lines)
+        self.depth -= 1
+        return out
+
     def blocks(self, lines: list[Line]) -> list[Node]:
         out: list[Node] = []
         k = 0
@@ -92,12 +123,13 @@ class Parser:
         m = _FENCE.match(text)
         if m and not (m[2][0] == "`" and "`" in m[3]):
             return self.fenced_code(lines, k, m)
-        if _QUOTE.match(text):
-            return self.quote(lines, k)
-        if _ITEM.match(text):
-            return self.list(lines, k)
-        if m := _NOTE.match(text):
-            return self.footnote(lines, k, m)
+        if self.depth < MAX_DEPTH:
+            if _QUOTE.match(text):
+                return self.quote(lines, k)
+            if _ITEM.match(text):
+                return self.list(lines, k)
+            if m := _NOTE.match(text):
+                return self.footnote(lines, k, m)
         if k + 1 < len(lines) and "|" in text and _DELIMITERS.match(lines[k + 1].text) and len(cells(text)) == len(cells(lines[k + 1].text)):
             return self.table(lines, k)
         return self.paragraph(lines, k)
@@ -131,7 +163,7 @@ class Parser:
         return bool(line.text.strip()) and not self.starts_block(line.text) and self.ends_open(own)
 
     def quote(self, lines, k):
-        own: list[Line] = []
+        own = Taken()
         first = k
         while k < len(lines):
             m = _QUOTE.match(lines[k].text)
@@ -143,7 +175,7 @@ class Parser:
                 break
             k += 1
         alert = _ALERT.match(own[0].text.strip()) if len(own) > 1 else None
-        kids = self.blocks(own[1:] if alert else own)
+        kids = self.inside(own[1:] if alert else own)
         n = Node("alert" if alert else "quote", kids, attrs={"type": alert[1].upper()} if alert else {})
         n.start, n.end = lines[first].at, lines[k - 1].end
         return [n], k
@@ -177,7 +209,7 @@ class Parser:
         base = len(m[1]) + len(m[2])
         indent = base + (gap if 1 <= gap <= 4 else 1)
         first = k
-        own = [_cut(lines[k], min(indent, len(lines[k].text)))]
+        own = Taken([_cut(lines[k], min(indent, len(lines[k].text)))])
         k += 1
         while k < len(lines):
             s = lines[k].text
@@ -197,7 +229,7 @@ class Parser:
             else:
                 break
             k += 1
-        kids = self.blocks(own)
+        kids = self.inside(own)
         if kids and kids[0].kind == "blank":
             kids = kids[1:]
         loose = any(x.kind == "blank" and 0 < j < len(kids) - 1 for j, x in enumerate(kids))
@@ -211,7 +243,7 @@ class Parser:
     def footnote(self, lines, k, m):
         label, first = m[1], k
         self.notes.add(normal_label(label))
-        own = [_cut(lines[k], m.end())]
+        own = Taken([_cut(lines[k], m.end())])
         k += 1
         while k < len(lines):
             s = lines[k].text
@@ -233,7 +265,7 @@ class Parser:
                 break
         while k < len(lines) and not lines[k].text.strip():  # blank lines after a note belong to it
             k += 1
-        n = Node("footnote", self.blocks(own), attrs={"label": label})
+        n = Node("footnote", self.inside(own), attrs={"label": label})
         n.start, n.end = lines[first].at, lines[k - 1].end
         return [n], k
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
@@ -29,6 +30,8 @@ class per_text:  # noqa: N801
 
         @F.pandas_udf(self.kind)
         def run(texts: pd.Series) -> pd.Series:
+            # Emphasis and images nest as deep as a text likes.
+            sys.setrecursionlimit(max(sys.getrecursionlimit(), formatting.RECURSION))
             return pd.Series([None if t is None else fn(t) for t in texts], dtype=object)
 
         return run
