@@ -5,6 +5,7 @@ Inputs are SQL that both engines read; `$name` stands for a table. The oracles a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from string import Template
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import native as N
 from textloom.functions import udfs as U
 from textloom.functions.formatting import AUTO, FILES, Format
-from textloom.functions.patterns import PROSE, SENTENCE_END
+from textloom.functions.patterns import PROSE, SENTENCE_END, SINGLE_TAGS
 from textloom.operators import corpus as C
 from textloom.plans.options import merge_options
 from textloom.sources import rules as R
@@ -106,10 +107,15 @@ query("s6_resolve", PATHS, lambda d: R.resolve(d.unionByName(d)).select("path"),
 query("s7_include", PATHS, lambda d: d.where(R.included(F.col("path"), ["*.md"])).select("id", "path"), r"SELECT id, path FROM input WHERE regexp_matches(path, '(^|/)[^/]*\.md$')")
 query("s8_size_limit", PATHS, lambda d: d.where(R.small_enough(F.col("size"), 100_000)).select("id", "size"), "SELECT id, size FROM input WHERE size <= 100000")
 query("s11_pruned", PATHS, lambda d: d.where(~R.pruned(F.col("path"))).select("id", "path"), "SELECT id, path FROM input WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
+query(
+    "s13_default_excludes",
+    "SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'site' WHEN 1 THEN 'out' WHEN 2 THEN 'Pods' WHEN 3 THEN 'third_party' WHEN 4 THEN 'my.egg-info' WHEN 5 THEN '_darcs' WHEN 6 THEN 'htmlcov' WHEN 7 THEN '.env' ELSE 'docs' END || '/' || cast(doc_id AS string) || '.md' AS path FROM $documents",
+    lambda d: d.where(~R.pruned(F.col("path"))).select("id", "path"),
+    "SELECT id, path FROM input WHERE split_part(path, '/', 1) IN ('site', 'out', '.env', 'docs')",
+)
 query("s12_force_exclude", PATHS, lambda d: d.where(~R.matches_any(F.col("path"), ["src1*", "*.txt"])).select("id", "path"), "SELECT id, path FROM input WHERE NOT list_bool_or(list_transform(string_split(path, '/'), lambda x: x LIKE 'src1%' OR x LIKE '%.txt'))")
 query("s18_check", DOCS, lambda d: C.changed(d, Format(plaintext=True), "id"), f"SELECT id FROM input WHERE {_joined(_wrapped(_WORDS, 88))} <> text")
 query("s19_list_files", PATHS, lambda d: R.resolve(d.where(R.included(F.col("path"), ["*.md"]) & R.small_enough(F.col("size"), 1 << 20) & ~R.pruned(F.col("path")))).select("path"), "SELECT DISTINCT path FROM input WHERE path LIKE '%.md' AND size <= 1048576 AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
-query("s20_reformat_corpus", TALK, lambda d: C.format_corpus(d, FILES).select("id", "formatted"))
 _FM = rf"""SELECT id, CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN '' WHEN e = 0 THEN text ELSE array_to_string(l[s:e], {_NL}) || {_NL} END AS frontmatter,
  CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN text WHEN e = 0 THEN '' ELSE array_to_string(CASE WHEN l[-1] = '' THEN l[e + 1:-2] ELSE l[e + 1:] END, {_NL}) END AS content
  FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x, i: trim(x) = '---' AND i > s), true), 0) AS e FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x: trim(x) <> ''), true), 0) AS s FROM (SELECT id, text, string_split(text, {_NL}) AS l FROM input)))"""
@@ -124,9 +130,15 @@ query(
 
 # Blocks
 
-query("b1_blocks", MARKDOWN, lambda d: C.blocks(d, "id").select("id", "node_id", "parent_id", "type", "start", "end"))
+#: Of MARKDOWN: where each line starts, and one more for the end.
+_STARTS = "list_transform(range(0, len(l) + 1), lambda k: coalesce(list_sum(list_transform(l[1 : k], lambda x: length(x) + 1)), 0) - CASE WHEN k = len(l) THEN 1 ELSE 0 END)"
+#: Its nodes: parent, kind, first line, characters of the line that belong to the parents, line after the last.
+_NODES = [(None, "document", 1, 0, 10), (0, "heading", 1, 0, 2), (0, "blank", 2, 0, 3), (0, "list", 3, 0, 6), (3, "item", 3, 0, 4), (4, "paragraph", 3, 2, 4), (3, "item", 4, 0, 6), (6, "paragraph", 4, 2, 5), (6, "list", 5, 2, 6), (8, "item", 5, 2, 6), (9, "paragraph", 5, 5, 6), (0, "blank", 6, 0, 7), (0, "table", 7, 0, 10)]
+_NODE_SQL = " UNION ALL ".join(f"SELECT id, {k} AS node_id, CAST({'NULL' if p is None else p} AS INT) AS parent_id, '{kind}' AS type, CAST(s[{a}] + {cut} AS INT) AS start, CAST(s[{b}] AS INT) AS \"end\" FROM marks" for k, (p, kind, a, cut, b) in enumerate(_NODES))
+query("b1_blocks", MARKDOWN, lambda d: C.blocks(d, "id").select("id", "node_id", "parent_id", "type", "start", "end"), f"SELECT id, CAST(node_id AS INT) AS node_id, parent_id, type, start, \"end\" FROM (WITH marks AS (SELECT id, {_STARTS} AS s FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)) {_NODE_SQL})")
 query("b2_document_span", MARKDOWN, lambda d: C.blocks(d, "id").where("type = 'document'").select("id", "start", "end"), "SELECT id, CAST(0 AS INT) AS start, CAST(length(text) AS INT) AS \"end\" FROM input")
-query("b4_walk_kinds", MARKDOWN, lambda d: C.blocks(d, "id").groupBy("type").agg(F.count("*").alias("n")))
+_KINDS = [kind for _, kind, *_ in _NODES]
+query("b4_walk_kinds", MARKDOWN, lambda d: C.blocks(d, "id").groupBy("type").agg(F.count("*").alias("n")), " UNION ALL ".join(f"SELECT '{k}' AS type, {_KINDS.count(k)} * count(*) AS n FROM input" for k in sorted(set(_KINDS))))
 query(
     "b5_headings",
     MARKDOWN,
@@ -147,13 +159,58 @@ query(
 query("i13_links", LINKS, lambda d: C.links(d, "id").select("id", "text", "url", "title"), """SELECT id, unnest(['page ' || id, 'two', u]) AS text, unnest([u, '/x', u]) AS url, unnest([NULL, 'T', NULL]) AS title FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM input)""")
 ORACLE_SQL["i3_link_labels"] = ORACLE_SQL["i3_link_labels"].split(", lines AS", 1)[0] + " SELECT doc_id, url, title, CASE WHEN url IN ('1', '2') THEN 'r' || url END AS label FROM input"
 
+# Elements: Markdown with a part's name {n} and brand {b}, and what it is normalised to
+
+ELEMENTS = {
+    "b6_setext": ('{n}\n===\n\n{b}\n---\n', '# {n}\n\n## {b}\n\n'),
+    "b7_task_boxes": ('- [ ] {n}\n- [X] {b}', '- [ ] {n}\n- [x] {b}\n'),
+    "b8_fenced_code": ('~~~py  x\n{n}\n  {b}\n~~~', '~~~py x\n{n}\n  {b}\n~~~\n'),
+    "b10_indented_code": ('x\n\n    {n}\n', 'x\n\n```\n{n}\n```\n'),
+    "b10_code_with_ticks": ('````\n```\n{n}\n````', '````\n```\n{n}\n````\n'),
+    "b11_html_is_text": ('<div>\n{n}\n</div>', '<div> {n} </div>\n'),
+    "b12_thematic_break": ('{n}\n\n---\n\n{b}', '{n}\n\n* * *\n\n{b}\n'),
+    "b13_blank_lines": ('{n}\n\n\n\n{b}', '{n}\n\n{b}\n'),
+    "b14_quote": ('> {n}\n>\n> > {b}', '> {n}\n> \n> > {b}\n'),
+    "b14_lazy_quote": ('> {n}\n{b}', '> {n} {b}\n'),
+    "b15_alert": ('> [!tip]\n> {n}\n> {b}', '> [!TIP]\n> {n} {b}\n'),
+    "b17_nested_items": ('* {n}\n  * {b}\n\n    more\n* c', '* {n}\n\n  * {b}\n\n    more\n* c\n'),
+    "b18_loose_list": ('- {n}\n- {b}\n\n- c', '- {n}\n\n- {b}\n\n- c\n'),
+    "b16_numbers": ('3) {n}\n3) {b}', '3. {n}\n4. {b}\n'),
+    "b21_definition": ("[{n}][k] and [k]\n\n[k]: http://x.y 'T'", '[{n}][k] and [k][]\n\n[k]: http://x.y "T"\n'),
+    "b23_footnote": ('{n}[^1]\n\n[^1]: {b}\n    more', '{n}[^1]\n\n[^1]: {b} more\n\n'),
+    "b25_cell_escapes": ('| a | b |\n|:-:|--|\n| {n} \\| x | {b} |', '| a | b |\n| :---: | --- |\n| {n} \\| x | {b} |\n'),
+    "b26_prefixes": ('> - {n}\n>   1. {b}\n>\n>      more', '> - {n}\n>\n>   1. {b}\n>      \n>      more\n'),
+    "i1_emphasis": ('_{n}_ __{b}__ ***x***', '*{n}* **{b}** ***x***\n'),
+    "i2_inline_html": ('a <b>{n}</b> <br/> {b}', 'a <b>{n}</b> <br/> {b}\n'),
+    "i4_autolink": ('see <http://x.y/7> {b}', 'see <http://x.y/7> {b}\n'),
+    "i5_image": ('![{n}](http://x.y/z "{b}")', '![{n}](http://x.y/z "{b}")\n'),
+    "i6_literal_escapes": ('1\\. {n} 2\\. {b} \\*x\\*', '1\\. {n} 2. {b} \\*x\\*\n'),
+    "i7_cjk_spacing": ('漢字abc {n} x漢字', '漢字 abc {n} x 漢字\n'),
+    "i8_line_breaks": ('{n}  \n{b}\\\nend\nx', '{n}\\\n{b}\\\nend x\n'),
+    "i10_footnote_ref": ('{n}[^a] {b}[^none]\n\n[^a]: t', '{n}[^a] {b}[^none]\n\n[^a]: t\n\n'),
+    "i11_strikethrough": ('~{n}~ ~~{b}~~ ~60 x', '~~{n}~~ ~~{b}~~ ~60 x\n'),
+    "i12_bare_url": ('see http://x.y/7. {b}, www.a.b', 'see http://x.y/7. {b}, www.a.b\n'),
+}
+
+
+def _said(template: str) -> str:
+    """The template as SQL that both engines read."""
+    marks = {"{n}": "p_name", "{b}": "p_brand", "\n": "chr(10)", "\\": "chr(92)", "'": "chr(39)"}
+    return " || ".join(marks.get(x) or f"'{x}'" for x in re.split(r"(\{n\}|\{b\}|\n|\\|')", template) if x)
+
+
+for _name, (_from, _to) in ELEMENTS.items():
+    query(_name, f"SELECT p_partkey AS id, {_said(_from)} AS text, {_said(_to)} AS want FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown()(F.col("text")).alias("out")), "SELECT id, want AS out FROM input")
+for _spacing, _to in (("loose", "- {n}\n\n- {b}\n\n- c\n"), ("tight", "- {n}\n- {b}\n- c\n")):
+    query(f"b19_{_spacing}_lists", f"SELECT p_partkey AS id, {_said('- {n}' + chr(10) + '- {b}' + chr(10) * 2 + '- c')} AS text, {_said(_to)} AS want FROM $part", lambda d, s=_spacing: d.select("id", U.fill_markdown(list_spacing=s)(F.col("text")).alias("out")), "SELECT id, want AS out FROM input")
+
 # Tokens
 
 _SPANS = r"(?s)`[^`]+`|\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])?|<[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*>"
 query("t5_atomic_spans", LINKS, lambda d: d.select("id", F.inline(U.atomic_spans(PROSE)(F.col("text")))).where("is_atomic").select("id", "text", "name"), f"SELECT id, x AS text, CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' ELSE 'autolink' END AS name FROM (SELECT id, unnest(regexp_extract_all(text, '{_SPANS}')) AS x FROM input)")
 query("t6_atomic_words", LINKS, lambda d: C.words(d, "id").select("id", "text"), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
 query("t7_plain_words", DOCS, lambda d: d.select("id", F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
-query("t8_markup_words", TAGS, lambda d: d.select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")))
+query("t8_markup_words", TAGS, lambda d: d.select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")), f"SELECT id, unnest([replace(l[1], '%}}{{%', '%}} {{%'), '-', l[2][3:], l[3], 'value', '<!-- c -->', trim(l[5])]) AS word FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)")
 per_line("t9_starts_with_tag", TAGS, N.starts_with_tag, rf"regexp_matches(line, '^\s*{_OPEN}')")
 per_line("t9_ends_with_tag", TAGS, N.ends_with_tag, rf"regexp_matches(line, '{_CLOSE}\s*$')")
 per_line("t9_tag_only", TAGS, N.is_tag_only, rf"regexp_matches(line, '^{_OPEN}') AND regexp_matches(line, '{_CLOSE}\s*$')")
@@ -162,7 +219,7 @@ per_line("t9_closing_tag", TAGS, N.is_closing_tag, rf"regexp_matches(line, '^\s*
 scalar("t10_part_tags", TAGS, N.part_tags, "replace(replace(replace(replace(text, '%}{%', '%} {%'), '#}{#', '#} {#'), '}}{{', '}} {{'), '--><!--', '--> <!--')")
 scalar("t11_join_tags", LONG_TAGS, N.join_tags, "replace(replace(replace(replace(text, '%} {%', '%}{%'), '#} {#', '#}{#'), '}} {{', '}}{{'), '--> <!--', '--><!--')")
 scalar("t12_long_comment", COMMENTS, N.is_long_comment, f"text LIKE '<!--%' AND strpos(text, '-->') = length(text) - 2 AND text LIKE '%' || {_NL} || '%'")
-query("t13_template_tags", TAGS, lambda d: d.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->"), F.lit(0))).alias("tag")), r"SELECT id, unnest(regexp_extract_all(text, '(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->')) AS tag FROM input")
+query("t13_template_tags", TAGS, lambda d: d.select("id", F.inline(U.atomic_spans(SINGLE_TAGS)(F.col("text")))).where("is_atomic").select("id", F.col("text").alias("tag")), r"SELECT id, unnest(regexp_extract_all(text, '(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->')) AS tag FROM input")
 
 # Sentences
 
@@ -189,22 +246,38 @@ query("w5_paragraphs", PARAS, lambda d: d.select("id", F.explode(N.split_paragra
 
 
 def _filled(width: int, first: str, rest: str, hangs: bool = False) -> str:
-    """Paragraphs in order, each wrapped; lines begin with first or rest, both of which the width loses."""
-    para = f"(SELECT array_to_string(list_append(r.done, r.now), {_NL} || '{rest}') FROM (SELECT {_wrapped(_PARA_WORDS, width)} AS r))"
+    """Paragraphs in order, each wrapped; lines begin with first or rest, both of which the width loses. hangs: first is for the first line of all."""
+    room = f"(CASE WHEN k = 1 AND len(a.done) = 0 THEN {width + len(rest)} ELSE {width} END)" if hangs else str(width)
+    para = f"(SELECT array_to_string(list_append(r.done, r.now), {_NL} || '{rest}') FROM (SELECT {_wrapped(_PARA_WORDS, room)} AS r))"
     lead = f"CASE WHEN k = 1 THEN '{first}' ELSE '{rest}' END" if hangs else f"'{first}'"
     return f"SELECT id, string_agg({lead} || {para}, {_NL} || {_NL} ORDER BY k) AS out FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(text, '\\n{{2,}}') AS ps FROM input)) GROUP BY id"
 
 
 query("w6_fill_wrap", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap").alias("out")), _filled(88, "", ""))
 query("w6_fill_wrap_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_indent").alias("out")), _filled(80, "    ", "    "))
-query("w6_fill_hanging_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "hanging_indent").alias("out")))
-query("w6_fill_markdown_item", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "markdown_item").alias("out")))
+query("w6_fill_hanging_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "hanging_indent").alias("out")), _filled(80, "", "    ", True))
+query("w6_fill_markdown_item", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "markdown_item").alias("out")), _filled(84, "", "  ", True))
 query("w6_fill_wrap_full", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_full").alias("out")), _filled(88, "", ""))
 scalar("w6_indent_only", PARAS, lambda t: N.fill_text(t, "indent_only"), f"'    ' || replace(text, {_NL}, {_NL} || '    ')")
 scalar("w6_no_wrapping", PARAS, lambda t: N.fill_text(t, "none"), "text")
 scalar("w7_wrap_to_width", DOCS, U.wrap_by_width(72, markdown=False), _joined(_wrapped(_WORDS, 72)))
 query("w8_hard_breaks", "SELECT c_custkey AS id, c_name || chr(92) || chr(10) || c_mktsegment || '  ' || chr(10) || 'end' AS text FROM $customer", lambda d: d.select("id", F.explode(N.hard_break_parts(F.col("text"))).alias("part")), r"SELECT id, unnest(regexp_split_to_array(text, '\\\n|  \n')) AS part FROM input")
-query("w9_wrap_by_sentence", DOCS, lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")))
+
+
+def _by_sentence(words: str, width: int = 88, least: int = 20) -> str:
+    """A fold over words that know whether a sentence ended before them: `last` is a short line that the one after it joins if both fit."""
+    marked = f"list_transform(ws, lambda w, i: {{'done': CAST([] AS VARCHAR[]), 'last': '', 'now': w, 'joins': false, 'starts': i > 1 AND regexp_matches(ws[i - 1], '{_END}')}})"
+    both = f"(a.joins AND length(a.last) + 1 + length(a.now) <= {width})"
+    line, done = f"(CASE WHEN {both} THEN a.last || ' ' || a.now ELSE a.now END)", f"(CASE WHEN a.joins AND NOT {both} THEN list_append(a.done, a.last) ELSE a.done END)"
+    fold = f"""list_reduce({marked}, lambda a, b: CASE
+ WHEN b.starts AND length({line}) < {least} THEN {{'done': {done}, 'last': {line}, 'now': b.now, 'joins': true, 'starts': false}}
+ WHEN b.starts THEN {{'done': list_append({done}, {line}), 'last': '', 'now': b.now, 'joins': false, 'starts': false}}
+ WHEN CASE WHEN a.joins THEN length(a.last) ELSE 0 END + length(a.now) + 1 + length(b.now) <= {width} THEN {{'done': a.done, 'last': a.last, 'now': a.now || ' ' || b.now, 'joins': a.joins, 'starts': false}}
+ ELSE {{'done': list_append({done}, {line}), 'last': '', 'now': b.now, 'joins': false, 'starts': false}} END)"""
+    return f"(SELECT coalesce(array_to_string(list_append({done}, {line}), {_NL}), '') FROM (SELECT {fold} AS a FROM (SELECT {words} AS ws)))"
+
+
+query("w9_wrap_by_sentence", DOCS, lambda d: C.spread(d).select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), f"SELECT id, {_by_sentence(_WORDS)} AS out FROM input")
 query("w9_sentence_lines", "SELECT c_custkey AS id, 'This is what ' || c_mktsegment || ' said about it then. And here is another sentence of some length. The end of it all is near now.' AS text FROM $customer", lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), r"SELECT id, regexp_replace(text, '\. ', '.' || chr(10), 'g') AS out FROM input")
 query("w10_tag_segments", TAGS, lambda d: d.select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), "SELECT id, unnest(string_split(text, chr(10))) AS segment FROM input")
 scalar("w11_comment_verbatim", COMMENTS, lambda t: F.array_join(F.transform(N.lines(t), lambda x, i: F.concat(F.when(i == 0, "> ").otherwise("  "), x)), "\n"), f"'> ' || replace(text, {_NL}, {_NL} || '  ')")
@@ -225,7 +298,7 @@ per_line("h5_normal_separator", MARKDOWN, N.normal_separator, "CASE WHEN line =
 
 scalar("r1_smart_quotes", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
 scalar("r2_quote_pairs", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
-scalar("r3_has_paragraphs", PARAS, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
+scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
 query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
@@ -234,12 +307,14 @@ scalar("r12_dedent", "SELECT c_custkey AS id, '    ' || c_name || chr(10) || chr
 
 # Whole documents
 
-query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F.col("text")).alias("out")))
-query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")))
+query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F.col("text")).alias("out")), f"SELECT id, replace(text, '|:--|--:|', '| :--- | ---: |') || {_NL} AS out FROM input")
+_PARAS_OF = "string_agg({0}, " + f"{_NL} || {_NL} ORDER BY k) || {_NL} AS {{1}} FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(trim(text), '\\n\\s*\\n') AS ps FROM input)) GROUP BY id"
+query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "out"))
 query("e2_reformat_plaintext", DOCS, lambda d: C.format_corpus(d, Format(plaintext=True)).select("id", F.col("formatted").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
 query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"))
-query("e4_changed", MARKDOWN, lambda d: C.changed(d, FILES, "id"), "SELECT id FROM input")
-query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "formatted"))
+query("e4_changed", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '# ' || p_name || chr(10) || chr(10) || p_brand || chr(10) ELSE '#  ' || p_name || chr(10) || p_brand END AS text FROM $part", lambda d: C.changed(d, FILES, "id"), "SELECT id FROM input WHERE text LIKE '#  %'")
+query("s20_reformat_corpus", TALK, lambda d: C.format_corpus(d, FILES).select("id", "formatted"), "SELECT id, " + _PARAS_OF.format(_joined(_wrapped(_PARA_WORDS, 88, _ESCAPED)), "formatted"))
+query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "formatted"), rf"""SELECT id, regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g') || {_NL} AS formatted FROM input""")
 
 # Agent artifacts, options and statistics
 
@@ -264,5 +339,5 @@ query(
     "SELECT run, count(seconds) AS n, round(avg(seconds), 4) AS mean, round(median(seconds), 4) AS median, round(min(seconds), 4) AS least, round(max(seconds), 4) AS most, round(stddev_samp(seconds), 4) AS stdev FROM input GROUP BY run",
 )
 ORACLE_SQL["a1_timing_stats"] = ORACLE_SQL["a1_timing_stats"].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")
-for _k in ("s6_resolve", "s7_include", "s8_size_limit", "s11_pruned", "s12_force_exclude", "s19_list_files", "s25_merge_options", "k7_write_decision"):
+for _k in ("s6_resolve", "s7_include", "s8_size_limit", "s11_pruned", "s13_default_excludes", "s12_force_exclude", "s19_list_files", "s25_merge_options", "k7_write_decision"):
     ORACLE_SQL[_k] = ORACLE_SQL[_k].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")
