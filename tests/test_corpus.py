@@ -1,5 +1,8 @@
 """Spark surfaces: sources, checks, streaming, SQL names, configuration, command line."""
 
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,42 @@ def test_marker_blocks(spark):
     assert [tuple(r["r"]) for r in got] == [(a, t) for _, a, t in cases]
     fronts = spark.createDataFrame([("---\na: 1\n---\nb",), ("---\n---\nb",), ("b",), ("",)], "text string")
     assert [r[0] for r in fronts.select(insert_marker(F.col("text"), "M")).collect()] == ["---\na: 1\n---\nM\n\nb", "M\n\n---\n---\nb", "M\n\nb", "M\n\n"]
+
+
+def test_package_ships_to_sessions_elsewhere(tmp_path):
+    """A session that is started in another folder finds the package in its workers."""
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import textloom
+from pyspark.sql import SparkSession
+from textloom.functions import udfs
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+textloom.ship(spark)
+print(spark.sql("SELECT 'a...b' AS t").select(udfs.ellipses()("t")).first()[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "a … b" in out.stdout, out.stderr[-2000:]
+
+
+def test_transform_and_rewrite():
+    from textloom import fill_markdown, parse, transform_tree
+
+    seen = []
+    transform_tree(parse("# A\n\n- *b*\n"), lambda n: seen.append(n.kind))
+    assert seen[:2] == ["document", "heading"] and {"list", "item", "paragraph", "emphasis"} <= set(seen)
+    assert fill_markdown("a `b` *c*", rewrite=str.upper) == "A `b` *C*\n"
+
+
+def test_command_line_takes_plain_files_and_reports_each(tmp_path, capsys):
+    from textloom.cli import main
+
+    good, bad = tmp_path / "a.md", tmp_path / "b.md"
+    good.write_text("*  x")
+    bad.write_bytes(b"\xff\xfe")
+    assert main([str(good), str(bad)]) == 1
+    got = capsys.readouterr()
+    assert got.out == "* x\n" and "b.md" in got.err

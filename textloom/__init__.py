@@ -1,9 +1,17 @@
 """textloom: formatting and analysing corpora of Markdown and plain text with Spark."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
 from textloom.functions.formatting import AUTO, FILES, Format, fill_markdown, reformat
 from textloom.functions.frontmatter import has_frontmatter, split_frontmatter
 from textloom.functions.markdown.parse import parse
-from textloom.functions.markdown.tree import block_table, extract_links, inline_text, rewrite_across, rewrite_texts, walk
+from textloom.functions.markdown.tree import block_table, extract_links, inline_text, rewrite_across, rewrite_texts, transform_tree, walk
 from textloom.functions.typography import ellipses, smart_quotes
 from textloom.functions.words import atomic_spans, atomic_words, first_sentence, first_sentences, markup_words, sentence_spans, split_sentences
 from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text, wrap_lines, wrap_text
@@ -11,5 +19,22 @@ from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text, w
 __all__ = [
     "AUTO", "FILES", "Format", "Wrapper", "atomic_spans", "atomic_words", "block_table", "by_sentence", "by_width", "ellipses", "extract_links",
     "fill_markdown", "fill_text", "first_sentence", "first_sentences", "has_frontmatter", "inline_text", "markup_words", "parse", "reformat",
-    "rewrite_across", "rewrite_texts", "sentence_spans", "smart_quotes", "split_frontmatter", "split_sentences", "walk", "wrap_lines", "wrap_text",
+    "rewrite_across", "rewrite_texts", "sentence_spans", "ship", "smart_quotes", "split_frontmatter", "split_sentences", "transform_tree", "walk", "wrap_lines", "wrap_text",
 ]
+
+
+def formatting_docs() -> str:
+    return fill_markdown.__doc__ or ""
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, for sessions whose executors don't have it installed."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(), "textloom.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("textloom", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(at)

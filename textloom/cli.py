@@ -8,9 +8,13 @@ import sys
 import tempfile
 from pathlib import Path
 
+import textloom
 from textloom.functions.formatting import FILES, reformat
 from textloom.plans.options import find_config, load_config, resolve_format
-from textloom.sources.files import Discovery, Resolver
+from textloom.sources.files import Discovery, Resolver, needs_resolving
+
+
+VERSION = "textloom 0.2.0"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("extend-include", "exclude", "extend-exclude"):
         p.add_argument(f"--{name}", action="append")
     p.add_argument("--files-max-size", type=int)
+    p.add_argument("--version", action="version", version=VERSION)
+    p.add_argument("--docs", action="store_true", help="print what the engine does")
     return p
 
 
@@ -44,6 +50,9 @@ def write_whole(path: Path, text: str, backup: bool) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.docs:
+        print(textloom.__doc__, textloom.formatting_docs(), sep="\n\n")
+        return 0
     inplace = a.inplace or a.auto
     files = a.files or ([] if a.auto or a.list_files else ["-"])
     if not files:
@@ -64,16 +73,21 @@ def main(argv: list[str] | None = None) -> int:
     )
     try:
         named = [f for f in files if f != "-"]
-        paths: list[Path | None] = [None] * ("-" in files) + list(Resolver(rules).resolve(named))
+        paths: list[Path | None] = [None] * ("-" in files) + (list(Resolver(rules).resolve(named)) if needs_resolving(named, rules) or a.list_files else [Path(f) for f in named])
         if a.list_files:
             print(*filter(None, paths), sep="\n")
             return 0
         if a.output != "-" and named:
             print("--output is for standard input; use --inplace for files.", file=sys.stderr)
             return 1
-        changed = []
+        changed, failed = [], False
         for p in paths:
-            text = sys.stdin.read() if p is None else p.read_text()
+            try:
+                text = sys.stdin.read() if p is None else p.read_text()
+            except UnicodeDecodeError as e:
+                print(f"Error: {p or '-'}: {e}", file=sys.stderr)
+                failed = True
+                continue
             new = reformat(text, options)
             if new != text:
                 changed.append(p or "-")
@@ -85,13 +99,13 @@ def main(argv: list[str] | None = None) -> int:
                 write_whole(Path(a.output), new, False)
             else:
                 sys.stdout.write(new)
-    except (OSError, UnicodeDecodeError) as e:
+    except OSError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
     if a.check and changed:
         print(*(f"Would reformat: {p}" for p in changed), sep="\n", file=sys.stderr)
         return 1
-    return 0
+    return int(failed)
 
 
 if __name__ == "__main__":

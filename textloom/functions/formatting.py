@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from textwrap import dedent
 
 from textloom.functions.frontmatter import split_frontmatter
 from textloom.functions.lines import space_tag_blocks
 from textloom.functions.markdown import parse, render
-from textloom.functions.markdown.tree import rewrite_across, rewrite_texts, unbold_headings
+from textloom.functions.markdown.nodes import Node
+from textloom.functions.markdown.tree import rewrite_across, rewrite_texts, transform_tree, unbold_headings
 from textloom.functions.patterns import WIDTH
 from textloom.functions.typography import ellipses, smart_quotes
 from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text
@@ -36,8 +38,8 @@ FILES = Format(semantic=False)
 AUTO = replace(FILES, semantic=True, cleanups=True, smartquotes=True, ellipses=True)
 
 
-def fill_markdown(text: str, width: int = WIDTH, semantic: bool = False, cleanups: bool = False, smartquotes: bool = False, ellipses_: bool = False, wrapper: Wrapper | None = None, list_spacing: str = "preserve", dedent_input: bool = True) -> str:
-    """The passes in order: frontmatter, dedent, tag spacing, parse, cleanups, quotes, ellipses, render."""
+def fill_markdown(text: str, width: int = WIDTH, semantic: bool = False, cleanups: bool = False, smartquotes: bool = False, ellipses_: bool = False, wrapper: Wrapper | None = None, list_spacing: str = "preserve", dedent_input: bool = True, transform: Callable[[Node], None] | None = None, rewrite: Callable[[str], str] | None = None) -> str:
+    """The passes in order: frontmatter, dedent, tag spacing, parse, cleanups, quotes, ellipses, render. Before it renders come transform, on every container, and rewrite, on every text."""
     wrapper = wrapper or (by_sentence if semantic else by_width)(width=width, markdown=True)
     front, content = split_frontmatter(text)
     body = content if front else text
@@ -49,6 +51,10 @@ def fill_markdown(text: str, width: int = WIDTH, semantic: bool = False, cleanup
         rewrite_across(doc, smart_quotes)
     if ellipses_:
         rewrite_texts(doc, ellipses, coalesce=True)
+    if transform:
+        transform_tree(doc, transform)
+    if rewrite:
+        rewrite_texts(doc, rewrite)
     return front + render(doc, wrapper, list_spacing)
 
 

@@ -18,6 +18,20 @@ def walk(node: Node) -> Iterator[Node]:
         todo += n.children[::-1]
 
 
+#: Nodes that hold others.
+CONTAINERS = {"document", "quote", "alert", "list", "item", "footnote", "table", "row", "cell", "paragraph", "heading", "emphasis", "strong", "strike", "link", "image"}
+
+
+def transform_tree(node: Node, fn: Callable[[Node], None]) -> None:
+    """fn on node and on every container below, each before what it holds; fn may change the node it gets."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.kind in CONTAINERS or n.children:
+            fn(n)
+            todo += n.children[::-1]
+
+
 def inline_text(node: Node) -> str:
     return node.text if not node.children else "".join(map(inline_text, node.children))
 

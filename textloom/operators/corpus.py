@@ -13,7 +13,9 @@ from textloom.functions.formatting import AUTO, FILES, Format
 
 def spread(docs: DataFrame) -> DataFrame:
     """docs over as many partitions as there are cores at least. A file of one row group is one task however large it is; a wide scan, and anything
-    behind a shuffle, stays as it is."""
+    behind a shuffle, and a stream, stays as it is."""
+    if docs.isStreaming:
+        return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() or docs.rdd.getNumPartitions() >= cores:
         return docs

@@ -302,6 +302,16 @@ scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
 query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
+
+
+def _deeper(n) -> None:
+    if n.kind == "heading":
+        n.attrs["level"] += 1
+
+
+query("r6_transform_tree", "SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || '> ## ' || p_brand AS text FROM $part", lambda d: d.select("id", U.fill_markdown(transform=_deeper)(F.col("text")).alias("out")), f"SELECT id, '#' || replace(text, '> ##', '> ###') || {_NL} AS out FROM input")
+query("r7_coalesced_lines", "SELECT p_partkey AS id, p_name || '...' || chr(10) || p_type || ' `a...b`' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(ellipses_=True)(F.col("text")).alias("out")), f"SELECT id, replace(replace(text, '...' || {_NL}, ' … '), 'a … b', 'a...b') || {_NL} AS out FROM input")
+query("r8_rewrite_texts", "SELECT p_partkey AS id, p_name || ' `code` *' || p_type || '* [x](y)' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(rewrite=str.upper)(F.col("text")).alias("out")), f"SELECT id, replace(replace(upper(text), '`CODE`', '`code`'), '(Y)', '(y)') || {_NL} AS out FROM input")
 query("r11_unbold_headings", "SELECT p_partkey AS id, '## **' || p_name || '**' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(cleanups=True)(F.col("text")).alias("out")), "SELECT id, replace(text, '**', '') || chr(10) || chr(10) AS out FROM input")
 scalar("r12_dedent", "SELECT c_custkey AS id, '    ' || c_name || chr(10) || chr(10) || '      ' || c_mktsegment AS text FROM $customer", N.dedent, "replace(substr(text, 5), chr(10) || '    ', chr(10))")
 

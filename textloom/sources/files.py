@@ -106,6 +106,11 @@ class Resolver:
         return sorted(found.values())
 
 
+def needs_resolving(names: list[str], rules: Discovery) -> bool:
+    """Whether names are more than plain files, which are taken as they are."""
+    return rules.force_exclude or not all(Path(x).is_file() for x in names)
+
+
 class _Slice(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(None)
@@ -123,18 +128,21 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         for p in partition.paths:
             raw = Path(p).read_bytes()
-            yield p, len(raw), raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+            try:
+                yield p, len(raw), raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
+            except UnicodeDecodeError as error:
+                yield p, len(raw), None, str(error)
 
 
 class TextFiles(DataSource):
-    """spark.read.format("textloom_files").option("paths", "a.md:docs").load(): (path, size, text)."""
+    """spark.read.format("textloom_files").option("paths", "a.md:docs").load(): (path, size, text, error); a file that is no UTF-8 has an error and no text."""
 
     @classmethod
     def name(cls) -> str:
         return "textloom_files"
 
     def schema(self) -> str:
-        return "path string, size bigint, text string"
+        return "path string, size bigint, text string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
