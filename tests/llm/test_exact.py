@@ -251,6 +251,37 @@ def test_passages_of_edited_copies_against_brute_force(spark):
     assert len(got) >= 0.975 * len({i for x in near for i in x})
 
 
+def test_passages_recall_on_a_table_with_edited_passages(spark):
+    """Every fifth document gets an edited passage of another; all pairs that share enough shingles are aligned."""
+    from textloom.llm.passages import align, passage_classes, word_shingles
+
+    rng = random.Random(3)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    long = [w for w in (t.split() for _, t in docs) if len(w) >= 200]
+    table = []
+    for k, (i, t) in enumerate(docs):
+        if k % 5 == 0:
+            w = rng.choice(long)
+            a = rng.randrange(len(w) - 120)
+            passage = w[a : a + rng.randint(60, 120)]
+            for _ in range(rng.randint(0, 4)):
+                passage[rng.randrange(len(passage))] = f"edit{rng.randrange(10**6)}"
+            t += " " + " ".join(passage)
+        table.append((i, t))
+    h = [word_shingles(t.encode(), 5) for _, t in table]
+    holders = defaultdict(set)
+    for k, a in enumerate(h):
+        for v in a.tolist():
+            holders[v].add(k)
+    shared = Counter((i, j) for ks in holders.values() for j in ks for i in ks if i < j)
+    # Similarity 0.8 over 46 shingles takes 37 that are shared.
+    near = [(i, j) for (i, j), n in shared.items() if n >= 37 and align(h[j], h[i], 46, 0.8)]
+    got = {r.doc_id: r.class_id for r in passage_classes(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    ids = [i for i, _ in table]
+    found = sum(ids[i] in got and got[ids[i]] == got.get(ids[j]) for i, j in near)
+    assert len(near) > 20 and found >= 0.9 * len(near)
+
+
 def test_compact_windows_hold_every_min():
     from textloom.llm.passages import compact_windows
 
