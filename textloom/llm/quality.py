@@ -7,8 +7,8 @@ of fewer than MIN_DOCS documents share the reference of all documents together.
 against the language it is nearest to, so a wrong or missing `lang` doesn't reject it.
 
 Defined results: null and empty texts have no words and fail the base rules; documents of fewer than `min_words`
-words are never judged by divergence (they fail the base rules); an empty table gives no rows; extra columns are
-ignored; repeated rows are scored each.
+words are never judged by divergence (they fail the base rules); very long texts are counted whole; of equally near references, the first by name counts; an empty table gives no rows;
+extra columns, whatever their names, are ignored; repeated rows are scored each.
 """
 
 from __future__ import annotations
