@@ -37,13 +37,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def text_pairs(batch: pa.RecordBatch, n: int = 0) -> Iterator[tuple]:
-    """The rows of a batch with its column n, a string, as UTF-8 bytes; null is b''."""
-    cols = [c.to_pylist() if k != n else None for k, c in enumerate(batch.columns)]
-    text = batch.column(n).cast(pa.binary())
-    for i in range(batch.num_rows):
-        v = text[i]
-        yield (v.as_py() or b"",) + tuple(c[i] for c in cols if c is not None)
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will be read from again."""
+    files = df.inputFiles()
+    if files:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_texts(

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps over an edge table.
 
 Edges never reach the driver. Every step is an aggregation with map-side combine and an equality join, whose
-skewed keys adaptive execution splits; its result is written to the shared folder. A graph's smallest node names
+skewed keys adaptive execution splits; its result is written to the shared folder, and the one before it deleted. A graph's smallest node names
 its component. Self-loops and repeated or reversed edges do no harm; an empty edge table gives an empty result.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize
+from textloom.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was, is_ = None, mark(now)
     while is_ != was and is_[0]:
-        was = is_
+        was, old = is_, now
         now = materialize(_small_star(_large_star(now)), tag)
         is_ = mark(now)
+        discard(old)
     # Now every edge leads from a node to its component's smallest.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
