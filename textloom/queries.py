@@ -321,7 +321,8 @@ query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F
 _PARAS_OF = "string_agg({0}, " + f"{_NL} || {_NL} ORDER BY k) || {_NL} AS {{1}} FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(trim(text), '\\n\\s*\\n') AS ps FROM input)) GROUP BY id"
 query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "out"))
 query("e2_reformat_plaintext", DOCS, lambda d: C.format_corpus(d, Format(plaintext=True)).select("id", F.col("formatted").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
-query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"))
+# The documents' marks stand inside lines, where they change nothing.
+query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "formatted"))
 query("e4_changed", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '# ' || p_name || chr(10) || chr(10) || p_brand || chr(10) ELSE '#  ' || p_name || chr(10) || p_brand END AS text FROM $part", lambda d: C.changed(d, FILES, "id"), "SELECT id FROM input WHERE text LIKE '#  %'")
 query("s20_reformat_corpus", TALK, lambda d: C.format_corpus(d, FILES).select("id", "formatted"), "SELECT id, " + _PARAS_OF.format(_joined(_wrapped(_PARA_WORDS, 88, _ESCAPED)), "formatted"))
 query("e5_auto", QUOTES, lambda d: C.format_corpus(d, AUTO).select("id", "formatted"), rf"""SELECT id, regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g') || {_NL} AS formatted FROM input""")
