@@ -107,6 +107,12 @@ query("s6_resolve", PATHS, lambda d: R.resolve(d.unionByName(d)).select("path"),
 query("s7_include", PATHS, lambda d: d.where(R.included(F.col("path"), ["*.md"])).select("id", "path"), r"SELECT id, path FROM input WHERE regexp_matches(path, '(^|/)[^/]*\.md$')")
 query("s8_size_limit", PATHS, lambda d: d.where(R.small_enough(F.col("size"), 100_000)).select("id", "size"), "SELECT id, size FROM input WHERE size <= 100000")
 query("s11_pruned", PATHS, lambda d: d.where(~R.pruned(F.col("path"))).select("id", "path"), "SELECT id, path FROM input WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
+query(
+    "s9_ignore_file",
+    PATHS,
+    lambda d: d.where(~R.ignored(F.col("path"), ["# texts", "*.txt", "/root/**/node_modules/", "!3*.txt"])).select("id", "path"),
+    "SELECT id, path FROM input WHERE regexp_matches(path, '/3[^/]*[.]txt$') OR NOT (path LIKE '%.txt' OR path LIKE 'root/%/node_modules/%')",
+)
 query(
     "s13_default_excludes",
     "SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'site' WHEN 1 THEN 'out' WHEN 2 THEN 'Pods' WHEN 3 THEN 'third_party' WHEN 4 THEN 'my.egg-info' WHEN 5 THEN '_darcs' WHEN 6 THEN 'htmlcov' WHEN 7 THEN '.env' ELSE 'docs' END || '/' || cast(doc_id AS string) || '.md' AS path FROM $documents",
@@ -350,5 +356,5 @@ query(
     "SELECT run, count(seconds) AS n, round(avg(seconds), 4) AS mean, round(median(seconds), 4) AS median, round(min(seconds), 4) AS least, round(max(seconds), 4) AS most, round(stddev_samp(seconds), 4) AS stdev FROM input GROUP BY run",
 )
 ORACLE_SQL["a1_timing_stats"] = ORACLE_SQL["a1_timing_stats"].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")
-for _k in ("s6_resolve", "s7_include", "s8_size_limit", "s11_pruned", "s13_default_excludes", "s12_force_exclude", "s19_list_files", "s25_merge_options", "k7_write_decision"):
+for _k in ("s6_resolve", "s7_include", "s8_size_limit", "s11_pruned", "s9_ignore_file", "s13_default_excludes", "s12_force_exclude", "s19_list_files", "s25_merge_options", "k7_write_decision"):
     ORACLE_SQL[_k] = ORACLE_SQL[_k].replace(", lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM input)", "")

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 
 @lru_cache(maxsize=4096)
-def _rule(line: str) -> tuple[bool, bool, re.Pattern[str]] | None:
+def parsed_line(line: str) -> tuple[bool, bool, re.Pattern[str]] | None:
     """(excludes, folders only, pattern over the relative path)."""
     line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n"))
     if not line or line.startswith("#"):
@@ -48,7 +48,7 @@ def _rule(line: str) -> tuple[bool, bool, re.Pattern[str]] | None:
 
 class Rules:
     def __init__(self, lines: list[str]):
-        self.rules = [r for r in map(_rule, lines) if r]
+        self.rules = [r for r in map(parsed_line, lines) if r]
 
     def matches(self, path: str) -> bool:
         """path is relative, with / between parts; a folder's ends in /."""

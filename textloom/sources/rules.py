@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.ignore import parsed_line
+
 #: What is included, and the folders that a walk doesn't enter.
 INCLUDE = ("*.md",)
 EXCLUDE = (
@@ -61,6 +63,14 @@ def matches_any(path: Column, globs) -> Column:
     return F.exists(F.split(path, "/"), lambda p: _any(p, globs))
 
 
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the last of an ignore file's lines that matches excludes. path is a file's, relative to the ignore file's folder; an ignore file is short, so its lines are a chain of conditions."""
+    parent = F.regexp_replace(path, "/?[^/]*$", "")
+    rules = [r for r in map(parsed_line, lines) if r]
+    hits = [F.when((parent if folders else path).rlike("^(?:" + pattern.pattern + ")"), F.lit(excludes)) for excludes, folders, pattern in reversed(rules)]
+    return F.coalesce(*hits, F.lit(False))
+
+
 def small_enough(size: Column, most: int = MAX_SIZE) -> Column:
     return (size <= most) | F.lit(most == 0)
 
