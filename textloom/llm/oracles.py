@@ -118,7 +118,23 @@ parts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) A
 cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM parts JOIN d USING (r) GROUP BY r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
 
+PREFIX_TRIE = """
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
+turns AS (SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'d': d, 'b': b} ORDER BY turn NULLS FIRST, d, b) AS w FROM turns GROUP BY conv_id),
+h AS (SELECT conv_id, w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 9 AS h FROM own, crc),
+rebuilt AS (SELECT h.conv_id, list_concat(coalesce(g.w[1 : h.h], []), h.w[h.h + 1 :]) AS r FROM h LEFT JOIN own g ON g.conv_id = h.conv_id - h.conv_id % 5),
+members AS (SELECT conv_id, d, array_to_string(list_transform(r[1 : d], lambda x: x.d), '') AS k, CASE WHEN d > 0 THEN r[d].b ELSE 0 END AS b, d = len(r) AS ends FROM (SELECT conv_id, r, unnest(range(0, len(r) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT k, d, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n, coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends FROM members GROUP BY k, d),
+children AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+below AS (SELECT left(k, 32 * j) AS k, sum((n - 1) * b) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n AS n_convs, w.n_children, CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM whole w JOIN below USING (k) LEFT JOIN nodes p ON w.d > 0 AND p.k = left(w.k, 32 * (w.d - 1))"""
+
 ORACLE_SQL = {
+    "op11_conversation_prefix_trie": PREFIX_TRIE,
     "op6_pareto_mixing": MIXING,
     "op7_benchmark_decontamination": DECONTAMINATION,
     "op9_preference_formatting": PREFERENCES,

@@ -85,6 +85,35 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicate_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.prefixtrie import prefix_trie, turn_paths, with_shared_starts
+
+    return prefix_trie(with_shared_starts(turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.periodic import longest, periodic_runs, with_planted_runs
+
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), ["doc_id"]).withColumn("best", longest(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.n") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.jaccardjoin import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 # Parts of op3's and op8's results, which SQL can say.
 
 
@@ -96,4 +125,4 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pii_boosting(spark, sf_dir).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op4_compact_windows, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting, op10_suffix_array_dedup, quality_base_counts, pii_base_spans)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_toxicity_grammar, op3_quality_rules, op4_compact_windows, op5_simhash_near_dedup, op6_pareto_mixing, op7_benchmark_decontamination, op8_pii_boosting, op9_preference_formatting, op10_suffix_array_dedup, op11_conversation_prefix_trie, op12_periodic_runs, op13_ngram_jaccard_join, quality_base_counts, pii_base_spans)}
