@@ -216,6 +216,7 @@ def test_jaccard_join_against_brute_force(spark, boundary, block, ids, monkeypat
     from textloom.llm import jaccardjoin
 
     monkeypatch.setattr(jaccardjoin, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(jaccardjoin, "LONG", block // 2)
     rows = [(3 * i + 1, t, 1, "n", "r", "c") for i, t in enumerate(join_texts())]
     rows += [rows[20], (rows[20][0], rows[60][1], 1, "n", "r", "c"), (None, rows[70][1], 1, "n", "r", "c"), (None, "only here and never elsewhere", 1, "n", "r", "c"), (None, None, 1, "n", "r", "c")]
     out = jaccardjoin.similar_groups(spark.createDataFrame(rows, DOCS).repartition(3), boundary=boundary, block=block)
@@ -245,4 +246,5 @@ def test_subset_sizes_cover_every_partner():
         for t in range(s, 30):
             if 100 * s >= 85 * t:
                 assert need(s, t) in subset_sizes(s) and need(s, t) in subset_sizes(t)
-    assert keys_of(5) == 1 and choose_boundary(0.0) <= choose_boundary(20.0) <= choose_boundary(1e9)
+    assert keys_of(5) == 1 and keys_of(12) == 13
+    assert choose_boundary({13: 100, 14: 5}, {13: 99, 14: 7}) == 12 and choose_boundary({13: 2, 14: 5}, {13: 99, 14: 7}) == 13 and choose_boundary({13: 2, 14: 5}, {13: 99, 14: 10**6}) == 14

@@ -7,11 +7,11 @@ if they share need(s, t) = ceil(J (s + t) / (1 + J)) shingles, J being the simil
   share that many, so all under it whose sizes ask for no more link to its smallest set: a star says what all pairs would.
 * **Heavy** sets, and the light ones that may link to them: inverted lists. In order of hash, two linked sets share k shingles among their first
   s - ceil(J s) + k, k = ceil(EXTRA s). Shingles of one set only are dropped, and with them sets with fewer than k left. Of the rest, rare ones first, all but
-  the last k - 1 are filed. A list isn't expanded into pairs: its members are held against its smallest first, those that link become components, and
-  only members of different components are held against each other, in blocks of a list, by histograms of the shingles' hashes: they differ
-  by no more than the sets do, and so rule out pairs without losing any.
+  the last k - 1 are filed. A list isn't expanded into pairs: its members are held against its most central one first (that whose shingles are the most frequent), those that link become
+  components, and only members of different components are held against each other, in blocks of a list, by histograms of the shingles' hashes: they differ
+  by no more than the sets do, and so rule out pairs without losing any. A pair that meets in several long lists counts in one.
 
-The boundary is where the keys of a light set begin to outnumber the entries that scanning its lists takes, with list lengths as counted over all documents.
+The boundary is the size, from LIGHT_LEAST to LIGHT_MOST, for which the keys of all smaller sets and the entries in all larger sets' lists are the fewest, as counted over all documents.
 Every link is verified on the shingle sets, made from the texts anew for what got this far. Nothing is capped; a long list takes more blocks.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are a component each; fewer words than a shingle are one
@@ -38,12 +38,14 @@ from textloom.llm.hashing import mix64
 SHINGLE, PERCENT = 4, 85
 #: The share of a set by which its hash prefix is longer than one common shingle asks for.
 EXTRA = 0.05
-#: Sets of up to this size carry all their shingles, so the boundary is no further.
-LIGHT_MOST = 24
+#: Sets of up to LIGHT_LEAST shingles link only to sets that hold all of theirs, so a subset is nearly the set itself; those of up to LIGHT_MOST carry all their shingles.
+LIGHT_LEAST, LIGHT_MOST = 12, 24
 #: Cells of a set's histogram.
 CELLS = 128
 #: Members of a list that are held against each other in one task.
 BLOCK = 512
+#: Entries of a list beyond which its members carry the names of such lists, so that a pair is only found in one of them.
+LONG = 64
 #: Ids that are broadcast to pick the documents whose sets are made again (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -97,11 +99,13 @@ def keys_of(s: int, percent: int = PERCENT) -> int:
     return sum(comb(s, o) for o in subset_sizes(s, percent))
 
 
-def choose_boundary(entries: float, percent: int = PERCENT) -> int:
-    """The largest size up to which all sets have fewer keys than their lists have entries; entries: mean length of the list of a filed shingle."""
-    x = 0
-    while x < LIGHT_MOST and keys_of(x + 1, percent) <= (x + 1 - least_shared(x + 1, percent) + extra(x + 1)) * max(entries, 1.0):
-        x += 1
+def choose_boundary(sets: dict[int, int], scanned: dict[int, int], percent: int = PERCENT) -> int:
+    """The boundary of least cost. sets, scanned: how many sets of a size there are, and the entries in their lists together."""
+    best, cost, x = 0, 0, LIGHT_LEAST
+    for s in range(LIGHT_LEAST + 1, LIGHT_MOST + 1):
+        cost += sets.get(s, 0) * keys_of(s, percent) - scanned.get(s, 0)
+        if cost < best:
+            best, x = cost, s
     return x
 
 
@@ -180,23 +184,25 @@ def light_links(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 
 def filed(nodes: DataFrame, live: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Entries (token, node, n, cells) of the inverted lists of the nodes that may have a partner over the boundary."""
+    """Entries (token, node, n, edge, cells) of the inverted lists of the nodes that may have a partner over the boundary. edge: the lower, the more frequent a node's shingles are."""
     heavy = nodes.where(F.col("n") >= least_shared(boundary + 1, percent))
     # A light set carries all its shingles; its prefix is cut here.
     shared = F.ceil(F.col("n") * percent / 100)
     more = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA))
-    index = heavy.select("node", F.explode(F.slice("front", F.lit(1), (F.col("n") - shared + more).cast("int"))).alias("token"))
+    front = (F.col("n") - shared + more).cast("int")
+    index = heavy.select("node", F.explode(F.slice("front", F.lit(1), front)).alias("token"))
     found = index.join(live, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     floor = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * EXTRA)).cast("int")
+    edge = F.floor(F.aggregate("found", F.lit(0).cast("long"), lambda t, f: t + f["df"]) * -1000 / front)
     kept = heavy.select("node", "n", "cells").join(found, "node").withColumn("floor", floor).where(F.size("found") >= F.col("floor"))
-    rows = kept.select("node", "n", "cells", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("floor") + 1)).alias("f"))
-    return rows.select(F.col("f.token").alias("token"), "node", "n", "cells")
+    rows = kept.select("node", "n", edge.alias("edge"), "cells", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("floor") + 1)).alias("f"))
+    return rows.select(F.col("f.token").alias("token"), "node", "n", "edge", "cells")
 
 
 def star_candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Each list's members against its smallest."""
-    least = entries.groupBy("token").agg(F.min(F.struct("n", "node", "cells")).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    met = entries.join(least, "token").where(F.col("node") != F.col("least.node")).where(F.col("least.n") * 100 >= F.col("n") * percent)
+    """Each list's members against its most central one."""
+    least = entries.groupBy("token").agg(F.min(F.struct("edge", "n", "node", "cells")).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    met = entries.join(least, "token").where(F.col("node") != F.col("least.node"))
     met = met.select(F.col("node").alias("x"), "n", "cells", F.col("least.node").alias("y"), F.col("least.n").alias("m"), F.col("least.cells").alias("others"))
 
     def near(x):
@@ -213,16 +219,22 @@ def cross_candidates(entries: DataFrame, components: DataFrame, percent: int, bl
     """Members of one list that are in different components so far and that nothing rules out."""
     now = entries.join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = now.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = mixed.select("token", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    mixed = materialize(mixed.select("token", "rows", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "join-mixed")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = now.join(mixed, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    now = now.join(mixed, "token")
+    long = now.where(F.col("rows") > LONG)
+    lists = long.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    long = long.join(lists, "node").select(*now.columns, "tokens")
+    now = now.where(F.col("rows") <= LONG).withColumn("tokens", F.array().cast("array<bigint>")).union(long)
+    rows = now.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A token's blocks i and j meet under one key; sorted so that a group's rows follow one another.
-    rows = rows.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "cells")
+    rows = rows.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "cells", "tokens")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("token", "i", "j", "node")
 
     def compare(group: list[tuple]):
-        _, i, j, own, node, n, comp, cells = (np.array(c) if k < 7 else c for k, c in enumerate(zip(*group)))
+        token = group[0][0]
+        _, i, j, own, node, n, comp, cells, tokens = (np.array(c) if k < 7 else c for k, c in enumerate(zip(*group)))
         have = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS).astype(np.int16)
         a, b = [], []
         for k in range(len(group) - 1):
@@ -231,6 +243,9 @@ def cross_candidates(entries: DataFrame, components: DataFrame, percent: int, bl
             at = np.flatnonzero(able) + k + 1
             if len(at):
                 at = at[may_link(n[at], n[k], np.abs(have[at] - have[k]).sum(axis=1, dtype=np.int64), percent)]
+                at = at.tolist()
+                if len(tokens[k]):  # of the long lists that two nodes share, that of the lowest token counts
+                    at = [x for x in at if np.intersect1d(tokens[k], tokens[x], assume_unique=True)[0] == token]
                 a += [node[k]] * len(at)
                 b += node[at].tolist()
         return a, b
@@ -238,7 +253,9 @@ def cross_candidates(entries: DataFrame, components: DataFrame, percent: int, bl
     def run(batches):
         group, out_a, out_b = [], [], []
         for x in batches:
-            for row in zip(*(c.to_pylist() for c in x.columns[1:])):
+            flat, ends = x.columns[-1].values.to_numpy(), x.columns[-1].offsets.to_numpy()
+            tokens = [flat[a:b] for a, b in zip(ends, ends[1:])]
+            for row in zip(*(c.to_pylist() for c in x.columns[1:-1]), tokens):
                 if group and group[0][:3] != row[:3]:
                     a, b = compare(group)
                     out_a += a
@@ -294,10 +311,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = marked.where("n > 0").groupBy("na", "nb").agg(F.any_value("n").alias("n"), F.any_value("cells").alias("cells"), F.any_value("front").alias("front"), F.min(id_col).alias("rep"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     live = materialize(nodes.select(F.explode("front").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-live")
+    entries = materialize(filed(nodes, live, LIGHT_LEAST if boundary is None else boundary, percent), "join-entries")
     if boundary is None:
-        seen = live.agg(F.sum(F.col("df").cast("double") * F.col("df")).alias("pairs"), F.sum(F.col("df").cast("double")).alias("rows")).first()
-        boundary = choose_boundary((seen["pairs"] or 0.0) / (seen["rows"] or 1.0), percent)
-    entries = materialize(filed(nodes, live, boundary, percent), "join-entries")
+        some = nodes.where(F.col("n").between(LIGHT_LEAST + 1, LIGHT_MOST)).groupBy("n").agg(F.count(F.lit(1)).alias("v"))
+        lengths = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length"), *[F.count_if(F.col("n") == s).alias(f"of_{s}") for s in range(LIGHT_LEAST + 1, LIGHT_MOST + 1)])
+        scanned = lengths.agg(*[F.coalesce(F.sum(F.col("length") * F.col(f"of_{s}")), F.lit(0)).alias(str(s)) for s in range(LIGHT_LEAST + 1, LIGHT_MOST + 1)]).first().asDict()
+        boundary = choose_boundary({r["n"]: r["v"] for r in some.collect()}, {int(k): v for k, v in scanned.items()}, percent)
+        entries = entries.where(F.col("n") >= least_shared(boundary + 1, percent))
     light = materialize(light_links(nodes, boundary, percent), "join-light")
     stars = materialize(star_candidates(entries, percent), "join-stars")
 
