@@ -12,7 +12,8 @@ _OPENS = r"(?:\{%|\{#|\{\{|<!--)"
 _CLOSES = r"(?:%\}|#\}|\}\}|-->)"
 _STRINGS = "cast(array() as array<string>)"
 #: White space as Python has it, inside a character class; Java's \s is the ASCII part alone.
-_S = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RARE = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_S = r"\s" + _RARE
 
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -28,7 +29,9 @@ def trimmed(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{_S}]+"), lambda w: w != "")
+    """White space beyond ASCII is rare, and its class slow, so only texts that hold any are split by it."""
+    parts = F.when(text.rlike(f"[{_RARE}]"), F.split(text, f"[{_S}]+")).otherwise(F.split(text, r"\s+"))
+    return F.array_remove(parts, "")
 
 
 def squeezed(text: Column) -> Column:
@@ -165,7 +168,7 @@ def _runs(ws: Column, starts: Column, head=lambda w: w) -> Column:
     return F.transform(starts, run)
 
 
-def split_sentences(text: Column, min_length: int = MIN_SENTENCE) -> Column:
+def sentences_of_words(words_: Column, min_length: int = MIN_SENTENCE) -> Column:
     """A fold over words: a sentence ends at a word that looks like an end, once it is long enough. Only places are folded; words are joined at the end."""
     start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"), F.lit(-1).alias("size"))
 
@@ -174,7 +177,11 @@ def split_sentences(text: Column, min_length: int = MIN_SENTENCE) -> Column:
         starts = F.when(acc["size"] < 0, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
         return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when((size >= min_length) & ends_sentence(w), -1).otherwise(size).alias("size"))
 
-    return _with(words(text), lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts)))
+    return _with(words_, lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts)))
+
+
+def split_sentences(text: Column, min_length: int = MIN_SENTENCE) -> Column:
+    return sentences_of_words(words(text), min_length)
 
 
 def first_sentences(text: Column, n: int, min_length: int = MIN_SENTENCE) -> Column:
@@ -193,11 +200,8 @@ def escape_word(word: Column) -> Column:
     return F.when(word.rlike(r"^[0-9]+[.)]\z"), numeral).when(word.rlike(r"^(?:[-*+>]|#+)\z"), F.concat(F.lit("\\"), word)).otherwise(word)
 
 
-def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int = 0, markdown: bool = False) -> Column:
-    """Greedy lines of the words between white space. For texts without constructs that hold white space; others go through udfs.wrap_text."""
-    if width <= 0:
-        whole = squeezed(text)
-        return F.when(whole == "", F.expr(_STRINGS)).otherwise(F.array(whole))
+def lines_of_words(words_: Column, width: int = WIDTH, column: int = 0, offset: int = 0, markdown: bool = False) -> Column:
+    """Greedy lines of words."""
     start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"), F.lit(column).alias("used"))
 
     def step(acc, w):
@@ -209,7 +213,15 @@ def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int =
         return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when(fits, acc["used"] + need).otherwise(F.lit(offset) + F.length(new)).alias("used"))
 
     head = escape_word if markdown else lambda w: w
-    return _with(words(text), lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts, head)))
+    return _with(words_, lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts, head)))
+
+
+def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int = 0, markdown: bool = False) -> Column:
+    """Greedy lines of the words between white space. Constructs aren't heeded; scan.wrap_lines does."""
+    if width <= 0:
+        whole = squeezed(text)
+        return F.when(whole == "", F.expr(_STRINGS)).otherwise(F.array(whole))
+    return lines_of_words(words(text), width, column, offset, markdown)
 
 
 def wrap_text(text: Column, width: int = WIDTH, first: str = "", rest: str = "", markdown: bool = False) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import native, udfs
+from textloom.functions import native, scan, udfs
 from textloom.functions.formatting import AUTO, FILES, Format
 
 
@@ -23,7 +23,9 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def format_corpus(docs: DataFrame, options: Format = Format(), text: str = "text", out: str = "formatted") -> DataFrame:
-    """docs with the formatted text. All passes are one call: a document is parsed once."""
+    """docs with the formatted text. All passes are one call: a document is parsed once. Plain text stays in the JVM."""
+    if options.plaintext:
+        return spread(docs).withColumn(out, scan.fill_text(F.col(text), "wrap", options.width))
     return spread(docs).withColumn(out, udfs.reformat(options)(F.col(text)))
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import native as N
+from textloom.functions import scan as S
 from textloom.functions import udfs as U
 from textloom.functions.formatting import AUTO, FILES, Format
-from textloom.functions.patterns import PROSE, SENTENCE_END, SINGLE_TAGS
+from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS
 from textloom.operators import corpus as C
 from textloom.plans.options import merge_options
 from textloom.sources import rules as R
@@ -214,8 +215,8 @@ for _spacing, _to in (("loose", "- {n}\n\n- {b}\n\n- c\n"), ("tight", "- {n}\n-
 
 _SPANS = r"(?s)`[^`]+`|\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])?|<[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*>"
 query("t5_atomic_spans", LINKS, lambda d: d.select("id", F.inline(U.atomic_spans(PROSE)(F.col("text")))).where("is_atomic").select("id", "text", "name"), f"SELECT id, x AS text, CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' ELSE 'autolink' END AS name FROM (SELECT id, unnest(regexp_extract_all(text, '{_SPANS}')) AS x FROM input)")
-query("t6_atomic_words", LINKS, lambda d: C.words(d, "id").select("id", "text"), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
-query("t7_plain_words", DOCS, lambda d: d.select("id", F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
+query("t6_atomic_words", LINKS, lambda d: d.select("id", F.explode(S.atomic_words(F.col("text"), PROSE)).alias("text")), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
+query("t7_plain_words", DOCS, lambda d: C.spread(d).select("id", F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
 query("t8_markup_words", TAGS, lambda d: d.select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")), f"SELECT id, unnest([replace(l[1], '%}}{{%', '%}} {{%'), '-', l[2][3:], l[3], 'value', '<!-- c -->', trim(l[5])]) AS word FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)")
 per_line("t9_starts_with_tag", TAGS, N.starts_with_tag, rf"regexp_matches(line, '^\s*{_OPEN}')")
 per_line("t9_ends_with_tag", TAGS, N.ends_with_tag, rf"regexp_matches(line, '{_CLOSE}\s*$')")
@@ -229,7 +230,7 @@ query("t13_template_tags", TAGS, lambda d: d.select("id", F.inline(U.atomic_span
 
 # Sentences
 
-query("n1_sentence_end", DOCS, lambda d: d.select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", N.ends_sentence(F.col("word")).alias("out")), f"SELECT word, count(*) AS n, regexp_matches(word, '{_END}') AS out FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
+query("n1_sentence_end", DOCS, lambda d: C.spread(d).select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", N.ends_sentence(F.col("word")).alias("out")), f"SELECT word, count(*) AS n, regexp_matches(word, '{_END}') AS out FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
 query("n2_sentences", DOCS, lambda d: C.spread(d).select("id", F.explode(N.split_sentences(F.col("text"))).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(15)} AS r FROM input)")
 query("n2_sentences_any_length", DOCS, lambda d: C.spread(d).select("id", F.explode(N.split_sentences(F.col("text"), 0)).alias("sentence")), f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(0)} AS r FROM input)")
 scalar("n3_first_sentences", DOCS, lambda t: F.array_join(N.first_sentences(t, 3), "\n"), f"(SELECT coalesce(array_to_string(list_append(r.done, r.now)[1:3], {_NL}), '') FROM (SELECT {_sentences(15)} AS r))")
@@ -241,9 +242,37 @@ ORACLE_SQL["n5_sentence_spans"] = f"""WITH input AS ({_duck(_FLAT.format(g=", 'g
 query("n6_atomic_sentences", LINKS, lambda d: C.sentences(d, "id", min_length=0).select("id", "text"), "SELECT id, text FROM input")
 query("n7_sentences_for_wrapping", TALK, lambda d: C.sentences(d, "id", min_length=0).groupBy("id").agg(F.count("*").alias("n")), f"SELECT id, CAST(len(list_append(r.done, r.now)) AS BIGINT) AS n FROM (SELECT id, {_sentences(0)} AS r FROM input)")
 
+# Constructs, each by itself, among near misses of its own and of the others'. The oracles say the patterns without what RE2 lacks.
+
+CONSTRUCTS = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_brand || ' ' WHEN 2 THEN '(' ELSE p_type || chr(10) END || t.x || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || p_name ELSE ', ' || p_type || '.' END AS text
+ FROM $part CROSS JOIN (VALUES ('`a b` and `c'), ('[x y](u v) [z][w] [q] [open'), ('<http://a.b/c> <m@x.y> <a b> < 3'), ('see http://x.y/z?q=1. and www.a.b, http://'), ('{% f a %}{% /f %} {% g %} text {% /g %} {% open'), ('{# f #} {# /f #} {# /g #}{# /h #} {#open'),
+ ('{{ f }}{{ /f }} {{ x }} {{ open }'), ('<!-- f --> <!-- /f --> <!-- a-b --> <!-- open'), ('<b class="x">bold</b> </i> <1> <br/>')) AS t(x)"""
+_PAIRED = r"{o}(\s*([^{x}/\s][^{x}]*)?){c}\s*{o}\s*/[^{x}]*{c}"
+_COMMENT = r"[^-]*(?:-[^-]+)*-->"
+_PATTERNS = {
+    CODE_SPAN: "`[^`]+`",
+    LINK: LINK.pattern,
+    AUTOLINK: AUTOLINK.pattern,
+    BARE_URL: BARE_URL.pattern,
+    PAIRED_TAGS[0]: _PAIRED.format(o=r"\{%", c=r"%\}", x="%"),
+    PAIRED_TAGS[1]: _PAIRED.format(o=r"\{#", c=r"#\}", x="#"),
+    PAIRED_TAGS[2]: _PAIRED.format(o=r"\{\{", c=r"\}\}", x=r"\}"),
+    PAIRED_TAGS[3]: rf"<!--(?:\s*[^-/\s]{_COMMENT}|\s*-->)\s*<!--\s*/{_COMMENT}",
+    **{c: c.pattern for c in (*SINGLE_TAGS, *HTML_TAGS)},
+}
+for _c, _p in _PATTERNS.items():
+    query(f"t1_{_c.name}", CONSTRUCTS, lambda d, c=_c: d.select("id", F.explode(S.construct_matches(F.col("text"), (c,))).alias("found")), f"SELECT id, unnest(regexp_extract_all(text, '(?s){_p.replace(chr(39), chr(39) * 2)}')) AS found FROM input")
+# All at once, named: of two that start at one place, the earlier one in the list.
+query(
+    "t3_named_constructs",
+    CONSTRUCTS,
+    lambda d: d.select("id", F.inline(S.atomic_spans(F.col("text"), PROSE))).where("is_atomic").groupBy("name", "text").agg(F.count("*").alias("n")),
+    f"SELECT CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' WHEN x LIKE '<%' THEN 'autolink' ELSE 'bare_url' END AS name, x AS text, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s){'|'.join(_PATTERNS[c] for c in PROSE).replace(chr(39), chr(39) * 2)}')) AS x FROM input) GROUP BY 1, 2",
+)
+
 # Filling
 
-query("w1_wrap_lines", DOCS, lambda d: C.spread(d).select("id", F.array_join(N.wrap_lines(F.col("text"), 60), "\n").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 60))} AS out FROM input")
+query("w1_wrap_lines", DOCS, lambda d: C.spread(d).select("id", F.array_join(S.wrap_lines(F.col("text"), 60), "\n").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 60))} AS out FROM input")
 scalar("w2_wrap_paragraph", DOCS, lambda t: N.wrap_text(t, 60, "* ", "  "), "(SELECT coalesce('* ' || array_to_string(list_append(r.done, r.now), chr(10) || '  '), '') FROM (SELECT " + _wrapped(_WORDS, 58) + " AS r))")
 scalar("w3_no_wrap", DOCS, lambda t: F.array_join(N.wrap_lines(t, 0), "\n"), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
 scalar("w4_escape_word", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN cast(o_custkey AS string) || '.' WHEN o_orderkey % 4 = 1 THEN '##' WHEN o_orderkey % 4 = 2 THEN '-' ELSE o_orderpriority END AS text FROM $orders", N.escape_word, _ESCAPED.replace("b.now", "text"))
