@@ -3,6 +3,6 @@
 from textloom.functions.markdown.nodes import Link, Node
 from textloom.functions.markdown.parse import parse
 from textloom.functions.markdown.render import render
-from textloom.functions.markdown.tree import block_table, extract_links, walk
+from textloom.functions.markdown.tree import block_table, extract_links, reference_table, walk
 
-__all__ = ["Link", "Node", "block_table", "extract_links", "parse", "render", "walk"]
+__all__ = ["Link", "Node", "block_table", "extract_links", "parse", "reference_table", "render", "walk"]

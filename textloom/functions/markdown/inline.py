@@ -11,11 +11,14 @@ _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)>")
 _HTML = re.compile(r"<!--.*?-->|<\?.*?\?>|<![A-Z][^>]*>|</[A-Za-z][A-Za-z0-9-]*\s*>|<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>", re.DOTALL)
 _URL = re.compile(r"(?:https?://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_STRIKE = re.compile(r"(?<!~)(~{1,2})(?!\s)([^~]+?)(?<!\s)\1(?!~)")
 _FOOT = re.compile(r"\[\^([^\s\]]+)\]")
 _BREAK = re.compile(r"(\\| {2,})?(?: *)\n *")
 
 
+#: Parentheses nest this deep in a destination.
+PARENS = 32
+
+
 def normal_label(label: str) -> str:
     return " ".join(label.split()).casefold()
 
@@ -42,6 +45,8 @@ def link_tail(text: str, at: int) -> tuple[int, str, str | None] | None:
                 at += 1
             elif text[at] == "(":
                 depth += 1
+                if depth > PARENS:
+                    return None
             elif text[at] == ")":
                 if not depth:
                     break
@@ -60,6 +65,13 @@ class _Inline:
         self.out: list[Node] = []
         self.brackets: list[dict] = []
         self.unclosed: set[str] = set()
+        self.last: dict[str, int] = {}
+
+    def lacks(self, mark: str, at: int) -> bool:
+        """Whether mark doesn't come any more."""
+        if mark not in self.last:
+            self.last[mark] = self.text.rfind(mark)
+        return self.last[mark] < at
 
     def raw(self, s: str) -> None:
         if self.out and self.out[-1].kind == "raw":
@@ -112,7 +124,9 @@ class _Inline:
             if m := _AUTO.match(text, at):
                 self.out.append(Node("autolink", [Node("raw", text=m[1])], attrs={"dest": m[1]}))
                 return m.end()
-            if m := _HTML.match(text, at):
+            if text.startswith("<!--", at) and self.lacks("-->", at) or text.startswith("<?", at) and self.lacks("?>", at):
+                pass
+            elif m := _HTML.match(text, at):
                 self.out.append(Node("html", text=m[0]))
                 return m.end()
         elif c == "[" or (c == "!" and text[at + 1 : at + 2] == "["):
@@ -129,12 +143,7 @@ class _Inline:
         elif c in "*_":
             return self.delimiters(at, c)
         elif c == "~":
-            if (m := _STRIKE.match(text, at)) and self.flanks(m):
-                self.out.append(Node("strike", _Inline(m[2], self.refs, self.notes).run()))
-                return m.end()
-            m = re.compile("~+").match(text, at)
-            self.raw(m[0])
-            return m.end()
+            return self.tildes(at)
         elif m := _URL.match(text, at):
             url = re.sub(r"[?!.,:;*_~'\")\]]+$", lambda t: ")" if t[0].startswith(")") and m[0].count("(") > m[0].count(")") - 1 else "", m[0])
             if url:
@@ -143,11 +152,25 @@ class _Inline:
         self.raw(c)
         return at + 1
 
-    def flanks(self, m: re.Match) -> bool:
-        s, n = self.text, len(m[1])
-        side = lambda k: k < 0 or k >= len(s) or s[k].isspace() or is_punctuation(s[k])
-        opens = not is_punctuation(s[m.start() + n]) or side(m.start() - 1)
-        return opens and (not is_punctuation(s[m.end() - n - 1]) or side(m.end()))
+    def tildes(self, at: int) -> int:
+        """One or two tildes open what the next run of tildes closes, if it is as long."""
+        text, end = self.text, at
+        while text.startswith("~", end):
+            end += 1
+        close = -1 if self.lacks("~", end) else text.find("~", end)
+        past = close + end - at
+        alike = close > end and end - at <= 2 and text.startswith(text[at:end], close) and not text.startswith("~", past)
+        if alike and self.flanking(at, end)[0] and self.flanking(close, past)[1]:
+            self.out.append(Node("strike", _Inline(text[end:close], self.refs, self.notes).run()))
+            return past
+        self.raw(text[at:end])
+        return end
+
+    def flanking(self, at: int, end: int) -> tuple[bool, bool]:
+        """Whether the run of delimiters there is left-flanking, and right-flanking."""
+        before, after = self.text[at - 1 : at] or " ", self.text[end : end + 1] or " "
+        edge = lambda c: c.isspace() or is_punctuation(c)
+        return not after.isspace() and (not is_punctuation(after) or edge(before)), not before.isspace() and (not is_punctuation(before) or edge(after))
 
     def line_break(self, at: int, hard: bool) -> int:
         if self.out and self.out[-1].kind == "raw" and not hard:
@@ -163,8 +186,7 @@ class _Inline:
         while end < len(text) and text[end] == c:
             end += 1
         before, after = text[at - 1 : at] or " ", text[end : end + 1] or " "
-        left = not after.isspace() and (not is_punctuation(after) or before.isspace() or is_punctuation(before))
-        right = not before.isspace() and (not is_punctuation(before) or after.isspace() or is_punctuation(after))
+        left, right = self.flanking(at, end)
         opens = left and (c == "*" or not right or is_punctuation(before))
         closes = right and (c == "*" or not left or is_punctuation(after))
         self.out.append(Node("run", text=text[at:end], attrs={"opens": opens, "closes": closes, "size": end - at, "at": at}))
@@ -180,7 +202,7 @@ class _Inline:
             return at + 1
         text, end, found = self.text, at + 1, None
         label = text[b["text"] : at]
-        if tail := link_tail(text, at + 1):
+        if tail := None if self.lacks(")", at) else link_tail(text, at + 1):
             end, found = tail[0], (tail[1], tail[2], None)
         else:
             m = re.compile(r"\[((?:\\.|[^\[\]\\])*)\]").match(text, at + 1)
@@ -198,52 +220,74 @@ class _Inline:
             if n.kind in ("run", "bracket"):
                 n.kind = "raw"
         rest, self.out = _joined(self.out), keep
-        self.out.append(Node("image" if b["image"] else "link", rest, attrs={"dest": found[0], "title": found[1]}))
+        self.out.append(Node("image" if b["image"] else "link", rest, attrs={"dest": found[0], "title": found[1], "key": found[2]}))
         if not b["image"]:
             for x in self.brackets:
                 x["on"] = x["on"] and x["image"]
         return end
 
     def emphasis(self) -> None:
-        out = self.out
+        """Pair the delimiter runs. Runs are a linked list from 0, which is no run; gaps[k] is what stands between run k and the next one that is left."""
+        runs: list[Node | None] = [None]
+        gaps: list[list[Node]] = [[]]
+        for n in self.out:
+            if n.kind == "run":
+                runs.append(n)
+                gaps.append([])
+            else:
+                gaps[-1].append(n)
+        before, after = list(range(-1, len(runs))), list(range(1, len(runs) + 1))
+
+        def drop(k: int) -> None:
+            after[before[k]], before[after[k]] = after[k], before[k]
+
         bottom: dict[tuple, int] = {}  # by kind of closing run: up to which place in the text there is no opening one for it
-        k = 0
-        while k < len(out):
-            closer = out[k]
-            if closer.kind != "run" or not closer.closes or not closer.text:
-                k += 1
+        k = 1
+        while k < len(runs):
+            closer = runs[k]
+            if not closer.closes:
+                k = after[k]
                 continue
             alike = closer.text[0], closer.opens, closer.size % 3
-            j = k - 1
-            while j >= 0:
-                o = out[j]
-                if o.kind == "run":
-                    if o.at <= bottom.get(alike, -1):
-                        j = -1
-                        break
-                    if o.text and o.opens and o.text[0] == closer.text[0]:
-                        both = (o.closes or closer.opens) and (o.size + closer.size) % 3 == 0 and (o.size % 3 or closer.size % 3)
-                        if not both:
-                            break
-                j -= 1
-            if j < 0:
+            j = before[k]
+            while j and runs[j].at > bottom.get(alike, -1):
+                o = runs[j]
+                if o.opens and o.text[0] == closer.text[0] and not ((o.closes or closer.opens) and (o.size + closer.size) % 3 == 0 and (o.size % 3 or closer.size % 3)):
+                    break
+                j = before[j]
+            else:
+                j = 0
+            if not j:
                 bottom[alike] = closer.at - 1
-                k += 1
+                if not closer.opens:  # no later run will need it
+                    gaps[before[k]] += [closer, *gaps[k]]
+                    drop(k)
+                k = after[k]
                 continue
-            n = 2 if len(out[j].text) > 1 and len(closer.text) > 1 else 1
-            inner = out[j + 1 : k]
+            opener = runs[j]
+            n = 2 if len(opener.text) > 1 and len(closer.text) > 1 else 1
+            inner, x = gaps[j], after[j]
+            while x != k:
+                inner += [runs[x], *gaps[x]]
+                x = after[x]
+            after[j], before[k] = k, j
             for x in inner:
                 if x.kind in ("run", "bracket"):
                     x.kind = "raw"
-            node = Node("strong" if n == 2 else "emphasis", _joined(inner))
-            out[j].text, closer.text = out[j].text[n:], closer.text[n:]
-            out[j + 1 : k] = [node]
-            k = j + 2
-            if not out[j].text:
-                del out[j]
-                k -= 1
-            if not out[k].text:
-                del out[k]
+            gaps[j] = [Node("strong" if n == 2 else "emphasis", _joined(inner))]
+            opener.text, closer.text = opener.text[n:], closer.text[n:]
+            if not opener.text:
+                gaps[before[j]] += gaps[j]
+                drop(j)
+            if not closer.text:
+                gaps[before[k]] += gaps[k]
+                drop(k)
+                k = after[k]
+        self.out = gaps[0]
+        k = after[0]
+        while k < len(runs):
+            self.out += [runs[k], *gaps[k]]
+            k = after[k]
 
 
 def _joined(nodes: list[Node]) -> list[Node]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from textloom.functions.markdown.inline import normal_label
 from textloom.functions.markdown.nodes import Link, Node
 
 SCOPES = ("paragraph", "heading", "cell")
@@ -41,6 +42,31 @@ def extract_links(doc: Node, include_autolinks: bool = True, include_images: boo
     return [Link(inline_text(n), n.dest, n.attrs.get("title")) for n in walk(doc) if n.kind in kinds]
 
 
+def reference_table(doc: Node) -> list[dict]:
+    """Rows (kind, ord, label, dest, title, text, inside) of definitions, links, images, notes and their marks, in document order.
+
+    label: normalised, of what is defined or referred to. A link or image by reference has no destination here: the definition has it. inside: the ord of the link around.
+    """
+    out: list[dict] = []
+    todo: list[tuple[Node, int | None]] = [(doc, None)]
+    while todo:
+        n, inside = todo.pop()
+        row = {"kind": n.kind, "ord": len(out), "label": None, "dest": None, "title": None, "text": None, "inside": inside}
+        if n.kind == "link_ref":
+            out.append(row | {"kind": "definition", "label": normal_label(n.label), "dest": n.dest, "title": n.title})
+        elif n.kind in ("link", "image"):
+            own = {"label": n.key} if n.key is not None else {"dest": n.dest, "title": n.title}
+            out.append(row | own | {"text": inline_text(n)})
+            inside = row["ord"] if n.kind == "link" else inside
+        elif n.kind in ("autolink", "url"):
+            out.append(row | {"kind": "link", "dest": n.dest, "text": n.dest})
+        elif n.kind in ("footnote", "footnote_ref"):
+            text = " ".join("".join(" " if x.kind == "break" else x.text for x in walk(p) if not x.children) for p in walk(n) if p.kind in SCOPES) if n.kind == "footnote" else None
+            out.append(row | {"kind": "note" if n.kind == "footnote" else "note_ref", "label": normal_label(n.label), "text": text})
+        todo += [(c, inside) for c in n.children[::-1]]
+    return out
+
+
 BLOCKS = {"paragraph", "heading", "thematic_break", "code_block", "fenced_code", "quote", "alert", "list", "item", "footnote", "table", "link_ref", "blank"}
 
 

@@ -6,9 +6,9 @@ import re
 from collections.abc import Iterator
 
 from textloom.functions.patterns import SINGLE_TAGS
+from textloom.functions.words import atomic_spans
 
 _BLANK = re.compile(r"\n\s*\n")
-_TAG = re.compile("|".join(c.pattern for c in SINGLE_TAGS), re.DOTALL)
 
 # The curly forms of a straight quote, what may stand around a quoted passage besides white space, what a word before an
 # ellipsis may end in besides letters, and the marks that may follow one.
@@ -81,11 +81,7 @@ def _quote(text: str) -> str:
 
 def smart_quotes(text: str) -> str:
     """Straight quotes and apostrophes made typographic where that is safe, outside template tags. Keeps the length."""
-    out, at = [], 0
-    for m in _TAG.finditer(text):
-        out += [_quote(text[at : m.start()]), m[0]]
-        at = m.end()
-    return "".join([*out, _quote(text[at:])])
+    return "".join(s.text if s.is_atomic else _quote(s.text) for s in atomic_spans(text, SINGLE_TAGS))
 
 
 def _blank_run(text: str, i: int, step: int, stop: int) -> int:

@@ -10,12 +10,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import formatting, lines, typography, words, wrap
-from textloom.functions.markdown import block_table, extract_links, parse
+from textloom.functions.markdown import block_table, extract_links, parse, reference_table
 from textloom.functions.patterns import MIN_SENTENCE, PROSE, WIDTH, WRAPPING
+from textloom.functions.tables import register_tables
 
 WORD = "array<struct<text:string,start:int,end:int>>"
 SPAN = "array<struct<text:string,start:int,end:int,is_atomic:boolean,name:string>>"
 BLOCK = "array<struct<node_id:int,parent_id:int,ord:int,depth:int,type:string,start:int,end:int>>"
+REFERENCE = "array<struct<kind:string,ord:int,label:string,dest:string,title:string,text:string,inside:int>>"
 LINK = "array<struct<text:string,url:string,title:string>>"
 
 
@@ -107,14 +109,19 @@ def links(include_autolinks: bool = True, include_images: bool = False):
     return per_text(lambda t: _dicts(extract_links(parse(t), include_autolinks, include_images)), LINK)
 
 
+def references():
+    return per_text(lambda t: reference_table(parse(t)), REFERENCE)
+
+
 def space_tag_blocks():
     return per_text(lines.space_tag_blocks, "string")
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names of the functions, with their default options."""
+    """SQL names of the functions, with their default options, and of the table functions."""
     for name, fn in {
         "loom_reformat": reformat(), "loom_reformat_plain": reformat(formatting.Format(plaintext=True)), "loom_fill_markdown": fill_markdown(), "loom_fill_text": fill_text(),
         "loom_smart_quotes": smart_quotes(), "loom_ellipses": ellipses(), "loom_blocks": blocks(), "loom_links": links(), "loom_sentences": sentence_spans(), "loom_words": atomic_words(), "loom_spans": atomic_spans(),
     }.items():
         spark.udf.register(name, fn.udf())
+    register_tables(spark)

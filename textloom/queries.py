@@ -17,9 +17,12 @@ from textloom.functions import scan as S
 from textloom.functions import udfs as U
 from textloom.functions.formatting import AUTO, FILES, Format
 from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS
+from textloom.functions.tables import register_tables
 from textloom.operators import corpus as C
+from textloom.operators import references as REF
 from textloom.plans.options import merge_options
 from textloom.sources import rules as R
+from textloom.sources.ignored import kept_paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,6 +123,27 @@ query(
     lambda d: d.where(~R.pruned(F.col("path"))).select("id", "path"),
     "SELECT id, path FROM input WHERE split_part(path, '/', 1) IN ('site', 'out', '.env', 'docs')",
 )
+# Nested ignore files: one at the root, one in every other source's folder that takes a name back, and tool files, of which the one nearest to the walk's root counts.
+TREE = """SELECT doc_id AS id, 'tree/' || source AS root, 'tree/' || source || CASE doc_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/gen/' WHEN 2 THEN '/docs/gen/' WHEN 3 THEN '/docs/' ELSE '/out/deep/' END || 'f' || cast(doc_id % 40 AS string) || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.md' END AS path FROM $documents"""
+_RULES = """SELECT DISTINCT 'tree/' || source AS folder, 'git' AS kind, t.n AS line_no, t.line FROM $documents CROSS JOIN (VALUES (1, '*.txt'), (2, '# none'), (3, '!f1*.txt'), (4, '')) AS t(n, line)
+ UNION ALL SELECT DISTINCT 'tree/' || source || '/docs', 'git', t.n, t.line FROM $documents CROSS JOIN (VALUES (1, 'f2*'), (2, '!f21.md')) AS t(n, line) WHERE length(source) % 2 = 0
+ UNION ALL SELECT DISTINCT 'tree/' || source || '/gen', 'git', 1, '!f3.txt' FROM $documents"""
+_TOOLS = " UNION ALL SELECT 'tree', 'tool', 1, '*' UNION ALL SELECT DISTINCT 'tree/' || source, 'tool', t.n, t.line FROM $documents CROSS JOIN (VALUES (1, 'docs/gen'), (2, 'out/*'), (3, 'f39.md')) AS t(n, line)"
+_GIT_KEEPS = r"""(path NOT LIKE '%.txt' OR regexp_matches(path, '/f1[^/]*\.txt$')) AND NOT (length(root) % 2 = 1 AND path LIKE root || '/docs/%' AND regexp_matches(path, '/f2[^/]*$') AND path NOT LIKE '%/f21.md')"""
+
+
+def _kept(rules: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return kept_paths(source(spark, sf_dir, TREE), source(spark, sf_dir, rules)).select("id", "path")
+
+    return run
+
+
+QUERIES["s9_ignore_chain"] = _kept(_RULES)
+ORACLE_SQL["s9_ignore_chain"] = f"WITH input AS ({_duck(TREE)}) SELECT id, path FROM input WHERE {_GIT_KEEPS}"
+QUERIES["s10_tool_ignore"] = _kept(_RULES + _TOOLS)
+ORACLE_SQL["s10_tool_ignore"] = f"WITH input AS ({_duck(TREE)}) SELECT id, path FROM input WHERE {_GIT_KEEPS} AND path NOT LIKE root || '/docs/gen/%' AND path NOT LIKE root || '/out/deep/%' AND path NOT LIKE '%/f39.md'"
+
 query("s12_force_exclude", PATHS, lambda d: d.where(~R.matches_any(F.col("path"), ["src1*", "*.txt"])).select("id", "path"), "SELECT id, path FROM input WHERE NOT list_bool_or(list_transform(string_split(path, '/'), lambda x: x LIKE 'src1%' OR x LIKE '%.txt'))")
 query("s18_check", DOCS, lambda d: C.changed(d, Format(plaintext=True), "id"), f"SELECT id FROM input WHERE {_joined(_wrapped(_WORDS, 88))} <> text")
 query("s19_list_files", PATHS, lambda d: R.resolve(d.where(R.included(F.col("path"), ["*.md"]) & R.small_enough(F.col("size"), 1 << 20) & ~R.pruned(F.col("path")))).select("path"), "SELECT DISTINCT path FROM input WHERE path LIKE '%.md' AND size <= 1048576 AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.git/%'")
@@ -166,6 +190,52 @@ query(
 query("i13_links", LINKS, lambda d: C.links(d, "id").select("id", "text", "url", "title"), """SELECT id, unnest(['page ' || id, 'two', u]) AS text, unnest([u, '/x', u]) AS url, unnest([NULL, 'T', NULL]) AS title FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM input)""")
 ORACLE_SQL["i3_link_labels"] = ORACLE_SQL["i3_link_labels"].split(", lines AS", 1)[0] + " SELECT doc_id, url, title, CASE WHEN url IN ('1', '2') THEN 'r' || url END AS label FROM input"
 
+# References as relations
+
+REFS = """SELECT p_partkey AS id, '[one][A  b] ![alt][PIC] ![pic] [![badge][pic]][home] [in](http://in/' || cast(p_partkey AS string) || ' "t") <http://a.b>[^n] and[^m] again[^n]' || chr(10) || chr(10)
+ || '[a b]: http://first/' || cast(p_size AS string) || ' "T"' || chr(10) || '[A B]: http://second' || chr(10) || '[pic]: http://x/' || cast(p_size AS string) || chr(10) || '[home]: http://h' || chr(10) || '[unused]: http://u' || chr(10) || chr(10)
+ || '[^m]: ' || p_name || chr(10) || chr(10) || '[^n]: note ' || p_type || chr(10) || '[^n]: never' AS text FROM $part"""
+_REFS_OF = "SELECT p_partkey AS id, CAST(p_size AS VARCHAR) AS s, p_name, p_type FROM part"
+
+
+def _refs(name: str, make, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(REF.reference_rows(source(spark, sf_dir, REFS), "id"))
+    ORACLE_SQL[name] = f"WITH p AS ({_REFS_OF}) {oracle}"
+
+
+_refs("b21_definitions", lambda r: REF.definitions(r, "id"), "SELECT id, unnest(['a b', 'pic', 'home', 'unused']) AS label, unnest(['http://first/' || s, 'http://x/' || s, 'http://h', 'http://u']) AS dest, unnest(['T', NULL, NULL, NULL]) AS title, CAST(unnest([2, 1, 1, 1]) AS BIGINT) AS times FROM p")
+_refs(
+    "i3_resolved_links",
+    lambda r: REF.resolved(r, "id").select("id", "kind", "label", "dest", "title", "text"),
+    """SELECT id, unnest(['link', 'image', 'image', 'link', 'image', 'link', 'link']) AS kind, unnest(['a b', 'pic', 'pic', 'home', 'pic', NULL, NULL]) AS label,
+ unnest(['http://first/' || s, 'http://x/' || s, 'http://x/' || s, 'http://h', 'http://x/' || s, 'http://in/' || id, 'http://a.b']) AS dest, unnest(['T', NULL, NULL, NULL, NULL, 't', NULL]) AS title, unnest(['one', 'alt', 'pic', 'badge', 'badge', 'in', 'http://a.b']) AS text FROM p""",
+)
+_refs("i5_inlined_images", lambda r: REF.inlined(r, "id").select("id", "image", "link"), "SELECT id, '![' || unnest(['alt', 'pic', 'badge']) || '](http://x/' || s || ')' AS image, unnest([NULL, NULL, 'http://h']) AS link FROM p")
+_refs("b23_notes", lambda r: REF.notes(r, "id"), "SELECT id, unnest(['m', 'n']) AS label, unnest([p_name, 'note ' || p_type]) AS text, CAST(unnest([2, 1]) AS INTEGER) AS number, CAST(unnest([1, 2]) AS BIGINT) AS marks FROM p")
+_refs("i10_note_marks", lambda r: r.where("kind = 'note_ref'").groupBy("id", "label").agg(F.count("*").alias("n")), "SELECT id, unnest(['m', 'n']) AS label, CAST(unnest([1, 2]) AS BIGINT) AS n FROM p")
+_refs("b21_unused", lambda r: REF.unused(r, "id"), "SELECT id, 'unused' AS label FROM p")
+
+# Table functions, by SQL alone
+
+
+def _by_sql(name: str, sql: str, text: str, oracle: str) -> None:
+    """text: the SQL over `docs`, the documents of sql."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_tables(spark)
+        docs = Template(sql).substitute({t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
+        return spark.sql(f"WITH docs AS ({docs}) {text}")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle.replace("{input}", _duck(sql))
+
+
+_by_sql("u_sentence_rows", TALK, "SELECT d.id, count(*) AS n FROM docs d, LATERAL loom_sentence_rows(d.text, min_length => 0) s GROUP BY d.id", f"WITH input AS ({{input}}) SELECT id, CAST(len(list_append(r.done, r.now)) AS BIGINT) AS n FROM (SELECT id, {_sentences(0)} AS r FROM input)")
+_by_sql("u_link_rows", LINKS, "SELECT d.id, l.ord, l.text, l.url, l.title FROM docs d, LATERAL loom_link_rows(d.text) l", """SELECT id, CAST(unnest([0, 1, 2]) AS INTEGER) AS ord, unnest(['page ' || id, 'two', u]) AS text, unnest([u, '/x', u]) AS url, unnest([NULL, 'T', NULL]) AS title FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM ({input}))""")
+_by_sql("u_block_rows", MARKDOWN, "SELECT b.type, b.depth, count(*) AS n, sum(length(b.source)) AS chars FROM docs d, LATERAL loom_block_rows(d.text, source => true) b WHERE b.depth = 0 OR b.type = 'heading' GROUP BY b.type, b.depth", "SELECT unnest(['document', 'heading']) AS type, CAST(unnest([0, 1]) AS INTEGER) AS depth, count(*) AS n, CAST(unnest([sum(length(text)), sum(length(string_split(text, chr(10))[1]) + 1)]) AS BIGINT) AS chars FROM ({input})")
+_by_sql("u_word_rows", TAGS, "SELECT d.id, w.word, w.start, w.end FROM docs d, LATERAL loom_word_rows(d.text, places => true) w WHERE w.pos = 1", "SELECT id, '-' AS word, CAST(strpos(text, chr(10)) AS INTEGER) AS start, CAST(strpos(text, chr(10)) + 1 AS INTEGER) AS \"end\" FROM ({input})")
+_by_sql("u_reference_rows", REFS, "SELECT r.kind, count(*) AS n, count(r.inside) AS within FROM docs d, LATERAL loom_reference_rows(d.text) r GROUP BY r.kind", "SELECT unnest(['definition', 'link', 'image', 'note', 'note_ref']) AS kind, unnest([5, 4, 3, 3, 3]) * count(*) AS n, unnest([0, 0, 1, 0, 0]) * count(*) AS within FROM ({input})")
+
 # Elements: Markdown with a part's name {n} and brand {b}, and what it is normalised to
 
 ELEMENTS = {

@@ -1,12 +1,12 @@
 """Discovery and reading of text files: walks, globs and single files under include, exclude, ignore and size rules.
 
-The driver lists paths, pruning folders as it goes; executors read the files. As a Spark data source (`textloom_files`), a
-partition is a slice of the paths. For stores that only Spark reads, `read_texts` uses Spark's own reader.
+As a Spark data source (`textloom_files`), a partition is a folder: tasks list it, prune what doesn't count, and read what remains. The command line lists on the driver. For stores that only Spark reads, `read_texts` uses Spark's own reader.
 """
 
 from __future__ import annotations
 
 import glob as globbing
+import operator
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,10 +14,26 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 from textloom.sources.ignore import Rules
 from textloom.sources.rules import EXCLUDE, INCLUDE, MAX_SIZE
+from textloom.sources.sink import FileSink
 
 TOOL_IGNORE = ".textloomignore"
 
@@ -54,21 +70,37 @@ class Resolver:
         except OSError:
             return False
 
-    def walk(self, root: Path) -> Iterator[Path]:
+    def folder(self, root: Path, at: Path, above: list[list[str]], tool: Rules) -> tuple[list[Path], list[Path], list[list[str]]]:
+        """One folder's files that count, its folders that are to be entered, and the ignore files down to it. above: those of the folders over it, as lines."""
+        rel = "" if at == root else at.relative_to(root).as_posix() + "/"
+        own = _lines(at / ".gitignore") if self.o.respect_gitignore else None
+        chain = [*above, *([own] if own is not None else [])]
+        git = [Rules(lines) for lines in chain]
+        out = lambda name: any(r.matches(name) for r in (*git, tool))
+        files, folders = [], []
+        try:
+            found = sorted(os.scandir(at), key=lambda e: e.name)
+        except OSError:
+            return [], [], chain
+        for e in found:
+            if e.is_dir():
+                d = e.name + "/"
+                # Folders that don't count aren't entered at all; neither are links to folders.
+                if not e.is_symlink() and not (self.excluded.matches(d) or self.excluded.matches(rel + d) or out(d) or tool.matches(rel + d)):
+                    folders.append(at / e.name)
+            elif self.included.matches(e.name) and not self.too_large(at / e.name) and not out(e.name):
+                files.append(at / e.name)
+        return files, folders, chain
+
+    def walk(self, root: Path, start: Path | None = None, above: list[list[str]] = [], enter=lambda p: True) -> Iterator[Path]:  # noqa: B006
+        """The files below root, or below one of its folders; enter says which folders may hold what is sought."""
         tool = self.tool_rules(root)
-        chain: dict[str, list[Rules]] = {}
-        for folder, folders, names in os.walk(root):
-            at = Path(folder)
-            rel = "" if at == root else at.relative_to(root).as_posix() + "/"
-            above = chain.get(str(at.parent), []) if at != root else []
-            own = _lines(at / ".gitignore") if self.o.respect_gitignore else None
-            git = chain[str(at)] = [*above, *([Rules(own)] if own is not None else [])]
-            out = lambda name: any(r.matches(name) for r in (*git, tool))
-            # Folders that don't count aren't entered at all.
-            folders[:] = sorted(d for d in folders if not (self.excluded.matches(f"{d}/") or self.excluded.matches(f"{rel}{d}/") or out(f"{d}/") or tool.matches(f"{rel}{d}/")))
-            for name in sorted(names):
-                if self.included.matches(name) and not self.too_large(at / name) and not out(name):
-                    yield at / name
+        todo = [(start or root, above)]
+        while todo:
+            at, chain = todo.pop()
+            files, folders, chain = self.folder(root, at, chain, tool)
+            yield from files
+            todo += [(d, chain) for d in reversed(folders) if enter(d)]
 
     def tool_rules(self, root: Path) -> Rules:
         """Of the nearest folder from root upwards that has an ignore file."""
@@ -111,31 +143,115 @@ def needs_resolving(names: list[str], rules: Discovery) -> bool:
     return rules.force_exclude or not all(Path(x).is_file() for x in names)
 
 
-class _Slice(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(None)
-        self.paths = paths
+@dataclass
+class _Part(InputPartition):
+    """A folder to list, with or without what is below it, or files that were named."""
+
+    root: str
+    at: str = ""
+    above: list | None = None
+    deep: bool = False
+    names: tuple[str, ...] = ()
+    skip: tuple[str, ...] = ()
+
+
+_SIZE = {GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, EqualTo: operator.eq}
+_PATH = {EqualTo: operator.eq, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: operator.contains}
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], slices: int):
-        self.paths, self.slices = paths, slices
+    """Plans folders, not files: the driver opens folders only until there are enough of them for the tasks, and tasks list the rest."""
+
+    def __init__(self, rules: Discovery, inputs: list[str], slices: int):
+        self.rules, self.inputs, self.slices = rules, inputs, slices
+        self.path_tests: list[tuple] = []
+        self.size_tests: list[tuple] = []
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Conditions on path and size are met while listing, so that no other file is read; the rest is Spark's."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if isinstance(f, IsNotNull) and column in (("path",), ("size",)):
+                continue  # they never are
+            if column == ("path",) and type(f) in _PATH:
+                self.path_tests.append((type(f), f.value))
+            elif column == ("path",) and isinstance(f, In):
+                self.path_tests.append((In, tuple(f.value)))
+            elif column == ("size",) and type(f) in _SIZE:
+                self.size_tests.append((type(f), f.value))
+            else:
+                yield f
+
+    def wanted(self, path: str) -> bool:
+        return all(path in v if k is In else _PATH[k](path, v) for k, v in self.path_tests)
+
+    def may_hold(self, folder: Path) -> bool:
+        """Whether paths under a folder can meet the conditions on paths."""
+        under = f"{folder}/"
+        fits = lambda value: value.startswith(under) or under.startswith(value)
+        for k, v in self.path_tests:
+            if k is StringStartsWith and not fits(v) or k is EqualTo and not v.startswith(under) or k is In and not any(x.startswith(under) for x in v):
+                return False
+        return True
 
     def partitions(self):
-        n = max(1, min(self.slices, len(self.paths)))
-        return [_Slice(self.paths[k::n]) for k in range(n)]
+        resolver = Resolver(self.rules)
+        roots, named = [], []
+        for text in self.inputs:
+            p = Path(text)
+            if p.is_dir():
+                roots.append(p)
+            elif p.is_file():
+                named += [p] if resolver.explicit(p) else []
+            elif any(c in text for c in "*?["):
+                named += resolver.expand(text)
+            else:
+                raise FileNotFoundError(text)
+        roots = [r for k, r in enumerate(roots) if not any(r.resolve() == x.resolve() for x in roots[:k])]
+        parts = [_Part(str(r), str(r), [], True) for r in roots if self.may_hold(r)]
+        # Folders are opened, the shallowest first, until the tasks have one each.
+        k = 0
+        while k < len(parts) and len(parts) < self.slices:
+            p = parts[k]
+            _, folders, chain = resolver.folder(Path(p.root), Path(p.at), p.above, resolver.tool_rules(Path(p.root)))
+            p.deep = False
+            parts += [_Part(p.root, str(d), chain, True) for d in folders if self.may_hold(d)]
+            k += 1
+        names = list(dict.fromkeys(str(p) for p in named if self.wanted(str(p))))
+        n = max(1, min(self.slices, len(names)))
+        # Named files that a walk might find, too, are read once: as named.
+        real = [str(Path(x).resolve()) for x in names]
+        for p in parts:
+            p.skip = tuple(x for x in real if x.startswith(f"{Path(p.at).resolve()}/"))
+        return [*parts, *(_Part("", names=tuple(names[i::n])) for i in range(n) if names)] or [_Part("")]
+
+    def files(self, part: _Part) -> Iterator[Path]:
+        if not part.root:
+            yield from map(Path, part.names)
+            return
+        resolver, root = Resolver(self.rules), Path(part.root)
+        if part.deep:
+            found = resolver.walk(root, Path(part.at), part.above, self.may_hold)
+        else:
+            found = iter(resolver.folder(root, Path(part.at), part.above, resolver.tool_rules(root))[0])
+        yield from (p for p in found if self.wanted(str(p)) and not (part.skip and str(p.resolve()) in part.skip))
 
     def read(self, partition):
-        for p in partition.paths:
-            raw = Path(p).read_bytes()
+        for p in self.files(partition):
+            if self.size_tests and not all(_SIZE[k](p.stat().st_size, v) for k, v in self.size_tests):
+                continue
+            raw = p.read_bytes()
             try:
-                yield p, len(raw), raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
+                yield str(p), len(raw), raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"), None
             except UnicodeDecodeError as error:
-                yield p, len(raw), None, str(error)
+                yield str(p), len(raw), None, str(error)
 
 
 class TextFiles(DataSource):
-    """spark.read.format("textloom_files").option("paths", "a.md:docs").load(): (path, size, text, error); a file that is no UTF-8 has an error and no text."""
+    """spark.read.format("textloom_files").option("paths", "a.md:docs").load(): (path, size, text, error); a file that is no UTF-8 has an error and no text.
+
+    With spark.sql.python.filterPushdown.enabled, conditions on path and size reach the listing. df.write.format("textloom_files").option("root", ...) replaces files, see sink.py.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -151,8 +267,11 @@ class TextFiles(DataSource):
             split("include", INCLUDE), split("extend_include", ()), split("exclude", None), split("extend_exclude", ()),
             o.get("respect_gitignore", "true") == "true", o.get("force_exclude", "false") == "true", int(o.get("max_size", MAX_SIZE)),
         )
-        found = Resolver(rules).resolve(o["paths"].split(os.pathsep))
-        return _Reader([str(p) for p in found], int(o.get("slices", "64")))
+        return _Reader(rules, o["paths"].split(os.pathsep), int(o.get("slices", "64")))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        o = self.options
+        return FileSink(o["root"], o.get("backup", "true") == "true", schema.fieldNames())
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md", max_size: int = MAX_SIZE) -> DataFrame:
