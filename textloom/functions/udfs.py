@@ -75,9 +75,9 @@ def wrap_by_sentence(width: int = WIDTH, min_line: int = wrap.MIN_LINE, markdown
     return per_text(lambda t: run(t, "", ""), "string")
 
 
-def wrap_by_width(width: int = WIDTH, markdown: bool = True):
+def wrap_by_width(width: int = WIDTH, markdown: bool = True, first: str = "", rest: str = ""):
     run = wrap.by_width(width, markdown=markdown)
-    return per_text(lambda t: run(t, "", ""), "string")
+    return per_text(lambda t: run(t, first, rest), "string")
 
 
 def tag_segments():

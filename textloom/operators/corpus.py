@@ -71,6 +71,13 @@ def link_labels(links_: DataFrame, refs: DataFrame) -> DataFrame:
     return keyed.join(first.withColumnRenamed("dest", "url"), ["doc_id", "url", "t"], "left").drop("t")
 
 
+def tight_lists(blocks_: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, node_id, n_items, can_be_tight) of every list in a block table: it can be tight if no item holds more than one block."""
+    held = blocks_.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    items = blocks_.where("type = 'item'").join(held, [key, "node_id"], "left").select(key, F.col("parent_id").alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    return items.groupBy(key, "node_id").agg(F.count(F.lit(1)).alias("n_items"), (F.max("n") <= 1).alias("can_be_tight"))
+
+
 def timing_stats(times: DataFrame, by: str = "run", value: str = "seconds") -> DataFrame:
     v = F.col(value)
     return times.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_samp(v).alias("stdev"))

@@ -59,3 +59,40 @@ def resolve_format(cli: dict, config: dict, auto: bool, preset: Format) -> Forma
     base = replace(AUTO, width=preset.width, list_spacing=preset.list_spacing) if auto else preset
     configured = {k: v for k, v in config.items() if k in names and not (auto and k in LOCKED)}
     return replace(base, **(configured | {k: v for k, v in cli.items() if k in names and v is not None}))
+
+
+# Whole option sets as columns: a struct for each source, merged field by field by its schema.
+
+#: Options and their types; the lists hold globs.
+OPTION_TYPES = {
+    "width": "int", "plaintext": "boolean", "semantic": "boolean", "cleanups": "boolean", "smartquotes": "boolean", "ellipses": "boolean", "list_spacing": "string",
+    "extend_include": "array<string>", "exclude": "array<string>", "extend_exclude": "array<string>", "files_max_size": "bigint", "respect_gitignore": "boolean", "force_exclude": "boolean",
+}
+
+
+def config_entries(top: Column, sections: Column) -> Column:
+    """array<struct<key, value>> of a configuration: top is map<string, string>, sections map<string, map<string, string>>; values are JSON. Sections are flattened by one level, and dashes in names are underscores."""
+    none = F.expr("cast(array() as array<struct<key: string, value: string>>)")
+    own = F.coalesce(F.map_entries(top), none)
+    nested = F.coalesce(F.flatten(F.transform(F.map_values(sections), F.map_entries)), none)
+    return F.transform(F.concat(own, nested), lambda e: F.struct(F.replace(e["key"], F.lit("-"), F.lit("_")).alias("key"), e["value"].alias("value")))
+
+
+def unknown_keys(entries: Column) -> Column:
+    known = F.array(*map(F.lit, OPTION_TYPES))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(entries, lambda e: e["key"]), lambda k: ~F.array_contains(known, k))))
+
+
+def config_struct(entries: Column) -> Column:
+    """A struct of all options; of a key that comes more than once, the last one's value. What isn't said, and what isn't of its option's type, is null."""
+
+    def value(name: str, kind: str) -> Column:
+        last = F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+        return F.from_json(F.concat(F.lit('{"v":'), last, F.lit("}")), f"v {kind}")["v"].alias(name)
+
+    return F.struct(*[value(n, k) for n, k in OPTION_TYPES.items()])
+
+
+def merge_option_structs(cli: Column, config: Column, preset: Column, auto: Column) -> Column:
+    """Field by field: said on the command line, else configured unless --auto locks it, else the preset."""
+    return F.struct(*[F.coalesce(cli[n], F.when(~auto, config[n]) if n in LOCKED else config[n], preset[n]).alias(n) for n in OPTION_TYPES])

@@ -19,7 +19,9 @@ from textloom.functions.formatting import AUTO, FILES, Format
 from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS
 from textloom.functions.tables import register_tables
 from textloom.operators import corpus as C
+from textloom.operators import islands as I
 from textloom.operators import references as REF
+from textloom.plans import options as O
 from textloom.plans.options import merge_options
 from textloom.sources import rules as R
 from textloom.sources.ignored import kept_paths
@@ -190,6 +192,39 @@ query(
 query("i13_links", LINKS, lambda d: C.links(d, "id").select("id", "text", "url", "title"), """SELECT id, unnest(['page ' || id, 'two', u]) AS text, unnest([u, '/x', u]) AS url, unnest([NULL, 'T', NULL]) AS title FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM input)""")
 ORACLE_SQL["i3_link_labels"] = ORACLE_SQL["i3_link_labels"].split(", lines AS", 1)[0] + " SELECT doc_id, url, title, CASE WHEN url IN ('1', '2') THEN 'r' || url END AS label FROM input"
 
+query(
+    "b20_can_be_tight",
+    "SELECT p_partkey AS id, '- ' || p_brand || chr(10) || CASE WHEN p_size % 2 = 0 THEN '' ELSE chr(10) || '  ' || p_type || chr(10) || chr(10) END || '- ' || p_name || CASE WHEN p_size % 3 = 0 THEN chr(10) || '  - in' || chr(10) || '  - side' ELSE '' END || chr(10) || chr(10) || 'end' AS text FROM $part",
+    lambda d: C.tight_lists(C.blocks(d, "id"), "id").groupBy("id").agg(F.count("*").alias("n"), F.count_if("can_be_tight").alias("tight")),
+    "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS tight FROM part",
+)
+
+# Whole option sets
+
+
+def _options(d: DataFrame) -> DataFrame:
+    s = lambda x: F.lit(x)
+    top = F.create_map(s("width"), (F.col("k") + 40).cast("string"), s("list-spacing"), s('"loose"'), s("plaintext"), F.when(F.col("k") % 4 == 0, "3").otherwise("true"))
+    rules = F.create_map(s("semantic"), s("false"), s("smartquotes"), s("true"), s("odd-one"), s("1"), s("force_exclude"), s("true"))
+    files = F.create_map(s("extend-exclude"), s('["a", "b*"]'), s("files-max-size"), F.col("id").cast("string"), s("odd_one"), s("2"), s("Width"), s("9"), s("list_spacing"), s('"tight"'))
+    said = {"width": F.when(F.col("k") % 3 == 0, 50), "ellipses": F.when(F.col("k") % 5 == 0, True), "exclude": F.when(F.col("k") % 5 == 1, F.array(s("x")))}
+    preset = {"width": s(88), "plaintext": s(False), "semantic": F.col("auto"), "cleanups": s(True), "smartquotes": F.col("auto"), "ellipses": F.col("auto"), "list_spacing": s("preserve"), "files_max_size": s(1 << 20), "respect_gitignore": s(True), "force_exclude": s(False)}
+    filled = lambda have: F.struct(*[have.get(n, F.lit(None)).cast(t).alias(n) for n, t in O.OPTION_TYPES.items()])
+    d = d.withColumn("entries", O.config_entries(F.when(F.col("k") != 7, top), F.create_map(s("rules"), rules, s("files"), files)))
+    merged = d.select("id", O.merge_option_structs(filled(said), O.config_struct(F.col("entries")), filled(preset), F.col("auto")).alias("o"), F.array_join(O.unknown_keys(F.col("entries")), ",").alias("unknown"))
+    lists = [n for n, t in O.OPTION_TYPES.items() if t.startswith("array")]
+    return merged.select("id", *[F.array_join(f"o.{n}", ",").alias(n) if n in lists else F.col(f"o.{n}") for n in O.OPTION_TYPES], "unknown")
+
+
+query(
+    "s25_merge_option_structs",
+    "SELECT c_custkey AS id, c_nationkey AS k, c_custkey % 2 = 0 AS auto FROM $customer",
+    _options,
+    """SELECT id, CAST(CASE WHEN k % 3 = 0 THEN 50 WHEN k = 7 THEN 88 ELSE k + 40 END AS INTEGER) AS width, k <> 7 AND k % 4 <> 0 AS plaintext, auto AS semantic, true AS cleanups, true AS smartquotes, auto OR k % 5 = 0 AS ellipses, 'tight' AS list_spacing,
+ CAST(NULL AS VARCHAR) AS extend_include, CASE WHEN k % 5 = 1 THEN 'x' END AS exclude, 'a,b*' AS extend_exclude, CAST(id AS BIGINT) AS files_max_size, true AS respect_gitignore, true AS force_exclude, 'Width,odd_one' AS unknown FROM input""",
+)
+ORACLE_SQL["s25_merge_option_structs"] = ORACLE_SQL["s25_merge_option_structs"].split(", lines AS", 1)[0] + " SELECT" + ORACLE_SQL["s25_merge_option_structs"].split("FROM input) SELECT", 1)[1]
+
 # References as relations
 
 REFS = """SELECT p_partkey AS id, '[one][A  b] ![alt][PIC] ![pic] [![badge][pic]][home] [in](http://in/' || cast(p_partkey AS string) || ' "t") <http://a.b>[^n] and[^m] again[^n]' || chr(10) || chr(10)
@@ -309,7 +344,15 @@ _FLAT = "SELECT doc_id AS id, trim(regexp_replace(text, '[ ' || chr(10) || ']+',
 query("n5_sentence_spans", _FLAT.format(g=""), lambda d: C.sentences(d, "id").select("id", "sid", F.length("text").alias("n"), "start", "end"))
 ORACLE_SQL["n5_sentence_spans"] = f"""WITH input AS ({_duck(_FLAT.format(g=", 'g'"))}), s AS (SELECT id, list_transform(list_append(r.done, r.now), lambda x: length(x)) AS n FROM (SELECT id, {_sentences(15)} AS r FROM input WHERE text <> '')),
  t AS (SELECT id, n, unnest(range(len(n))) AS k FROM s) SELECT id, CAST(k AS INT) AS sid, CAST(n[k + 1] AS INT) AS n, CAST(coalesce(list_sum(n[1:k]), 0) + k AS INT) AS start, CAST(list_sum(n[1:k + 1]) + k AS INT) AS "end" FROM t"""
-query("n6_atomic_sentences", LINKS, lambda d: C.sentences(d, "id", min_length=0).select("id", "text"), "SELECT id, text FROM input")
+SAYINGS = """SELECT p_partkey AS id, p_name || ' ends here. See `a b. Code.` now! Then [x. Then y](u v) and <http://a.b/c.> stop? (Brand ' || p_brand || ')' AS text FROM $part"""
+query("n6_atomic_sentences", SAYINGS, lambda d: C.sentences(d, "id", min_length=0).select("id", "text"), "SELECT p_partkey AS id, unnest([p_name || ' ends here.', 'See `a b. Code.` now!', 'Then [x. Then y](u v) and <http://a.b/c.> stop?', '(Brand ' || p_brand || ')']) AS text FROM part")
+query("n6_sentences_by_scan", SAYINGS, lambda d: d.select("id", F.explode(S.sentences(F.col("text"), 0)).alias("text")), "SELECT p_partkey AS id, unnest([p_name || ' ends here.', 'See `a b. Code.` now!', 'Then [x. Then y](u v) and <http://a.b/c.> stop?', '(Brand ' || p_brand || ')']) AS text FROM part")
+query(
+    "n2_sentences_of_rows",
+    DOCS,
+    lambda d: I.sentences_of_rows(C.spread(d).select("id", F.posexplode(N.words(F.col("text"))).alias("pos", "word")), "id").select("id", "sentence"),
+    f"SELECT id, unnest(list_append(r.done, r.now)) AS sentence FROM (SELECT id, {_sentences(0)} AS r FROM input)",
+)
 query("n7_sentences_for_wrapping", TALK, lambda d: C.sentences(d, "id", min_length=0).groupBy("id").agg(F.count("*").alias("n")), f"SELECT id, CAST(len(list_append(r.done, r.now)) AS BIGINT) AS n FROM (SELECT id, {_sentences(0)} AS r FROM input)")
 
 # Constructs, each by itself, among near misses of its own and of the others'. The oracles say the patterns without what RE2 lacks.
@@ -384,8 +427,11 @@ def _by_sentence(words: str, width: int = 88, least: int = 20) -> str:
 
 query("w9_wrap_by_sentence", DOCS, lambda d: C.spread(d).select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), f"SELECT id, {_by_sentence(_WORDS)} AS out FROM input")
 query("w9_sentence_lines", "SELECT c_custkey AS id, 'This is what ' || c_mktsegment || ' said about it then. And here is another sentence of some length. The end of it all is near now.' AS text FROM $customer", lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), r"SELECT id, regexp_replace(text, '\. ', '.' || chr(10), 'g') AS out FROM input")
-query("w10_tag_segments", TAGS, lambda d: d.select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), "SELECT id, unnest(string_split(text, chr(10))) AS segment FROM input")
-scalar("w11_comment_verbatim", COMMENTS, lambda t: F.array_join(F.transform(N.lines(t), lambda x, i: F.concat(F.when(i == 0, "> ").otherwise("  "), x)), "\n"), f"'> ' || replace(text, {_NL}, {_NL} || '  ')")
+SEGMENTS = """SELECT event_id AS id, event_type || chr(10) || 'plain two' || chr(10) || CASE WHEN event_id % 2 = 0 THEN '{% f %}' || chr(10) ELSE '' END || 'more' || chr(10) || '- item' || chr(10) || '- ' || event_type || chr(10) || 'lines' || chr(10) || '| t |' || chr(10) || '| u |' || chr(10) || 'end' AS text FROM $events"""
+_SEGMENTS_OF = f"SELECT id, unnest(CASE WHEN id % 2 = 0 THEN [l[1] || {_NL} || l[2], l[3], l[4], l[5], l[6], l[7], l[8], l[9], l[10]] ELSE [array_to_string(l[1:6], {_NL}), l[7], l[8], l[9]] END) AS segment FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)"
+query("w10_tag_segments", SEGMENTS, lambda d: d.select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), _SEGMENTS_OF)
+query("w10_segments_of_rows", SEGMENTS, lambda d: I.segments_of_rows(C.lines(d, "id"), "id").select("id", "segment"), _SEGMENTS_OF)
+scalar("w11_comment_verbatim", COMMENTS, U.wrap_by_width(20, True, "> ", "  "), f"'> ' || replace(text, {_NL}, {_NL} || '  ')")
 scalar("w12_space_tag_blocks", "SELECT event_id AS id, '{% f %}' || chr(10) || '- ' || event_type || chr(10) || '{% /f %}' || chr(10) || event_type || chr(10) || '| a |' AS text FROM $events", N.space_tag_blocks, "replace(replace(text, '{% f %}' || chr(10) || '- ', '{% f %}' || chr(10) || chr(10) || '- '), chr(10) || '{% /f %}', chr(10) || chr(10) || '{% /f %}')")
 scalar("w13_closing_tags", TAGS, N.settle_closing_tags, "replace(text, chr(10) || '  {% /', chr(10) || '{% /')")
 scalar("w14_long_tags", LONG_TAGS, N.split_long_tags, "replace(text, '%} {% /', '%}' || chr(10) || '{% /')")
@@ -402,7 +448,8 @@ per_line("h5_normal_separator", MARKDOWN, N.normal_separator, "CASE WHEN line =
 # Typography and rewrites
 
 scalar("r1_smart_quotes", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
-scalar("r2_quote_pairs", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
+NESTED = """SELECT p_partkey AS id, 'It said ' || chr(39) || p_name || chr(39) || ', and "she said ' || chr(39) || p_brand || chr(39) || ' twice". Not "' || p_type || ' or ' || chr(39) || 'open, nor x="y" here' AS text FROM $part"""
+scalar("r2_quote_pairs", NESTED, U.smart_quotes(), r"""regexp_replace(replace(text, '"she', '“she'), 'It said ''([^'']*)'', and “she said ''([^'']*)'' twice"', 'It said ‘\1’, and “she said ‘\2’ twice”')""")
 scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
