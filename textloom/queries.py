@@ -196,7 +196,7 @@ query(
     "b20_can_be_tight",
     "SELECT p_partkey AS id, '- ' || p_brand || chr(10) || CASE WHEN p_size % 2 = 0 THEN '' ELSE chr(10) || '  ' || p_type || chr(10) || chr(10) END || '- ' || p_name || CASE WHEN p_size % 3 = 0 THEN chr(10) || '  - in' || chr(10) || '  - side' ELSE '' END || chr(10) || chr(10) || 'end' AS text FROM $part",
     lambda d: C.tight_lists(C.blocks(d, "id"), "id").groupBy("id").agg(F.count("*").alias("n"), F.count_if("can_be_tight").alias("tight")),
-    "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS tight FROM part",
+    "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS tight FROM part",
 )
 
 # Whole option sets
@@ -449,7 +449,8 @@ per_line("h5_normal_separator", MARKDOWN, N.normal_separator, "CASE WHEN line =
 
 scalar("r1_smart_quotes", QUOTES, U.smart_quotes(), r"""regexp_replace(text, '(^|\s)"([^"]*)"(\s|,)', '\1“\2”\3', 'g')""")
 NESTED = """SELECT p_partkey AS id, 'It said ' || chr(39) || p_name || chr(39) || ', and "she said ' || chr(39) || p_brand || chr(39) || ' twice". Not "' || p_type || ' or ' || chr(39) || 'open, nor x="y" here' AS text FROM $part"""
-scalar("r2_quote_pairs", NESTED, U.smart_quotes(), r"""regexp_replace(replace(text, '"she', '“she'), 'It said ''([^'']*)'', and “she said ''([^'']*)'' twice"', 'It said ‘\1’, and “she said ‘\2’ twice”')""")
+# What stands inside a pair keeps its own marks.
+scalar("r2_quote_pairs", NESTED, U.smart_quotes(), r"""regexp_replace(regexp_replace(text, 'It said ''([^'']*)''', 'It said ‘\1’'), '"(she [^"]*)"', '“\1”')""")
 scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
