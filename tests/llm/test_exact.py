@@ -167,6 +167,36 @@ def test_decontamination(docs, none, spark, monkeypatch):
     assert find_contamination(none, table).count() == 0 and find_contamination(docs, table.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_is_the_same_in_any_number_of_passes(docs, spark, monkeypatch):
+    from textloom.llm import decontaminate as decontaminate_
+    from textloom.llm.decontaminate import decontaminate
+
+    monkeypatch.setattr(decontaminate_, "PASS_BLOCKS", 1)
+    w = [f"w{k}" for k in range(400)]
+    join = " ".join
+    halves = join([*w[:5], *w[100:112], *w[5:10]])  # cutting one item brings another one's halves together
+    texts = [join(w[:30] + w[200:230] + w[300:340]), halves, join(w[350:390]) + " " + halves, join(w[350:399]), "", None, join(w[0:10])]
+    extra = spark.createDataFrame([(900 + k, t, "en", "s", 1, 0.5, 1, "b", "f", 2) for k, t in enumerate(texts)] * 2, docs.schema)
+    items = spark.createDataFrame([("a", join(w[:30])), ("b", join(w[200:230])), ("c", join(w[100:112])), ("d", join(w[0:10])), ("e", "same same"), (None, "one")], "item_id string, text string")
+    both = docs.union(extra)
+    for coverage in (0.5, 0.9):
+        one, many = (as_bag(decontaminate(both, items, max_coverage=coverage, block_tokens=b), *both.columns) for b in (200_000, 10))
+        assert one == many and sum(one.values()) < both.count()
+    assert 900 not in {k[0] for k in one} or coverage == 0.9
+
+
+def test_quality_references_have_no_cap(spark):
+    from textloom.llm import quality
+
+    rows_ = [(k, "the und de la " * 20, f"l{k % 70:02}") for k in range(700)] + [(900, "x " * 60, "rare")]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    assert {f"l{k:02}" for k in range(70)} | {"", "rare"} == set(quality.language_references(docs_, min_docs=1)) and "rare" not in quality.language_references(docs_)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "MAX_REFERENCE_BYTES", 8 * quality.N_BINS * 20)
+        with pytest.raises(ValueError, match="min_docs"):
+            quality.language_references(docs_)
+
+
 def test_suffix_dedup(docs, none):
     from textloom.llm.suffixdedup import NO_ID, remove_duplicate_spans
 

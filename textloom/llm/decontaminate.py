@@ -15,6 +15,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -230,11 +231,21 @@ def merged_spans(starts: str = "starts", ends: str = "ends"):
     return F.aggregate(spans, F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), step)
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """text without the words that merged spans name."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    parts, end = [], 0
+    for a, b in spans:
+        parts.append(text[end : at[a][0]])
+        end = at[b - 1][1]
+    return b"".join([*parts, text[end:]])
+
+
 def strip_spans(text: bytes, automaton_list: list[SuffixAutomaton]) -> tuple[bytes, int, int]:
     """text without the words that are hit, until none is; how many words it had and how many went."""
-    import re
-
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
     n = gone = 0
     first = True
     while True:
@@ -245,24 +256,54 @@ def strip_spans(text: bytes, automaton_list: list[SuffixAutomaton]) -> tuple[byt
         if not spans:
             return text, n, gone
         gone += sum(b - a for a, b in spans)
-        at = [m.span() for m in word.finditer(text)]
-        parts, end = [], 0
-        for a, b in spans:
-            parts.append(text[end : at[a][0]])
-            end = at[b - 1][1]
-        text = b"".join([*parts, text[end:]])
+        text = without(text, spans)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs with the hit spans cut out of their texts, without the documents of which more than max_coverage is hit by one pass.
+    """docs with the hit spans cut out of their texts, until nothing is hit any more, without the documents of which that takes more than max_coverage.
 
+    All items count together, however many passes they take: the spans of all passes are found before any is cut, and coverage is judged once.
     A document that isn't hit keeps its text, null included. Other columns are carried along, whatever their names.
     """
-    all_passes = passes(items, text, window, block_tokens)
-    out = docs
-    for k, held in enumerate(all_passes):
-        out = _cut(materialize(out, "decontaminated") if k else out, held, text, max_coverage)
-    return out
+    first, *more = passes(items, text, window, block_tokens)
+    if not more:
+        return _cut(docs, first, text, max_coverage)
+    return _cut_in_rounds(docs, [first, *more], text, max_coverage)
+
+
+def _cut_in_rounds(docs: DataFrame, all_passes: list[list], text: str, max_coverage: float) -> DataFrame:
+    """What _cut does, where the automata need several passes: each round finds the spans of all passes, cuts them, and goes on with the documents that it cut."""
+    row = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("gone"), F.lit(None).cast("long").alias("n"))
+    now = materialize(row, "decontaminated")
+    done = []
+    spans = T.ArrayType(T.LongType())
+    after = T.StructType([*[f for f in now.schema if f.name in ("rid", "row")], T.StructField("text", T.StringType()), T.StructField("gone", T.LongType()), T.StructField("n", T.LongType())])
+
+    def cut(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(after)
+        for x in batches:
+            rid, row_, texts, gone, n, starts, ends = x.columns
+            new, went, had = [], [], []
+            for t, g, k, a, b in zip(texts.cast(pa.binary()).to_pylist(), gone.to_pylist(), n.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+                own = merged(list(zip(a, b)))
+                new.append(without(t, own).decode())
+                went.append(g + sum(y - z for z, y in own))
+                had.append(len(tokens(t)) if k is None else k)
+            yield pa.RecordBatch.from_arrays([rid.cast(schema.field(0).type), row_.cast(schema.field(1).type), pa.array(new, pa.string()), pa.array(went, pa.int64()), pa.array(had, pa.int64())], schema=schema)
+
+    while True:
+        found = [map_texts(now, ["rid"], "text", _scan(held), _FOUND).where(F.size("starts") > 0) for held in all_passes]
+        hits = reduce(DataFrame.union, found).groupBy("rid").agg(*[F.flatten(F.collect_list(c)).cast(spans).alias(c) for c in ("starts", "ends")])
+        hits = materialize(hits, "decontaminated-hits")
+        done.append(now.join(hits, "rid", "left_anti").select("row", "text", "gone", "n"))
+        now = materialize(now.join(hits, "rid").select("rid", "row", "text", "gone", "n", "starts", "ends").mapInArrow(cut, after), "decontaminated")
+        if now.isEmpty():
+            break
+    kept = reduce(DataFrame.union, done).where((F.col("gone") == 0) | (F.col("gone") / F.col("n") <= max_coverage))
+    row = F.col("row")
+    return kept.select(*[F.when(F.col("gone") == 0, row[text]).otherwise(F.col("text")).alias(c) if c == text else row[c].alias(c) for c in docs.columns])
 
 
 def _cut(docs: DataFrame, held: list, text: str, max_coverage: float) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A document's histograms of character classes and of common words are held against references of the
 languages by the Jensen-Shannon distance (base 2, so 0 to 1). The references are sums over all documents of
-a language (each value of `lang`, at most MAX_LANGUAGES); a language without a word list is compared by the common words of all lists together, and those
-of fewer than MIN_DOCS documents share the reference of all documents together. A document is judged
+a language (each value of `lang`, however many); a language without a word list is compared by the common words of all lists together, and those
+of fewer than `min_docs` documents share the reference of all documents together. A document is judged
 against the language it is nearest to, so a wrong or missing `lang` doesn't reject it.
 
 Defined results: null and empty texts have no words and fail the base rules; documents of fewer than `min_words`
@@ -34,8 +34,10 @@ LANGUAGES = sorted(COMMON_WORDS)
 #: lower, upper, digit, space, sentence punctuation, other ASCII symbols, beyond ASCII, controls
 N_CLASSES = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Documents by which a language without a word list gets a reference of its own; and how many such languages do, the most frequent first.
-MIN_DOCS, MAX_LANGUAGES = 10, 64
+#: Documents by which a language without a word list gets a reference of its own (a default; quality_verdicts takes another).
+MIN_DOCS = 10
+#: Bytes of references that tasks may hold; more languages than that are an error, not fewer references.
+MAX_REFERENCE_BYTES = 256 << 20
 #: Limits of the two distances; a document beyond either is rejected. Each gets its slack / sqrt(words) on top, as short documents scatter.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.16, 1.0
 MAX_WORD_DISTANCE, WORD_SLACK = 0.12, 2.0
@@ -112,8 +114,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=-1) > 0, d, 0.0)
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Summed histograms of all documents, by language, and "" for everything: a small row each."""
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", min_docs: int = MIN_DOCS) -> dict[str, np.ndarray]:
+    """Summed histograms of all documents, by language, and "" for everything: a row of 8 * N_BINS bytes each, whose number is checked before they are gathered."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("hist", T.ArrayType(T.LongType())), T.StructField("docs", T.LongType())])
@@ -138,8 +140,10 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     parts = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(sums, schema)
     summed = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("hist")[k]) for k in range(N_BINS)]).alias("hist"), F.sum("docs").alias("docs"))
     listed = F.col("lang").isin("", *LANGUAGES)
-    # "", the word lists' languages, then the most frequent: a few dozen rows.
-    rows = summed.where(listed | (F.col("docs") >= MIN_DOCS)).orderBy(listed.desc(), F.col("docs").desc(), "lang").limit(1 + len(LANGUAGES) + MAX_LANGUAGES).collect()
+    most = MAX_REFERENCE_BYTES // (8 * N_BINS)
+    rows = summed.where(listed | (F.col("docs") >= min_docs)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values of {lang} have {min_docs} documents or more; raise min_docs")
     return {r["lang"]: np.array(r["hist"], float) for r in rows}
 
 
@@ -154,9 +158,10 @@ def quality_verdicts(
     word_slack: float = WORD_SLACK,
     min_words: int = MIN_WORDS,
     carry: list[str] | None = None,
+    min_docs: int = MIN_DOCS,
 ) -> DataFrame:
     """The base counts, the two distances, the nearest language and the verdict of every document."""
-    refs = language_references(docs, text, lang)
+    refs = language_references(docs, text, lang, min_docs)
     names = [g for g in LANGUAGES if g in refs] + sorted(g for g in refs if g and g not in COMMON_WORDS) + [""]
     held = {g: refs.get(g, np.zeros(N_BINS)) for g in names}
 
