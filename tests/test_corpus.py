@@ -149,3 +149,21 @@ def test_command_line_takes_plain_files_and_reports_each(tmp_path, capsys):
     assert main([str(good), str(bad)]) == 1
     got = capsys.readouterr()
     assert got.out == "* x\n" and "b.md" in got.err
+
+
+def test_queries_ship_the_package(tmp_path):
+    """From a folder where workers don't find the package, a query with Python functions runs."""
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("entry", "{root}/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec); spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("ROWS", entry.queries()["r1_smart_quotes"](spark, "/root/testdata/sf0.001").count() > 0, len(entry.queries()["r1_smart_quotes"](spark, "/root/testdata/sf0.001").limit(3).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS True 3" in out.stdout, out.stderr[-2000:]

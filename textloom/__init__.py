@@ -19,7 +19,7 @@ from textloom.functions.wrap import Wrapper, by_sentence, by_width, fill_text, w
 __all__ = [
     "AUTO", "FILES", "Format", "Wrapper", "atomic_spans", "atomic_words", "block_table", "by_sentence", "by_width", "ellipses", "extract_links",
     "fill_markdown", "fill_text", "first_sentence", "first_sentences", "has_frontmatter", "inline_text", "markup_words", "parse", "reformat",
-    "rewrite_across", "rewrite_texts", "sentence_spans", "ship", "smart_quotes", "split_frontmatter", "split_sentences", "transform_tree", "walk", "wrap_lines", "wrap_text",
+    "rewrite_across", "rewrite_texts", "sentence_spans", "ship", "ship_if_missing", "smart_quotes", "split_frontmatter", "split_sentences", "transform_tree", "walk", "wrap_lines", "wrap_text",
 ]
 
 
@@ -38,3 +38,22 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("textloom", os.path.relpath(full, here)))
     spark.sparkContext.addPyFile(at)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_if_missing(spark: SparkSession) -> None:
+    """Ship the package unless the session's Python workers find it; asked once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+
+    def found(_):
+        import importlib.util
+
+        return importlib.util.find_spec("textloom") is not None
+
+    if not spark.sparkContext.parallelize([0], 1).map(found).first():
+        ship(spark)

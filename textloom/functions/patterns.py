@@ -5,6 +5,7 @@ Patterns use named groups only, so that they can stand side by side in one alter
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -15,6 +16,12 @@ class Construct(NamedTuple):
     pattern: str
 
 
+def paired(name: str, opening: str, closing: str, stop: str) -> Construct:
+    """An opening tag with its closing one right behind it, which starts with a slash; neither holds `stop`."""
+    o, c, x = re.escape(opening), re.escape(closing), re.escape(stop)
+    return Construct(name, rf"{o}(?!\s*/)[^{x}]*{c}\s*{o}\s*/[^{x}]*{c}")
+
+
 # What counts as a construct. Marks of template tags: opening, closing, and the character that a paired tag may not hold.
 TAG_MARKS = {
     "jinja_tag": ("{%", "%}", "%"),
@@ -27,9 +34,7 @@ LINK = Construct("markdown_link", r"\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])?")
 AUTOLINK = Construct("autolink", r"<[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*>|<[^\s<>@]+@[^\s<>]+>")
 BARE_URL = Construct("bare_url", r"(?:https?://|www\.)[^\s<>]*[^\s<>?!.,:;*_~'\")\]]")
 PAIRED_TAGS = (
-    Construct("paired_jinja_tag", r"\{%(?!\s*/)[^%]*%\}\s*\{%\s*/[^%]*%\}"),
-    Construct("paired_jinja_comment", r"\{#(?!\s*/)[^#]*#\}\s*\{#\s*/[^#]*#\}"),
-    Construct("paired_jinja_var", r"\{\{(?!\s*/)[^}]*\}\}\s*\{\{\s*/[^}]*\}\}"),
+    *(paired(f"paired_{kind}", *TAG_MARKS[kind]) for kind in ("jinja_tag", "jinja_comment", "jinja_var")),
     Construct("paired_html_comment", r"<!--(?!\s*/)[^-]*(?:-[^-]+)*-->\s*<!--\s*/[^-]*(?:-[^-]+)*-->"),
 )
 SINGLE_TAGS = (

@@ -17,7 +17,9 @@ def spread(docs: DataFrame) -> DataFrame:
     if docs.isStreaming:
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() or docs.rdd.getNumPartitions() >= cores:
+    plan = docs._jdf.queryExecution().executedPlan()
+    # A plan that is adaptive has an exchange; asking for its partitions would run it.
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or docs.rdd.getNumPartitions() >= cores:
         return docs
     return docs.repartition(cores)
 

@@ -16,7 +16,7 @@ from textloom.functions import native as N
 from textloom.functions import scan as S
 from textloom.functions import udfs as U
 from textloom.functions.formatting import AUTO, FILES, Format
-from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS
+from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS, paired
 from textloom.functions.tables import register_tables
 from textloom.operators import corpus as C
 from textloom.operators import islands as I
@@ -375,6 +375,12 @@ _PATTERNS = {
 }
 for _c, _p in _PATTERNS.items():
     query(f"t1_{_c.name}", CONSTRUCTS, lambda d, c=_c: d.select("id", F.explode(S.construct_matches(F.col("text"), (c,))).alias("found")), f"SELECT id, unnest(regexp_extract_all(text, '(?s){_p.replace(chr(39), chr(39) * 2)}')) AS found FROM input")
+query(
+    "t2_paired_builder",
+    "SELECT p_partkey AS id, '[[' || p_name || ']] [[ /' || p_name || ']] [[/x]] [[/y]] [[' || p_brand || ']]' || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' and ' END || '[[/end]]' AS text FROM $part",
+    lambda d: d.select("id", F.explode(S.construct_matches(F.col("text"), (paired("paired_bracket", "[[", "]]", "]"),))).alias("found")),
+    "SELECT p_partkey AS id, unnest(['[[' || p_name || ']] [[ /' || p_name || ']]'] || CASE WHEN p_size % 2 = 0 THEN ['[[' || p_brand || ']][[/end]]'] ELSE [] END) AS found FROM part",
+)
 # All at once, named: of two that start at one place, the earlier one in the list.
 query(
     "t3_named_constructs",
