@@ -7,13 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.sources import sink
-from textloom.sources.files import Discovery, Resolver, TextFiles
+from textloom.sources.files import Discovery, Resolver, TextFiles, scan_files
 from textloom.sources.ignored import kept_paths
 
 
 @pytest.fixture(scope="module")
 def session(spark):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TextFiles)
     return spark
 
@@ -48,7 +47,7 @@ def test_scan_lists_what_the_resolver_lists(session, tmp_path, slices):
 def test_filters_reach_the_listing(session, tmp_path):
     plant(tmp_path, {f"f{k}/{j}.md": "x" * (k + 1) for k in range(6) for j in range(3)})
     (tmp_path / "f5/bad.md").write_bytes(b"\xff")
-    df = session.read.format("textloom_files").option("paths", str(tmp_path)).load()
+    df = scan_files(session, tmp_path)
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     some = df.where((F.col("size") <= 3) & F.col("path").startswith(f"{tmp_path}/f"))
     assert "Filter" not in plan(some).split("BatchScan")[0].replace("PushedFilters", "")
@@ -57,13 +56,13 @@ def test_filters_reach_the_listing(session, tmp_path):
     assert df.where(F.col("path").endswith("2.md") & (F.col("size") > 4) & (F.length("text") < 6)).count() == 1
     assert df.where("error IS NOT NULL").count() == 1
     # Folders that can't hold what is sought, and excluded ones, aren't opened.
-    from textloom.sources.files import StringStartsWith, _Reader
+    from textloom.sources.files import StringStartsWith, _PushedReader
 
-    reader = _Reader(Discovery(), [str(tmp_path)], 64)
+    reader = _PushedReader(Discovery(), [str(tmp_path)], 64)
     assert list(reader.pushFilters([StringStartsWith(("path",), f"{tmp_path}/f3/")])) == []
     assert {p.at for p in reader.partitions()} == {str(tmp_path), f"{tmp_path}/f3"}
     plant(tmp_path, {".git/x.md": "x", "build/y.md": "y"})
-    assert not {p.at for p in _Reader(Discovery(), [str(tmp_path)], 64).partitions()} & {f"{tmp_path}/.git", f"{tmp_path}/build"}
+    assert not {p.at for p in _PushedReader(Discovery(), [str(tmp_path)], 64).partitions()} & {f"{tmp_path}/.git", f"{tmp_path}/build"}
 
 
 def contents(root):

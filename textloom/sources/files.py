@@ -167,21 +167,6 @@ class _Reader(DataSourceReader):
         self.path_tests: list[tuple] = []
         self.size_tests: list[tuple] = []
 
-    def pushFilters(self, filters):  # noqa: N802
-        """Conditions on path and size are met while listing, so that no other file is read; the rest is Spark's."""
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if isinstance(f, IsNotNull) and column in (("path",), ("size",)):
-                continue  # they never are
-            if column == ("path",) and type(f) in _PATH:
-                self.path_tests.append((type(f), f.value))
-            elif column == ("path",) and isinstance(f, In):
-                self.path_tests.append((In, tuple(f.value)))
-            elif column == ("size",) and type(f) in _SIZE:
-                self.size_tests.append((type(f), f.value))
-            else:
-                yield f
-
     def wanted(self, path: str) -> bool:
         return all(path in v if k is In else _PATH[k](path, v) for k, v in self.path_tests)
 
@@ -247,10 +232,29 @@ class _Reader(DataSourceReader):
                 yield str(p), len(raw), None, str(error)
 
 
+class _PushedReader(_Reader):
+    """Sessions that don't push filters into Python sources refuse a reader that takes any."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Conditions on path and size are met while listing, so that no other file is read; the rest is Spark's."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if isinstance(f, IsNotNull) and column in (("path",), ("size",)):
+                continue  # they never are
+            if column == ("path",) and type(f) in _PATH:
+                self.path_tests.append((type(f), f.value))
+            elif column == ("path",) and isinstance(f, In):
+                self.path_tests.append((In, tuple(f.value)))
+            elif column == ("size",) and type(f) in _SIZE:
+                self.size_tests.append((type(f), f.value))
+            else:
+                yield f
+
+
 class TextFiles(DataSource):
     """spark.read.format("textloom_files").option("paths", "a.md:docs").load(): (path, size, text, error); a file that is no UTF-8 has an error and no text.
 
-    With spark.sql.python.filterPushdown.enabled, conditions on path and size reach the listing. df.write.format("textloom_files").option("root", ...) replaces files, see sink.py.
+    With the option pushdown, which takes spark.sql.python.filterPushdown.enabled, conditions on path and size reach the listing; scan_files sets both. df.write.format("textloom_files").option("root", ...) replaces files, see sink.py.
     """
 
     @classmethod
@@ -267,13 +271,21 @@ class TextFiles(DataSource):
             split("include", INCLUDE), split("extend_include", ()), split("exclude", None), split("extend_exclude", ()),
             o.get("respect_gitignore", "true") == "true", o.get("force_exclude", "false") == "true", int(o.get("max_size", MAX_SIZE)),
         )
-        return _Reader(rules, o["paths"].split(os.pathsep), int(o.get("slices", "64")))
+        kind = _PushedReader if o.get("pushdown", "false") == "true" else _Reader
+        return kind(rules, o["paths"].split(os.pathsep), int(o.get("slices", "64")))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         o = self.options
         return FileSink(o["root"], o.get("backup", "true") == "true", schema.fieldNames())
 
 
+def scan_files(spark: SparkSession, *paths: str, **options: str) -> DataFrame:
+    """The files under paths by the data source, with conditions on path and size pushed into the listing."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TextFiles)
+    return spark.read.format("textloom_files").options(pushdown="true", paths=os.pathsep.join(map(str, paths)), **options).load()
+
+
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md", max_size: int = MAX_SIZE) -> DataFrame:
     """(path, size, text) by Spark's reader, wherever the files are. Names that begin with . or _ don't count there."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
