@@ -25,7 +25,8 @@ def lines(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end, line ends included."""
-    return F.regexp_replace(text, rf"^[{_S}]+|[{_S}]+\z", "")
+    ascii_ = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(ascii_.rlike(rf"^[{_RARE}]|[{_RARE}]\z"), F.regexp_replace(text, rf"^[{_S}]+|[{_S}]+\z", "")).otherwise(ascii_)
 
 
 def words(text: Column) -> Column:
@@ -34,8 +35,13 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def spaced(text: Column) -> Column:
+    """Every run of white space as one space."""
+    return F.when(text.rlike(f"[{_RARE}]"), F.regexp_replace(text, f"[{_S}]+", " ")).otherwise(F.regexp_replace(text, r"\s+", " "))
+
+
 def squeezed(text: Column) -> Column:
-    return trimmed(F.regexp_replace(text, f"[{_S}]+", " "))
+    return F.trim(spaced(text))
 
 
 def part_tags(text: Column) -> Column:

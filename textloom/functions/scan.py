@@ -83,21 +83,25 @@ def markup_words(text: Column) -> Column:
 def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int = 0, squeeze: bool = True, markdown: bool = False) -> Column:
     """Greedy lines, as the kernel makes them. Lines with one margin are cut by a pattern; those with a first margin of their own, or with words to escape, by a fold over the words' lengths."""
     if squeeze:
-        text = F.regexp_replace(text, f"[{N._S}]+", " ")
+        text = N.spaced(text)
     if width <= 0:
         whole = N.trimmed(text) if squeeze else text
         return F.when(N.trimmed(text) == "", F.expr(_STRINGS)).otherwise(F.array(whole))
-    text = N.part_tags(text)
-    folded = N.lines_of_words(atomic_words(text), width, column, offset, markdown)
     room = width - offset
     if markdown or column != offset or room <= 0:
-        return folded
-    marked = text.rlike(r"[`\[<{]")
-    held = F.array_join(F.transform(atomic_words(text), lambda w: F.replace(w, F.lit(" "), F.lit(_HELD))), " ")
-    flat = F.when(marked, held).otherwise(N.squeezed(text))
-    cut = F.regexp_extract_all(flat, F.lit(rf"(?s) ?(.{{1,{room}}}|[^ ]++)(?= |\z)"), F.lit(1))
-    cut = F.when(marked, F.transform(cut, lambda x: F.replace(x, F.lit(_HELD), F.lit(" ")))).otherwise(cut)
-    return F.when(F.contains(text, F.lit(_HELD)), folded).otherwise(cut)
+        return N.lines_of_words(atomic_words(N.part_tags(text)), width, column, offset, markdown)
+
+    def cut(flat: Column) -> Column:
+        return F.regexp_extract_all(flat, F.lit(rf"(?s) ?(.{{1,{room}}}|[^ ]++)(?= |\z)"), F.lit(1))
+
+    def marked(t: Column) -> Column:
+        """Spaces inside words are held back while lines are cut."""
+        held = F.array_join(F.transform(atomic_words(t), lambda w: F.replace(w, F.lit(" "), F.lit(_HELD))), " ")
+        freed = F.transform(cut(held), lambda x: F.replace(x, F.lit(_HELD), F.lit(" ")))
+        return F.when(F.contains(t, F.lit(_HELD)), N.lines_of_words(atomic_words(t), width, column, offset)).otherwise(freed)
+
+    plain = F.trim(text) if squeeze else N.squeezed(text)
+    return F.when(text.rlike(r"[`\[<{]"), N._with(N.part_tags(text), marked)).otherwise(cut(plain))
 
 
 def wrap_text(text: Column, width: int = WIDTH, first: str = "", rest: str = "", squeeze: bool = True, markdown: bool = False) -> Column:
