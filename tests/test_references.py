@@ -73,3 +73,28 @@ def test_table_functions(spark):
         with pytest.raises(Exception):
             spark.sql(f"SELECT * FROM {wrong}").collect()
     assert "start" not in spark.sql("SELECT * FROM loom_word_rows('a')").columns
+
+
+def test_interval_join_rewrites_as_the_kernel_does(spark):
+    import random
+
+    from textloom.functions import udfs
+    from textloom.functions.markdown import parse
+    from textloom.functions.markdown.tree import rewrite_across, segment_table
+    from textloom.functions.typography import smart_quotes
+    from textloom.operators import intervals as X
+
+    rng = random.Random(9)
+    pieces = ['"', "'", ' "a', 'b" ', "don't", "*x*", "`c \"d\"`", "[l \"m](u)", "**\"s\"**", "\n", "\n\n", "  \n", " ", "word ", "| \"t\" |", "# ", "- ", "<http://a.b>", "é\U0001f600"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["", None, '"' + "long " * 900 + '" and ' * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    want = set()
+    for k, t in enumerate(texts):
+        if t is not None:
+            doc = parse(t)
+            old = segment_table(doc)
+            rewrite_across(doc, smart_quotes)
+            want |= {(k, o["scope"], o["ord"], o["text"], n["text"]) for o, n in zip(old, segment_table(doc)) if o["text"] != n["text"]}
+    for size in (3, 1024):
+        got = X.changed_segments(X.inline_segments(docs), udfs.smart_quotes(), "doc_id", size)
+        assert {tuple(r) for r in got.collect()} == want and len(want) > 100

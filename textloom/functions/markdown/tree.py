@@ -122,6 +122,13 @@ def segments(node: Node) -> list[tuple[str, Node | None]]:
     return out
 
 
+def segment_table(doc: Node) -> list[dict]:
+    """Rows (scope, ord, text, fixed) of the segments of all paragraphs, headings and cells."""
+    coalesce_lines(doc)
+    scopes = [segments(n) for n in walk(doc) if n.kind in SCOPES]
+    return [{"scope": k, "ord": j, "text": t, "fixed": node is None} for k, own in enumerate(scopes) for j, (t, node) in enumerate(own)]
+
+
 def rewrite_across(doc: Node, fn: Callable[[str], str]) -> None:
     """fn, which keeps the length, on the whole text of each paragraph, heading and cell; only plain texts change."""
     coalesce_lines(doc)

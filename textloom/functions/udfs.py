@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import formatting, lines, typography, words, wrap
 from textloom.functions.markdown import block_table, extract_links, parse, reference_table
+from textloom.functions.markdown.tree import segment_table
 from textloom.functions.patterns import MIN_SENTENCE, PROSE, WIDTH, WRAPPING
 from textloom.functions.tables import register_tables
 
@@ -113,6 +114,10 @@ def references():
     return per_text(lambda t: reference_table(parse(t)), REFERENCE)
 
 
+def segments():
+    return per_text(lambda t: segment_table(parse(t)), "array<struct<scope:int,ord:int,text:string,fixed:boolean>>")
+
+
 def space_tag_blocks():
     return per_text(lines.space_tag_blocks, "string")
 

@@ -19,6 +19,7 @@ from textloom.functions.formatting import AUTO, FILES, Format
 from textloom.functions.patterns import AUTOLINK, BARE_URL, CODE_SPAN, HTML_TAGS, LINK, PAIRED_TAGS, PROSE, SENTENCE_END, SINGLE_TAGS, paired
 from textloom.functions.tables import register_tables
 from textloom.operators import corpus as C
+from textloom.operators import intervals as X
 from textloom.operators import islands as I
 from textloom.operators import references as REF
 from textloom.plans import options as O
@@ -461,6 +462,18 @@ scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
 query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
+query(
+    "r9_segments",
+    LINKS,
+    lambda d: X.inline_segments(d, "id").groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("chars")),
+    "SELECT id, CAST(9 AS BIGINT) AS n, CAST(length('See page ' || id || ' and two, ' || u || ' or [no](/code).') AS INTEGER) AS chars FROM (SELECT id, regexp_extract(text, '<([^>]*)>', 1) AS u FROM input)",
+)
+query(
+    "r10_interval_join",
+    "SELECT p_partkey AS id, '# \"' || p_brand || '\"' || chr(10) || chr(10) || 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part",
+    lambda d: X.changed_segments(X.inline_segments(d, "id"), U.smart_quotes(), "id", 8).select("id", "scope", "ord", "new"),
+    "SELECT p_partkey AS id, CAST(unnest([0, 1, 1]) AS INTEGER) AS scope, CAST(unnest([0, 0, 4]) AS INTEGER) AS ord, unnest(['“' || p_brand || '”', 'He said “the ', '” twice.']) AS new FROM part",
+)
 
 
 def _deeper(n) -> None:
