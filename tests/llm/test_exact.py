@@ -251,6 +251,15 @@ def test_substring_dedup_with_little_memory(docs):
     assert as_bag(remove_duplicate_spans(docs, rows=50, cell_bytes=2000), *names) == as_bag(remove_duplicate_spans(docs), *names)
 
 
+def test_substring_dedup_shards_follow_the_data(docs):
+    """A shard's share of the texts doesn't grow with the table, and more shards than partitions give the same spans."""
+    from textloom.llm.suffixdedup import SHARD, remove_duplicate_spans, shard_count
+
+    assert shard_count(1000, 4) == 4 and all(total <= shard_count(total, 200) * SHARD for total in (1 << 29, 6 << 30, 30 << 30))
+    names = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert as_bag(remove_duplicate_spans(docs, shard_bytes=200), *names) == as_bag(remove_duplicate_spans(docs), *names)
+
+
 def test_passages(docs, none):
     from textloom.llm.passages import passage_classes
 

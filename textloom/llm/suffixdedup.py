@@ -15,7 +15,8 @@ Texts are dealt to cells once, by a hash of id and text; that one exchange is re
 4. The cell cuts the spans out of its texts.
 
 So a text, line or passage that very many documents share costs each cell one entry. What a cell or shard holds is in memory as arrays, but for the
-contexts that are sorted, which lie in files where they are many. Cells have about CELL bytes of text, shards follow spark.sql.shuffle.partitions.
+contexts that are sorted, which lie in files where they are many. Cells have about CELL bytes of text, shards a SHARD-th of it all, but there are no fewer than
+spark.sql.shuffle.partitions. A task takes its shards one after another, so neither its memory nor what it spills grows with the table.
 
 Defined results: null and empty texts, and texts shorter than `length`, lose nothing; rows with equal ids don't take from
 each other; a null id counts as larger than all others; an empty table gives no rows; extra columns are ignored; ids are integers.
@@ -38,8 +39,8 @@ from textloom.llm.hashing import mix64
 from textloom.llm.induced import ROWS, Scratch, suffixes_down
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a cell, and of those whose anchors are found together.
-CELL, PART = 8 << 20, 1 << 20
+#: Bytes of text in a cell, a shard's share of all texts, and bytes of those whose anchors are found together.
+CELL, SHARD, PART = 8 << 20, 8 << 20, 1 << 20
 NO_ID = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -433,10 +434,17 @@ def _spans(cell: Cell, answers: list[dict]) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
-def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cell_bytes: int = CELL, rows: int = ROWS) -> DataFrame:
+def shard_count(total: int, partitions: int, shard_bytes: int = SHARD) -> int:
+    """Shards of `total` bytes of text: a shard's sort spills many times its bytes, so it mustn't grow with the table."""
+    return max(partitions, -(-total // shard_bytes))
+
+
+def remove_duplicate_spans(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cell_bytes: int = CELL, rows: int = ROWS, shard_bytes: int = SHARD
+) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, starts, ends, kept_sha256, kept): kept is the text that is left, as bytes. rows: tuples a queue holds in memory."""
-    shards = bucket_count(docs)
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    shards = shard_count(total, bucket_count(docs), shard_bytes)
     cells = max(shards, -(-total // cell_bytes))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
     texts = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(cells)).cast("int").alias("bucket"), "id", "text").groupBy("bucket")
