@@ -98,3 +98,28 @@ def test_interval_join_rewrites_as_the_kernel_does(spark):
     for size in (3, 1024):
         got = X.changed_segments(X.inline_segments(docs), udfs.smart_quotes(), "doc_id", size)
         assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("make", [R.resolved, R.inlined, R.notes, R.unused])
+def test_relations_parse_once_and_broadcast_nothing(spark, make):
+    """A table's size in the file says little of its references, so a join that trusts it sends them all through the driver."""
+    docs = spark.createDataFrame([(1, "[a][x] ![b][y]\n\n[x]: /u")], "doc_id int, text string")
+    plan = make(R.reference_rows(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_one_row_group_is_spread_over_the_cores(spark, tmp_path):
+    """A file that is cut into many splits is still one task if it is one row group."""
+    from textloom.operators.corpus import spread
+
+    at = str(tmp_path / "one")
+    spark.range(200_000, numPartitions=1).selectExpr("id", "sha2(cast(id as string), 256) AS text").coalesce(1).write.parquet(at)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        docs = spark.read.parquet(at)
+        assert docs.rdd.getNumPartitions() > 4
+        sizes = sorted(r["count"] for r in spread(docs).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect())
+        assert len(sizes) >= 4 and sizes[-1] < 100_000 and sum(sizes) == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)

@@ -12,16 +12,27 @@ from textloom.functions.formatting import AUTO, FILES, Format
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs over as many partitions as there are cores at least. A file of one row group is one task however large it is; a wide scan, and anything
-    behind a shuffle, and a stream, stays as it is."""
+    """docs over as many partitions as there are cores at least. A file of one row group is one task however large it is and into however many splits it is
+    cut, so a scan counts as wide by its files; a wide scan, and anything behind a shuffle, and a stream, stays as it is."""
     if docs.isStreaming:
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     plan = docs._jdf.queryExecution().executedPlan()
     # A plan that is adaptive has an exchange; asking for its partitions would run it.
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or docs.rdd.getNumPartitions() >= cores:
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return docs
-    return docs.repartition(cores)
+    parts, files = docs.rdd.getNumPartitions(), len(docs.inputFiles())
+    if parts >= cores and (not files or files >= cores):
+        return docs
+    # Dealt by a hash of the rows: dealing in turn would sort the one task's rows first.
+    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    n = max(parts, cores)
+    return docs.repartition(n, F.xxhash64(*[f"`{c}`" for c in plain])) if plain else docs.repartition(n)
+
+
+def together(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with those of equal keys in one partition. A stated number isn't coalesced, so a task's share doesn't follow how well its rows are packed."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def format_corpus(docs: DataFrame, options: Format = Format(), text: str = "text", out: str = "formatted") -> DataFrame:
@@ -70,13 +81,13 @@ def link_labels(links_: DataFrame, refs: DataFrame) -> DataFrame:
     """Each link with the first label that is defined with its target and title in the same document, if any."""
     first = refs.groupBy("doc_id", "dest", F.coalesce("title", F.lit("")).alias("t")).agg(F.min_by("label", "ord").alias("label"))
     keyed = links_.withColumn("t", F.coalesce("title", F.lit("")))
-    return keyed.join(first.withColumnRenamed("dest", "url"), ["doc_id", "url", "t"], "left").drop("t")
+    return keyed.join(first.withColumnRenamed("dest", "url").hint("merge"), ["doc_id", "url", "t"], "left").drop("t")
 
 
 def tight_lists(blocks_: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, node_id, n_items, can_be_tight) of every list in a block table: it can be tight if no item holds more than one block."""
     held = blocks_.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    items = blocks_.where("type = 'item'").join(held, [key, "node_id"], "left").select(key, F.col("parent_id").alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    items = blocks_.where("type = 'item'").join(held.hint("merge"), [key, "node_id"], "left").select(key, F.col("parent_id").alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"))
     return items.groupBy(key, "node_id").agg(F.count(F.lit(1)).alias("n_items"), (F.max("n") <= 1).alias("can_be_tight"))
 
 

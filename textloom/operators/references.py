@@ -1,16 +1,18 @@
 """What a document refers to, as relations: one parse gives tagged rows, and SQL resolves them.
 
 Definitions are looked up as Markdown has it: the first definition of a label in a document wins, whatever its case and white space. Links and images by reference carry a label and get
-their destination from the join; those written inline keep their own. Everything is keyed by document, so all joins and groupings are local to documents.
+their destination from the label's window; those written inline keep their own. A document's rows meet once, in one partition, and all windows and groupings are within it: texts are parsed
+once and nothing is broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import native, udfs
-from textloom.operators.corpus import spread
+from textloom.operators.corpus import spread, together
 
 KINDS = ("definition", "link", "image", "note", "note_ref")
 
@@ -29,32 +31,40 @@ def definitions(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def resolved(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kind, ord, label, dest, title, text, inside) of links and images with their destinations."""
-    own = rows.where(F.col("kind").isin("link", "image"))
-    defined = definitions(rows, key).select(key, "label", F.col("dest").alias("to"), F.col("title").alias("said"))
-    met = own.join(defined, [key, "label"], "left")
-    return met.select(key, "kind", "ord", "label", F.coalesce("dest", "to").alias("dest"), F.coalesce("title", "said").alias("title"), "text", "inside")
+    own = together(rows.where(F.col("kind").isin("definition", "link", "image")), key)
+    defines = (F.col("kind") == "definition") & F.col("label").isNotNull()
+    first = F.min_by(F.when(defines, F.struct("dest", "title")), F.when(defines, F.col("ord"))).over(W.partitionBy(key, "label"))
+    met = own.withColumn("said", first).where(F.col("kind") != "definition")
+    return met.select(key, "kind", "ord", "label", F.coalesce("dest", "said.dest").alias("dest"), F.coalesce("title", "said.title").alias("title"), "text", "inside")
 
 
 def inlined(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ord, image, link): every image as it is written inline, and the destination of the link around it, if there is one."""
-    all_ = resolved(rows, key)
+    is_link = F.col("kind") == "link"
+    all_ = resolved(rows, key).withColumn("around", F.when(is_link, F.col("ord")).otherwise(F.col("inside")))
+    link = F.max(F.when(is_link, F.col("dest"))).over(W.partitionBy(key, "around"))
     title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(" "), native.quoted_title(F.col("title")))).otherwise("")
     image = F.concat(F.lit("!["), "text", F.lit("]("), "dest", title, F.lit(")"))
-    images = all_.where(F.col("kind") == "image").select(key, "ord", image.alias("image"), F.col("inside"))
-    around = all_.where(F.col("kind") == "link").select(key, F.col("ord").alias("inside"), F.col("dest").alias("link"))
-    return images.join(around, [key, "inside"], "left").select(key, "ord", "image", "link")
+    return all_.withColumn("link", link).where(F.col("kind") == "image").select(key, "ord", image.alias("image"), "link")
 
 
 def notes(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, label, text, number, marks): each note's first text, its number by the order of first marks, and how often it is marked; notes without marks have no number."""
-    own = rows.where(F.col("kind") == "note").groupBy(key, "label").agg(F.min_by("text", "ord").alias("text"))
-    marks = rows.where(F.col("kind") == "note_ref").groupBy(key, "label").agg(F.count(F.lit(1)).alias("marks"), F.min("ord").alias("first"))
-    ranks = marks.groupBy(key).agg(F.array_sort(F.collect_list("first")).alias("firsts"))
-    numbered = marks.join(ranks, key).select(key, "label", "marks", F.array_position("firsts", F.col("first")).cast("int").alias("number"))
-    return own.join(numbered, [key, "label"], "left").select(key, "label", "text", "number", F.coalesce("marks", F.lit(0)).alias("marks"))
+    own = together(rows.where(F.col("kind").isin("note", "note_ref")), key)
+    is_note, is_mark = F.col("kind") == "note", F.col("kind") == "note_ref"
+    each = own.groupBy(key, "label").agg(
+        F.min_by(F.when(is_note, F.col("text")), F.when(is_note, F.col("ord"))).alias("text"),
+        F.count_if(is_note).alias("notes"),
+        F.count_if(is_mark).alias("marks"),
+        F.min(F.when(is_mark, F.col("ord"))).alias("first"),
+    )
+    rank = F.rank().over(W.partitionBy(key).orderBy(F.col("first").asc_nulls_last()))
+    numbered = each.withColumn("number", F.when(F.col("first").isNotNull(), rank).cast("int"))
+    return numbered.where("notes > 0").select(key, "label", "text", "number", "marks")
 
 
 def unused(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, label) of definitions that nothing refers to."""
-    said = rows.where(F.col("kind").isin("link", "image") & F.col("label").isNotNull()).select(key, "label")
-    return definitions(rows, key).select(key, "label").join(said, [key, "label"], "left_anti")
+    defined = F.count_if(F.col("kind") == "definition").alias("defined")
+    said = F.count_if(F.col("kind").isin("link", "image")).alias("said")
+    return together(rows.where(F.col("label").isNotNull()), key).groupBy(key, "label").agg(defined, said).where("defined > 0 AND said = 0").select(key, "label")
