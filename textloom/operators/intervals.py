@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import udfs
-from textloom.operators.corpus import spread
+from textloom.operators.corpus import spread, together
 
 #: Length of a bin; an interval is filed under every bin that it touches, a point under one.
 BIN = 1024
@@ -22,12 +22,13 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: st
     bins = F.sequence(F.floor(F.col(start) / bin_), F.floor((F.col(end) - 1) / bin_))
     filed = intervals.where(F.col(end) > F.col(start)).withColumn("__bin", F.explode(bins))
     put = points.withColumn("__bin", F.floor(F.col(at) / bin_))
-    return put.join(filed, [*by, "__bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__bin")
+    put, filed = together(put, *by, "__bin"), together(filed, *by, "__bin")
+    return put.join(filed.hint("merge"), [*by, "__bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__bin")
 
 
 def inline_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, scope, ord, text, fixed, start, end): each scope's segments with their offsets in its text. fixed: not plain text, as code and line ends."""
-    rows = spread(docs).select(key, F.inline(udfs.segments()(F.col(text))))
+    rows = together(spread(docs).select(key, F.inline(udfs.segments()(F.col(text)))), key)
     before = W.partitionBy(key, "scope").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int")
     return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
@@ -42,6 +43,6 @@ def changed_segments(segments: DataFrame, rewrite, key: str = "doc_id", bin_: in
     pairs = F.arrays_zip(F.split("old", "").alias("a"), F.split("new", "").alias("b"))
     edits = both.select(*by, F.posexplode(pairs).alias("at", "c")).where("c.a <> c.b").select(*by, "at", F.col("c.b").alias("to"))
     met = interval_join(edits, segments.where("NOT fixed"), by, "at", "start", "end", bin_)
-    own = met.groupBy(*by, "ord").agg(F.any_value("text").alias("text"), F.map_from_entries(F.collect_list(F.struct(F.col("at") - F.col("start"), "to"))).alias("edits"))
+    own = together(met, *by).groupBy(*by, "ord").agg(F.any_value("text").alias("text"), F.map_from_entries(F.collect_list(F.struct(F.col("at") - F.col("start"), "to"))).alias("edits"))
     new = F.array_join(F.transform(F.split("text", ""), lambda c, i: F.coalesce(F.col("edits")[i], c)), "")
     return own.select(*by, "ord", "text", new.alias("new"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import native as N
+from textloom.operators.corpus import together
 
 
 def numbered(rows: DataFrame, key: str, order: str, ends: Column, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def _joined(rows: DataFrame, key: str, order: str, name: str, value: str, separa
 
 def sentences_of_rows(words: DataFrame, key: str = "doc_id", order: str = "pos", word: str = "word") -> DataFrame:
     """words(key, pos, word) -> (key, sid, sentence): a sentence ends at every word that looks like an end. Only a sentence is gathered, never a document."""
-    return _joined(numbered(words, key, order, N.ends_sentence(F.col(word)), "sid"), key, order, "sid", word, " ", "sentence")
+    return _joined(numbered(together(words, key), key, order, N.ends_sentence(F.col(word)), "sid"), key, order, "sid", word, " ", "sentence")
 
 
 def segments_of_rows(lines: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
@@ -33,7 +34,7 @@ def segments_of_rows(lines: DataFrame, key: str = "doc_id", order: str = "line_n
     whole, near = W.partitionBy(key), W.partitionBy(key).orderBy(order)
     x = F.col(line)
     tagged = F.max(N.starts_with_tag(x) | N.ends_with_tag(x)).over(whole)
-    rows = lines.withColumn("__alone", N.is_table_row(x) | (tagged & N.is_block(x)))
+    rows = together(lines, key).withColumn("__alone", N.is_table_row(x) | (tagged & N.is_block(x)))
     after = F.lead(F.struct(F.col("__alone").alias("alone"), N.is_tag_at_margin(x).alias("tag"))).over(near)
     rows = rows.withColumn("__next", after)
     ends = F.coalesce(F.col("__alone") | N.ends_with_tag(x) | F.col("__next.alone") | F.col("__next.tag"), F.lit(False))

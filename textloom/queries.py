@@ -71,11 +71,11 @@ def query(name: str, sql: str, make: Callable[[DataFrame], DataFrame], oracle: s
 
 def scalar(name: str, sql: str, fn, oracle: str | None = None, column: str = "out") -> None:
     """fn(text) beside the id; oracle is an expression over text."""
-    query(name, sql, lambda d: d.select("id", fn(F.col("text")).alias(column)), oracle and f"SELECT id, {oracle} AS {column} FROM input")
+    query(name, sql, lambda d: C.spread(d).select("id", fn(F.col("text")).alias(column)), oracle and f"SELECT id, {oracle} AS {column} FROM input")
 
 
 def per_line(name: str, sql: str, fn, oracle: str) -> None:
-    query(name, sql, lambda d: d.select("id", F.explode(N.lines(F.col("text"))).alias("line")).select("id", "line", fn(F.col("line")).alias("out")), f"SELECT id, line, {oracle} AS out FROM lines")
+    query(name, sql, lambda d: C.spread(d).select("id", F.explode(N.lines(F.col("text"))).alias("line")).select("id", "line", fn(F.col("line")).alias("out")), f"SELECT id, line, {oracle} AS out FROM lines")
 
 
 # DuckDB expressions
@@ -153,7 +153,7 @@ query("s19_list_files", PATHS, lambda d: R.resolve(d.where(R.included(F.col("pat
 _FM = rf"""SELECT id, CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN '' WHEN e = 0 THEN text ELSE array_to_string(l[s:e], {_NL}) || {_NL} END AS frontmatter,
  CASE WHEN s = 0 OR trim(l[s]) <> '---' THEN text WHEN e = 0 THEN '' ELSE array_to_string(CASE WHEN l[-1] = '' THEN l[e + 1:-2] ELSE l[e + 1:] END, {_NL}) END AS content
  FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x, i: trim(x) = '---' AND i > s), true), 0) AS e FROM (SELECT *, coalesce(list_position(list_transform(l, lambda x: trim(x) <> ''), true), 0) AS s FROM (SELECT id, text, string_split(text, {_NL}) AS l FROM input)))"""
-query("s21_frontmatter", FRONT, lambda d: d.select("id", N.split_frontmatter(F.col("text")).alias("f")).select("id", "f.frontmatter", "f.content"), _FM)
+query("s21_frontmatter", FRONT, lambda d: C.spread(d).select("id", N.split_frontmatter(F.col("text")).alias("f")).select("id", "f.frontmatter", "f.content"), _FM)
 query("s22_has_frontmatter", FRONT, lambda d: d.select("id", (N.split_frontmatter(F.col("text"))["frontmatter"] != "").alias("out")), f"SELECT id, frontmatter <> '' AS out FROM ({_FM})")
 query(
     "s25_merge_options",
@@ -259,8 +259,7 @@ def _by_sql(name: str, sql: str, text: str, oracle: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register_tables(spark)
-        docs = Template(sql).substitute({t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES})
-        return spark.sql(f"WITH docs AS ({docs}) {text}")
+        return spark.sql(text.replace("FROM docs ", "FROM {docs} "), docs=C.spread(source(spark, sf_dir, sql)))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = oracle.replace("{input}", _duck(sql))
@@ -315,15 +314,15 @@ def _said(template: str) -> str:
 for _name, (_from, _to) in ELEMENTS.items():
     query(_name, f"SELECT p_partkey AS id, {_said(_from)} AS text, {_said(_to)} AS want FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown()(F.col("text")).alias("out")), "SELECT id, want AS out FROM input")
 for _spacing, _to in (("loose", "- {n}\n\n- {b}\n\n- c\n"), ("tight", "- {n}\n- {b}\n- c\n")):
-    query(f"b19_{_spacing}_lists", f"SELECT p_partkey AS id, {_said('- {n}' + chr(10) + '- {b}' + chr(10) * 2 + '- c')} AS text, {_said(_to)} AS want FROM $part", lambda d, s=_spacing: d.select("id", U.fill_markdown(list_spacing=s)(F.col("text")).alias("out")), "SELECT id, want AS out FROM input")
+    query(f"b19_{_spacing}_lists", f"SELECT p_partkey AS id, {_said('- {n}' + chr(10) + '- {b}' + chr(10) * 2 + '- c')} AS text, {_said(_to)} AS want FROM $part", lambda d, s=_spacing: C.spread(d).select("id", U.fill_markdown(list_spacing=s)(F.col("text")).alias("out")), "SELECT id, want AS out FROM input")
 
 # Tokens
 
 _SPANS = r"(?s)`[^`]+`|\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])?|<[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*>"
-query("t5_atomic_spans", LINKS, lambda d: d.select("id", F.inline(U.atomic_spans(PROSE)(F.col("text")))).where("is_atomic").select("id", "text", "name"), f"SELECT id, x AS text, CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' ELSE 'autolink' END AS name FROM (SELECT id, unnest(regexp_extract_all(text, '{_SPANS}')) AS x FROM input)")
-query("t6_atomic_words", LINKS, lambda d: d.select("id", F.explode(S.atomic_words(F.col("text"), PROSE)).alias("text")), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
+query("t5_atomic_spans", LINKS, lambda d: C.spread(d).select("id", F.inline(U.atomic_spans(PROSE)(F.col("text")))).where("is_atomic").select("id", "text", "name"), f"SELECT id, x AS text, CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' ELSE 'autolink' END AS name FROM (SELECT id, unnest(regexp_extract_all(text, '{_SPANS}')) AS x FROM input)")
+query("t6_atomic_words", LINKS, lambda d: C.spread(d).select("id", F.explode(S.atomic_words(F.col("text"), PROSE)).alias("text")), rf"SELECT id, unnest(regexp_extract_all(text, '(?:{_SPANS[4:]}|\S)+')) AS text FROM input")
 query("t7_plain_words", DOCS, lambda d: C.spread(d).select("id", F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM input) GROUP BY word")
-query("t8_markup_words", TAGS, lambda d: d.select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")), f"SELECT id, unnest([replace(l[1], '%}}{{%', '%}} {{%'), '-', l[2][3:], l[3], 'value', '<!-- c -->', trim(l[5])]) AS word FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)")
+query("t8_markup_words", TAGS, lambda d: C.spread(d).select("id", F.explode(U.markup_words()(F.col("text"))).alias("word")), f"SELECT id, unnest([replace(l[1], '%}}{{%', '%}} {{%'), '-', l[2][3:], l[3], 'value', '<!-- c -->', trim(l[5])]) AS word FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)")
 per_line("t9_starts_with_tag", TAGS, N.starts_with_tag, rf"regexp_matches(line, '^\s*{_OPEN}')")
 per_line("t9_ends_with_tag", TAGS, N.ends_with_tag, rf"regexp_matches(line, '{_CLOSE}\s*$')")
 per_line("t9_tag_only", TAGS, N.is_tag_only, rf"regexp_matches(line, '^{_OPEN}') AND regexp_matches(line, '{_CLOSE}\s*$')")
@@ -332,7 +331,7 @@ per_line("t9_closing_tag", TAGS, N.is_closing_tag, rf"regexp_matches(line, '^\s*
 scalar("t10_part_tags", TAGS, N.part_tags, "replace(replace(replace(replace(text, '%}{%', '%} {%'), '#}{#', '#} {#'), '}}{{', '}} {{'), '--><!--', '--> <!--')")
 scalar("t11_join_tags", LONG_TAGS, N.join_tags, "replace(replace(replace(replace(text, '%} {%', '%}{%'), '#} {#', '#}{#'), '}} {{', '}}{{'), '--> <!--', '--><!--')")
 scalar("t12_long_comment", COMMENTS, N.is_long_comment, f"text LIKE '<!--%' AND strpos(text, '-->') = length(text) - 2 AND text LIKE '%' || {_NL} || '%'")
-query("t13_template_tags", TAGS, lambda d: d.select("id", F.inline(U.atomic_spans(SINGLE_TAGS)(F.col("text")))).where("is_atomic").select("id", F.col("text").alias("tag")), r"SELECT id, unnest(regexp_extract_all(text, '(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->')) AS tag FROM input")
+query("t13_template_tags", TAGS, lambda d: C.spread(d).select("id", F.inline(U.atomic_spans(SINGLE_TAGS)(F.col("text")))).where("is_atomic").select("id", F.col("text").alias("tag")), r"SELECT id, unnest(regexp_extract_all(text, '(?s)\{%.*?%\}|\{#.*?#\}|\{\{.*?\}\}|<!--.*?-->')) AS tag FROM input")
 
 # Sentences
 
@@ -347,7 +346,7 @@ ORACLE_SQL["n5_sentence_spans"] = f"""WITH input AS ({_duck(_FLAT.format(g=", 'g
  t AS (SELECT id, n, unnest(range(len(n))) AS k FROM s) SELECT id, CAST(k AS INT) AS sid, CAST(n[k + 1] AS INT) AS n, CAST(coalesce(list_sum(n[1:k]), 0) + k AS INT) AS start, CAST(list_sum(n[1:k + 1]) + k AS INT) AS "end" FROM t"""
 SAYINGS = """SELECT p_partkey AS id, p_name || ' ends here. See `a b. Code.` now! Then [x. Then y](u v) and <http://a.b/c.> stop? (Brand ' || p_brand || ')' AS text FROM $part"""
 query("n6_atomic_sentences", SAYINGS, lambda d: C.sentences(d, "id", min_length=0).select("id", "text"), "SELECT p_partkey AS id, unnest([p_name || ' ends here.', 'See `a b. Code.` now!', 'Then [x. Then y](u v) and <http://a.b/c.> stop?', '(Brand ' || p_brand || ')']) AS text FROM part")
-query("n6_sentences_by_scan", SAYINGS, lambda d: d.select("id", F.explode(S.sentences(F.col("text"), 0)).alias("text")), "SELECT p_partkey AS id, unnest([p_name || ' ends here.', 'See `a b. Code.` now!', 'Then [x. Then y](u v) and <http://a.b/c.> stop?', '(Brand ' || p_brand || ')']) AS text FROM part")
+query("n6_sentences_by_scan", SAYINGS, lambda d: C.spread(d).select("id", F.explode(S.sentences(F.col("text"), 0)).alias("text")), "SELECT p_partkey AS id, unnest([p_name || ' ends here.', 'See `a b. Code.` now!', 'Then [x. Then y](u v) and <http://a.b/c.> stop?', '(Brand ' || p_brand || ')']) AS text FROM part")
 query(
     "n2_sentences_of_rows",
     DOCS,
@@ -375,18 +374,18 @@ _PATTERNS = {
     **{c: c.pattern for c in (*SINGLE_TAGS, *HTML_TAGS)},
 }
 for _c, _p in _PATTERNS.items():
-    query(f"t1_{_c.name}", CONSTRUCTS, lambda d, c=_c: d.select("id", F.explode(S.construct_matches(F.col("text"), (c,))).alias("found")), f"SELECT id, unnest(regexp_extract_all(text, '(?s){_p.replace(chr(39), chr(39) * 2)}')) AS found FROM input")
+    query(f"t1_{_c.name}", CONSTRUCTS, lambda d, c=_c: C.spread(d).select("id", F.explode(S.construct_matches(F.col("text"), (c,))).alias("found")), f"SELECT id, unnest(regexp_extract_all(text, '(?s){_p.replace(chr(39), chr(39) * 2)}')) AS found FROM input")
 query(
     "t2_paired_builder",
     "SELECT p_partkey AS id, '[[' || p_name || ']] [[ /' || p_name || ']] [[/x]] [[/y]] [[' || p_brand || ']]' || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' and ' END || '[[/end]]' AS text FROM $part",
-    lambda d: d.select("id", F.explode(S.construct_matches(F.col("text"), (paired("paired_bracket", "[[", "]]", "]"),))).alias("found")),
+    lambda d: C.spread(d).select("id", F.explode(S.construct_matches(F.col("text"), (paired("paired_bracket", "[[", "]]", "]"),))).alias("found")),
     "SELECT p_partkey AS id, unnest(['[[' || p_name || ']] [[ /' || p_name || ']]'] || CASE WHEN p_size % 2 = 0 THEN ['[[' || p_brand || ']][[/end]]'] ELSE [] END) AS found FROM part",
 )
 # All at once, named: of two that start at one place, the earlier one in the list.
 query(
     "t3_named_constructs",
     CONSTRUCTS,
-    lambda d: d.select("id", F.inline(S.atomic_spans(F.col("text"), PROSE))).where("is_atomic").groupBy("name", "text").agg(F.count("*").alias("n")),
+    lambda d: C.spread(d).select("id", F.inline(S.atomic_spans(F.col("text"), PROSE))).where("is_atomic").groupBy("name", "text").agg(F.count("*").alias("n")),
     f"SELECT CASE WHEN x LIKE '`%' THEN 'inline_code_span' WHEN x LIKE '[%' THEN 'markdown_link' WHEN x LIKE '<%' THEN 'autolink' ELSE 'bare_url' END AS name, x AS text, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s){'|'.join(_PATTERNS[c] for c in PROSE).replace(chr(39), chr(39) * 2)}')) AS x FROM input) GROUP BY 1, 2",
 )
 
@@ -397,7 +396,7 @@ scalar("w2_wrap_paragraph", DOCS, lambda t: N.wrap_text(t, 60, "* ", "  "), "(SE
 scalar("w3_no_wrap", DOCS, lambda t: F.array_join(N.wrap_lines(t, 0), "\n"), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
 scalar("w4_escape_word", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN cast(o_custkey AS string) || '.' WHEN o_orderkey % 4 = 1 THEN '##' WHEN o_orderkey % 4 = 2 THEN '-' ELSE o_orderpriority END AS text FROM $orders", N.escape_word, _ESCAPED.replace("b.now", "text"))
 query("w4_wrap_markdown", MARKS, lambda d: d.select("id", F.array_join(N.wrap_lines(F.col("text"), 40, markdown=True), "\n").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 40, _ESCAPED))} AS out FROM input")
-query("w5_paragraphs", PARAS, lambda d: d.select("id", F.explode(N.split_paragraphs(F.col("text"))).alias("p")), "SELECT id, " + _TRIM.format("p") + r" AS p FROM (SELECT id, unnest(regexp_split_to_array(text, '\n{2,}')) AS p FROM input)")
+query("w5_paragraphs", PARAS, lambda d: C.spread(d).select("id", F.explode(N.split_paragraphs(F.col("text"))).alias("p")), "SELECT id, " + _TRIM.format("p") + r" AS p FROM (SELECT id, unnest(regexp_split_to_array(text, '\n{2,}')) AS p FROM input)")
 
 
 def _filled(width: int, first: str, rest: str, hangs: bool = False) -> str:
@@ -408,15 +407,15 @@ def _filled(width: int, first: str, rest: str, hangs: bool = False) -> str:
     return f"SELECT id, string_agg({lead} || {para}, {_NL} || {_NL} ORDER BY k) AS out FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(text, '\\n{{2,}}') AS ps FROM input)) GROUP BY id"
 
 
-query("w6_fill_wrap", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap").alias("out")), _filled(88, "", ""))
-query("w6_fill_wrap_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_indent").alias("out")), _filled(80, "    ", "    "))
-query("w6_fill_hanging_indent", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "hanging_indent").alias("out")), _filled(80, "", "    ", True))
-query("w6_fill_markdown_item", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "markdown_item").alias("out")), _filled(84, "", "  ", True))
-query("w6_fill_wrap_full", PARAS, lambda d: d.select("id", N.fill_text(F.col("text"), "wrap_full").alias("out")), _filled(88, "", ""))
+query("w6_fill_wrap", PARAS, lambda d: C.spread(d).select("id", N.fill_text(F.col("text"), "wrap").alias("out")), _filled(88, "", ""))
+query("w6_fill_wrap_indent", PARAS, lambda d: C.spread(d).select("id", N.fill_text(F.col("text"), "wrap_indent").alias("out")), _filled(80, "    ", "    "))
+query("w6_fill_hanging_indent", PARAS, lambda d: C.spread(d).select("id", N.fill_text(F.col("text"), "hanging_indent").alias("out")), _filled(80, "", "    ", True))
+query("w6_fill_markdown_item", PARAS, lambda d: C.spread(d).select("id", N.fill_text(F.col("text"), "markdown_item").alias("out")), _filled(84, "", "  ", True))
+query("w6_fill_wrap_full", PARAS, lambda d: C.spread(d).select("id", N.fill_text(F.col("text"), "wrap_full").alias("out")), _filled(88, "", ""))
 scalar("w6_indent_only", PARAS, lambda t: N.fill_text(t, "indent_only"), f"'    ' || replace(text, {_NL}, {_NL} || '    ')")
 scalar("w6_no_wrapping", PARAS, lambda t: N.fill_text(t, "none"), "text")
 scalar("w7_wrap_to_width", DOCS, U.wrap_by_width(72, markdown=False), _joined(_wrapped(_WORDS, 72)))
-query("w8_hard_breaks", "SELECT c_custkey AS id, c_name || chr(92) || chr(10) || c_mktsegment || '  ' || chr(10) || 'end' AS text FROM $customer", lambda d: d.select("id", F.explode(N.hard_break_parts(F.col("text"))).alias("part")), r"SELECT id, unnest(regexp_split_to_array(text, '\\\n|  \n')) AS part FROM input")
+query("w8_hard_breaks", "SELECT c_custkey AS id, c_name || chr(92) || chr(10) || c_mktsegment || '  ' || chr(10) || 'end' AS text FROM $customer", lambda d: C.spread(d).select("id", F.explode(N.hard_break_parts(F.col("text"))).alias("part")), r"SELECT id, unnest(regexp_split_to_array(text, '\\\n|  \n')) AS part FROM input")
 
 
 def _by_sentence(words: str, width: int = 88, least: int = 20) -> str:
@@ -433,11 +432,11 @@ def _by_sentence(words: str, width: int = 88, least: int = 20) -> str:
 
 
 query("w9_wrap_by_sentence", DOCS, lambda d: C.spread(d).select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), f"SELECT id, {_by_sentence(_WORDS)} AS out FROM input")
-query("w9_sentence_lines", "SELECT c_custkey AS id, 'This is what ' || c_mktsegment || ' said about it then. And here is another sentence of some length. The end of it all is near now.' AS text FROM $customer", lambda d: d.select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), r"SELECT id, regexp_replace(text, '\. ', '.' || chr(10), 'g') AS out FROM input")
+query("w9_sentence_lines", "SELECT c_custkey AS id, 'This is what ' || c_mktsegment || ' said about it then. And here is another sentence of some length. The end of it all is near now.' AS text FROM $customer", lambda d: C.spread(d).select("id", U.wrap_by_sentence()(F.col("text")).alias("out")), r"SELECT id, regexp_replace(text, '\. ', '.' || chr(10), 'g') AS out FROM input")
 SEGMENTS = """SELECT event_id AS id, event_type || chr(10) || 'plain two' || chr(10) || CASE WHEN event_id % 2 = 0 THEN '{% f %}' || chr(10) ELSE '' END || 'more' || chr(10) || '- item' || chr(10) || '- ' || event_type || chr(10) || 'lines' || chr(10) || '| t |' || chr(10) || '| u |' || chr(10) || 'end' AS text FROM $events"""
 _SEGMENTS_OF = f"SELECT id, unnest(CASE WHEN id % 2 = 0 THEN [l[1] || {_NL} || l[2], l[3], l[4], l[5], l[6], l[7], l[8], l[9], l[10]] ELSE [array_to_string(l[1:6], {_NL}), l[7], l[8], l[9]] END) AS segment FROM (SELECT id, string_split(text, {_NL}) AS l FROM input)"
-query("w10_tag_segments", SEGMENTS, lambda d: d.select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), _SEGMENTS_OF)
-query("w10_segments_of_rows", SEGMENTS, lambda d: I.segments_of_rows(C.lines(d, "id"), "id").select("id", "segment"), _SEGMENTS_OF)
+query("w10_tag_segments", SEGMENTS, lambda d: C.spread(d).select("id", F.explode(U.tag_segments()(F.col("text"))).alias("segment")), _SEGMENTS_OF)
+query("w10_segments_of_rows", SEGMENTS, lambda d: I.segments_of_rows(C.lines(C.spread(d), "id"), "id").select("id", "segment"), _SEGMENTS_OF)
 scalar("w11_comment_verbatim", COMMENTS, U.wrap_by_width(20, True, "> ", "  "), f"'> ' || replace(text, {_NL}, {_NL} || '  ')")
 scalar("w12_space_tag_blocks", "SELECT event_id AS id, '{% f %}' || chr(10) || '- ' || event_type || chr(10) || '{% /f %}' || chr(10) || event_type || chr(10) || '| a |' AS text FROM $events", N.space_tag_blocks, "replace(replace(text, '{% f %}' || chr(10) || '- ', '{% f %}' || chr(10) || chr(10) || '- '), chr(10) || '{% /f %}', chr(10) || chr(10) || '{% /f %}')")
 scalar("w13_closing_tags", TAGS, N.settle_closing_tags, "replace(text, chr(10) || '  {% /', chr(10) || '{% /')")
@@ -461,7 +460,7 @@ scalar("r2_quote_pairs", NESTED, U.smart_quotes(), r"""regexp_replace(regexp_rep
 scalar("r3_has_paragraphs", FRONT, N.has_paragraphs, r"regexp_matches(text, '\n\s*\n')")
 scalar("r4_apostrophes", APOS, N.apostrophes, "replace(replace(replace(text, chr(39) || 's and', '’s and'), 'and James' || chr(39), 'and James’'), 'don' || chr(39) || 't', 'don’t')")
 scalar("r5_ellipses", DOTS, U.ellipses(), "replace(replace(text, ' ...', ' …'), '...', ' … ')")
-query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
+query("r10_quotes_across_inlines", "SELECT p_partkey AS id, 'He said \"the *' || p_name || '* of `x`\" twice.' AS text FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown(smartquotes=True)(F.col("text")).alias("out")), """SELECT id, replace(replace(text, '"the', '“the'), '`"', '`”') || chr(10) AS out FROM input""")
 query(
     "r9_segments",
     LINKS,
@@ -481,17 +480,17 @@ def _deeper(n) -> None:
         n.attrs["level"] += 1
 
 
-query("r6_transform_tree", "SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || '> ## ' || p_brand AS text FROM $part", lambda d: d.select("id", U.fill_markdown(transform=_deeper)(F.col("text")).alias("out")), f"SELECT id, '#' || replace(text, '> ##', '> ###') || {_NL} AS out FROM input")
-query("r7_coalesced_lines", "SELECT p_partkey AS id, p_name || '...' || chr(10) || p_type || ' `a...b`' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(ellipses_=True)(F.col("text")).alias("out")), f"SELECT id, replace(replace(text, '...' || {_NL}, ' … '), 'a … b', 'a...b') || {_NL} AS out FROM input")
-query("r8_rewrite_texts", "SELECT p_partkey AS id, p_name || ' `code` *' || p_type || '* [x](y)' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(rewrite=str.upper)(F.col("text")).alias("out")), f"SELECT id, replace(replace(upper(text), '`CODE`', '`code`'), '(Y)', '(y)') || {_NL} AS out FROM input")
-query("r11_unbold_headings", "SELECT p_partkey AS id, '## **' || p_name || '**' AS text FROM $part", lambda d: d.select("id", U.fill_markdown(cleanups=True)(F.col("text")).alias("out")), "SELECT id, replace(text, '**', '') || chr(10) || chr(10) AS out FROM input")
+query("r6_transform_tree", "SELECT p_partkey AS id, '# ' || p_name || chr(10) || chr(10) || '> ## ' || p_brand AS text FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown(transform=_deeper)(F.col("text")).alias("out")), f"SELECT id, '#' || replace(text, '> ##', '> ###') || {_NL} AS out FROM input")
+query("r7_coalesced_lines", "SELECT p_partkey AS id, p_name || '...' || chr(10) || p_type || ' `a...b`' AS text FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown(ellipses_=True)(F.col("text")).alias("out")), f"SELECT id, replace(replace(text, '...' || {_NL}, ' … '), 'a … b', 'a...b') || {_NL} AS out FROM input")
+query("r8_rewrite_texts", "SELECT p_partkey AS id, p_name || ' `code` *' || p_type || '* [x](y)' AS text FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown(rewrite=str.upper)(F.col("text")).alias("out")), f"SELECT id, replace(replace(upper(text), '`CODE`', '`code`'), '(Y)', '(y)') || {_NL} AS out FROM input")
+query("r11_unbold_headings", "SELECT p_partkey AS id, '## **' || p_name || '**' AS text FROM $part", lambda d: C.spread(d).select("id", U.fill_markdown(cleanups=True)(F.col("text")).alias("out")), "SELECT id, replace(text, '**', '') || chr(10) || chr(10) AS out FROM input")
 scalar("r12_dedent", "SELECT c_custkey AS id, '    ' || c_name || chr(10) || chr(10) || '      ' || c_mktsegment AS text FROM $customer", N.dedent, "replace(substr(text, 5), chr(10) || '    ', chr(10))")
 
 # Whole documents
 
-query("e1_fill_markdown", MARKDOWN, lambda d: d.select("id", U.fill_markdown()(F.col("text")).alias("out")), f"SELECT id, replace(text, '|:--|--:|', '| :--- | ---: |') || {_NL} AS out FROM input")
+query("e1_fill_markdown", MARKDOWN, lambda d: C.spread(d).select("id", U.fill_markdown()(F.col("text")).alias("out")), f"SELECT id, replace(text, '|:--|--:|', '| :--- | ---: |') || {_NL} AS out FROM input")
 _PARAS_OF = "string_agg({0}, " + f"{_NL} || {_NL} ORDER BY k) || {_NL} AS {{1}} FROM (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT id, regexp_split_to_array(trim(text), '\\n\\s*\\n') AS ps FROM input)) GROUP BY id"
-query("e1_fill_prose", TALK, lambda d: d.select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "out"))
+query("e1_fill_prose", TALK, lambda d: C.spread(d).select("id", U.fill_markdown(semantic=True)(F.col("text")).alias("out")), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "out"))
 query("e2_reformat_plaintext", DOCS, lambda d: C.format_corpus(d, Format(plaintext=True)).select("id", F.col("formatted").alias("out")), f"SELECT id, {_joined(_wrapped(_WORDS, 88))} AS out FROM input")
 # The documents' marks stand inside lines, where they change nothing.
 query("e2_reformat_markdown", DOCS, lambda d: C.format_corpus(d).select("id", "formatted"), "SELECT id, " + _PARAS_OF.format(_by_sentence(_PARA_WORDS), "formatted"))
