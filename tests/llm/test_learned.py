@@ -187,6 +187,15 @@ def test_near_copies_against_brute_force(spark):
         assert all(find(i) == find(j) for i in got for j in got if got[i] == got[j])
 
 
+def test_near_copies_take_the_links_of_operator_5(spark):
+    """Nodes whose fingerprints operator 5 links are candidates: equal ones, and those within two bits."""
+    from textloom.llm.nearcopies import print_pairs
+
+    rows = [(5, 1 << 40), (2, 1 << 40), (9, (1 << 40) + 3), (7, 0xFFFFFF), (8, -1)]
+    got = {tuple(r) for r in print_pairs(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    assert got == {(2, 5), (2, 9)}
+
+
 def test_pipeline_near_dedup_keeps_different_texts_of_one_id(spark):
     import corpus_pipeline
 

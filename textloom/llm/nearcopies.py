@@ -1,4 +1,7 @@
-"""Near copies of whole documents: five-word shingles, candidates by min-hash bands, verified on the texts.
+"""Near copies of whole documents: five-word shingles, candidates by operator 5's SimHash and by min-hash bands, verified on the texts.
+
+Fingerprints of the shingles are linked as operator 5 links them (one-wildcard variants, equality join, within its two bits); the nodes of linked
+fingerprints are candidates. Few pairs at similarity 0.8 come within two bits, so bands propose the rest.
 
 Texts with one shingle set are one node. Each node has BANDS keys of ROWS min-hashes; a pair at similarity s shares a key with probability
 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Every pair under a key is a candidate and is verified on the shingle sets made from the texts anew. Keys
@@ -19,7 +22,8 @@ from pyspark.sql import types as T
 
 from textloom.llm.common import map_texts, materialize
 from textloom.llm.components import connected_components
-from textloom.llm.simhash import shingle_hashes
+from textloom.llm.simhash import links as print_links
+from textloom.llm.simhash import shingle_hashes, simhash_of, signed
 from textloom.llm.hashing import mix64 as _mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -79,14 +83,25 @@ def group_links(nodes: list[int], sets: list[np.ndarray], similarity: float) ->
     return out
 
 
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """prints(node, fp) -> candidates (a, b) that operator 5 links: nodes of one fingerprint by its smallest, and the smallest of linked fingerprints."""
+    least = materialize(prints.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    same = prints.join(least.hint("merge"), "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda n: least.select(F.col("fp").alias(n), F.col("least").alias(f"node_{n}")).hint("merge")
+    linked = print_links(least.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    both = same.union(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(both.where("a < b").distinct(), "near-print-pairs")
+
+
 def near_copy_groups(docs: DataFrame, carry: list[str], row: str, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """carry's columns and `component`, one number for each group. row: a column of carry that says which rows have one text."""
 
     def mark(texts: list[bytes]) -> dict:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return {"node": [node_of(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        sets = [np.unique(h) for h in hashes]
+        return {"node": [node_of(s) for s in sets], "keys": [band_keys(s) for s in sets], "fp": [signed(simhash_of(h)) for h in hashes]}
 
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     marked = materialize(map_texts(docs, carry, text, mark, schema), "near-marked")
     nodes = materialize(marked.groupBy("node").agg(F.min(row).alias("row"), F.min("keys").alias("keys")), "near-nodes")
     index = nodes.select("node", F.explode("keys").alias("key"))
@@ -96,9 +111,10 @@ def near_copy_groups(docs: DataFrame, carry: list[str], row: str, text: str = "t
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
     pairs = materialize(pairs.select("a", "b").distinct(), "near-pairs")
     crowd = met.where(F.col("n") > bucket_rows).select("key", "node")
+    near = print_pairs(marked.select("node", "fp").distinct())
 
     # Only what is to be verified is made from its text again.
-    wanted = nodes.select("node", F.col("row").alias("__row")).join(met.select("node").distinct(), "node")
+    wanted = nodes.select("node", F.col("row").alias("__row")).join(met.select("node").union(near.select("a")).union(near.select("b")).distinct(), "node")
     again = docs.join(wanted, docs[row] == F.col("__row"))
     made = lambda texts: {"held": pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())}
     sets = map_texts(again, ["node"], text, made, T.StructType([T.StructField("held", T.BinaryType())]))
@@ -116,7 +132,7 @@ def near_copy_groups(docs: DataFrame, carry: list[str], row: str, text: str = "t
         found = group_links(x["node"].tolist(), [np.frombuffer(s, np.uint64) for s in x["held"]], similarity)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    sure = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, _EDGE)
+    sure = pairs.union(near).distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(verify, _EDGE)
     hot = crowd.join(sets, "node").groupBy("key").applyInPandas(meet, _EDGE)
     groups = connected_components(materialize(sure.union(hot), "near-links"), "near-cc")
     return marked.join(groups, "node", "left").select(*carry, F.coalesce("component", marked["node"]).alias("component"))

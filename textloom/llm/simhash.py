@@ -51,7 +51,15 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
 
 
 def simhash(text: bytes, k: int = 3) -> int:
-    h = shingle_hashes(text, k)
+    return simhash_of(shingle_hashes(text, k))
+
+
+def signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -63,7 +71,6 @@ def simhash(text: bytes, k: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, shingle: int = 3) -> DataFrame:
     """carry's columns and `fp`, the fingerprint as a signed long."""
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
     made = lambda texts: {"fp": pa.array([signed(simhash(t, shingle)) for t in texts], pa.int64())}
     return map_texts(docs, carry or ["doc_id"], text, made, T.StructType([T.StructField("fp", T.LongType())]))
 
