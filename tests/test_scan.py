@@ -80,3 +80,26 @@ def test_no_python_worker(spark):
     for name in ("e2_reformat_plaintext", "w1_wrap_lines", "t6_atomic_words"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("least", [0, 1, 6, 15, 40])
+def test_plain_sentences(texts, spark, least):
+    more = ["", " ", "One. Two. Three four. x", "ab.’ cd.\" e. fg'. Hi? 2ab. _ab. é. né. né! NE. áb. \x85 ab. cd.  end", "Ab. " * 3000]
+    own = spark.createDataFrame(list(enumerate(more)), "id int, text string"), dict(enumerate(more))
+    same(own, scan.N.split_sentences(F.col("text"), least), lambda t: K.split_sentences(t, least))
+    same(texts, scan.N.split_sentences(F.col("text"), least), lambda t: K.split_sentences(t, least))
+
+
+@pytest.mark.parametrize(("width", "column", "offset"), [(12, 0, 0), (12, 5, 2), (12, 2, 5), (12, 11, 0), (12, 12, 3), (3, 0, 2)])
+@pytest.mark.parametrize("markdown", [False, True])
+def test_plain_lines(texts, width, column, offset, markdown):
+    want = lambda t: wrap.wrap_lines(t, width, column, offset, True, True, splitter=K.plain_words, markdown=markdown)
+    same(texts, scan.N.wrap_lines(F.col("text"), width, column, offset, markdown), want)
+
+
+def test_no_fold_over_words(spark):
+    from textloom.queries import QUERIES
+
+    for name in ("n2_sentences_any_length", "n2_sentences", "w6_fill_wrap_indent", "w6_fill_hanging_indent"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan

@@ -186,8 +186,17 @@ def sentences_of_words(words_: Column, min_length: int = MIN_SENTENCE) -> Column
     return _with(words_, lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts)))
 
 
+#: A sentence's last word as SENTENCE_END has it, in a text with single spaces between its words: what comes before its last space.
+_LAST_WORD = r"(?<![\p{L}\p{M}\p{N}_])(\p{L}{2,}+(?<=\p{Ll})(?:[.?!]['\"’”)]?|['\"’”)][.?!])) "
+
+
 def split_sentences(text: Column, min_length: int = MIN_SENTENCE) -> Column:
-    return sentences_of_words(words(text), min_length)
+    """Patterns alone: the space after every word that looks like an end becomes a line end, and the text is cut at those that are far enough from the one before."""
+    marked = F.regexp_replace(squeezed(text), _LAST_WORD, "$1\n")
+    if min_length <= 1:
+        return F.array_remove(F.split(marked, "\n", -1), "")
+    pieces = F.regexp_extract_all(marked, F.lit(rf"(?s)(.{{{min_length},}}?(?=\n|\z)|.++\z)\n?"), F.lit(1))
+    return F.transform(pieces, lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
 
 
 def first_sentences(text: Column, n: int, min_length: int = MIN_SENTENCE) -> Column:
@@ -206,6 +215,10 @@ def escape_word(word: Column) -> Column:
     return F.when(word.rlike(r"^[0-9]+[.)]\z"), numeral).when(word.rlike(r"^(?:[-*+>]|#+)\z"), F.concat(F.lit("\\"), word)).otherwise(word)
 
 
+#: A word that escape_word changes, between single spaces.
+_ESCAPED = r"(?:^| )(?:[0-9]+[.)]|[-*+>]|#+)(?: |\z)"
+
+
 def lines_of_words(words_: Column, width: int = WIDTH, column: int = 0, offset: int = 0, markdown: bool = False) -> Column:
     """Greedy lines of words."""
     start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"), F.lit(column).alias("used"))
@@ -222,12 +235,23 @@ def lines_of_words(words_: Column, width: int = WIDTH, column: int = 0, offset:
     return _with(words_, lambda ws: _with(F.aggregate(ws, start, step, lambda acc: acc["starts"]), lambda starts: _runs(ws, starts, head)))
 
 
+def cut_lines(flat: Column, width: int, column: int = 0, offset: int = 0) -> Column:
+    """Greedy lines, by a pattern, of a text with single spaces; there has to be room beside both margins. As in lines_of_words, a first word that is too wide counts as at `offset`."""
+    first = "" if column == offset else rf"\A.{{1,{width - column}}}(?= |\z)|"
+    return F.regexp_extract_all(flat, F.lit(rf"(?s) ?({first}.{{1,{width - offset}}}(?= |\z)|[^ ]++)"), F.lit(1))
+
+
 def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int = 0, markdown: bool = False) -> Column:
-    """Greedy lines of the words between white space. Constructs aren't heeded; scan.wrap_lines does."""
+    """Greedy lines of the words between white space. Constructs aren't heeded; scan.wrap_lines does. Only texts with words to escape take a fold over words."""
+    whole = squeezed(text)
     if width <= 0:
-        whole = squeezed(text)
         return F.when(whole == "", F.expr(_STRINGS)).otherwise(F.array(whole))
-    return lines_of_words(words(text), width, column, offset, markdown)
+    folded = lines_of_words(words(text), width, column, offset, markdown)
+    if width <= max(column, offset):
+        return folded
+    if not markdown:
+        return cut_lines(whole, width, column, offset)
+    return _with(whole, lambda flat: F.when(flat.rlike(_ESCAPED), folded).otherwise(cut_lines(flat, width, column, offset)))
 
 
 def wrap_text(text: Column, width: int = WIDTH, first: str = "", rest: str = "", markdown: bool = False) -> Column:

@@ -81,18 +81,18 @@ def markup_words(text: Column) -> Column:
 
 
 def wrap_lines(text: Column, width: int = WIDTH, column: int = 0, offset: int = 0, squeeze: bool = True, markdown: bool = False) -> Column:
-    """Greedy lines, as the kernel makes them. Lines with one margin are cut by a pattern; those with a first margin of their own, or with words to escape, by a fold over the words' lengths."""
+    """Greedy lines, as the kernel makes them. Lines are cut by a pattern; those with words to escape by a fold over the words' lengths."""
     if squeeze:
         text = N.spaced(text)
     if width <= 0:
         whole = N.trimmed(text) if squeeze else text
         return F.when(N.trimmed(text) == "", F.expr(_STRINGS)).otherwise(F.array(whole))
     room = width - offset
-    if markdown or column != offset or room <= 0:
+    if markdown or min(room, width - column) <= 0:
         return N.lines_of_words(atomic_words(N.part_tags(text)), width, column, offset, markdown)
 
     def cut(flat: Column) -> Column:
-        return F.regexp_extract_all(flat, F.lit(rf"(?s) ?(.{{1,{room}}}|[^ ]++)(?= |\z)"), F.lit(1))
+        return N.cut_lines(flat, width, column, offset)
 
     def marked(t: Column) -> Column:
         """Spaces inside words are held back while lines are cut."""
@@ -129,5 +129,6 @@ def fill_text(text: Column, style: str = "wrap", width: int = WIDTH) -> Column:
 
 
 def sentences(text: Column, min_length: int = 15, constructs: tuple[Construct, ...] = PROSE) -> Column:
-    """Sentences, none of which ends inside a construct, their words joined by spaces."""
-    return N.sentences_of_words(atomic_words(text, constructs), min_length)
+    """Sentences, none of which ends inside a construct, their words joined by spaces. Only texts that may hold constructs take a fold over words."""
+    folded = N.sentences_of_words(atomic_words(text, constructs), min_length)
+    return F.when(text.rlike(r"[`\[<{]"), folded).otherwise(N.split_sentences(text, min_length))
