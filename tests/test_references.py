@@ -123,3 +123,14 @@ def test_one_row_group_is_spread_over_the_cores(spark, tmp_path):
         assert len(sizes) >= 4 and sizes[-1] < 100_000 and sum(sizes) == 200_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
+def test_tasks_grow_in_number_not_in_size(spark):
+    """Rows of words and lines are dealt by how many there are, and sorted once for all windows."""
+    from textloom.operators import islands
+
+    rows = spark.range(4000).selectExpr("id div 4 AS doc_id", "id % 4 AS line_no", "concat('line ', id) AS line")
+    for made in (islands.segments_of_rows(rows, share=100), islands.sentences_of_rows(rows, order="line_no", word="line", share=100)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "40), REPARTITION_BY_NUM" in plan and plan.count("Sort [") == 1
+    assert made.count() == 1000

@@ -11,6 +11,10 @@ from textloom.functions import native, scan, udfs
 from textloom.functions.formatting import AUTO, FILES, Format
 
 
+#: Rows of words or lines that a task sorts.
+SHARE = 1 << 20
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over as many partitions as there are cores at least. A file of one row group is one task however large it is and into however many splits it is
     cut, so a scan counts as wide by its files; a wide scan, and anything behind a shuffle, and a stream, stays as it is."""
@@ -30,9 +34,14 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(n, F.xxhash64(*[f"`{c}`" for c in plain])) if plain else docs.repartition(n)
 
 
-def together(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows with those of equal keys in one partition. A stated number isn't coalesced, so a task's share doesn't follow how well its rows are packed."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+def together(rows: DataFrame, *keys: str, n: int = 0) -> DataFrame:
+    """rows with those of equal keys in one partition, of n at least. A stated number isn't coalesced, so a task's share doesn't follow how well its rows are packed."""
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def shares(rows: DataFrame, share: int = SHARE) -> int:
+    """Partitions for `share` rows each: as rows grow, tasks become more, not larger. Counts the rows."""
+    return 1 if rows.isStreaming else -(-rows.count() // share)
 
 
 def format_corpus(docs: DataFrame, options: Format = Format(), text: str = "text", out: str = "formatted") -> DataFrame:
