@@ -309,15 +309,16 @@ class Level:
         symbol = symbol.max(initial=0) - symbol if small else symbol
         lead = symbol * 2 + (np.arange(len(members)) >= n) << 40
         key = np.concatenate((np.arange(len(taken)), np.zeros(n - len(taken), np.int64), np.arange(len(given))))
-        rank = np.zeros(len(members), np.int64)
-        for _ in range(rounds):
+        key[len(taken) : n] = len(taken)
+        order, rank, place = np.argsort(lead | key, kind="stable"), np.empty(len(members), np.int64), np.arange(len(members))
+        for _ in range(rounds - 1):
+            rank[order] = place
             key[len(taken) : n] = len(taken) + rank[link]
-            order = np.argsort(lead | key)
-            now = np.empty_like(rank)
-            now[order] = np.arange(len(order))
-            if (now == rank).all():
+            # A round changes little, so the order before is nearly this one's, or is it.
+            value = (lead | key)[order]
+            if (value[1:] >= value[:-1]).all():
                 break
-            rank = now
+            order = order[np.argsort(value, kind="stable")]
         return order, members, n
 
 
