@@ -398,3 +398,16 @@ def test_preferences(spark):
     assert r.rejected[a:b] == "b<|im_end|>"
     empty = spark.createDataFrame([], schema)
     assert preference_format(*next_reply_pairs(empty)).count() == 0
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    from textloom.llm.passages import compact_windows, windows_of_all, word_shingles
+
+    say = random.Random(5)
+    texts = [b"a " * 900, b"a b c " * 300, b"one two", *(b" ".join(b"w%d" % say.randrange(40 + 400 * (k % 2)) for _ in range(say.randrange(10, 700))) for k in range(30))]
+    held = [word_shingles(t, 5) for t in texts]
+    sizes = np.array([len(h) for h in held])
+    text, *places = windows_of_all(np.concatenate(held), sizes, 46)
+    start = (np.cumsum(sizes) - sizes)[text]
+    got = list(zip(text.tolist(), *((p - start).tolist() for p in places)))
+    assert sorted(got) == sorted((n, *w) for n, h in enumerate(held) for w in compact_windows(h, 46))
