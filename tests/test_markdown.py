@@ -83,3 +83,13 @@ def test_worst_cases_take_no_time(name):
         assert time.process_time() - began < (0.75 if name in FAST else 3)
     finally:
         sys.setrecursionlimit(before)
+
+
+def test_blocks_need_no_inlines(monkeypatch):
+    from textloom.functions.markdown import block_table, parse
+    import sys
+
+    text = "# a *b*\n\n- c `d`\n  1. [e](f)\n\n| g | h |\n|--|--|\n| *i* | j |\n\n[k]: l\n"
+    want = block_table(parse(text))
+    monkeypatch.setattr(sys.modules["textloom.functions.markdown.parse"], "parse_inlines", None)
+    assert block_table(parse(text, inlines=False)) == want

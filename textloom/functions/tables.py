@@ -80,7 +80,7 @@ class BlockRows:
             return
         _deep()
         plain = text.replace("\r\n", "\n")
-        for b in block_table(parse(text)):
+        for b in block_table(parse(text, inlines=False)):
             yield (*b.values(), plain[b["start"] : b["end"]]) if source else tuple(b.values())
 
 

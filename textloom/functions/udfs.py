@@ -103,7 +103,7 @@ def fill_markdown(**options):
 
 
 def blocks():
-    return per_text(lambda t: block_table(parse(t)), BLOCK)
+    return per_text(lambda t: block_table(parse(t, inlines=False)), BLOCK)
 
 
 def links(include_autolinks: bool = True, include_images: bool = False):
