@@ -411,3 +411,13 @@ def test_windows_of_many_texts_are_those_of_each():
     start = (np.cumsum(sizes) - sizes)[text]
     got = list(zip(text.tolist(), *((p - start).tolist() for p in places)))
     assert sorted(got) == sorted((n, *w) for n, h in enumerate(held) for w in compact_windows(h, 46))
+
+
+def test_settled_rounds_take_no_sort(monkeypatch):
+    from textloom.llm import induced
+
+    level = induced.Level(np.array([5, 3, 4, 1, 2, 5, 1, 4, 0]), 6, induced.Scratch(), each=False)
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    order, members, n = level._ordered([np.array([3, 6])], [], int(level.of[1]), False, 50)
+    assert len(members) == n == len(order) and len(sorts) == 1
