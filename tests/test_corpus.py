@@ -63,6 +63,13 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(lang,en)" in plan and "n_chars" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+def test_check_formats_behind_the_exchange(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for options, work in ((FILES, "ArrowEvalPython"), (Format(plaintext=True), "- Filter ")):
+        above, exchange, below = C.changed(docs, options)._jdf.queryExecution().executedPlan().toString().partition("REPARTITION_BY_NUM")
+        assert exchange and work in above and work not in below
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(1, "a  b")], "doc_id long, text string").write.parquet(str(src))
