@@ -5,6 +5,8 @@ from __future__ import annotations
 
 def split_frontmatter(text: str) -> tuple[str, str]:
     """(frontmatter, content). Blank lines before it are dropped; one that isn't closed is all of the text."""
+    if "---" not in text:
+        return "", text
     lines = text.splitlines()
     start = next((k for k, x in enumerate(lines) if x.strip()), len(lines))
     if start == len(lines) or lines[start].strip() != "---":
