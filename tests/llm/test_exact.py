@@ -413,6 +413,47 @@ def test_windows_of_many_texts_are_those_of_each():
     assert sorted(got) == sorted((n, *w) for n, h in enumerate(held) for w in compact_windows(h, 46))
 
 
+def test_windows_of_texts_that_repeat_themselves_take_few_steps(monkeypatch):
+    """Long chains of equal minima are cut at once; other texts' trees are done by then."""
+    from textloom.llm import passages
+
+    held = [passages.word_shingles(b"a b c " * 2000, 5), passages.word_shingles(b" ".join(b"w%d" % (k * k % 9973) for k in range(3000)), 5)]
+    sizes, steps, frexp = np.array([len(h) for h in held]), [], np.frexp
+    monkeypatch.setattr(passages.np, "frexp", lambda *a: steps.append(1) or frexp(*a))
+    for least in (1, 2, 5, 46, 64):
+        text, *places = passages.windows_of_all(np.concatenate(held), sizes, least)
+        start = (np.cumsum(sizes) - sizes)[text]
+        got = list(zip(text.tolist(), *((p - start).tolist() for p in places)))
+        assert sorted(got) == sorted((n, *w) for n, h in enumerate(held) for w in passages.compact_windows(h, least))
+    assert len(steps) <= 5 * 40
+
+
+def test_pairs_that_share_too_little_are_not_numbered(monkeypatch):
+    from textloom.llm import passages
+
+    rng = np.random.default_rng(6)
+    a, b, same = (rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (400, 900, 60))
+    few, sparse = b.copy(), b.copy()
+    few[50:59] = a[10:19]
+    sparse[:200:4] = a[:200:4]
+    whole = np.concatenate((b[:300], same, b[300:]))
+    assert passages.align(np.concatenate((a, same)), whole, 46, 0.8) == [(400, 460, 300, 360, 1.0)]
+    assert passages.align(np.repeat(a[:2], 50), np.repeat(a[1:3], 60), 46, 0.8) == [(50, 100, 0, 60, 1.0)]
+    monkeypatch.setattr(passages.np, "unique", None)
+    assert all(passages.align(a, x, 46, 0.8) == passages.align(x, a, 46, 0.8) == [] for x in (b, few, sparse, b[:0]))
+
+
+def test_shingles_of_parts_tell_apart_what_word_shingles_do():
+    from textloom.llm.passages import shingles_of_parts, word_shingles
+
+    parts = [b"a", b"a b c d e", b"\xc3\xa9 \x00 \x01\x00 \x00\x01 x", b"y " * 3 + b"z " * 9 + b"y", b"ab ba abc a bc ab c", bytes(range(33, 256)) * 90 + b" q" * 7, b"a b c d e"]
+    for k in (1, 2, 5):
+        got, want = shingles_of_parts(parts, k), [word_shingles(p, k) for p in parts]
+        assert [len(x) for x in got] == [len(x) for x in want]
+        met = set(zip(np.concatenate(got).tolist(), np.concatenate(want).tolist()))
+        assert len(met) == len({x for x, _ in met}) == len({x for _, x in met})
+
+
 def test_settled_rounds_take_no_sort(monkeypatch):
     from textloom.llm import induced
 
