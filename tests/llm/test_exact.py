@@ -290,6 +290,55 @@ def test_passages_of_edited_copies_against_brute_force(spark):
     assert len(got) >= 0.975 * len({i for x in near for i in x})
 
 
+def test_passages_of_crowded_hashes_lose_no_link(spark):
+    """Two edited variants of a passage, as above, in which landmarks alone miss documents."""
+    from textloom.llm.passages import align, passage_classes, word_shingles
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(160):
+        own = [f"p{j}" if k % 2 or j % 17 else f"v{j}" for j in range(120)]
+        for j in rng.sample(range(120), rng.randint(0, 4)):
+            own[j] = f"e{rng.randrange(10**6)}"
+        fill = [f"r{rng.randrange(10**6)}" for _ in range(30)]
+        texts.append(" ".join(fill + own + fill[::-1]))
+    h = [word_shingles(t.encode(), 5) for t in texts]
+    near = [(i, j) for j in range(len(h)) for i in range(j) if align(h[j], h[i], 46, 0.8)]
+    got = {r.doc_id: r.class_id for r in passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > 1000 and all(i in got and got[i] == got.get(j) for i, j in near)
+
+
+def test_passages_about_a_common_line(spark):
+    """A line of 40 words is in all documents; pairs share 24 words about it."""
+    from textloom.llm.passages import passage_classes
+
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    line, texts = say(40), []
+    for _ in range(60):
+        a, b = say(12), say(12)
+        texts += [" ".join(say(40) + a + line + b + say(40)) for _ in range(2)]
+    texts += [" ".join(say(52) + line + say(52)) for _ in range(300)]
+    got = {r.doc_id: (r.class_id, r.spans) for r in passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: (k - k % 2, "40:104") for k in range(120)}
+
+
+def test_places_of_a_common_line():
+    from textloom.llm.passages import common_places, groups_of, unsettled_count, unsettled_pairs, within_spans
+
+    assert common_places(np.array([7, 3, 20]), 5, 46).tolist() == [*range(12), *range(16, 25)]
+    assert common_places(np.arange(0, 60, 6), 5, 46).tolist() == list(range(0, 60, 6))
+    assert within_spans(np.array([0, 0, 1, 2]), np.array([4, 5, 5, 0]), [[1], [5, 9], []], [[5], [7, 12], []]).tolist() == [True, False, True, False]
+    n = 6
+    x = {"v": np.array([9, 9, 9, 9, 9, 4], np.uint64), "f": np.zeros(n, int), "id": np.arange(n), "row": np.arange(n).astype(np.uint64), "l": np.zeros(n, int), "c": np.ones(n, int), "r": np.ones(n, int)}
+    x |= {"left": np.array([1, 1, 1, 1, 2, 1], np.uint16), "right": np.array([0, 1, 2, 3, 4, 5], np.uint16), "class": np.array([0, 0, 2, 3, 0, 5]), "covered": np.array([True, True, True, False, True, False])}
+    x, groups = groups_of([x])
+    (a, b), = groups
+    assert b - a == 5 and unsettled_count(x, a, b) == 7
+    got = sorted((int(x["id"][i]), int(x["id"][j])) for one, two in unsettled_pairs(x, a, b) for i, j in zip(one, two))
+    assert got == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
 def test_passages_recall_on_a_table_with_edited_passages(spark):
     """Every fifth document gets an edited passage of another; all pairs that share enough shingles are aligned."""
     from textloom.llm.passages import align, passage_classes, word_shingles
