@@ -324,14 +324,13 @@ def test_passages_about_a_common_line(spark):
 
 
 def test_places_of_a_common_line():
-    from textloom.llm.passages import common_places, groups_of, unsettled_count, unsettled_pairs, within_spans
+    from textloom.llm.passages import common_places, groups_of, unsettled_count, unsettled_pairs
 
     assert common_places(np.array([7, 3, 20]), 5, 46).tolist() == [*range(12), *range(16, 25)]
     assert common_places(np.arange(0, 60, 6), 5, 46).tolist() == list(range(0, 60, 6))
-    assert within_spans(np.array([0, 0, 1, 2]), np.array([4, 5, 5, 0]), [[1], [5, 9], []], [[5], [7, 12], []]).tolist() == [True, False, True, False]
     n = 6
     x = {"v": np.array([9, 9, 9, 9, 9, 4], np.uint64), "f": np.zeros(n, int), "id": np.arange(n), "row": np.arange(n).astype(np.uint64), "l": np.zeros(n, int), "c": np.ones(n, int), "r": np.ones(n, int)}
-    x |= {"left": np.array([1, 1, 1, 1, 2, 1], np.uint16), "right": np.array([0, 1, 2, 3, 4, 5], np.uint16), "class": np.array([0, 0, 2, 3, 0, 5]), "covered": np.array([True, True, True, False, True, False])}
+    x |= {"left": np.array([1, 1, 1, 1, 2, 1], np.uint16), "right": np.array([0, 1, 2, 3, 4, 5], np.uint16), "class": np.array([0, 0, 2, 3, 0, 5])}
     x, groups = groups_of([x])
     (a, b), = groups
     assert b - a == 5 and unsettled_count(x, a, b) == 7
